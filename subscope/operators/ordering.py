@@ -144,15 +144,55 @@ def ntile_of(rank: Column, rows: int, tiles: int) -> Column:
     return F.when(rank <= edge, head).otherwise(tail).cast("int")
 
 
-def quantile_score(rank: Column, rows: int, bins: int) -> Column:
-    """1..bins by equal-count quantile cut of the ranks 1..rows.
+def rows_at_ranks(
+    base: DataFrame, keys: list[str], rows: int, ranks: list[int], slice_rows: int | None = None
+) -> list:
+    """The key rows at the given 1-based ranks of the ascending total order ``keys``.
 
-    Quantile edges lie at interpolated ranks and bins are closed on the right, so
-    this is not NTILE: the score is ``max(1, ceil(bins * (rank-1) / (rows-1)))``.
+    ``base`` should be staged, it is read a few times. Only the slices that hold a
+    wanted rank are sorted.
     """
-    span = max(rows - 1, 1)
-    raw = F.call_function("div", F.lit(bins) * (rank - 1) + F.lit(span - 1), F.lit(span))
-    return F.greatest(F.lit(1), raw).cast("int")
+    sliced, slices = with_slices(base.select(*keys), keys, rows, slice_rows or SLICE_ROWS)
+    start = {0: 0}
+    if slices > 1:
+        sizes = {r["_slice"]: r["count"] for r in sliced.groupBy("_slice").count().collect()}
+        start, seen = {}, 0
+        for number in range(slices):
+            start[number] = seen
+            seen += sizes.get(number, 0)
+    wanted = {}
+    for rank in ranks:
+        home = max((n for n, first in start.items() if first < rank), key=lambda n: (start[n], -n))
+        wanted[rank] = (home, rank - start[home])
+    places = F.array(*[F.struct(F.lit(h).cast("int"), F.lit(p).cast("int")) for h, p in set(wanted.values())])
+    found = (
+        sliced.where(F.col("_slice").isin(*{h for h, _ in wanted.values()}))
+        .withColumn("_place", F.row_number().over(Window.partitionBy("_slice").orderBy(*keys)))
+        .where(F.array_contains(places, F.struct(F.col("_slice").cast("int"), F.col("_place").cast("int"))))
+        .collect()
+    )
+    by_place = {(r["_slice"], r["_place"]): tuple(r[k] for k in keys) for r in found}
+    return [by_place[wanted[rank]] for rank in ranks]
+
+
+def quantile_scores(
+    base: DataFrame, keys: list[str], rows: int, bins: int = 5, slice_rows: int | None = None
+) -> Column:
+    """Score 1..bins by equal-count quantile cut of the global ranks.
+
+    Quantile edges lie at interpolated ranks and bins are closed on the right, so this
+    is not NTILE: rank r scores at most j exactly when r <= 1 + j*(rows-1)/bins. Only
+    the rows at those ranks are looked up; the score is then a comparison per row.
+    """
+    if rows == 0:
+        return F.lit(1)
+    ranks = [1 + j * (rows - 1) // bins for j in range(1, bins)]
+    types = [base.schema[k].dataType for k in keys]
+    key = _struct(keys, types)
+    score = F.lit(1)
+    for row in rows_at_ranks(base, keys, rows, ranks, slice_rows):
+        score = score + (key > _literal(row, types)).cast("int")
+    return score
 
 
 def heavy_keys(df: DataFrame, key: str, floor: int) -> list:

@@ -68,7 +68,7 @@ dim_date AS (
 
 SUBSCRIBERS = DIM_CUSTOMER + """,
 subscribers AS (
-  SELECT customer_sk, customer_id, age, gender, city, tenure_months,
+  SELECT customer_sk AS customer_id, age, gender, city, tenure_months,
          'T0' || coalesce(t, '1') AS tariff_id, contract_type, payment_method,
          CAST(paperless AS INT) AS paperless_billing, CAST(has_internet AS INT) AS has_internet,
          CAST(has_tv AS INT) AS has_tv, CAST(has_roaming AS INT) AS has_roaming,
@@ -102,3 +102,86 @@ rfm AS (
          {r} AS r_score, {f} AS f_score, {m} AS m_score,
          {r} * 100 + {f} * 10 + {m} AS rfm_score
   FROM rfm_rank)"""
+
+
+ENRICHED = rfm() + ", " + SUBSCRIBERS.strip() + """,
+enriched AS (
+  SELECT s.*, coalesce(recency, 999) AS recency, coalesce(frequency, 0) AS frequency,
+         coalesce(monetary, 0) AS monetary, coalesce(avg_data_gb, 0) AS avg_data_gb,
+         coalesce(avg_minutes, 0) AS avg_minutes, coalesce(r_score, 1) AS r_score,
+         coalesce(f_score, 1) AS f_score, coalesce(m_score, 1) AS m_score,
+         coalesce(rfm_score, 111) AS rfm_score
+  FROM subscribers s LEFT JOIN rfm USING (customer_id))"""
+
+SCORED = DIM_CUSTOMER + """,
+scored AS (
+  SELECT customer_sk, customer_id, tenure_months, contract_type, city, CAST(churn_flag AS INT) AS churn,
+         ((customer_sk * 7919) % 1000) / 1000.0::DOUBLE AS churn_probability
+  FROM dim_customer)"""
+
+EXPERIMENT = """
+spend AS (
+  SELECT o_custkey,
+         sum(CAST(o_totalprice AS DECIMAL(12,2))) FILTER (WHERE o_orderdate < TIMESTAMP '1999-01-01') AS b,
+         sum(CAST(o_totalprice AS DECIMAL(12,2))) FILTER (WHERE o_orderdate >= TIMESTAMP '1999-01-01') AS a,
+         max(CASE WHEN o_orderdate >= TIMESTAMP '1999-01-01' AND o_orderpriority = '1-URGENT' THEN 1 ELSE 0 END) AS u
+  FROM orders GROUP BY 1),
+ab AS (
+  SELECT c_custkey AS customer_id, CASE WHEN c_custkey % 2 = 0 THEN 'control' ELSE 'treatment' END AS "group",
+         coalesce(u, 0) AS converted, coalesce(CAST(b AS DOUBLE), 0.0) / 48 AS arpu_before,
+         coalesce(CAST(a AS DOUBLE), 0.0) / 31 AS arpu_after,
+         coalesce(CAST(a AS DOUBLE), 0.0) / 31 - coalesce(CAST(b AS DOUBLE), 0.0) / 48 AS arpu_delta
+  FROM customer LEFT JOIN spend ON c_custkey = o_custkey)"""
+
+
+def normal_p(z: str) -> str:
+    """Two-sided normal p-value by the error function's power series."""
+    x = f"(abs({z}) / sqrt(2.0))"
+    series = (
+        f"list_sum(list_transform(range(0, 140), lambda k: (CASE WHEN k % 2 = 0 THEN 1 ELSE -1 END) * "
+        f"exp((2 * k + 1) * ln({x}) - lgamma(k + 1.0)) / (2 * k + 1)))"
+    )
+    return f"(CASE WHEN {x} = 0 THEN 1.0 WHEN {x} > 4.5 THEN 0.0 ELSE 1 - 2 / sqrt(pi()) * {series} END)"
+
+
+def student_p(t: str, dof: str) -> str:
+    """Two-sided Student p-value by Simpson's rule over the density."""
+    h = f"(abs({t}) / 4000.0)"
+    area = (
+        f"list_sum(list_transform(range(0, 4001), lambda k: (CASE WHEN k = 0 OR k = 4000 THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END) * "
+        f"power(1 + (k * {h}) * (k * {h}) / {dof}, -({dof} + 1) / 2))) * {h} / 3"
+    )
+    scale = f"exp(lgamma(({dof} + 1) / 2) - lgamma({dof} / 2)) / sqrt(pi() * {dof})"
+    return f"(1 - 2 * {scale} * {area})"
+
+
+def drift(shift: float) -> str:
+    """CTEs from (feature, side, value) rows to PSI, KS and severity per feature."""
+    features = [("l_quantity", ""), ("l_extendedprice", f" * {shift}"), ("l_discount", ""), ("l_tax", "")]
+    ref = " UNION ALL ".join(f"SELECT '{f}' AS feature, {f} AS v FROM lineitem WHERE l_shipdate < TIMESTAMP '1998-06-01'"
+                             for f, _ in features)
+    cur = " UNION ALL ".join(f"SELECT '{f}' AS feature, {f}{m if shift != 1 else ''} AS v FROM lineitem "
+                             f"WHERE l_shipdate >= TIMESTAMP '1998-06-01'" for f, m in features)
+    marks = ", ".join(f"{i / 10}" for i in range(1, 10))
+    return f"""
+ref AS ({ref}), cur AS ({cur}),
+edge AS (SELECT feature, quantile_cont(v, [{marks}]) AS edges, count(*) AS n FROM ref GROUP BY 1),
+ncur AS (SELECT feature, count(*) AS n FROM cur GROUP BY 1),
+bins AS (SELECT feature, unnest(range(0, 10)) AS bin FROM edge),
+rb AS (SELECT feature, len(list_filter(edges, lambda e: e <= v)) AS bin, count(*) / any_value(n) AS share
+       FROM ref JOIN edge USING (feature) GROUP BY 1, 2),
+cb AS (SELECT cur.feature, len(list_filter(edges, lambda e: e <= v)) AS bin, count(*) / any_value(ncur.n) AS share
+       FROM cur JOIN edge USING (feature) JOIN ncur ON cur.feature = ncur.feature GROUP BY 1, 2),
+shares AS (SELECT feature, coalesce(rb.share, 1e-6) AS e, coalesce(cb.share, 1e-6) AS a
+           FROM bins LEFT JOIN rb USING (feature, bin) LEFT JOIN cb USING (feature, bin)),
+psi AS (SELECT feature, sum((a - e) * ln(a / e)) AS psi FROM shares GROUP BY 1),
+vals AS (SELECT feature, v, sum(r) AS r, sum(c) AS c FROM (
+           SELECT feature, v, 1 AS r, 0 AS c FROM ref UNION ALL SELECT feature, v, 0, 1 FROM cur) GROUP BY 1, 2),
+cdf AS (SELECT feature, sum(r) OVER w / sum(r) OVER (PARTITION BY feature) AS fr,
+               sum(c) OVER w / sum(c) OVER (PARTITION BY feature) AS fc,
+               sum(r) OVER (PARTITION BY feature) AS nr, sum(c) OVER (PARTITION BY feature) AS nc
+        FROM vals WINDOW w AS (PARTITION BY feature ORDER BY v)),
+ks AS (SELECT feature, max(abs(fr - fc)) AS d, max(nr) AS nr, max(nc) AS nc FROM cdf GROUP BY 1),
+lam AS (SELECT *, (sqrt(nr * nc / (nr + nc)) + 0.12 + 0.11 / sqrt(nr * nc / (nr + nc))) * d AS l FROM ks),
+ksp AS (SELECT feature, d, nr, nc, CASE WHEN l < 0.2 THEN 1.0 ELSE greatest(least(2 * list_sum(list_transform(range(1, 101),
+          lambda j: (CASE WHEN j % 2 = 1 THEN 1 ELSE -1 END) * exp(-2.0 * j * j * l * l))), 1.0), 0.0) END AS p FROM lam)"""

@@ -6,11 +6,17 @@ from subscope.plans.oracle_base import (
     DIM_CUSTOMER,
     DIM_DATE,
     DIM_TARIFF,
+    ENRICHED,
+    EXPERIMENT,
     FACT,
+    SCORED,
     SUBSCRIBERS,
     cents,
+    drift,
+    normal_p,
     ratio,
     rfm,
+    student_p,
 )
 
 _RISK = "CASE WHEN churned * 1.0 / NULLIF(n_customers, 0) > 0.25 THEN 'HIGH' " \
@@ -37,7 +43,16 @@ FROM s"""
 _MONTHS = "((2001 * 12 + 8) - (year(first_date) * 12 + month(first_date)) - CASE WHEN day(first_date) > 1 THEN 1 ELSE 0 END)"
 
 
+_BINS = "CASE WHEN churn_probability > 0 AND churn_probability <= 0.3 THEN 'Low' " \
+        "WHEN churn_probability > 0.3 AND churn_probability <= 0.6 THEN 'Medium' " \
+        "WHEN churn_probability > 0.6 AND churn_probability <= 1.0 THEN 'High' END"
+
+
 def statements() -> dict[str, str]:
+    return {**_reports(), **_features(), **_boards(), **_statistics()}
+
+
+def _reports() -> dict[str, str]:
     s: dict[str, str] = {}
     s["q1_monthly_revenue"] = f"""WITH {FACT}, {DIM_DATE},
 m AS (SELECT year, month, month_name, sum(amount) AS revenue, count(DISTINCT customer_sk) AS active_customers
@@ -105,3 +120,171 @@ SELECT customer_id, tx_date, CAST(round(amount, 0) AS DOUBLE) AS amount, next_tx
 FROM o"""
     s["dim_date"] = f"WITH {DIM_DATE} SELECT * FROM dim_date"
     return s
+
+
+def _features() -> dict[str, str]:
+    s: dict[str, str] = {}
+    columns = "customer_id, recency, frequency, monetary, round(avg_data_gb, 6) AS avg_data_gb, round(avg_minutes, 6) AS avg_minutes"
+    scores = "r_score, f_score, m_score, rfm_score"
+    s["rfm_base"] = f"WITH {rfm()} SELECT {columns} FROM rfm"
+    s["rfm_scores"] = f"WITH {rfm()} SELECT {columns}, {scores} FROM rfm"
+    s["rfm_merged"] = f"""WITH {rfm("WHERE transaction_date >= DATE '2001-01-01'")}, {SUBSCRIBERS}
+SELECT s.customer_id, age, gender, city, tenure_months, tariff_id, contract_type, payment_method, paperless_billing,
+       has_internet, has_tv, has_roaming, churn, segment_name,
+       coalesce(recency, 999) AS recency, coalesce(frequency, 0) AS frequency, coalesce(monetary, 0) AS monetary,
+       round(coalesce(avg_data_gb, 0), 6) AS avg_data_gb, round(coalesce(avg_minutes, 0), 6) AS avg_minutes,
+       coalesce(r_score, 1) AS r_score, coalesce(f_score, 1) AS f_score, coalesce(m_score, 1) AS m_score,
+       coalesce(rfm_score, 111) AS rfm_score
+FROM subscribers s LEFT JOIN rfm USING (customer_id)"""
+    s["rfm_score_counts"] = f"""WITH {rfm()}
+SELECT 'r_score' AS score, r_score AS level, count(*) AS count FROM rfm GROUP BY 2
+UNION ALL SELECT 'f_score', f_score, count(*) FROM rfm GROUP BY 2
+UNION ALL SELECT 'm_score', m_score, count(*) FROM rfm GROUP BY 2"""
+    return s
+
+
+def _boards() -> dict[str, str]:
+    s: dict[str, str] = {}
+    s["kpi_monthly_revenue"] = f"""WITH {FACT}
+SELECT CAST(date_trunc('month', transaction_date) AS DATE) AS month, CAST(sum(amount) AS DOUBLE) AS revenue
+FROM fact GROUP BY 1"""
+    s["kpi_overview"] = f"""WITH {FACT}, {SUBSCRIBERS},
+m AS (SELECT date_trunc('month', transaction_date) AS month, sum(amount) AS revenue FROM fact GROUP BY 1)
+SELECT count(*) AS customers, round(avg(churn), 6) AS churn_rate,
+       round((SELECT avg(revenue) FROM m), 2) AS avg_monthly_revenue,
+       round((SELECT avg(revenue) FROM m) / count(*), 4) AS arpu
+FROM subscribers"""
+    for key, column in (("contract", "contract_type"), ("segment", "segment_name"), ("city", "city"),
+                        ("payment", "payment_method")):
+        s[f"churn_by_{key}"] = f"WITH {SUBSCRIBERS} SELECT {column}, round(avg(churn), 6) AS churn_rate FROM subscribers GROUP BY 1"
+    s["customers_by_city"] = f"WITH {SUBSCRIBERS} SELECT city, count(*) AS count FROM subscribers GROUP BY 1"
+    s["segment_counts"] = f"WITH {SUBSCRIBERS} SELECT segment_name, count(*) AS count FROM subscribers GROUP BY 1"
+    s["distinct_segments"] = f"WITH {SUBSCRIBERS} SELECT DISTINCT segment_name FROM subscribers"
+    s["segment_explorer"] = f"""WITH {SUBSCRIBERS}
+SELECT customer_id, age, city, tenure_months, contract_type, churn FROM subscribers
+WHERE segment_name = 'ASIA' ORDER BY customer_id LIMIT 50"""
+    s["risk_level_scoring"] = f"""WITH {SCORED}
+SELECT customer_id, churn_probability, CASE WHEN churn_probability >= 0.7 THEN 'high'
+       WHEN churn_probability >= 0.4 THEN 'medium' ELSE 'low' END AS risk_level FROM scored"""
+    s["risk_level_bins"] = f"WITH {SCORED} SELECT customer_id, churn_probability, {_BINS} AS risk_level FROM scored"
+    s["risk_counts"] = f"""WITH {SCORED} SELECT {_BINS} AS risk_level, count(*) AS count FROM scored
+WHERE {_BINS} IS NOT NULL GROUP BY 1"""
+    s["churn_kpis"] = f"""WITH {SCORED}
+SELECT count(*) FILTER (WHERE {_BINS} = 'High') AS high_risk, count(*) FILTER (WHERE {_BINS} = 'Medium') AS medium_risk,
+       round(avg(churn_probability), 6) AS avg_probability, round(avg(churn), 6) AS actual_churn FROM scored"""
+    s["high_risk_customers"] = f"""WITH {SCORED}
+SELECT customer_id, churn_probability, {_BINS} AS risk_level, tenure_months, contract_type, city FROM scored
+WHERE churn_probability >= 0.6 ORDER BY churn_probability DESC, customer_id LIMIT 100"""
+    s["segment_profile_dash"] = f"""WITH {ENRICHED}
+SELECT segment_name, round_even(avg(monetary), 1) AS avg_monetary, round_even(avg(recency), 1) AS avg_recency,
+       round_even(avg(frequency), 1) AS avg_frequency, round_even(avg(tenure_months), 1) AS avg_tenure, count(*) AS count
+FROM enriched GROUP BY 1"""
+    width = "((hi - lo) / 30.0)"
+    s["histogram_by_class"] = f"""WITH {ENRICHED},
+l AS (SELECT churn, CAST(min(tenure_months) AS DOUBLE) AS lo, CAST(max(tenure_months) AS DOUBLE) AS hi FROM enriched GROUP BY 1),
+b AS (SELECT churn, CASE WHEN hi = lo THEN 1 ELSE least(CAST(floor((tenure_months - lo) / {width}) AS INT) + 1, 30) END AS bin
+      FROM enriched JOIN l USING (churn))
+SELECT churn, bin, count(*) AS n FROM b GROUP BY ALL"""
+    s["box_monetary_by_churn"] = f"""WITH {ENRICHED},
+f AS (SELECT churn, quantile_cont(monetary, [0.0, 0.25, 0.5, 0.75, 1.0]) AS q FROM enriched GROUP BY 1),
+g AS (SELECT churn, q[1] AS mn, q[2] AS q1, q[3] AS md, q[4] AS q3, q[5] AS mx FROM f),
+e AS (SELECT g.*, monetary, monetary BETWEEN q1 - (q3 - q1) * 1.5 AND q3 + (q3 - q1) * 1.5 AS inside
+      FROM enriched JOIN g USING (churn))
+SELECT churn, round(mn, 4) AS min, round(q1, 4) AS q1, round(md, 4) AS median, round(q3, 4) AS q3, round(mx, 4) AS max,
+       round(min(monetary) FILTER (WHERE inside), 4) AS whisker_low,
+       round(max(monetary) FILTER (WHERE inside), 4) AS whisker_high,
+       count(*) FILTER (WHERE NOT inside) AS outliers
+FROM e GROUP BY churn, mn, q1, md, q3, mx"""
+    described = ["age", "tenure_months", "paperless_billing", "has_internet", "has_tv", "has_roaming", "churn",
+                 "recency", "frequency", "monetary", "avg_data_gb", "avg_minutes", "r_score", "f_score", "m_score",
+                 "rfm_score"]
+    parts = " UNION ALL ".join(f"SELECT '{c}' AS feature, CAST({c} AS DOUBLE) AS v FROM enriched" for c in described)
+    s["describe_numeric"] = f"""WITH {ENRICHED}, l AS ({parts})
+SELECT feature, count(*) AS count, round(avg(v), 4) AS mean, round(stddev_samp(v), 4) AS std, round(min(v), 4) AS min,
+       round(quantile_cont(v, 0.25), 4) AS q25, round(quantile_cont(v, 0.5), 4) AS q50,
+       round(quantile_cont(v, 0.75), 4) AS q75, round(max(v), 4) AS max
+FROM l GROUP BY 1"""
+    names = ["age", "tenure_months", "has_internet", "has_tv", "has_roaming", "recency", "frequency", "monetary", "churn"]
+    s["corr_matrix"] = f"WITH {ENRICHED} " + " UNION ALL ".join(
+        f"SELECT '{names[i]}' AS feature_a, '{names[j]}' AS feature_b, round(corr({names[i]}, {names[j]}), 6) AS correlation FROM enriched"
+        for i in range(len(names)) for j in range(i))
+    s["eda_summary"] = f"""WITH {ENRICHED}
+SELECT count(*) AS customers, round(avg(churn), 6) AS churn_rate, round(avg(tenure_months), 6) AS avg_tenure,
+       round(avg(monetary) / 12, 4) AS avg_monthly_spend,
+       round(avg(CASE WHEN contract_type = 'BUILDING' THEN 1 ELSE 0 END), 6) AS monthly_share,
+       (SELECT count(*) FROM tx) AS transactions
+FROM enriched"""
+    return s
+
+
+def _statistics() -> dict[str, str]:
+    s: dict[str, str] = {}
+    s["psi"] = f"WITH {drift(1.3)} SELECT feature, round(psi, 6) AS psi FROM psi"
+    s["ks_statistic"] = f"""WITH {drift(1.3)}
+SELECT feature, round(d, 9) AS ks_statistic, CAST(nr AS BIGINT) AS n_r, CAST(nc AS BIGINT) AS n_c, round(p, 6) AS ks_pvalue FROM ksp"""
+    report = """SELECT feature, round_even(psi, 4) AS psi, round_even(d, 4) AS ks_statistic, round_even(p, 4) AS ks_pvalue,
+       (psi > 0.2 OR p < 0.05) AS drift_detected,
+       CASE WHEN psi > 0.25 THEN 'high' WHEN psi > 0.1 THEN 'medium' ELSE 'low' END AS severity
+FROM psi JOIN ksp USING (feature)"""
+    s["drift_report"] = f"WITH {drift(1.3)} {report}"
+    s["drift_report_stable"] = f"WITH {drift(1)} {report}"
+    s["ab_frame"] = f"""WITH {EXPERIMENT}
+SELECT customer_id, "group", converted, round(arpu_before, 6) AS arpu_before, round(arpu_after, 6) AS arpu_after,
+       round(arpu_delta, 6) AS arpu_delta FROM ab"""
+    s["ab_group_means"] = f"""WITH {EXPERIMENT}
+SELECT "group", round_even(avg(converted), 2) AS converted, round_even(avg(arpu_before), 2) AS arpu_before,
+       round_even(avg(arpu_after), 2) AS arpu_after, round_even(avg(arpu_delta), 2) AS arpu_delta FROM ab GROUP BY 1"""
+    s["ab_sample_size"] = f"""WITH {SUBSCRIBERS},
+b AS (SELECT contract_type, avg(churn) AS p FROM subscribers GROUP BY 1),
+m AS (SELECT *, p + 0.04 AS p2, (p + p + 0.04) / 2 AS pm FROM b)
+SELECT contract_type, round(p, 6) AS baseline, CAST(ceil(power(1.959963984540054 * sqrt(2 * pm * (1 - pm))
+       + 0.8416212335729143 * sqrt(p * (1 - p) + p2 * (1 - p2)), 2) / (0.04 * 0.04)) AS BIGINT) AS required
+FROM m"""
+
+    def conversion(by: str) -> str:
+        key = f"{by}, " if by else ""
+        group = f"GROUP BY {by}" if by else ""
+        return f"""
+cnt AS (SELECT {key}CAST(count(*) FILTER (WHERE "group" = 'control') AS DOUBLE) AS nc,
+               CAST(count(*) FILTER (WHERE "group" = 'treatment') AS DOUBLE) AS nt,
+               CAST(sum(converted) FILTER (WHERE "group" = 'control') AS DOUBLE) AS sc,
+               CAST(sum(converted) FILTER (WHERE "group" = 'treatment') AS DOUBLE) AS st FROM ab {group}),
+r AS (SELECT *, sc / nc AS pc, st / nt AS pt, (sc + st) / (nc + nt) AS pp FROM cnt),
+z AS (SELECT *, (pt - pc) / sqrt(pp * (1 - pp) * (1 / nc + 1 / nt)) AS z,
+             1.96 * sqrt(pc * (1 - pc) / nc + pt * (1 - pt) / nt) AS margin FROM r),
+t AS (SELECT *, {normal_p('z')} AS p FROM z)"""
+
+    s["ab_conversion_test"] = f"""WITH {EXPERIMENT}, {conversion('')}
+SELECT round_even(pc, 4) AS p_control, round_even(pt, 4) AS p_treatment, round_even(pt - pc, 4) AS abs_diff,
+       round_even((pt - pc) / pc, 4) AS relative_lift, round_even(z, 4) AS z_statistic, round_even(p, 6) AS p_value,
+       round_even(pt - pc - margin, 4) AS ci_low, round_even(pt - pc + margin, 4) AS ci_high, p < 0.05 AS significant
+FROM t"""
+    by_segment = EXPERIMENT.replace("FROM customer LEFT JOIN spend", "FROM customer JOIN nation ON c_nationkey = n_nationkey "
+                                    "JOIN region ON n_regionkey = r_regionkey LEFT JOIN spend").replace(
+        "SELECT c_custkey AS customer_id,", "SELECT c_custkey AS customer_id, r_name AS segment_name,")
+    s["bonferroni"] = f"""WITH {by_segment}, {conversion('segment_name')}
+SELECT segment_name, round_even(p, 6) AS p_value, round_even(p, 6) < 0.05 / count(*) OVER () AS reject FROM t"""
+    s["ab_conversion_ci"] = f"""WITH {EXPERIMENT}
+SELECT "group", count(*) AS n, round(avg(converted) * 100, 6) AS rate_pct,
+       round(196 * sqrt(avg(converted) * (1 - avg(converted)) / count(*)), 6) AS error_pct FROM ab GROUP BY 1"""
+    s["ab_arpu_test"] = f"""WITH {EXPERIMENT},
+m AS (SELECT avg(arpu_delta) FILTER (WHERE "group" = 'control') AS mc, avg(arpu_delta) FILTER (WHERE "group" = 'treatment') AS mt,
+             var_samp(arpu_delta) FILTER (WHERE "group" = 'control') AS vc,
+             var_samp(arpu_delta) FILTER (WHERE "group" = 'treatment') AS vt,
+             CAST(count(*) FILTER (WHERE "group" = 'control') AS DOUBLE) AS nc,
+             CAST(count(*) FILTER (WHERE "group" = 'treatment') AS DOUBLE) AS nt FROM ab),
+rk AS (SELECT "group", rank() OVER (ORDER BY arpu_delta) + (count(*) OVER (PARTITION BY arpu_delta) - 1) / 2.0 AS r FROM ab),
+ties AS (SELECT sum(CAST(t AS DOUBLE) * t * t - t) AS ties FROM (SELECT count(*) AS t FROM ab GROUP BY arpu_delta)),
+u AS (SELECT sum(r) AS rs FROM rk WHERE "group" = 'control'),
+x AS (SELECT *, rs - nc * (nc + 1) / 2 AS u1, (mc - mt) / sqrt(vc / nc + vt / nt) AS t,
+             power(vc / nc + vt / nt, 2) / (power(vc / nc, 2) / (nc - 1) + power(vt / nt, 2) / (nt - 1)) AS dof,
+             (mt - mc) / sqrt((vc + vt) / 2) AS d,
+             sqrt(nc * nt / 12 * (nc + nt + 1 - ties / ((nc + nt) * (nc + nt - 1)))) AS sd
+      FROM m, u, ties),
+y AS (SELECT *, greatest((greatest(u1, nc * nt - u1) - nc * nt / 2 - 0.5) / sd, 0.0) AS z FROM x),
+q AS (SELECT *, {student_p('t', 'dof')} AS tp, {normal_p('z')} AS mp FROM y)
+SELECT round_even(mc, 2) AS control_mean_delta, round_even(mt, 2) AS treatment_mean_delta, round_even(t, 4) AS t_statistic,
+       round_even(tp, 6) AS t_pvalue, u1 AS mw_statistic, round_even(mp, 6) AS mw_pvalue, round_even(d, 4) AS cohens_d,
+       tp < 0.05 AS significant_ttest, mp < 0.05 AS significant_mw
+FROM q"""
+    return s

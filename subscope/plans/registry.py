@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from subscope.functions.scalars import risk_by_bins, risk_by_score
+from subscope.operators import drift, eda, experiments, kpis, rfm
 from subscope.plans import reports
 from subscope.sources import star, tables as t
 
@@ -18,6 +20,7 @@ def _calendar(spark: SparkSession) -> DataFrame:
 
 def report_queries() -> dict[str, Query]:
     return {
+        "dim_date": lambda s, d: _calendar(s),
         "q1_monthly_revenue": lambda s, d: reports.monthly_revenue(
             t.fact_transactions(s, d), _calendar(s)),
         "q2_value_tiers": lambda s, d: reports.value_tiers(
@@ -37,5 +40,120 @@ def report_queries() -> dict[str, Query]:
     }
 
 
+def rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:
+    """Round computed doubles, so that a check does not hang on the order of a sum."""
+    return df.withColumns({c: F.round(c, digits) for c in columns})
+
+
+def enriched(spark: SparkSession, folder: str) -> DataFrame:
+    """Customers with RFM features and scores."""
+    return rfm.merge_with_customers(t.subscribers(spark, folder), rfm.rfm_scores(t.transactions(spark, folder)))
+
+
+def feature_queries() -> dict[str, Query]:
+    means = ("avg_data_gb", "avg_minutes")
+
+    def score_counts(s: SparkSession, d: str) -> DataFrame:
+        scores = rfm.rfm_scores(t.transactions(s, d)).select("r_score", "f_score", "m_score")
+        long = scores.unpivot([], ["r_score", "f_score", "m_score"], "score", "level")
+        return long.groupBy("score", "level").count()
+
+    return {
+        "rfm_base": lambda s, d: rounded(
+            rfm.rfm_base(t.transactions(s, d)).drop("monetary_exact"), 6, *means),
+        "rfm_scores": lambda s, d: rounded(rfm.rfm_scores(t.transactions(s, d)), 6, *means),
+        "rfm_merged": lambda s, d: rounded(
+            rfm.merge_with_customers(
+                t.subscribers(s, d), rfm.rfm_scores(t.transactions(s, d, since="2001-01-01"))
+            ), 6, *means),
+        "rfm_score_counts": score_counts,
+    }
+
+
+def board_queries() -> dict[str, Query]:
+    def rates(column: str) -> Query:
+        return lambda s, d: rounded(kpis.rate_by(t.subscribers(s, d), column), 6, "churn_rate")
+
+    def counts(column: str) -> Query:
+        return lambda s, d: kpis.value_counts(t.subscribers(s, d), column)
+
+    numeric = [
+        "age", "tenure_months", "paperless_billing", "has_internet", "has_tv", "has_roaming", "churn",
+        "recency", "frequency", "monetary", "avg_data_gb", "avg_minutes",
+        "r_score", "f_score", "m_score", "rfm_score",
+    ]
+    probability = F.col("churn_probability")
+    return {
+        "kpi_overview": lambda s, d: rounded(rounded(rounded(
+            kpis.overview(t.subscribers(s, d), t.transactions(s, d)),
+            6, "churn_rate"), 2, "avg_monthly_revenue"), 4, "arpu"),
+        "kpi_monthly_revenue": lambda s, d: kpis.revenue_by_month(t.transactions(s, d)),
+        "churn_by_contract": rates("contract_type"),
+        "churn_by_segment": rates("segment_name"),
+        "churn_by_city": rates("city"),
+        "churn_by_payment": rates("payment_method"),
+        "customers_by_city": counts("city"),
+        "segment_counts": counts("segment_name"),
+        "distinct_segments": lambda s, d: t.subscribers(s, d).select("segment_name").distinct().orderBy(
+            "segment_name"),
+        "segment_explorer": lambda s, d: kpis.explore_segment(t.subscribers(s, d), "ASIA"),
+        "risk_level_scoring": lambda s, d: t.scored_customers(s, d).select(
+            "customer_id", "churn_probability", risk_by_score(probability).alias("risk_level")),
+        "risk_level_bins": lambda s, d: t.scored_customers(s, d).select(
+            "customer_id", "churn_probability", risk_by_bins(probability).alias("risk_level")),
+        "risk_counts": lambda s, d: kpis.value_counts(
+            t.scored_customers(s, d).select(risk_by_bins(probability).alias("risk_level")), "risk_level"),
+        "churn_kpis": lambda s, d: rounded(
+            kpis.churn_board(t.scored_customers(s, d)), 6, "avg_probability", "actual_churn"),
+        "high_risk_customers": lambda s, d: kpis.high_risk(t.scored_customers(s, d)),
+        "segment_profile_dash": lambda s, d: kpis.segment_board(enriched(s, d)),
+        "histogram_by_class": lambda s, d: eda.histogram(enriched(s, d), "tenure_months", "churn", 30),
+        "box_monetary_by_churn": lambda s, d: rounded(
+            eda.box_summary(enriched(s, d), "monetary", "churn"),
+            4, "min", "q1", "median", "q3", "max", "whisker_low", "whisker_high"),
+        "describe_numeric": lambda s, d: rounded(
+            eda.describe(enriched(s, d), numeric), 4, "mean", "std", "min", "q25", "q50", "q75", "max"),
+        "corr_matrix": lambda s, d: rounded(
+            eda.correlations(enriched(s, d), eda.CORRELATED), 6, "correlation"),
+        "eda_summary": lambda s, d: rounded(rounded(
+            eda.summary(enriched(s, d), t.transactions(s, d), "BUILDING"),
+            6, "churn_rate", "avg_tenure", "monthly_share"), 4, "avg_monthly_spend"),
+    }
+
+
+def statistics_queries() -> dict[str, Query]:
+    def sides(s: SparkSession, d: str, shift: float = 1.3):
+        reference, current = t.drift_sides(s, d, shift)
+        return reference, current, drift.shared_numeric(reference, current)
+
+    def tests(s: SparkSession, d: str) -> DataFrame:
+        by = t.experiment(s, d).join(
+            t.dim_customer(s, d).select(F.col("customer_sk").alias("customer_id"), "segment_name"), "customer_id")
+        return experiments.conversion_test(by, ["segment_name"]).select("segment_name", "p_value")
+
+    def sizes(s: SparkSession, d: str) -> DataFrame:
+        rates = kpis.rate_by(t.subscribers(s, d), "contract_type")
+        return rates.select(
+            "contract_type", F.round("churn_rate", 6).alias("baseline"),
+            experiments.required_sample_size(F.col("churn_rate"), 0.04).alias("required"))
+
+    return {
+        "psi": lambda s, d: rounded(drift.population_stability_index(*sides(s, d)), 6, "psi"),
+        "ks_statistic": lambda s, d: rounded(rounded(
+            drift.ks_test(*sides(s, d)), 9, "ks_statistic"), 6, "ks_pvalue"),
+        "drift_report": lambda s, d: drift.drift_report(*sides(s, d)),
+        "drift_report_stable": lambda s, d: drift.drift_report(*sides(s, d, 1.0)),
+        "ab_frame": lambda s, d: rounded(
+            t.experiment(s, d), 6, "arpu_before", "arpu_after", "arpu_delta"),
+        "ab_group_means": lambda s, d: experiments.group_means(t.experiment(s, d)),
+        "ab_sample_size": sizes,
+        "ab_conversion_test": lambda s, d: experiments.conversion_test(t.experiment(s, d)),
+        "ab_conversion_ci": lambda s, d: rounded(
+            experiments.conversion_intervals(t.experiment(s, d)), 6, "rate_pct", "error_pct"),
+        "ab_arpu_test": lambda s, d: experiments.arpu_test(t.experiment(s, d)),
+        "bonferroni": lambda s, d: experiments.bonferroni(tests(s, d)),
+    }
+
+
 def queries() -> dict[str, Query]:
-    return {**report_queries()}
+    return {**report_queries(), **feature_queries(), **board_queries(), **statistics_queries()}
