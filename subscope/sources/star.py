@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from subscope.functions.scalars import date_key
 from subscope.operators.ordering import global_order
+from subscope.operators.quality import Constraint
 
 
 def calendar(spark: SparkSession, start: str = "2024-01-01", end: str = "2026-12-31") -> DataFrame:
@@ -38,13 +39,13 @@ def with_surrogate(df: DataFrame, natural: str, key: str, key_type: str, **order
     return ranked.withColumn(key, F.col(key).cast(key_type))
 
 
-def build_customers(customers: DataFrame, valid_from: str, segments: bool = True) -> DataFrame:
+def build_customers(customers: DataFrame, valid_from: str) -> DataFrame:
     """Customer dimension from raw customers; 0/1 flags become booleans."""
     def flag(name: str) -> Column:
         return F.col(name).cast("boolean")
 
     keyed = with_surrogate(customers, "customer_id", "customer_sk", "int")
-    name = F.col("segment_name") if segments else F.lit(None).cast("string")
+    name = F.col("segment_name") if "segment_name" in customers.columns else F.lit(None)
     number = F.col("segment") if "segment" in customers.columns else F.lit(None)
     return keyed.select(
         "customer_sk",
@@ -59,7 +60,7 @@ def build_customers(customers: DataFrame, valid_from: str, segments: bool = True
         flag("has_tv").alias("has_tv"),
         flag("has_roaming").alias("has_roaming"),
         number.cast("smallint").alias("segment"),
-        name.alias("segment_name"),
+        name.cast("string").alias("segment_name"),
         flag("churn").alias("churn_flag"),
         F.lit(valid_from).cast("date").alias("valid_from"),
         F.lit(None).cast("date").alias("valid_to"),
@@ -130,3 +131,60 @@ def write_star(tables: dict[str, DataFrame], out: str) -> None:
             df.withColumn("year", year).write.mode("overwrite").partitionBy("year").parquet(f"{out}/{name}")
         else:
             df.write.mode("overwrite").parquet(f"{out}/{name}")
+
+
+def calendar_of(dates: DataFrame, column: str) -> DataFrame:
+    """Calendar of whole years that covers the dates of a table."""
+    span = dates.agg(F.min(column).alias("lo"), F.max(column).alias("hi")).first()
+    return calendar(dates.sparkSession, f"{span['lo']:%Y}-01-01", f"{span['hi']:%Y}-12-31")
+
+
+def star_constraints() -> list[Constraint]:
+    """Keys, references and text lengths of the star schema."""
+    def primary(table: str, key: str) -> list[Constraint]:
+        return [Constraint("not_null", table, (key,)), Constraint("unique", table, (key,))]
+
+    def natural(table: str, key: str, length: int) -> list[Constraint]:
+        return [*primary(table, key), Constraint("length", table, (key,), limit=length)]
+
+    fact = "fact_transactions"
+    return [
+        *primary("dim_customer", "customer_sk"),
+        *natural("dim_customer", "customer_id", 10),
+        Constraint("length", "dim_customer", ("city",), limit=50),
+        Constraint("not_null", "dim_customer", ("valid_from",)),
+        *primary("dim_tariff", "tariff_sk"),
+        *natural("dim_tariff", "tariff_id", 5),
+        *primary("dim_date", "date_sk"),
+        *primary("dim_date", "full_date"),
+        *primary("dim_city", "city_sk"),
+        *natural("dim_city", "city_name", 50),
+        *primary(fact, "transaction_sk"),
+        *natural(fact, "transaction_id", 15),
+        *[Constraint("not_null", fact, (c,)) for c in ("customer_sk", "tariff_sk", "date_sk", "amount")],
+        Constraint("foreign", fact, ("customer_sk",), ("dim_customer", "customer_sk")),
+        Constraint("foreign", fact, ("tariff_sk",), ("dim_tariff", "tariff_sk")),
+        Constraint("foreign", fact, ("date_sk",), ("dim_date", "date_sk")),
+        Constraint("foreign", fact, ("city_sk",), ("dim_city", "city_sk")),
+    ]
+
+
+def build_star(
+    customers: DataFrame,
+    transactions: DataFrame,
+    tariffs: DataFrame,
+    cities: DataFrame,
+    first_day: str,
+    last_day: str,
+    valid_from: str,
+) -> dict[str, DataFrame]:
+    """All tables of the star schema from the raw tables."""
+    spark = customers.sparkSession
+    people, plans, towns = build_customers(customers, valid_from), build_tariffs(tariffs), build_cities(cities)
+    return {
+        "dim_customer": people,
+        "dim_tariff": plans,
+        "dim_date": calendar(spark, first_day, last_day),
+        "dim_city": towns,
+        "fact_transactions": build_fact(transactions, people, plans, towns, first_day, last_day),
+    }

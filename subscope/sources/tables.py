@@ -158,6 +158,49 @@ def transactions(spark: SparkSession, folder: str, since: str | None = None) ->
     )
 
 
+def raw_customers(spark: SparkSession, folder: str) -> DataFrame:
+    """Customers under the textual ids of the raw files."""
+    return subscribers(spark, folder).withColumn(
+        "customer_id", F.format_string("C%06d", F.col("customer_id") + 1)
+    )
+
+
+def raw_transactions(spark: SparkSession, folder: str) -> DataFrame:
+    return transactions(spark, folder).withColumns(
+        {
+            "customer_id": F.format_string("C%06d", F.col("customer_id") + 1),
+            "transaction_id": F.format_string("TX%09d", F.col("transaction_id")),
+        }
+    )
+
+
+def raw_tariffs(spark: SparkSession) -> DataFrame:
+    return dim_tariff(spark).select(
+        "tariff_id", F.col("tariff_name").alias("name"), "monthly_price", "data_gb", "minutes", "category"
+    )
+
+
+def scoring_requests(spark: SparkSession, folder: str) -> DataFrame:
+    """Churn scoring requests, some of them out of range or incomplete."""
+    key = F.col("c_custkey")
+    return table(spark, folder, "customer").select(
+        key.alias("request_id"),
+        (key % 120).cast("int").alias("age"),
+        F.when(key % 11 != 0, F.when(key % 2 == 0, "M").otherwise("F")).alias("gender"),
+        F.lit("Astana").alias("city"),
+        (key % 90 - 2).cast("int").alias("tenure_months"),
+        F.concat(F.lit("T0"), (key % 5 + 1).cast("string")).alias("tariff_id"),
+        F.col("c_mktsegment").alias("contract_type"),
+        F.when(key % 4 == 0, "card").otherwise("cash").alias("payment_method"),
+        (key % 3).cast("int").alias("paperless_billing"),
+        F.when(key % 13 != 0, (key % 2).cast("int")).alias("has_internet"),
+        (key % 2).cast("int").alias("has_tv"),
+        F.lit(0).alias("has_roaming"),
+        F.when(key % 4 != 0, (key % 365).cast("double")).alias("recency"),
+        F.when(key % 6 != 0, F.col("c_acctbal") + 1000).alias("monetary"),
+    )
+
+
 def brand_catalog(spark: SparkSession, folder: str) -> DataFrame:
     """Recommender catalog: one plan per brand."""
     per_brand = table(spark, folder, "part").groupBy("p_brand").agg(
