@@ -4,12 +4,27 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from subscope.functions.scalars import risk_by_bins, risk_by_score
-from subscope.operators import drift, eda, experiments, kpis, rfm
-from subscope.plans import reports
-from subscope.sources import star, tables as t
+from subscope.operators import (
+    churn,
+    density,
+    drift,
+    eda,
+    experiments,
+    features,
+    kpis,
+    quality,
+    recommend,
+    rfm,
+    segments,
+)
+from subscope.plans import reports, scoring
+from subscope.session import stage_path, staged
+from subscope.sources import files, generate, star, tables as t
+from subscope.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,7 +35,7 @@ def _calendar(spark: SparkSession) -> DataFrame:
 
 def report_queries() -> dict[str, Query]:
     return {
-        "dim_date": lambda s, d: _calendar(s),
+        "dim_date": lambda s, d: star.calendar_of(t.table(s, d, "orders"), "o_orderdate"),
         "q1_monthly_revenue": lambda s, d: reports.monthly_revenue(
             t.fact_transactions(s, d), _calendar(s)),
         "q2_value_tiers": lambda s, d: reports.value_tiers(
@@ -155,5 +170,307 @@ def statistics_queries() -> dict[str, Query]:
     }
 
 
+def _star(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    return star.build_star(
+        t.raw_customers(spark, folder),
+        t.raw_transactions(spark, folder),
+        t.raw_tariffs(spark),
+        t.places(spark, folder).select("city_name", "region"),
+        t.CALENDAR_START, t.CALENDAR_END, t.AS_OF,
+    )
+
+
+RAW_RULES = [
+    quality.Constraint("unique", "lineitem", ("l_orderkey", "l_linenumber")),
+    quality.Constraint("foreign", "lineitem", ("l_orderkey",), ("orders", "o_orderkey")),
+    quality.Constraint("foreign", "orders", ("o_custkey",), ("customer", "c_custkey")),
+    quality.Constraint("length", "customer", ("c_name",), limit=10),
+    quality.Constraint("not_null", "fact_transactions", ("data_gb_used",)),
+]
+
+
+def source_queries() -> dict[str, Query]:
+    def constraints(s: SparkSession, d: str) -> DataFrame:
+        stored = {name: staged(df, name) for name, df in _star(s, d).items()}
+        raw = {name: t.table(s, d, name) for name in ("lineitem", "orders", "customer")}
+        return quality.check_constraints({**stored, **raw}, star.star_constraints() + RAW_RULES)
+
+    def roundtrip(s: SparkSession, df: DataFrame, load) -> DataFrame:
+        path = stage_path(s, "csv")
+        files.write_csv(df, path)
+        return load(s, path)
+
+    def ids(s: SparkSession, d: str) -> DataFrame:
+        return t.table(s, d, "customer").select((F.col("c_custkey") + 1).alias("id"))
+
+    def telco(s: SparkSession, d: str) -> DataFrame:
+        key = F.col("c_custkey")
+        return files.normalise_telco(t.table(s, d, "customer").select(
+            F.col("c_name").alias("customerID"),
+            (key % 2 == 0).cast("string").cast("boolean").cast("int").cast("string").alias("SeniorCitizen"),
+            F.col("c_acctbal").alias("Monthly Charges"),
+            F.when(key % 10 == 0, " ").otherwise(F.col("c_acctbal").cast("string")).alias("TotalCharges"),
+            F.when(key % 7 == 0, F.lit(None)).when(key % 3 == 0, "Yes").when(key % 3 == 1, "YES")
+            .otherwise("No").alias("Churn"),
+        ))
+
+    def generated(s: SparkSession, d: str) -> DataFrame:
+        made = generate.customers_from(ids(s, d))
+        return generate.generate_transactions(made)
+
+    def summary(s: SparkSession, d: str) -> DataFrame:
+        made = staged(generate.customers_from(ids(s, d)), "made")
+        tables = {"customers": made, "transactions": generate.generate_transactions(made),
+                  "tariffs": generate.tariff_catalog(s)}
+        counts = [df.agg(F.lit(n).alias("table"), F.count(F.lit(1)).alias("rows")) for n, df in tables.items()]
+        return counts[0].unionByName(counts[1]).unionByName(counts[2])
+
+    def simulated(s: SparkSession, d: str) -> DataFrame:
+        people = t.table(s, d, "customer").select(
+            F.col("c_custkey").alias("id"),
+            F.when(F.col("c_custkey") % 2 == 0, "control").otherwise("treatment").alias("group"))
+        return rounded(generate.experiment_rows(people), 5, "arpu_before", "arpu_after", "arpu_delta")
+
+    def runs(s: SparkSession, d: str) -> DataFrame:
+        path = stage_path(s, "runs")
+        board = kpis.churn_board(t.scored_customers(s, d)).first().asDict()
+        files.log_run(s, path, "board", {"threshold": 0.5, "nested": {"a": 1}}, {**board, "note": "text"})
+        return files.read_runs(s, path).drop("logged_at")
+
+    def validated(s: SparkSession, d: str) -> DataFrame:
+        checked = quality.validate_features(t.scoring_requests(s, d))
+        return checked.select("request_id", "recency", "frequency", "monetary", "avg_data_gb", "avg_minutes",
+                              F.array_join("violations", ",").alias("violations"))
+
+    return {
+        "scan_csv": lambda s, d: roundtrip(
+            s, t.raw_customers(s, d).drop("segment_name"), files.load_customers),
+        "sink_roundtrip": lambda s, d: roundtrip(s, t.raw_transactions(s, d), files.load_transactions),
+        "telco_normalise": telco,
+        "gen_customers": lambda s, d: generate.customers_from(ids(s, d)),
+        "gen_transactions": generated,
+        "gen_summary": summary,
+        "gen_ab": simulated,
+        "star_dim_customer": lambda s, d: star.build_customers(t.raw_customers(s, d), t.AS_OF),
+        "star_dim_city": lambda s, d: star.build_cities(t.places(s, d).select("city_name", "region")),
+        "star_fact": lambda s, d: _star(s, d)["fact_transactions"],
+        "constraint_report": constraints,
+        "validate_features": validated,
+        "run_metrics": runs,
+    }
+
+
+def _labelled(s: SparkSession, d: str) -> DataFrame:
+    return enriched(s, d).withColumn("segment", (F.col("customer_id") % 5).cast("int"))
+
+
+def segment_queries() -> dict[str, Query]:
+    means = [f"{c}_mean" for c in segments.FEATURES]
+
+    def fitted(s: SparkSession, d: str) -> tuple[segments.Segmenter, DataFrame]:
+        # three restarts of the ten, to keep a check run short
+        base = staged(enriched(s, d).select("customer_id", *segments.FEATURES), "enriched")
+        return segments.Segmenter(restarts=3).fit(base), base
+
+    def kmeans(s: SparkSession, d: str) -> DataFrame:
+        segmenter, base = fitted(s, d)
+        return segmenter.predict(base)
+
+    def scored(s: SparkSession, d: str) -> DataFrame:
+        segmenter, base = fitted(s, d)
+        labels = staged(segmenter.predict(base), "labels")
+        names = segments.segment_names(segments.profile(labels, segments.FEATURES))
+        return segments.with_names(labels, names).select("customer_id", "segment", "segment_name")
+
+    def named(s: SparkSession, d: str) -> DataFrame:
+        labels = staged(_labelled(s, d).select("customer_id", "segment", "monetary"), "labels")
+        return segments.with_names(
+            labels.select("customer_id", "segment"),
+            segments.segment_names(segments.profile(labels, ["monetary"])))
+
+    def search(s: SparkSession, d: str) -> DataFrame:
+        base = staged(enriched(s, d).select("customer_id", *segments.FEATURES), "enriched")
+        return segments.auto_k(base, restarts=1)
+
+    def vectors(s: SparkSession, d: str) -> DataFrame:
+        return t.table(s, d, "embeddings").select(
+            "vec_id", "label", F.col("embedding").cast("array<double>").alias("point"))
+
+    def dense(s: SparkSession, d: str) -> DataFrame:
+        base = staged(enriched(s, d).select("customer_id", *segments.FEATURES), "enriched")
+        return density.dbscan(base, "customer_id", segments.FEATURES)
+
+    def matrix(s: SparkSession, d: str) -> DataFrame:
+        base = staged(enriched(s, d), "enriched")
+        vector = vector_to_array("features")
+        out = features.fit_feature_pipeline(base).transform(base)
+        return rounded(out.select(
+            "customer_id", F.size(vector).alias("n_features"),
+            F.aggregate(vector, F.lit(0.0), lambda a, v: a + v).alias("total"),
+            F.size(F.filter(vector, lambda v: v == 1.0)).alias("n_ones")), 6, "total")
+
+    def encoded(s: SparkSession, d: str) -> DataFrame:
+        people = t.subscribers(s, d).select("customer_id", "contract_type", "gender")
+        known = people.where(F.col("contract_type") != "MACHINERY")
+        return features.one_hot(known, people, ["contract_type", "gender"]).drop("contract_type", "gender")
+
+    scaled = ["age", "tenure_months", "recency", "frequency", "monetary"]
+    return {
+        "split_features": lambda s, d: features.split_features(
+            t.subscribers(s, d), drop=["segment_name"]),
+        "standard_scale": lambda s, d: rounded(features.standard_scale(
+            staged(enriched(s, d).select("customer_id", *scaled), "enriched"), scaled), 6, *scaled),
+        "one_hot": encoded,
+        "feature_matrix": matrix,
+        "sample_rfm": lambda s, d: features.sample_rows(
+            enriched(s, d).select("customer_id", "recency", "monetary", "segment_name"), "customer_id", 1000),
+        "stratified_split": lambda s, d: features.stratified_split(
+            t.subscribers(s, d).select("customer_id", "churn"), "customer_id", "churn"),
+        "segment_profile": lambda s, d: rounded(
+            segments.profile(_labelled(s, d), segments.FEATURES), 4, *means),
+        "segment_names": lambda s, d: segments.segment_names(
+            segments.profile(_labelled(s, d), segments.FEATURES)),
+        "segment_named": named,
+        "silhouette": lambda s, d: rounded(
+            segments.silhouette(vectors(s, d), "vec_id", "label"), 6, "silhouette"),
+        "segments_kmeans": kmeans,
+        "score_segment": scored,
+        "auto_k": search,
+        "dbscan": dense,
+        "dbscan_summary": lambda s, d: density.cluster_summary(dense(s, d)),
+    }
+
+
+def recommendation_queries() -> dict[str, Query]:
+    def listed(s: SparkSession, d: str) -> DataFrame:
+        return recommend.catalog_with_popularity(
+            t.brand_catalog(s, d), recommend.popularity(t.brand_purchases(s, d)))
+
+    def model(s: SparkSession, d: str, collaborative: bool) -> recommend.Recommender:
+        return _once(s, d, f"recommender-{collaborative}", lambda: recommend.Recommender(
+            collaborative_model=collaborative).fit(t.brand_purchases(s, d), t.brand_catalog(s, d)))
+
+    def requests(s: SparkSession, d: str) -> DataFrame:
+        key = F.col("c_custkey")
+        mode = F.array(*[F.lit(m) for m in ("cold_start", "similar", "hybrid", "collaborative", "other")])
+        return t.table(s, d, "customer").select(
+            key.alias("request_id"),
+            F.when(key % 7 != 0, key).cast("string").alias("customer_id"),
+            F.when(key % 11 == 0, "Brand#99").when(key % 3 != 0, F.concat(F.lit("Brand#"), (key % 25 + 1).cast(
+                "string"))).alias("current_tariff"),
+            F.when(key % 2 == 0, F.concat(F.lit("G"), (key % 5).cast("string"))).alias("category"),
+            F.get(mode, (key % 5).cast("int")).alias("mode"),
+            (key % 10 + 1).cast("int").alias("n"),
+        )
+
+    def answered(s: SparkSession, d: str) -> DataFrame:
+        fitted = model(s, d, True)
+        by_text = requests(s, d).withColumn("customer_id", F.col("customer_id").cast("bigint"))
+        return scoring.score_recommendations(fitted, by_text)
+
+    def vector(s: SparkSession, d: str) -> DataFrame:
+        out, names = features.minmax_catalog(t.brand_catalog(s, d), recommend.NUMERIC, "category")
+        return rounded(out, 6, *names)
+
+    def cosine(s: SparkSession, d: str, n: int | None = None) -> DataFrame:
+        items = recommend.item_table(t.brand_catalog(s, d))
+        best = recommend.similar_plans(items, n or items.count(), with_self=n is None)
+        return rounded(best, 6, "score")
+
+    score = ("score",)
+    return {
+        "ratings": lambda s, d: rounded(recommend.ratings(t.brand_purchases(s, d)), 6, "rating"),
+        "tariff_popularity": lambda s, d: recommend.popularity(t.brand_purchases(s, d)),
+        "tariff_catalog_popularity": listed,
+        "current_tariff": lambda s, d: recommend.current_tariff(recommend.ratings(t.brand_purchases(s, d))),
+        "tariff_features": vector,
+        "tariff_cosine": lambda s, d: cosine(s, d).drop("rank"),
+        "rec_similar": lambda s, d: cosine(s, d, 5),
+        "rec_cold_start": lambda s, d: recommend.most_popular(listed(s, d)),
+        "rec_cold_start_category": lambda s, d: recommend.most_popular(listed(s, d), 3, "G2"),
+        "rec_hybrid_coldstart": lambda s, d: rounded(
+            model(s, d, False).hybrid().select("customer_id", "rank", "tariff_id", "score"), 6, *score),
+        "rec_collaborative": lambda s, d: model(s, d, True).collaborative(),
+        "rec_hybrid": lambda s, d: model(s, d, True).hybrid(),
+        "recommend_routes": lambda s, d: requests(s, d).select(
+            "request_id", "mode", scoring.route().alias("route")),
+        "score_recommend": answered,
+    }
+
+
+_made: dict[tuple[str, str, str], object] = {}
+
+
+def _once(spark: SparkSession, folder: str, name: str, make: Callable[[], object]):
+    """One fitted model per session and data folder, shared by the queries that apply it."""
+    key = (spark.sparkContext.applicationId, folder, name)
+    if key not in _made:
+        _made[key] = make()
+    return _made[key]
+
+
+def churn_queries() -> dict[str, Query]:
+    def base(s: SparkSession, d: str) -> DataFrame:
+        return _once(s, d, "churn-rows", lambda: staged(
+            enriched(s, d).drop("segment_name", "r_score", "f_score", "m_score", "rfm_score"), "churn-rows"))
+
+    def model(s: SparkSession, d: str) -> churn.ChurnModel:
+        # twenty trees of the three hundred, to keep a check run short
+        return _once(s, d, "churn-model", lambda: churn.ChurnModel(trees=20).fit(base(s, d)))
+
+    def compare(s: SparkSession, d: str) -> DataFrame:
+        found = _once(s, d, "comparison", lambda: churn.train_and_compare(base(s, d), trees=20))
+        path = stage_path(s, "runs")
+        for kind, metrics in found.metrics.items():
+            files.log_run(s, path, f"churn_{kind}", {"trees": 20}, metrics)
+        runs = files.read_runs(s, path).where("kind = 'metric'")
+        best = files.best_run(runs).select("run_name", F.lit(True).alias("best"))
+        return runs.select("run_name", "key", "number").join(best, "run_name", "left").na.fill({"best": False})
+
+    def measured(s: SparkSession, d: str) -> DataFrame:
+        metrics = churn.binary_metrics(t.scored_customers(s, d)).drop("confusion")
+        return rounded(metrics, 6, "accuracy", "roc_auc", "precision", "recall", "f1")
+
+    def factors(s: SparkSession, d: str) -> DataFrame:
+        scored = model(s, d).score(base(s, d))
+        return scored.select("customer_id", F.posexplode("top_factors").alias("place", "factor")).select(
+            "customer_id", (F.col("place") + 1).alias("rank"), "factor.feature", "factor.importance")
+
+    return {
+        "binary_metrics": measured,
+        "churn_scores": lambda s, d: model(s, d).predict_proba(base(s, d)).select(
+            "customer_id", "churn", "churn_probability", "churn_predicted"),
+        "churn_importance": lambda s, d: model(s, d).explain(base(s, d), sample=None),
+        "churn_top_factors": factors,
+        "score_churn": lambda s, d: model(s, d).score(base(s, d)).select(
+            "customer_id", "churn_probability", "churn_predicted", "risk_level"),
+        "model_compare": compare,
+    }
+
+
+def service_queries() -> dict[str, Query]:
+    def streamed(s: SparkSession, d: str) -> DataFrame:
+        out, checkpoint = stage_path(s, "stream"), stage_path(s, "progress")
+        log = t.request_columns(jobs.read_files(s, d, jobs.EVENTS, "events*.parquet"))
+        jobs.to_parquet(jobs.windowed_request_counts(log), out, checkpoint).awaitTermination()
+        return s.read.schema("window_start timestamp, endpoint string, status string, requests bigint").parquet(out)
+
+    return {
+        "request_counts": lambda s, d: scoring.request_counts(t.request_log(s, d)),
+        "latency_buckets": lambda s, d: scoring.latency_buckets(t.request_log(s, d)),
+        "stream_request_counts": streamed,
+    }
+
+
 def queries() -> dict[str, Query]:
-    return {**report_queries(), **feature_queries(), **board_queries(), **statistics_queries()}
+    return {
+        **report_queries(),
+        **feature_queries(),
+        **board_queries(),
+        **statistics_queries(),
+        **source_queries(),
+        **segment_queries(),
+        **recommendation_queries(),
+        **churn_queries(),
+        **service_queries(),
+    }
