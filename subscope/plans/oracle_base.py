@@ -185,3 +185,75 @@ ks AS (SELECT feature, max(abs(fr - fc)) AS d, max(nr) AS nr, max(nc) AS nc FROM
 lam AS (SELECT *, (sqrt(nr * nc / (nr + nc)) + 0.12 + 0.11 / sqrt(nr * nc / (nr + nc))) * d AS l FROM ks),
 ksp AS (SELECT feature, d, nr, nc, CASE WHEN l < 0.2 THEN 1.0 ELSE greatest(least(2 * list_sum(list_transform(range(1, 101),
           lambda j: (CASE WHEN j % 2 = 1 THEN 1 ELSE -1 END) * exp(-2.0 * j * j * l * l))), 1.0), 0.0) END AS p FROM lam)"""
+
+
+RAW = FACT + ", " + SUBSCRIBERS.strip() + """,
+raw_customers AS (SELECT * REPLACE (printf('C%06d', customer_id + 1) AS customer_id) FROM subscribers),
+raw_transactions AS (
+  SELECT printf('TX%09d', transaction_id) AS transaction_id, printf('C%06d', customer_sk + 1) AS customer_id,
+         transaction_date, amount, data_gb_used, minutes_used, 'T0' || tariff_sk AS tariff_id FROM fact)"""
+
+STAR = RAW + ", " + DIM_TARIFF.strip().replace("dim_tariff(", "plan_list(") + """,
+star_customer AS (
+  SELECT CAST(row_number() OVER (ORDER BY customer_id) AS INT) AS customer_sk, customer_id, age, gender, city,
+         contract_type, payment_method, paperless_billing = 1 AS paperless, has_internet = 1 AS has_internet,
+         has_tv = 1 AS has_tv, has_roaming = 1 AS has_roaming, CAST(NULL AS INT) AS segment, segment_name,
+         churn = 1 AS churn_flag, DATE '2001-08-01' AS valid_from, CAST(NULL AS DATE) AS valid_to
+  FROM raw_customers),
+star_tariff AS (SELECT * FROM plan_list),
+star_city AS (
+  SELECT CAST(row_number() OVER (ORDER BY n_name) AS INT) AS city_sk, n_name AS city_name, r_name AS region,
+         'Kazakhstan' AS country
+  FROM nation JOIN region ON n_regionkey = r_regionkey),
+star_fact AS (
+  SELECT row_number() OVER (ORDER BY transaction_id) AS transaction_sk, transaction_id, c.customer_sk, t.tariff_sk,
+         CAST(strftime(transaction_date, '%Y%m%d') AS INT) AS date_sk, city_sk, amount,
+         CAST(f.data_gb_used AS DECIMAL(8,2)) AS data_gb_used, CAST(f.minutes_used AS DECIMAL(10,1)) AS minutes_used
+  FROM raw_transactions f JOIN star_customer c USING (customer_id) JOIN star_tariff t USING (tariff_id)
+  LEFT JOIN star_city ON c.city = city_name)"""
+
+CATALOG = """
+catalog AS (
+  SELECT p_brand AS tariff_id, 'Plan ' || CAST(regexp_extract(p_brand, '([0-9]+)$', 1) AS INT) AS name,
+         round(CAST(sum(CAST(p_retailprice AS DECIMAL(12,2))) AS DOUBLE) / count(*), 2) AS monthly_price,
+         round(CAST(sum(p_size) AS DOUBLE) / count(*), 2) AS data_gb, CAST(count(*) AS INT) AS minutes,
+         'G' || CAST(regexp_extract(p_brand, '([0-9]+)$', 1) AS INT) % 5 AS category
+  FROM part GROUP BY p_brand)"""
+
+PURCHASES = """
+purchases AS (
+  SELECT o_custkey AS customer_id, p_brand AS tariff_id, CAST(l_extendedprice AS DECIMAL(14,2)) AS amount
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey),
+rated AS (
+  SELECT customer_id, tariff_id, CAST(sum(amount) AS DOUBLE) AS spend, count(*) AS months FROM purchases GROUP BY 1, 2),
+popularity AS (SELECT tariff_id, count(DISTINCT customer_id) AS popularity FROM purchases GROUP BY 1),
+current AS (
+  SELECT customer_id, tariff_id AS current_tariff FROM rated
+  QUALIFY row_number() OVER (PARTITION BY customer_id ORDER BY months DESC, tariff_id) = 1)"""
+
+COSINE = CATALOG + """,
+span AS (SELECT min(monthly_price) AS p0, max(monthly_price) AS p1, min(data_gb) AS g0, max(data_gb) AS g1,
+                CAST(min(minutes) AS DOUBLE) AS m0, CAST(max(minutes) AS DOUBLE) AS m1 FROM catalog),
+vec AS (
+  SELECT tariff_id, [(monthly_price - p0) / (p1 - p0), (data_gb - g0) / (g1 - g0), (minutes - m0) / (m1 - m0),
+          CAST(category = 'G0' AS DOUBLE), CAST(category = 'G1' AS DOUBLE), CAST(category = 'G2' AS DOUBLE),
+          CAST(category = 'G3' AS DOUBLE), CAST(category = 'G4' AS DOUBLE)] AS v
+  FROM catalog, span),
+cosine AS (
+  SELECT a.tariff_id AS anchor, b.tariff_id AS tariff_id, round(list_cosine_similarity(a.v, b.v), 9) AS score
+  FROM vec a, vec b)"""
+
+
+def word(key: str, seed: int, stream: str, part: int = 0) -> str:
+    """Uniform in [0, 1) from one word of a digest."""
+    digest = f"md5({key} || ':{seed}:{stream}')"
+    return f"(CAST('0x' || substr({digest}, {1 + 8 * part}, 8) AS BIGINT) / 4294967296.0::DOUBLE)"
+
+
+def pick(u: str, values: list, weights: list[float]) -> str:
+    """Value by cumulative weights."""
+    edge, cases = 0.0, []
+    for value, weight in zip(values[:-1], weights[:-1]):
+        edge = round(edge + weight, 10)
+        cases.append(f"WHEN {u} < {edge}::DOUBLE THEN '{value}'")
+    return f"(CASE {' '.join(cases)} ELSE '{values[-1]}' END)"

@@ -3,21 +3,31 @@
 from __future__ import annotations
 
 from subscope.plans.oracle_base import (
+    CATALOG,
+    COSINE,
     DIM_CUSTOMER,
     DIM_DATE,
     DIM_TARIFF,
     ENRICHED,
     EXPERIMENT,
     FACT,
+    PURCHASES,
+    RAW,
     SCORED,
+    STAR,
     SUBSCRIBERS,
     cents,
     drift,
     normal_p,
+    pick,
     ratio,
     rfm,
     student_p,
+    word,
 )
+from subscope.plans.registry import RAW_RULES
+from subscope.sources import generate
+from subscope.sources.star import star_constraints
 
 _RISK = "CASE WHEN churned * 1.0 / NULLIF(n_customers, 0) > 0.25 THEN 'HIGH' " \
         "WHEN churned * 1.0 / NULLIF(n_customers, 0) > 0.15 THEN 'MEDIUM' ELSE 'LOW' END"
@@ -49,7 +59,10 @@ _BINS = "CASE WHEN churn_probability > 0 AND churn_probability <= 0.3 THEN 'Low'
 
 
 def statements() -> dict[str, str]:
-    return {**_reports(), **_features(), **_boards(), **_statistics()}
+    return {
+        **_reports(), **_features(), **_boards(), **_statistics(), **_sources(), **_segments(),
+        **_recommendations(), **_services(),
+    }
 
 
 def _reports() -> dict[str, str]:
@@ -288,3 +301,234 @@ SELECT round_even(mc, 2) AS control_mean_delta, round_even(mt, 2) AS treatment_m
        tp < 0.05 AS significant_ttest, mp < 0.05 AS significant_mw
 FROM q"""
     return s
+
+
+def _generated() -> str:
+    """CTE of the generated customers for the rows of the customer table."""
+    def u(i: int) -> str:
+        return word("id", 42, f"customer{i // 4}", i % 4)
+
+    tariff = "CASE " + " ".join(
+        f"{'WHEN age < ' + str(limit) + ' THEN' if limit else 'ELSE'} {pick('u_tariff', ids, weights)}"
+        for limit, ids, weights in generate.TARIFFS_BY_AGE) + " END"
+    flags = ", ".join(f"CAST({u(7 + i)} >= {1 - share!r}::DOUBLE AS INT) AS {flag}"
+                      for i, (flag, share) in enumerate(generate.FLAGS.items()))
+    return f"""
+ids AS (SELECT c_custkey + 1 AS id FROM customer),
+drawn AS (
+  SELECT printf('C%06d', id) AS customer_id, CAST(18 + floor({u(0)} * 57) AS INT) AS age,
+         {pick(u(1), *generate.GENDERS)} AS gender, {pick(u(2), *generate.CITIES)} AS city,
+         CAST(1 + floor({u(3)} * 83) AS INT) AS tenure_months, {u(4)} AS u_tariff,
+         {pick(u(5), *generate.CONTRACTS)} AS contract_type, {pick(u(6), *generate.PAYMENTS)} AS payment_method,
+         {flags}, {u(11)} AS u_churn
+  FROM ids),
+made AS (
+  SELECT customer_id, age, gender, city, tenure_months, {tariff} AS tariff_id, contract_type, payment_method,
+         paperless_billing, has_internet, has_tv, has_roaming,
+         CAST(u_churn < least(greatest(0.1::DOUBLE + CASE WHEN contract_type = 'monthly' THEN 0.18::DOUBLE ELSE 0 END
+           + CASE WHEN tenure_months < 12 THEN 0.12::DOUBLE ELSE 0 END - CASE WHEN tenure_months > 48 THEN 0.08::DOUBLE ELSE 0 END
+           + CASE WHEN payment_method = 'cash' THEN 0.05::DOUBLE ELSE 0 END - has_tv * 0.04::DOUBLE - has_internet * 0.03::DOUBLE,
+           0.01::DOUBLE), 0.85::DOUBLE) AS INT) AS churn
+  FROM drawn)"""
+
+
+def _sources() -> dict[str, str]:
+    s: dict[str, str] = {}
+    s["scan_csv"] = f"""WITH {RAW}
+SELECT customer_id, age, gender, city, tenure_months, tariff_id, contract_type, payment_method, paperless_billing,
+       has_internet, has_tv, has_roaming, churn FROM raw_customers"""
+    s["sink_roundtrip"] = f"""WITH {RAW}
+SELECT transaction_id, customer_id, transaction_date, amount, CAST(data_gb_used AS DECIMAL(8,2)) AS data_gb_used,
+       CAST(minutes_used AS DECIMAL(10,1)) AS minutes_used, tariff_id FROM raw_transactions"""
+    s["telco_normalise"] = """
+SELECT c_name AS customerid, CASE WHEN c_custkey % 2 = 0 THEN 1 ELSE 0 END AS seniorcitizen,
+       c_acctbal AS monthly_charges,
+       CASE WHEN c_custkey % 10 = 0 THEN (SELECT quantile_cont(c_acctbal, 0.5) FROM customer WHERE c_custkey % 10 <> 0)
+            ELSE c_acctbal END AS totalcharges,
+       CASE WHEN c_custkey % 7 = 0 THEN 0 WHEN c_custkey % 3 < 2 THEN 1 ELSE 0 END AS churn
+FROM customer"""
+    s["gen_customers"] = f"WITH {_generated()} SELECT * FROM made"
+
+    def scaled(column: str, part: int, low: float, high: float, digits: int) -> str:
+        u = word("(customer_id || '-' || step)", 43, "transaction", part)
+        return f"round({column} * ({low}::DOUBLE + {u} * {high - low!r}::DOUBLE), {digits})"
+
+    plans = ", ".join(f"('{t[0]}', {t[2]}, {t[3]}, {t[4]})" for t in generate.TARIFFS)
+    s["gen_transactions"] = f"""WITH {_generated()},
+plans(tariff_id, price, gb, mins) AS (VALUES {plans}),
+steps AS (SELECT *, unnest(range(0, least(12, tenure_months))) AS step FROM made JOIN plans USING (tariff_id))
+SELECT 'TX' || substr(customer_id, 2) || printf('%03d', step) AS transaction_id, customer_id,
+       DATE '2025-12-01' - CAST(30 * step AS INT) AS transaction_date,
+       {scaled('price', 0, 0.9, 1.4, 2)} AS amount, {scaled('gb', 1, 0.4, 1.2, 2)} AS data_gb_used,
+       {scaled('mins', 2, 0.3, 1.1, 1)} AS minutes_used, tariff_id
+FROM steps"""
+    s["gen_summary"] = f"""WITH {_generated()}
+SELECT 'customers' AS "table", count(*) AS rows FROM made
+UNION ALL SELECT 'transactions', CAST(sum(least(12, tenure_months)) AS BIGINT) FROM made
+UNION ALL SELECT 'tariffs', {len(generate.TARIFFS)}"""
+    def u(stream: str) -> str:
+        return word("(\"group\" || '-' || id)", 42, stream)
+
+    s["gen_ab"] = f"""WITH r AS (
+  SELECT c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN 'control' ELSE 'treatment' END AS "group" FROM customer),
+x AS (SELECT id, "group", CAST({u('convert')} < CASE WHEN "group" = 'treatment' THEN 0.13::DOUBLE ELSE 0.08::DOUBLE END AS INT) AS converted,
+             4500 + 1200 * (sqrt(-2 * ln(1 - {u('radius')})) * cos(2 * pi() * {u('angle')})) AS b,
+             0.12 + {u('uplift')} * 0.13 AS up, {u('noise')} AS noise FROM r),
+y AS (SELECT *, b * CASE WHEN "group" = 'treatment' THEN (1 + converted * up) * (0.99 + noise * 0.07)
+                         ELSE 0.98 + noise * 0.07 END AS a FROM x)
+SELECT id, "group", converted, round(b, 5) AS arpu_before, round(a, 5) AS arpu_after, round(a - b, 5) AS arpu_delta FROM y"""
+    s["star_dim_customer"] = f"WITH {STAR} SELECT * FROM star_customer"
+    s["star_dim_city"] = f"WITH {STAR} SELECT * FROM star_city"
+    s["star_fact"] = f"WITH {STAR} SELECT * FROM star_fact"
+
+    stored = {"dim_customer": "star_customer", "dim_tariff": "star_tariff", "dim_date": "dim_date",
+              "dim_city": "star_city", "fact_transactions": "star_fact"}
+    parts = []
+    for rule in star_constraints() + RAW_RULES:
+        table, column = stored.get(rule.table, rule.table), rule.columns[0]
+        if rule.kind == "not_null":
+            count = f"(SELECT count(*) FROM {table} WHERE {column} IS NULL)"
+        elif rule.kind == "length":
+            count = f"(SELECT count(*) FROM {table} WHERE length({column}) > {rule.limit})"
+        elif rule.kind == "unique":
+            keys = ", ".join(rule.columns)
+            count = f"(SELECT count(*) - (SELECT count(*) FROM (SELECT DISTINCT {keys} FROM {table})) FROM {table})"
+        else:
+            parent, key = rule.target
+            count = (f"(SELECT count(*) FROM {table} x WHERE {column} IS NOT NULL AND NOT EXISTS "
+                     f"(SELECT 1 FROM {stored.get(parent, parent)} p WHERE p.{key} = x.{column}))")
+        parts.append(f"SELECT '{rule.name}' AS \"constraint\", {count} AS violations")
+    s["constraint_report"] = f"WITH {STAR}, {DIM_DATE}\n" + " UNION ALL\n".join(parts)
+
+    req = """
+r AS (SELECT c_custkey AS request_id, c_custkey % 120 AS age, c_custkey % 11 = 0 AS no_gender, c_custkey % 90 - 2 AS tenure,
+             c_custkey % 3 AS paperless, CASE WHEN c_custkey % 13 <> 0 THEN c_custkey % 2 END AS internet,
+             CASE WHEN c_custkey % 4 <> 0 THEN CAST(c_custkey % 365 AS DOUBLE) END AS recency,
+             CASE WHEN c_custkey % 6 <> 0 THEN c_acctbal + 1000 END AS monetary FROM customer)"""
+    s["validate_features"] = f"""WITH {req}
+SELECT request_id, coalesce(recency, 30.0) AS recency, 6.0::DOUBLE AS frequency, coalesce(monetary, 5000.0) AS monetary,
+       15.0::DOUBLE AS avg_data_gb, 300.0::DOUBLE AS avg_minutes,
+       concat_ws(',', CASE WHEN internet IS NULL THEN 'has_internet:missing' END, CASE WHEN no_gender THEN 'gender:missing' END,
+                 CASE WHEN age < 18 OR age > 100 THEN 'age:range' END, CASE WHEN tenure < 0 THEN 'tenure_months:range' END,
+                 CASE WHEN paperless > 1 THEN 'paperless_billing:range' END) AS violations
+FROM r"""
+    board = "SELECT count(*) FILTER (WHERE {b} = 'High') AS h, count(*) FILTER (WHERE {b} = 'Medium') AS m, " \
+            "avg(churn_probability) AS p, avg(churn) AS c FROM scored".format(b=_BINS)
+    s["run_metrics"] = f"""WITH {SCORED}, b AS ({board})
+SELECT 'board' AS run_name, 'metric' AS kind, 'high_risk' AS key, CAST(h AS DOUBLE) AS number, NULL AS text FROM b
+UNION ALL SELECT 'board', 'metric', 'medium_risk', CAST(m AS DOUBLE), NULL FROM b
+UNION ALL SELECT 'board', 'metric', 'avg_probability', round(p, 9), NULL FROM b
+UNION ALL SELECT 'board', 'metric', 'actual_churn', round(c, 9), NULL FROM b
+UNION ALL SELECT 'board', 'param', 'threshold', NULL, '0.5'"""
+    return s
+
+
+def _segments() -> dict[str, str]:
+    s: dict[str, str] = {}
+    s["split_features"] = f"""WITH {SUBSCRIBERS}
+SELECT customer_id, churn, age, gender, city, tenure_months, tariff_id, contract_type, payment_method, paperless_billing,
+       has_internet, has_tv, has_roaming FROM subscribers"""
+    scaled = ", ".join(f"round(({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER (), 6) AS {c}"
+                       for c in ("age", "tenure_months", "recency", "frequency", "monetary"))
+    s["standard_scale"] = f"WITH {ENRICHED} SELECT customer_id, {scaled} FROM enriched"
+    s["one_hot"] = f"WITH {SUBSCRIBERS} SELECT customer_id, " + ", ".join(
+        f"CAST({c} = '{v}' AS INT) AS {c}_{v}" for c, vs in
+        (("contract_type", ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD")), ("gender", ("F", "M"))) for v in vs
+    ) + " FROM subscribers"
+    numeric = ["age", "tenure_months", "paperless_billing", "has_internet", "has_tv", "has_roaming",
+               "recency", "frequency", "monetary", "avg_data_gb", "avg_minutes"]
+    z = ", ".join(f"({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER ()" for c in numeric)
+    s["feature_matrix"] = f"""WITH {ENRICHED}, z AS (SELECT customer_id, [{z}] AS z FROM enriched),
+w AS (SELECT count(DISTINCT gender) + count(DISTINCT city) + count(DISTINCT contract_type)
+             + count(DISTINCT payment_method) + count(DISTINCT tariff_id) AS n FROM enriched)
+SELECT customer_id, CAST({len(numeric)} + n AS INT) AS n_features, round(list_sum(z) + 5, 6) AS total,
+       CAST(5 + len(list_filter(z, lambda v: v = 1.0)) AS INT) AS n_ones FROM z, w"""
+    s["sample_rfm"] = f"""WITH {ENRICHED}
+SELECT customer_id, recency, monetary, segment_name FROM enriched ORDER BY md5(customer_id || ':42:sample'), customer_id LIMIT 1000"""
+    s["stratified_split"] = f"""WITH {SUBSCRIBERS}
+SELECT customer_id, churn, row_number() OVER (PARTITION BY churn ORDER BY md5(customer_id || ':42:split'))
+       <= round_even(count(*) OVER (PARTITION BY churn) * 0.2, 0) AS is_test FROM subscribers"""
+    feats = ["recency", "frequency", "monetary", "tenure_months", "avg_data_gb"]
+    s["segment_profile"] = f"""WITH {ENRICHED}
+SELECT CAST(customer_id % 5 AS INT) AS segment, """ + ", ".join(
+        f"round(avg({c}), 4) AS {c}_mean, count({c}) AS {c}_count" for c in feats) + " FROM enriched GROUP BY 1"
+    names = "['Champions', 'Loyal', 'Potential', 'At Risk', 'Hibernating']"
+    named = f"""
+p AS (SELECT CAST(customer_id % 5 AS INT) AS segment, avg(monetary) AS m FROM enriched GROUP BY 1),
+nm AS (SELECT segment, {names}[row_number() OVER (ORDER BY m DESC, segment)] AS segment_name FROM p)"""
+    s["segment_names"] = f"WITH {ENRICHED}, {named} SELECT segment, segment_name FROM nm"
+    s["segment_named"] = f"""WITH {ENRICHED}, {named}
+SELECT customer_id, segment, nm.segment_name FROM enriched JOIN nm ON CAST(customer_id % 5 AS INT) = segment"""
+    s["silhouette"] = """WITH s AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings ORDER BY md5(vec_id || ':42:sample'), vec_id LIMIT 5000),
+n AS (SELECT label, count(*) AS n FROM s GROUP BY 1),
+d AS (SELECT a.vec_id, a.label AS own, b.label AS other, sum(list_distance(a.v, b.v)) AS total FROM s a, s b GROUP BY ALL),
+e AS (SELECT vec_id, own, min(CASE WHEN own = other THEN total / nullif(n - 1, 0) END) AS inner_d,
+             min(CASE WHEN own <> other THEN total / n END) AS outer_d FROM d JOIN n ON other = n.label GROUP BY ALL)
+SELECT round(avg(CASE WHEN inner_d IS NULL THEN 0 ELSE (outer_d - inner_d) / greatest(inner_d, outer_d) END), 6) AS silhouette,
+       count(*) AS sampled FROM e"""
+    return s
+
+
+def _recommendations() -> dict[str, str]:
+    s: dict[str, str] = {}
+    s["ratings"] = f"""WITH {PURCHASES},
+x AS (SELECT *, min(spend) OVER w AS lo, max(spend) OVER w AS hi FROM rated WINDOW w AS (PARTITION BY customer_id))
+SELECT customer_id, tariff_id, round(1 + 4 * CASE WHEN hi > lo THEN (spend - lo) / (hi - lo) ELSE 0 END, 6) AS rating, months FROM x"""
+    s["tariff_popularity"] = f"WITH {PURCHASES} SELECT * FROM popularity"
+    listed = "listed AS (SELECT c.*, coalesce(popularity, 0) AS popularity FROM catalog c LEFT JOIN popularity USING (tariff_id))"
+    s["tariff_catalog_popularity"] = f"WITH {CATALOG}, {PURCHASES}, {listed} SELECT * FROM listed"
+    s["current_tariff"] = f"WITH {PURCHASES} SELECT * FROM current"
+    s["tariff_features"] = f"""WITH {COSINE}
+SELECT tariff_id, round(v[1], 6) AS num__monthly_price, round(v[2], 6) AS num__data_gb, round(v[3], 6) AS num__minutes, """ + ", ".join(
+        f"v[{4 + i}] AS cat__category_G{i}" for i in range(5)) + " FROM vec"
+    s["tariff_cosine"] = f"WITH {COSINE} SELECT anchor, tariff_id, round(score, 6) AS score FROM cosine"
+    place = "CAST(row_number() OVER (PARTITION BY anchor ORDER BY score DESC, tariff_id) AS INT)"
+    s["rec_similar"] = f"""WITH {COSINE}, r AS (SELECT *, {place} AS rank FROM cosine WHERE anchor <> tariff_id)
+SELECT anchor, rank, tariff_id, round(score, 6) AS score FROM r WHERE rank <= 5"""
+    cold = "SELECT tariff_id, CAST(popularity AS DOUBLE) AS score FROM listed {} ORDER BY popularity DESC, tariff_id LIMIT {}"
+    s["rec_cold_start"] = f"WITH {CATALOG}, {PURCHASES}, {listed} " + cold.format("", 5)
+    s["rec_cold_start_category"] = f"WITH {CATALOG}, {PURCHASES}, {listed} " + cold.format("WHERE category = 'G2'", 3)
+    s["rec_hybrid_coldstart"] = f"""WITH {COSINE}, {PURCHASES}, {listed},
+pop AS (SELECT tariff_id, CASE WHEN max(popularity) OVER () > min(popularity) OVER ()
+               THEN (popularity - min(popularity) OVER ()) / (max(popularity) OVER () - min(popularity) OVER ()) ELSE 0.5 END AS c
+        FROM listed),
+con AS (SELECT anchor, tariff_id, CASE WHEN max(score) OVER w > min(score) OVER w
+               THEN (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) ELSE 0.5 END AS b
+        FROM cosine WHERE anchor <> tariff_id WINDOW w AS (PARTITION BY anchor)),
+blend AS (SELECT customer_id, con.tariff_id, round(0.6 * c + 0.4 * b, 9) AS score
+          FROM current JOIN con ON current_tariff = anchor JOIN pop ON pop.tariff_id = con.tariff_id),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY customer_id ORDER BY score DESC, tariff_id) AS INT) AS rank FROM blend)
+SELECT customer_id, rank, tariff_id, round(score, 6) AS score FROM r WHERE rank <= 5"""
+    s["recommend_routes"] = """WITH r AS (
+  SELECT c_custkey AS request_id, c_custkey % 7 <> 0 AS has_customer, (c_custkey % 11 = 0 OR c_custkey % 3 <> 0) AS has_tariff,
+         ['cold_start', 'similar', 'hybrid', 'collaborative', 'other'][c_custkey % 5 + 1] AS mode FROM customer)
+SELECT request_id, mode, CASE WHEN mode = 'similar' AND has_tariff THEN 'similar'
+       WHEN mode IN ('hybrid', 'collaborative') AND has_customer THEN mode ELSE 'cold_start' END AS route FROM r"""
+    return s
+
+
+def _services() -> dict[str, str]:
+    s: dict[str, str] = {}
+    log = """log AS (SELECT ts, event_type AS endpoint, CASE WHEN event_type = 'error' THEN '500' ELSE '200' END AS status,
+       value / 1000.0::DOUBLE AS seconds FROM events)"""
+    s["request_counts"] = f"WITH {log} SELECT endpoint, status, count(*) AS requests FROM log GROUP BY 1, 2"
+    limits = [0.005, 0.01, 0.025, 0.05, 0.075, 0.1, 0.25, 0.5, 0.75, 1.0, 2.5, 5.0, 7.5, 10.0]
+    rows = ", ".join(f"('{x}', {x}::DOUBLE)" for x in limits) + ", ('+Inf', 'inf'::DOUBLE)"
+    s["latency_buckets"] = f"""WITH {log}, b(le, top) AS (VALUES {rows})
+SELECT endpoint, le, count(*) FILTER (WHERE seconds <= top) AS requests FROM log, b GROUP BY 1, 2"""
+    s["stream_request_counts"] = f"""WITH {log}, m AS (SELECT max(ts) - INTERVAL 10 MINUTE AS mark FROM log),
+w AS (SELECT date_trunc('hour', ts) AS window_start, endpoint, status, count(*) AS requests FROM log GROUP BY 1, 2, 3)
+SELECT CAST(window_start AS TIMESTAMP) AS window_start, endpoint, status, requests FROM w, m
+WHERE window_start + INTERVAL 1 HOUR <= mark"""
+    pred = "churn_probability >= 0.5"
+    s["binary_metrics"] = f"""WITH {SCORED},
+c AS (SELECT count(*) FILTER (WHERE churn = 0 AND NOT {pred}) AS tn, count(*) FILTER (WHERE churn = 0 AND {pred}) AS fp,
+             count(*) FILTER (WHERE churn = 1 AND NOT {pred}) AS fn, count(*) FILTER (WHERE churn = 1 AND {pred}) AS tp FROM scored),
+r AS (SELECT churn, rank() OVER (ORDER BY churn_probability) + (count(*) OVER (PARTITION BY churn_probability) - 1) / 2.0 AS r FROM scored),
+a AS (SELECT (sum(r) FILTER (WHERE churn = 1) - count(*) FILTER (WHERE churn = 1) * (count(*) FILTER (WHERE churn = 1) + 1) / 2.0)
+             / (count(*) FILTER (WHERE churn = 1) * count(*) FILTER (WHERE churn = 0)) AS auc FROM r)
+SELECT round((tp + tn) / (tp + tn + fp + fn), 6) AS accuracy, round(auc, 6) AS roc_auc,
+       round(coalesce(tp / nullif(tp + fp, 0), 0), 6) AS precision, round(coalesce(tp / nullif(tp + fn, 0), 0), 6) AS recall,
+       round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) AS f1, tn, fp, fn, tp FROM c, a"""
+    return s

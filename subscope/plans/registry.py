@@ -235,7 +235,7 @@ def source_queries() -> dict[str, Query]:
         path = stage_path(s, "runs")
         board = kpis.churn_board(t.scored_customers(s, d)).first().asDict()
         files.log_run(s, path, "board", {"threshold": 0.5, "nested": {"a": 1}}, {**board, "note": "text"})
-        return files.read_runs(s, path).drop("logged_at")
+        return rounded(files.read_runs(s, path).drop("logged_at"), 9, "number")
 
     def validated(s: SparkSession, d: str) -> DataFrame:
         checked = quality.validate_features(t.scoring_requests(s, d))
