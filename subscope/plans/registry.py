@@ -97,7 +97,10 @@ def board_queries() -> dict[str, Query]:
         "recency", "frequency", "monetary", "avg_data_gb", "avg_minutes",
         "r_score", "f_score", "m_score", "rfm_score",
     ]
-    probability = F.col("churn_probability")
+    def levelled(s: SparkSession, d: str, scale) -> DataFrame:
+        return t.scored_customers(s, d).select(
+            "customer_id", "churn_probability", scale(F.col("churn_probability")).alias("risk_level"))
+
     return {
         "kpi_overview": lambda s, d: rounded(rounded(rounded(
             kpis.overview(t.subscribers(s, d), t.transactions(s, d)),
@@ -112,12 +115,9 @@ def board_queries() -> dict[str, Query]:
         "distinct_segments": lambda s, d: t.subscribers(s, d).select("segment_name").distinct().orderBy(
             "segment_name"),
         "segment_explorer": lambda s, d: kpis.explore_segment(t.subscribers(s, d), "ASIA"),
-        "risk_level_scoring": lambda s, d: t.scored_customers(s, d).select(
-            "customer_id", "churn_probability", risk_by_score(probability).alias("risk_level")),
-        "risk_level_bins": lambda s, d: t.scored_customers(s, d).select(
-            "customer_id", "churn_probability", risk_by_bins(probability).alias("risk_level")),
-        "risk_counts": lambda s, d: kpis.value_counts(
-            t.scored_customers(s, d).select(risk_by_bins(probability).alias("risk_level")), "risk_level"),
+        "risk_level_scoring": lambda s, d: levelled(s, d, risk_by_score),
+        "risk_level_bins": lambda s, d: levelled(s, d, risk_by_bins),
+        "risk_counts": lambda s, d: kpis.value_counts(levelled(s, d, risk_by_bins), "risk_level"),
         "churn_kpis": lambda s, d: rounded(
             kpis.churn_board(t.scored_customers(s, d)), 6, "avg_probability", "actual_churn"),
         "high_risk_customers": lambda s, d: kpis.high_risk(t.scored_customers(s, d)),
