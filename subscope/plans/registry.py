@@ -409,6 +409,11 @@ def _once(spark: SparkSession, folder: str, name: str, make: Callable[[], object
     return _made[key]
 
 
+def forget_models() -> None:
+    """Drop the shared models, for timings that include the fit."""
+    _made.clear()
+
+
 def churn_queries() -> dict[str, Query]:
     def base(s: SparkSession, d: str) -> DataFrame:
         return _once(s, d, "churn-rows", lambda: staged(
@@ -453,7 +458,7 @@ def service_queries() -> dict[str, Query]:
         out, checkpoint = stage_path(s, "stream"), stage_path(s, "progress")
         log = t.request_columns(jobs.read_files(s, d, jobs.EVENTS, "events*.parquet"))
         jobs.to_parquet(jobs.windowed_request_counts(log), out, checkpoint).awaitTermination()
-        return s.read.schema("window_start timestamp, endpoint string, status string, requests bigint").parquet(out)
+        return s.read.schema("window_start timestamp_ntz, endpoint string, status string, requests bigint").parquet(out)
 
     return {
         "request_counts": lambda s, d: scoring.request_counts(t.request_log(s, d)),

@@ -16,7 +16,7 @@ from subscope.operators.drift import drift_report
 from subscope.operators.quality import split_valid, validate_features
 from subscope.session import staged
 
-EVENTS = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string"
+EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
 
 def read_files(spark: SparkSession, folder: str, schema: str, pattern: str = "*.parquet") -> DataFrame:
@@ -30,10 +30,11 @@ def windowed_request_counts(log: DataFrame, window: str = "1 hour", late: str =
     has passed its end by ``late``.
     """
     return (
-        log.withWatermark("ts", late)
+        log.withColumn("ts", F.col("ts").cast("timestamp"))  # a watermark needs a zoned time
+        .withWatermark("ts", late)
         .groupBy(F.window("ts", window), "endpoint", "status")
         .agg(F.count(F.lit(1)).alias("requests"))
-        .select(F.col("window.start").alias("window_start"), "endpoint", "status", "requests")
+        .select(F.col("window.start").cast("timestamp_ntz").alias("window_start"), "endpoint", "status", "requests")
     )
 
 
