@@ -2,19 +2,25 @@
 
 The cell side is eps / sqrt(d), so two points of one cell are always neighbours: a
 cell with ``min_samples`` points consists of core points of one cluster, whatever its
-size. Only relations between different cells need distances. They are settled on the
-tight bounding boxes of the cells where possible: a box that is wholly within reach
-counts with its size, one wholly out of reach is dropped. An undecided box with many
-points is cut into smaller boxes and tried again; points are compared only for
-undecided boxes of at most LEAF points.
+size. Only relations between different cells need distances.
+
+Points of small cells, and the tight bounding boxes of larger ones, are the *items* that
+points are compared with. They meet in blocks a little wider than eps; a crowded block
+is cut into chunks, so that a task never holds more than two chunks, and compares them
+as arrays. What leaves a task is one count per point, or a spanning forest of the cells
+it found linked, but no pairs. A box that is neither wholly in nor wholly out of reach
+is cut into smaller boxes, down to single points.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from functools import reduce
 from itertools import product
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from subscope.operators.components import components
@@ -23,6 +29,7 @@ from subscope.operators.ordering import global_order
 from subscope.session import staged
 
 LEAF = 64
+CHUNK = 2048
 _SPLIT = 4
 _DEEPEST = 20
 
@@ -32,168 +39,400 @@ def _squares(parts: list[Column]) -> Column:
 
 
 class _Grid:
-    """Distances between points (arrays) and boxes (arrays lo and hi) in d dimensions."""
+    """Cells, boxes and blocks of points with coordinates x0, x1, ..."""
 
-    def __init__(self, d: int, eps: float, leaf: int):
-        self.d, self.eps, self.leaf = d, eps, leaf
+    def __init__(self, d: int, eps: float, leaf: int, chunk: int):
+        self.d, self.eps, self.leaf, self.chunk = d, eps, leaf, chunk
         self.limit = eps * eps
         # slightly smaller than eps / sqrt(d): rounding must not separate a cell
         self.side = eps / math.sqrt(d) * (1 - 1e-9)
+        self.x = [f"x{i}" for i in range(d)]
+        self.lo = [f"lo{i}" for i in range(d)]
+        self.hi = [f"hi{i}" for i in range(d)]
+        self.blocked = range(min(d, 3))
 
     def index(self, level: int) -> Column:
+        """Position of a point in the grid that cuts every cell side 4**level times."""
         step = F.lit(self.side / _SPLIT**level)
-        return F.array(*[F.floor(F.col("x")[i] / step) for i in range(self.d)])
+        return F.array(*[F.floor(F.col(c) / step) for c in self.x])
 
-    def gap(self, a: str, b: str) -> Column:
-        """Smallest possible squared distance between boxes with prefixes a and b."""
-        return _squares([
-            F.greatest(
-                F.lit(0.0),
-                F.col(f"{b}lo")[i] - F.col(f"{a}hi")[i],
-                F.col(f"{a}lo")[i] - F.col(f"{b}hi")[i],
-            )
-            for i in range(self.d)
-        ])
-
-    def reach(self, a: str, b: str) -> Column:
-        """Largest possible squared distance between the boxes."""
-        return _squares([
-            F.greatest(
-                F.col(f"{b}hi")[i] - F.col(f"{a}lo")[i], F.col(f"{a}hi")[i] - F.col(f"{b}lo")[i]
-            )
-            for i in range(self.d)
-        ])
-
-    def apart(self, a: str, b: str) -> Column:
-        return _squares([F.col(a)[i] - F.col(b)[i] for i in range(self.d)])
+    def block(self, cell: str = "cell") -> Column:
+        """Origins of cells in reach differ by less than one block width."""
+        width = self.eps + self.side
+        return F.array(*[F.floor(F.col(cell)[i] * F.lit(self.side) / F.lit(width)) for i in self.blocked])
 
     def boxes(self, points: DataFrame, level: int) -> DataFrame:
-        """(cell, idx, up, n, lo, hi): occupied boxes of a level, with tight limits."""
-        d = range(self.d)
+        """(cell_id, idx, up, n, lo.., hi..): occupied boxes of a level, with tight limits."""
         up = F.transform("idx", lambda v: F.floor(v / F.lit(_SPLIT)))
         return (
             points.withColumn("idx", self.index(level))
-            .groupBy("cell", "idx")
+            .groupBy("cell_id", "idx")
             .agg(
                 F.count(F.lit(1)).alias("n"),
-                F.array(*[F.min(F.col("x")[i]) for i in d]).alias("lo"),
-                F.array(*[F.max(F.col("x")[i]) for i in d]).alias("hi"),
+                *[F.min(x).alias(lo) for x, lo in zip(self.x, self.lo)],
+                *[F.max(x).alias(hi) for x, hi in zip(self.x, self.hi)],
             )
             .withColumn("up", up)
         )
 
-    def nearby(self, a: DataFrame, b: DataFrame) -> DataFrame:
-        """(a_*, b_*) level-0 boxes of different cells that are within reach of each other."""
-        dims = min(self.d, 3)
-        width = self.eps + self.side
+    def items(self, points: DataFrame, *carried: str) -> DataFrame:
+        """What points are compared with: (cell_id, block, weight, lo.., hi.., _salt).
+
+        ``weight`` above one marks the box of a cell with more than ``leaf`` points.
+        ``carried`` columns are constant within a cell.
+        """
+        sized = points.groupBy("cell_id").agg(F.count(F.lit(1)).alias("_n"))
+        held = points.join(sized, "cell_id")
+        single = held.where(F.col("_n") <= self.leaf).select(
+            "cell_id", "cell", *carried, F.lit(1).cast("bigint").alias("weight"),
+            *[F.col(x).alias(lo) for x, lo in zip(self.x, self.lo)],
+            *[F.col(x).alias(hi) for x, hi in zip(self.x, self.hi)],
+            F.xxhash64("key").alias("_salt"),
+        )
+        crowded = (
+            held.where(F.col("_n") > self.leaf)
+            .groupBy("cell_id", "cell", *carried)
+            .agg(
+                F.count(F.lit(1)).alias("weight"),
+                *[F.min(x).alias(lo) for x, lo in zip(self.x, self.lo)],
+                *[F.max(x).alias(hi) for x, hi in zip(self.x, self.hi)],
+            )
+            .withColumn("_salt", F.xxhash64("cell_id"))
+        )
+        return single.unionByName(crowded).withColumn("block", self.block()).drop("cell")
 
-        def block(shift: tuple[int, ...]) -> Column:
-            return F.array(*[
-                F.floor(F.col("cell")[i] * F.lit(self.side) / F.lit(width)) + shift[i] for i in range(dims)
-            ])
+    # squared distances between a point x and a box lo..hi, as columns
 
-        # origins of cells in reach differ by less than ``width`` in every dimension
-        shifts = list(product((-1, 0, 1), repeat=dims))
-        left = _prefixed(a, "a_").withColumn("cell", F.col("a_cell"))
-        left = left.withColumn("block", F.explode(F.array(*[block(s) for s in shifts]))).drop("cell")
-        right = _prefixed(b.withColumn("block", block((0,) * dims)), "b_", keep="block")
-        return left.join(right, "block").where(
-            (F.col("a_cell") != F.col("b_cell")) & (self.gap("a_", "b_") <= self.limit)
-        ).drop("block")
+    def gap(self) -> Column:
+        return _squares([
+            F.greatest(F.lit(0.0), F.col(lo) - F.col(x), F.col(x) - F.col(hi))
+            for x, lo, hi in zip(self.x, self.lo, self.hi)
+        ])
 
+    def reach(self) -> Column:
+        return _squares([
+            F.greatest(F.col(hi) - F.col(x), F.col(x) - F.col(lo))
+            for x, lo, hi in zip(self.x, self.lo, self.hi)
+        ])
+
+    # the same between arrays of boxes, rows of the left against rows of the right
+
+    @staticmethod
+    def gaps(left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        (llo, lhi), (rlo, rhi) = left, right
+        total = np.zeros((len(llo), len(rlo)))
+        for i in range(llo.shape[1]):
+            part = np.maximum(rlo[None, :, i] - lhi[:, None, i], llo[:, None, i] - rhi[None, :, i])
+            total += np.square(np.maximum(part, 0.0))
+        return total
+
+    @staticmethod
+    def reaches(left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        (llo, lhi), (rlo, rhi) = left, right
+        total = np.zeros((len(llo), len(rlo)))
+        for i in range(llo.shape[1]):
+            part = np.maximum(rhi[None, :, i] - llo[:, None, i], lhi[:, None, i] - rlo[None, :, i])
+            total += np.square(part)
+        return total
+
+    def limits(self, pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        return pdf[self.lo].to_numpy(dtype=float), pdf[self.hi].to_numpy(dtype=float)
+
+    def places(self, pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        at = pdf[self.x].to_numpy(dtype=float)
+        return at, at
+
+    def meet(self, left: DataFrame, right: DataFrame, work: Callable, schema: str, half: bool = False) -> DataFrame:
+        """Apply ``work(left, right)`` to all chunks of neighbouring blocks.
+
+        Both sides carry block and _salt. The left side visits the neighbours of its
+        block, with ``half`` only those not before it.
+        """
+        shifts = [s for s in product((-1, 0, 1), repeat=len(self.blocked)) if not half or s >= (0,) * len(s)]
+        targets = F.array(*[
+            F.concat_ws("_", *[(F.col("block")[i] + F.lit(s[i])).cast("string") for i in self.blocked])
+            for s in shifts
+        ])
+        moving = left.withColumn("_at", F.explode(targets)).drop("block")
+        # both sides may come from one table; renewed columns keep them apart
+        resting = right.select(*[F.col(c).alias(c) for c in right.columns])
+        resting = resting.withColumn("_at", F.concat_ws("_", F.col("block").cast("array<string>"))).drop("block")
+
+        def chunks(df: DataFrame, name: str) -> DataFrame:
+            return df.groupBy("_at").agg(F.ceil(F.count(F.lit(1)) / F.lit(self.chunk)).cast("int").alias(name))
+
+        sizes = staged(chunks(moving, "_nl").join(chunks(resting, "_nr"), "_at"), "blocks")
+
+        def dealt(df: DataFrame, own: str, other: str) -> DataFrame:
+            return (
+                df.join(sizes, "_at")
+                .withColumn(f"_c{own}", F.pmod("_salt", F.col(f"_n{own}")).cast("int"))
+                .withColumn(f"_c{other}", F.explode(F.sequence(F.lit(0), F.col(f"_n{other}") - 1)))
+                .drop("_salt", "_nl", "_nr")
+            )
 
-def _prefixed(df: DataFrame, prefix: str, keep: str | None = None) -> DataFrame:
-    return df.select(*[F.col(c).alias(c if c == keep else f"{prefix}{c}") for c in df.columns])
+        keys = ["_at", "_cl", "_cr"]
+        return (
+            dealt(moving, "l", "r").groupBy(*keys)
+            .cogroup(dealt(resting, "r", "l").groupBy(*keys))
+            .applyInPandas(work, schema)
+        )
 
 
-def _counts_within(grid: _Grid, probes: DataFrame, pairs: DataFrame, points: DataFrame) -> DataFrame:
-    """(key, b_cell, within): points of each paired cell within eps of each probe.
+def _refined(grid: _Grid, todo: DataFrame, points: DataFrame, carried: list[str]) -> DataFrame:
+    """(key, cell_id, carried.., within): points of undecided boxes within eps of a probe.
 
-    ``probes`` are (key, cell, x); ``pairs`` relate probe cells with boxes of ``points``.
+    ``todo`` holds probes (key, x..) with the cell_id of a box neither in nor out of reach.
     """
-    todo = (
-        probes.select("key", F.col("cell").alias("a_cell"), F.col("x").alias("p_x"))
-        .join(pairs.select("a_cell", "b_cell", "b_idx", "b_n", "b_lo", "b_hi"), "a_cell")
-        .withColumn("p_lo", F.col("p_x"))
-        .withColumn("p_hi", F.col("p_x"))
-        .where(grid.gap("p_", "b_") <= grid.limit)
-    )
-    found, level = [], 0
+    keep = ["key", *grid.x, *carried]
+    level = 1
+    open_boxes = todo.join(
+        _children(grid, points, 1).drop("up"), "cell_id"
+    ).where(grid.gap() <= grid.limit)
+    found = []
     while True:
-        todo = staged(todo, "probes")
-        inside = grid.reach("p_", "b_") <= grid.limit
-        found.append(todo.where(inside).groupBy("key", "b_cell").agg(F.sum("b_n").alias("within")))
-        open_pairs = todo.where(~inside)
-        small = (F.col("b_n") <= grid.leaf) | F.lit(level >= _DEEPEST)
+        open_boxes = staged(open_boxes, "boxes")
+        inside = grid.reach() <= grid.limit
+        found.append(
+            open_boxes.where(inside).groupBy("key", "cell_id", *carried).agg(F.sum("n").alias("within"))
+        )
+        rest = open_boxes.where(~inside)
+        small = (F.col("n") <= grid.leaf) | F.lit(level >= _DEEPEST)
         members = points.select(
-            F.col("cell").alias("b_cell"), grid.index(level).alias("b_idx"), F.col("x").alias("b_x")
+            "cell_id", grid.index(level).alias("idx"),
+            *[F.col(x).alias(lo) for x, lo in zip(grid.x, grid.lo)],
+            *[F.col(x).alias(hi) for x, hi in zip(grid.x, grid.hi)],
         )
         found.append(
-            open_pairs.where(small)
-            .join(members, ["b_cell", "b_idx"])
-            .where(grid.apart("p_x", "b_x") <= grid.limit)
-            .groupBy("key", "b_cell")
+            rest.where(small)
+            .select("cell_id", "idx", *keep)
+            .join(members, ["cell_id", "idx"])
+            .where(grid.reach() <= grid.limit)
+            .groupBy("key", "cell_id", *carried)
             .agg(F.count(F.lit(1)).alias("within"))
         )
-        large = open_pairs.where(~small)
+        large = rest.where(~small)
         if level >= _DEEPEST or large.isEmpty():
             break
         level += 1
-        finer = _prefixed(grid.boxes(points, level), "b_").withColumnRenamed("b_up", "b_parent")
-        todo = (
-            large.select("key", "a_cell", "p_x", "p_lo", "p_hi", "b_cell", F.col("b_idx").alias("b_parent"))
-            .join(finer, ["b_cell", "b_parent"])
-            .where(grid.gap("p_", "b_") <= grid.limit)
-            .drop("b_parent")
+        open_boxes = (
+            large.select("cell_id", F.col("idx").alias("up"), *keep)
+            .join(_children(grid, points, level), ["cell_id", "up"])
+            .drop("up")
+            .where(grid.gap() <= grid.limit)
         )
-    merged = reduce(DataFrame.unionByName, found)
-    return merged.groupBy("key", "b_cell").agg(F.sum("within").alias("within"))
+    return reduce(DataFrame.unionByName, found).groupBy("key", "cell_id", *carried).agg(
+        F.sum("within").alias("within")
+    )
 
 
-def _linked_cells(grid: _Grid, pairs: DataFrame, points: DataFrame) -> DataFrame:
-    """Pairs of cells that hold two points within eps of each other."""
-    columns = ["a_cell", "b_cell", "a_idx", "b_idx", "a_n", "b_n", "a_lo", "a_hi", "b_lo", "b_hi"]
-    todo = pairs.where(F.col("a_cell") < F.col("b_cell")).select(*columns)
-    found, level = [], 0
+def _children(grid: _Grid, points: DataFrame, level: int) -> DataFrame:
+    return grid.boxes(points, level).select("cell_id", "idx", "up", "n", *grid.lo, *grid.hi)
+
+
+def _neighbour_counts(grid: _Grid, probes: DataFrame, points: DataFrame, key_type: str) -> DataFrame:
+    """(key, within): points of other cells within eps of every probe."""
+    def work(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({"key": [], "cell_id": [], "within": []})
+        mine, theirs = grid.places(left), grid.limits(right)
+        other = left["cell_id"].to_numpy()[:, None] != right["cell_id"].to_numpy()[None, :]
+        inside = (grid.reaches(mine, theirs) <= grid.limit) & other
+        within = inside.astype(np.int64) @ right["weight"].to_numpy()
+        keys = left["key"].to_numpy()
+        crowded = np.flatnonzero(right["weight"].to_numpy() > 1)
+        boxes = (theirs[0][crowded], theirs[1][crowded])
+        row, box = np.nonzero(
+            ~inside[:, crowded] & other[:, crowded] & (grid.gaps(mine, boxes) <= grid.limit)
+        )
+        found = within > 0
+        return pd.DataFrame({
+            "key": np.concatenate([keys[found], keys[row]]),
+            "cell_id": np.concatenate([
+                np.full(found.sum(), -1), right["cell_id"].to_numpy()[crowded[box]]
+            ]).astype(np.int64),
+            "within": np.concatenate([within[found], np.zeros(len(row), dtype=np.int64)]),
+        })
+
+    seen = staged(
+        grid.meet(
+            probes.select("key", "cell_id", "block", "_salt", *grid.x), grid.items(points), work,
+            f"key {key_type}, cell_id bigint, within bigint",
+        ), "counts",
+    )
+    sure = seen.where("cell_id < 0").select("key", "within")
+    undecided = seen.where("cell_id >= 0").select("key", "cell_id")
+    if not undecided.isEmpty():
+        todo = undecided.join(probes.select("key", *grid.x), "key")
+        sure = sure.unionByName(_refined(grid, todo, points, []).select("key", "within"))
+    return sure.groupBy("key").agg(F.sum("within").alias("within"))
+
+
+def _forest(adjacent: np.ndarray, left: np.ndarray, right: np.ndarray) -> dict:
+    """Smallest cell id connected with each cell, given links of left and right cells."""
+    names = np.unique(np.concatenate([left, right]))
+    label = np.arange(len(names))
+    li, ri = np.searchsorted(names, left), np.searchsorted(names, right)
+    far = len(names)
     while True:
-        todo = staged(todo, "links")
-        near = grid.reach("a_", "b_") <= grid.limit
-        sure = staged(todo.where(near).select("a_cell", "b_cell").distinct(), "linked")
-        open_pairs = todo.where(~near).join(sure, ["a_cell", "b_cell"], "left_anti")
-        small = (F.col("a_n") * F.col("b_n") <= grid.leaf * grid.leaf) | F.lit(level >= _DEEPEST)
-        def members(side: str) -> DataFrame:
-            return points.select(
-                F.col("cell").alias(f"{side}_cell"), grid.index(level).alias(f"{side}_idx"),
-                F.col("x").alias(f"{side}_x"),
-            )
+        before = label.copy()
+        low = np.where(adjacent, label[li][:, None], far).min(axis=0, initial=far)
+        np.minimum.at(label, ri, low)
+        low = np.where(adjacent, label[ri][None, :], far).min(axis=1, initial=far)
+        np.minimum.at(label, li, low)
+        label = np.minimum(label, label[label])
+        if (label == before).all():
+            return dict(zip(names, names[label]))
+
+
+def _cell_links(grid: _Grid, core: DataFrame) -> DataFrame:
+    """(src, dst) edges that connect the cells with core points in reach of each other."""
+    def reduce_cells(matrix: np.ndarray, cells: np.ndarray, axis: int) -> tuple[np.ndarray, np.ndarray]:
+        names, starts = np.unique(cells, return_index=True)
+        return np.logical_or.reduceat(matrix, starts, axis=axis), names
+
+    def work(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({"src": [], "dst": [], "sure": []})
+        left, right = left.sort_values("cell_id"), right.sort_values("cell_id")
+        mine, theirs = grid.limits(left), grid.limits(right)
+        near = grid.reaches(mine, theirs) <= grid.limit
+        adjacent, right_cells = reduce_cells(near, right["cell_id"].to_numpy(), 1)
+        adjacent, left_cells = reduce_cells(adjacent, left["cell_id"].to_numpy(), 0)
+        root = _forest(adjacent, left_cells, right_cells)
+        edges = [(a, b, True) for a, b in root.items() if a != b]
+        # boxes that may hold points in reach, unless they are connected already
+        wide = (left["weight"].to_numpy() > 1)[:, None] | (right["weight"].to_numpy() > 1)[None, :]
+        open_pairs = np.argwhere(wide & ~near & (grid.gaps(mine, theirs) <= grid.limit))
+        pairs = {
+            (min(a, b), max(a, b))
+            for a, b in zip(left["cell_id"].to_numpy()[open_pairs[:, 0]], right["cell_id"].to_numpy()[open_pairs[:, 1]])
+            if root[a] != root[b]
+        }
+        edges += [(a, b, False) for a, b in pairs]
+        return pd.DataFrame(edges, columns=["src", "dst", "sure"])
+
+    items = grid.items(core)
+    seen = staged(grid.meet(items, items, work, "src bigint, dst bigint, sure boolean", half=True), "links")
+    sure = seen.where("sure").select("src", "dst").distinct()
+    undecided = seen.where(~F.col("sure")).select("src", "dst").distinct()
+    if undecided.isEmpty():
+        return sure
+    # pairs that other links connect need no further look
+    nodes = undecided.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    group = staged(components(sure, nodes), "groups")
+    todo = (
+        undecided.join(group.toDF("src", "src_group"), "src")
+        .join(group.toDF("dst", "dst_group"), "dst")
+        .where("src_group <> dst_group")
+        .select("src", "dst")
+    )
+    return sure.unionByName(_linked_boxes(grid, todo, core))
 
+
+def _linked_boxes(grid: _Grid, pairs: DataFrame, core: DataFrame) -> DataFrame:
+    """The pairs of cells that hold two points within eps, by splitting both boxes."""
+    found, level = [], 1
+
+    def side(df: DataFrame, prefix: str, key: str) -> DataFrame:
+        names = {"cell_id": key, "idx": f"{prefix}idx", "up": f"{prefix}up", "n": f"{prefix}n"}
+        return df.select(*[F.col(c).alias(names.get(c, f"{prefix}{c}")) for c in df.columns])
+
+    def apart(kind: str) -> Column:
+        parts = []
+        for lo, hi in zip(grid.lo, grid.hi):
+            left, right = (F.col(f"b_{lo}") - F.col(f"a_{hi}"), F.col(f"a_{lo}") - F.col(f"b_{hi}"))
+            if kind == "reach":
+                left, right = (F.col(f"b_{hi}") - F.col(f"a_{lo}"), F.col(f"a_{hi}") - F.col(f"b_{lo}"))
+                parts.append(F.greatest(left, right))
+            else:
+                parts.append(F.greatest(F.lit(0.0), left, right))
+        return _squares(parts)
+
+    finer = _children(grid, core, 1)
+    todo = (
+        pairs.join(side(finer, "a_", "src").drop("a_up"), "src")
+        .join(side(finer, "b_", "dst").drop("b_up"), "dst")
+        .where(apart("gap") <= grid.limit)
+    )
+    while True:
+        todo = staged(todo, "box-pairs")
+        near = apart("reach") <= grid.limit
+        sure = staged(todo.where(near).select("src", "dst").distinct(), "linked")
+        rest = todo.where(~near).join(sure, ["src", "dst"], "left_anti")
+        small = (F.col("a_n") * F.col("b_n") <= grid.leaf * grid.leaf) | F.lit(level >= _DEEPEST)
+        points = core.withColumn("idx", grid.index(level)).select(
+            "cell_id", "idx",
+            *[F.col(x).alias(lo) for x, lo in zip(grid.x, grid.lo)],
+            *[F.col(x).alias(hi) for x, hi in zip(grid.x, grid.hi)],
+        )
         compared = staged(
-            open_pairs.where(small)
-            .join(members("a"), ["a_cell", "a_idx"])
+            rest.where(small)
+            .select("src", "dst", "a_idx", "b_idx", *[f"b_{c}" for c in (*grid.lo, *grid.hi)])
             # a point out of reach of the other box has no partner in it
-            .withColumn("p_lo", F.col("a_x")).withColumn("p_hi", F.col("a_x"))
-            .where(grid.gap("p_", "b_") <= grid.limit)
-            .select("a_cell", "b_cell", "b_idx", "a_x")
-            .join(members("b"), ["b_cell", "b_idx"])
-            .where(grid.apart("a_x", "b_x") <= grid.limit)
-            .select("a_cell", "b_cell")
+            .join(side(points, "a_", "src"), ["src", "a_idx"])
+            .where(apart("gap") <= grid.limit)
+            .drop(*[f"b_{c}" for c in (*grid.lo, *grid.hi)])
+            .join(side(points, "b_", "dst"), ["dst", "b_idx"])
+            .where(apart("reach") <= grid.limit)
+            .select("src", "dst")
             .distinct(),
             "linked",
         )
         found += [sure, compared]
-        large = open_pairs.where(~small).join(compared, ["a_cell", "b_cell"], "left_anti")
+        large = rest.where(~small).join(compared, ["src", "dst"], "left_anti")
         if level >= _DEEPEST or large.isEmpty():
-            break
+            return reduce(DataFrame.unionByName, found).distinct()
         level += 1
-        finer = grid.boxes(points, level)
+        finer = _children(grid, core, level)
         todo = (
-            large.select("a_cell", "b_cell", F.col("a_idx").alias("a_up"), F.col("b_idx").alias("b_up"))
-            .join(_prefixed(finer, "a_"), ["a_cell", "a_up"])
-            .join(_prefixed(finer, "b_"), ["b_cell", "b_up"])
-            .where(grid.gap("a_", "b_") <= grid.limit)
-            .select(*columns)
+            large.select("src", "dst", F.col("a_idx").alias("a_up"), F.col("b_idx").alias("b_up"))
+            .join(side(finer, "a_", "src"), ["src", "a_up"])
+            .join(side(finer, "b_", "dst"), ["dst", "b_up"])
+            .drop("a_up", "b_up")
+            .where(apart("gap") <= grid.limit)
         )
-    return reduce(DataFrame.unionByName, found).distinct()
+
+
+def _border_labels(grid: _Grid, rest: DataFrame, core: DataFrame, key_type: str) -> DataFrame:
+    """(key, label): smallest cluster with a core point within eps of a point."""
+    none = np.iinfo(np.int64).max
+
+    def work(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({"key": [], "cell_id": [], "label": []})
+        mine, theirs = grid.places(left), grid.limits(right)
+        labels, keys = right["label"].to_numpy(), left["key"].to_numpy()
+        inside = grid.reaches(mine, theirs) <= grid.limit
+        low = np.where(inside, labels[None, :], none).min(axis=1)
+        crowded = np.flatnonzero(right["weight"].to_numpy() > 1)
+        boxes = (theirs[0][crowded], theirs[1][crowded])
+        row, box = np.nonzero(
+            ~inside[:, crowded] & (labels[crowded][None, :] < low[:, None])
+            & (grid.gaps(mine, boxes) <= grid.limit)
+        )
+        found = low < none
+        return pd.DataFrame({
+            "key": np.concatenate([keys[found], keys[row]]),
+            "cell_id": np.concatenate([
+                np.full(found.sum(), -1), right["cell_id"].to_numpy()[crowded[box]]
+            ]).astype(np.int64),
+            "label": np.concatenate([low[found], labels[crowded[box]]]),
+        })
+
+    seen = staged(
+        grid.meet(
+            rest.select("key", "block", "_salt", *grid.x), grid.items(core, "label"), work,
+            f"key {key_type}, cell_id bigint, label bigint",
+        ), "border",
+    )
+    sure = seen.where("cell_id < 0").select("key", "label")
+    undecided = seen.where("cell_id >= 0")
+    if not undecided.isEmpty():
+        todo = undecided.join(rest.select("key", *grid.x), "key")
+        touched = _refined(grid, todo, core, ["label"]).where("within > 0")
+        sure = sure.unionByName(touched.select("key", "label"))
+    return sure.groupBy("key").agg(F.min("label").alias("label"))
 
 
 def dbscan(
@@ -204,73 +443,51 @@ def dbscan(
     min_samples: int = 30,
     scale: bool = True,
     leaf: int = LEAF,
+    chunk: int = CHUNK,
 ) -> DataFrame:
     """(key, label, is_core) with label -1 for noise.
 
     A point counts itself among its neighbours. Clusters are numbered by their smallest
     core key; a border point joins the smallest cluster it touches.
     """
-    grid = _Grid(len(features), eps, leaf)
+    grid = _Grid(len(features), eps, leaf, chunk)
+    key_type = df.schema[key].dataType.simpleString()
     moments = Scale.fit(df, features) if scale else None
-    x = F.array(*[moments.column(c) if moments else F.col(c).cast("double") for c in features])
-    located = df.select(F.col(key).alias("key"), x.alias("x"))
-    points = staged(located.withColumn("cell", grid.index(0)), "points")
-    cells = staged(grid.boxes(points, 0), "cells")
-
-    # sparse cells whose certain neighbours do not suffice need a look at their points
-    sparse = cells.where(F.col("n") < min_samples)
-    pairs = staged(grid.nearby(sparse, cells), "pairs")
-    certain = (
-        pairs.where(grid.reach("a_", "b_") <= grid.limit)
-        .groupBy(F.col("a_cell").alias("cell"))
-        .agg(F.sum("b_n").alias("sure"))
+    x = [(moments.column(c) if moments else F.col(c).cast("double")).alias(n) for c, n in zip(features, grid.x)]
+    located = staged(
+        df.select(F.col(key).alias("key"), *x).withColumn("cell", grid.index(0)), "located"
     )
-    weighed = cells.join(certain, "cell", "left").select(
-        "cell", "n", (F.col("n") + F.coalesce("sure", F.lit(0)) >= min_samples).alias("all_core")
+    cells = located.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("first_key"))
+    numbered = global_order(cells, ["first_key"], rank="cell_id", label="cells").frame
+    points = staged(
+        located.join(numbered.select("cell", "cell_id", "n"), "cell")
+        .withColumn("block", grid.block())
+        .withColumn("_salt", F.xxhash64("key")),
+        "points",
     )
-    open_cells = weighed.where(~F.col("all_core")).select("cell", "n")
-    probes = points.join(open_cells, "cell")
-    within = _counts_within(grid, probes, pairs, points).groupBy("key").agg(F.sum("within").alias("within"))
-    core_probes = probes.join(within, "key", "left").where(
+
+    probes = points.where(F.col("n") < min_samples)
+    within = _neighbour_counts(grid, probes, points, key_type)
+    enough = probes.join(within, "key", "left").where(
         F.col("n") + F.coalesce("within", F.lit(0)) >= min_samples
-    )
-    core = staged(
-        points.join(weighed.where("all_core").select("cell"), "cell")
-        .select("key", "x", "cell")
-        .unionByName(core_probes.select("key", "x", "cell")),
-        "core",
-    )
+    ).drop("within")
+    core = staged(points.where(F.col("n") >= min_samples).unionByName(enough), "core")
 
-    core_boxes = staged(grid.boxes(core, 0), "core-boxes")
-    names = staged(core.groupBy("cell").agg(F.min("key").alias("node")), "core-cells")
-    links = _linked_cells(grid, grid.nearby(core_boxes, core_boxes), core)
-    edges = (
-        links.join(_prefixed(names, "a_"), "a_cell")
-        .join(_prefixed(names, "b_"), "b_cell")
-        .select(F.col("a_node").alias("src"), F.col("b_node").alias("dst"))
-    )
-    joined = components(edges, names.select("node"))
-    numbered = global_order(
-        joined.select("component").distinct(), ["component"], rank="label", label="clusters"
-    ).frame.withColumn("label", F.col("label") - 1)
-    cell_labels = staged(
-        names.join(joined, "node").join(numbered, "component").select("cell", "label"), "labels"
-    )
+    nodes = staged(core.groupBy(F.col("cell_id").alias("node")).agg(F.min("key").alias("low_key")), "nodes")
+    joined = staged(components(_cell_links(grid, core), nodes.select("node")).join(nodes, "node"), "joined")
+    clusters = global_order(
+        joined.groupBy("component").agg(F.min("low_key").alias("low_key")), ["low_key"], rank="label", label="clusters"
+    ).frame.select("component", (F.col("label") - 1).alias("label"))
+    labels = joined.join(clusters, "component").select(F.col("node").alias("cell_id"), "label")
+    labelled = staged(core.join(labels, "cell_id"), "labelled")
 
     rest = points.join(core.select("key"), "key", "left_anti")
-    other = grid.nearby(grid.boxes(rest, 0), core_boxes)
-    touched = _counts_within(grid, rest, staged(other, "border"), core).where("within > 0").select(
-        "key", F.col("b_cell").alias("cell")
-    )
-    reached = touched.unionByName(rest.select("key", "cell"))  # a core point of the own cell is in reach
-    border = reached.join(cell_labels, "cell").groupBy("key").agg(F.min("label").alias("label"))
-    labelled_core = core.join(cell_labels, "cell").select("key", "label", F.lit(True).alias("is_core"))
-    labelled_rest = rest.join(border, "key", "left").select(
-        "key", F.coalesce("label", F.lit(-1)).alias("label"), F.lit(False).alias("is_core")
-    )
-    return labelled_core.unionByName(labelled_rest).select(
-        F.col("key").alias(key), F.col("label").cast("bigint").alias("label"), "is_core"
+    border = _border_labels(grid, rest, labelled, key_type)
+    noise = rest.select("key").join(border, "key", "left").select(
+        "key", F.coalesce("label", F.lit(-1).cast("bigint")).alias("label"), F.lit(False).alias("is_core")
     )
+    found = labelled.select("key", "label", F.lit(True).alias("is_core")).unionByName(noise)
+    return found.select(F.col("key").alias(key), F.col("label").cast("bigint").alias("label"), "is_core")
 
 
 def cluster_summary(labels: DataFrame) -> DataFrame:

@@ -28,23 +28,23 @@ def brute(x, eps, min_samples):
     return labels, core
 
 
-def run(spark, x, eps, min_samples, leaf=64, scale=False):
+def run(spark, x, eps, min_samples, leaf=64, scale=False, chunk=2048):
     names = [f"f{i}" for i in range(x.shape[1])]
     rows = [(i, *map(float, p)) for i, p in enumerate(x)]
     df = spark.createDataFrame(rows, "id bigint, " + ", ".join(f"{n} double" for n in names))
-    out = dbscan(df, "id", names, eps, min_samples, scale=scale, leaf=leaf)
+    out = dbscan(df, "id", names, eps, min_samples, scale=scale, leaf=leaf, chunk=chunk)
     got = sorted(out.collect())
     return out, np.array([r["label"] for r in got]), np.array([r["is_core"] for r in got])
 
 
-@pytest.mark.parametrize("leaf", [64, 2])
-def test_matches_brute_force_in_two_dimensions(spark, leaf):
+@pytest.mark.parametrize("leaf, chunk", [(64, 2048), (2, 2048), (8, 30)])
+def test_matches_brute_force_in_two_dimensions(spark, leaf, chunk):
     rng = np.random.default_rng(3)
     x = np.vstack([
         rng.normal(0, 0.3, (150, 2)), rng.normal(3, 0.4, (120, 2)),
         rng.uniform(-3, 6, (60, 2)), np.repeat([[1.5, 1.5]], 40, axis=0),
     ])
-    out, labels, core = run(spark, x, 0.35, 8, leaf)
+    out, labels, core = run(spark, x, 0.35, 8, leaf, chunk=chunk)
     want, want_core = brute(x, 0.35, 8)
     assert (core == want_core).all()
     assert (labels == want).all()
