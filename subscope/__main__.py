@@ -7,7 +7,7 @@ import argparse
 from subscope.operators import churn, drift, recommend, segments
 from subscope.operators.quality import split_valid, validate_features
 from subscope.plans import jobs, scoring
-from subscope.session import session
+from subscope.session import clear_stage, session
 from subscope.sources import files, generate
 
 
@@ -63,6 +63,7 @@ def main() -> None:
         else:
             fitted = recommend.Recommender.load(spark, f"{a.models}/recommender")
             scoring.score_recommendations(fitted, requests).write.mode("overwrite").parquet(a.out)
+    clear_stage(spark)
 
 
 if __name__ == "__main__":

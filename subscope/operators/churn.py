@@ -17,7 +17,7 @@ from subscope.operators.attributions import (
     read_ensemble,
     top_factors,
 )
-from subscope.operators.distribution import rank_sums
+from subscope.operators.distribution import cumulative_counts, pair_wins
 from subscope.operators.features import feature_names, fit_feature_pipeline, stratified_split
 from subscope.session import staged
 
@@ -32,25 +32,32 @@ def binary_metrics(
 ) -> DataFrame:
     """One row: accuracy, ROC-AUC, precision, recall, F1 and the confusion counts.
 
-    Precision, recall and F1 are 0 where their divisor is.
+    Precision, recall and F1 are 0 where their divisor is. All of it comes from one table
+    of label counts per distinct score.
     """
-    actual, predicted = F.col(label) == 1, F.col(probability) >= CUTOFF
-    counts = df.agg(
-        F.count_if(~actual & ~predicted).alias("tn"),
-        F.count_if(~actual & predicted).alias("fp"),
-        F.count_if(actual & ~predicted).alias("fn"),
-        F.count_if(actual & predicted).alias("tp"),
-        F.lit("score").alias("test"),
-    )
+    positive = F.col("actual")
     scores = df.select(
-        F.lit("score").alias("test"), F.col(probability).cast("double").alias("value"), actual.alias("actual")
+        F.lit("score").alias("test"), F.col(probability).cast("double").alias("value"),
+        (F.col(label) == 1).alias("actual"),
+    )
+    counts = cumulative_counts(
+        scores, "test", {"a": positive.cast("int"), "b": (~positive).cast("int")}, slice_rows, "scores"
     )
-    ranks = rank_sums(scores, "test", F.col("actual"), slice_rows)
+    predicted = F.col("value") >= CUTOFF
+    summed = counts.groupBy("test").agg(
+        F.max("n_a").alias("n_a"),
+        F.max("n_b").alias("n_b"),
+        F.sum(pair_wins()).alias("u"),
+        F.sum(F.when(predicted, F.col("a")).otherwise(0)).alias("tp"),
+        F.sum(F.when(predicted, F.col("b")).otherwise(0)).alias("fp"),
+    )
+    found = summed.withColumns({"fn": F.col("n_a") - F.col("tp"), "tn": F.col("n_b") - F.col("fp")})
     tp, fp, fn, tn = (F.col(c).cast("double") for c in ("tp", "fp", "fn", "tn"))
+
     def share(a, b):
         return F.coalesce(F.try_divide(a, b), F.lit(0.0))
 
-    return counts.join(ranks, "test").select(
+    return found.select(
         ((tp + tn) / (tp + tn + fp + fn)).alias("accuracy"),
         F.try_divide(F.col("u"), F.col("n_a").cast("double") * F.col("n_b")).alias("roc_auc"),
         share(tp, tp + fp).alias("precision"),

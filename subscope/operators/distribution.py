@@ -85,6 +85,11 @@ def exact_quantiles(
     return quantiles_from_counts(counts, group, "c", probabilities)
 
 
+def pair_wins() -> Column:
+    """Pairs in which a row of ``a`` exceeds one of ``b``, ties as one half, per value."""
+    return F.col("a") * (F.col("cum_b") - F.col("b") + F.col("b") / F.lit(2.0))
+
+
 def rank_sums(rows: DataFrame, group: str, first: Column, slice_rows: int | None = None) -> DataFrame:
     """Two-sample rank statistics of ``value`` per group.
 
@@ -94,11 +99,10 @@ def rank_sums(rows: DataFrame, group: str, first: Column, slice_rows: int | None
     counts = cumulative_counts(
         rows, group, {"a": first.cast("int"), "b": (~first).cast("int")}, slice_rows, "ranks"
     )
-    below = F.col("cum_b") - F.col("b")
     t = (F.col("a") + F.col("b")).cast("double")
     return counts.groupBy(group).agg(
         F.max("n_a").alias("n_a"),
         F.max("n_b").alias("n_b"),
-        F.sum(F.col("a") * (below + F.col("b") / F.lit(2.0))).alias("u"),
+        F.sum(pair_wins()).alias("u"),
         F.sum(t * t * t - t).alias("ties"),
     )

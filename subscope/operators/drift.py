@@ -8,6 +8,7 @@ from pyspark.sql.types import BooleanType, NumericType
 from subscope.functions.scalars import drift_severity
 from subscope.functions.tails import kolmogorov_p
 from subscope.operators.distribution import cumulative_counts, quantiles_from_counts, to_long
+from subscope.session import staged
 
 # Share given to an empty bin, and the limits of the drift flag.
 EMPTY_SHARE = 1e-6
@@ -47,11 +48,12 @@ def psi_by_feature(counts: DataFrame, bins: int = 10) -> DataFrame:
     Bins are closed on the left. Repeated edges leave the bins between them empty.
     """
     marks = [i / bins for i in range(1, bins)]
-    # one row of bins - 1 edges per feature
-    edges = (
+    # one row of bins - 1 edges per feature, used twice
+    edges = staged(
         quantiles_from_counts(counts, "feature", "r", marks)
         .groupBy("feature")
-        .agg(F.sort_array(F.collect_list("quantile")).alias("edges"))
+        .agg(F.sort_array(F.collect_list("quantile")).alias("edges")),
+        "edges",
     )
     bin_of = F.size(F.filter("edges", lambda e: e <= F.col("value")))
     filled = (

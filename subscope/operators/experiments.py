@@ -95,12 +95,12 @@ def arpu_test(
         F.lit(value).alias("test"), "group", v.alias("value")
     )
     x = F.col("value")
-    moments = rows.groupBy("test").agg(
+    moments = rows.agg(
         F.avg(_side(CONTROL, x)).alias("m_c"),
         F.avg(_side(TREATMENT, x)).alias("m_t"),
         F.var_samp(_side(CONTROL, x)).alias("v_c"),
         F.var_samp(_side(TREATMENT, x)).alias("v_t"),
-    )
+    ).first()
     ranks = rank_sums(rows, "test", F.col("group") == CONTROL, slice_rows)
     a, b = F.col("v_c") / F.col("n_a"), F.col("v_t") / F.col("n_b")
     n = (F.col("n_a") + F.col("n_b")).cast("double")
@@ -108,7 +108,7 @@ def arpu_test(
     spread = F.sqrt(pairs / 12 * (n + 1 - F.col("ties") / (n * (n - 1))))
     top = F.greatest("u", pairs - F.col("u"))
     tested = (
-        moments.join(ranks, "test")
+        ranks.withColumns({c: F.lit(v).cast("double") for c, v in moments.asDict().items()})
         .withColumn("t", (F.col("m_c") - F.col("m_t")) / F.sqrt(a + b))
         .withColumn("dof", (a + b) * (a + b) / (a * a / (F.col("n_a") - 1) + b * b / (F.col("n_b") - 1)))
         .withColumn("mw_z", F.greatest((top - pairs / 2 - 0.5) / spread, F.lit(0.0)))

@@ -63,3 +63,9 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     path = stage_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clear_stage(spark: SparkSession) -> None:
+    """Delete the staged tables of this application; results must have been stored by then."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(stage_root(spark))
+    root.getFileSystem(spark._jsc.hadoopConfiguration()).delete(root, True)
