@@ -60,7 +60,7 @@ _BINS = "CASE WHEN churn_probability > 0 AND churn_probability <= 0.3 THEN 'Low'
 
 def statements() -> dict[str, str]:
     return {
-        **_reports(), **_features(), **_boards(), **_statistics(), **_sources(), **_segments(),
+        **_reports(), **_features(), **_boards(), **_statistics(), **_sources(), **_segments(), **_density(),
         **_recommendations(), **_services(),
     }
 
@@ -131,7 +131,9 @@ o AS (SELECT customer_id, full_date AS tx_date, amount,
 SELECT customer_id, tx_date, CAST(round(amount, 0) AS DOUBLE) AS amount, next_tx_date,
        CAST(next_tx_date - tx_date AS INT) AS days_to_next
 FROM o"""
-    s["dim_date"] = f"WITH {DIM_DATE} SELECT * FROM dim_date"
+    small = ", ".join(f"CAST({c} AS SMALLINT) AS {c}" for c in
+                      ("year", "quarter", "month", "week_of_year", "day_of_month", "day_of_week"))
+    s["dim_date"] = f"WITH {DIM_DATE} SELECT * REPLACE ({small}) FROM dim_date"
     return s
 
 
@@ -377,7 +379,8 @@ x AS (SELECT id, "group", CAST({u('convert')} < CASE WHEN "group" = 'treatment'
 y AS (SELECT *, b * CASE WHEN "group" = 'treatment' THEN (1 + converted * up) * (0.99 + noise * 0.07)
                          ELSE 0.98 + noise * 0.07 END AS a FROM x)
 SELECT id, "group", converted, round(b, 5) AS arpu_before, round(a, 5) AS arpu_after, round(a - b, 5) AS arpu_delta FROM y"""
-    s["star_dim_customer"] = f"WITH {STAR} SELECT * FROM star_customer"
+    s["star_dim_customer"] = f"""WITH {STAR}
+SELECT * REPLACE (CAST(age AS SMALLINT) AS age, CAST(segment AS SMALLINT) AS segment) FROM star_customer"""
     s["star_dim_city"] = f"WITH {STAR} SELECT * FROM star_city"
     s["star_fact"] = f"WITH {STAR} SELECT * FROM star_fact"
 
@@ -470,6 +473,32 @@ SELECT round(avg(CASE WHEN inner_d IS NULL THEN 0 ELSE (outer_d - inner_d) / gre
     return s
 
 
+def _density() -> dict[str, str]:
+    """DBSCAN by its definition: all pairs, core points, labels spread along core pairs."""
+    feats = ["recency", "frequency", "monetary", "tenure_months", "avg_data_gb"]
+    z = ", ".join(f"({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER () AS z{i}" for i, c in enumerate(feats))
+    distance = " + ".join(f"(a.z{i} - b.z{i}) * (a.z{i} - b.z{i})" for i in range(5))
+    labels = f"""WITH RECURSIVE {ENRICHED}, z AS (SELECT customer_id, {z} FROM enriched),
+near AS MATERIALIZED (SELECT a.customer_id AS a, b.customer_id AS b FROM z a JOIN z b ON {distance} <= 0.8 * 0.8),
+core AS MATERIALIZED (SELECT a AS id FROM near GROUP BY a HAVING count(*) >= 30),
+link AS MATERIALIZED (SELECT a, b FROM near JOIN core x ON a = x.id JOIN core y ON b = y.id),
+spread(id, low) USING KEY (id) AS (
+  SELECT id, id FROM core
+  UNION SELECT link.a, min(s.low) FROM spread s JOIN link ON s.id = link.b
+        JOIN recurring.spread AS own ON own.id = link.a WHERE s.low < own.low GROUP BY link.a),
+numbered AS (SELECT id, dense_rank() OVER (ORDER BY low) - 1 AS label FROM spread),
+border AS (SELECT a AS id, min(label) AS label FROM near JOIN numbered ON b = id
+           WHERE a NOT IN (SELECT id FROM core) GROUP BY a),
+labels AS (
+  SELECT z.customer_id, CAST(coalesce(n.label, b.label, -1) AS BIGINT) AS label, n.id IS NOT NULL AS is_core
+  FROM z LEFT JOIN numbered n ON z.customer_id = n.id LEFT JOIN border b ON z.customer_id = b.id)"""
+    return {
+        "dbscan": f"{labels} SELECT * FROM labels",
+        "dbscan_summary": f"""{labels} SELECT count(DISTINCT label) FILTER (WHERE label >= 0) AS n_clusters,
+       count(*) FILTER (WHERE label = -1) AS n_noise FROM labels""",
+    }
+
+
 def _recommendations() -> dict[str, str]:
     s: dict[str, str] = {}
     s["ratings"] = f"""WITH {PURCHASES},
@@ -500,11 +529,30 @@ blend AS (SELECT customer_id, con.tariff_id, round(0.6 * c + 0.4 * b, 9) AS scor
           FROM current JOIN con ON current_tariff = anchor JOIN pop ON pop.tariff_id = con.tariff_id),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY customer_id ORDER BY score DESC, tariff_id) AS INT) AS rank FROM blend)
 SELECT customer_id, rank, tariff_id, round(score, 6) AS score FROM r WHERE rank <= 5"""
-    s["recommend_routes"] = """WITH r AS (
-  SELECT c_custkey AS request_id, c_custkey % 7 <> 0 AS has_customer, (c_custkey % 11 = 0 OR c_custkey % 3 <> 0) AS has_tariff,
-         ['cold_start', 'similar', 'hybrid', 'collaborative', 'other'][c_custkey % 5 + 1] AS mode FROM customer)
-SELECT request_id, mode, CASE WHEN mode = 'similar' AND has_tariff THEN 'similar'
-       WHEN mode IN ('hybrid', 'collaborative') AND has_customer THEN mode ELSE 'cold_start' END AS route FROM r"""
+    routes = """asked AS (
+  SELECT c_custkey AS request_id, CASE WHEN c_custkey % 7 <> 0 THEN c_custkey END AS customer_id,
+         CASE WHEN c_custkey % 11 = 0 THEN 'Brand#99' WHEN c_custkey % 3 <> 0 THEN 'Brand#' || (c_custkey % 25 + 1) END AS wanted,
+         CASE WHEN c_custkey % 2 = 0 THEN 'G' || c_custkey % 5 END AS category, c_custkey % 10 + 1 AS n,
+         ['cold_start', 'similar', 'hybrid', 'collaborative', 'other'][c_custkey % 5 + 1] AS mode FROM customer),
+routed AS (SELECT *, CASE WHEN mode = 'similar' AND wanted IS NOT NULL THEN 'similar'
+       WHEN mode IN ('hybrid', 'collaborative') AND customer_id IS NOT NULL THEN mode ELSE 'cold_start' END AS route FROM asked)"""
+    s["recommend_routes"] = f"WITH {routes} SELECT request_id, mode, route FROM routed"
+    hybrid = s["rec_hybrid_coldstart"]
+    hybrid = hybrid[: hybrid.rindex("SELECT customer_id, rank")]
+    s["score_recommend_popular"] = f"""{hybrid}, {routes},
+sim AS (SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY score DESC, tariff_id) AS rank FROM cosine WHERE anchor <> tariff_id),
+cold AS (SELECT tariff_id, popularity AS score, category AS list, row_number() OVER (PARTITION BY category ORDER BY popularity DESC, tariff_id) AS rank FROM listed
+         UNION ALL SELECT tariff_id, popularity, '', row_number() OVER (ORDER BY popularity DESC, tariff_id) FROM listed),
+answers AS (
+  SELECT request_id, mode, route, n, r.rank, r.tariff_id, r.score FROM routed JOIN r USING (customer_id) WHERE route = 'hybrid'
+  UNION ALL SELECT request_id, mode, route, n, rank, tariff_id, score FROM routed JOIN cold ON list = '' WHERE route = 'collaborative'
+  UNION ALL SELECT request_id, mode, route, n, rank, tariff_id, score FROM routed LEFT JOIN sim ON wanted = anchor WHERE route = 'similar'
+  UNION ALL SELECT request_id, mode, route, n, rank, tariff_id, score FROM routed JOIN cold ON list = coalesce(category, '') WHERE route = 'cold_start')
+SELECT request_id, mode, route, CAST(rank AS INT) AS rank, tariff_id, coalesce(name, tariff_id) AS name,
+       CAST(coalesce(floor(monthly_price), 0) AS INT) AS monthly_price, CAST(coalesce(floor(c.data_gb), 0) AS INT) AS data_gb,
+       coalesce(c.category, '') AS category, round_even(score, 4) AS score,
+       CASE WHEN route = 'similar' AND tariff_id IS NULL THEN '500' ELSE '200' END AS status
+FROM answers LEFT JOIN catalog c USING (tariff_id) WHERE rank IS NULL OR rank <= n"""
     return s
 
 

@@ -363,8 +363,8 @@ def recommendation_queries() -> dict[str, Query]:
             (key % 10 + 1).cast("int").alias("n"),
         )
 
-    def answered(s: SparkSession, d: str) -> DataFrame:
-        fitted = model(s, d, True)
+    def answered(s: SparkSession, d: str, collaborative: bool) -> DataFrame:
+        fitted = model(s, d, collaborative)
         by_text = requests(s, d).withColumn("customer_id", F.col("customer_id").cast("bigint"))
         return scoring.score_recommendations(fitted, by_text)
 
@@ -394,7 +394,8 @@ def recommendation_queries() -> dict[str, Query]:
         "rec_hybrid": lambda s, d: model(s, d, True).hybrid(),
         "recommend_routes": lambda s, d: requests(s, d).select(
             "request_id", "mode", scoring.route().alias("route")),
-        "score_recommend": answered,
+        "score_recommend": lambda s, d: answered(s, d, True),
+        "score_recommend_popular": lambda s, d: answered(s, d, False),
     }
 
 
