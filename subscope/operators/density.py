@@ -268,8 +268,8 @@ def _neighbour_counts(grid: _Grid, probes: DataFrame, points: DataFrame, key_typ
     return sure.groupBy("key").agg(F.sum("within").alias("within"))
 
 
-def _forest(adjacent: np.ndarray, left: np.ndarray, right: np.ndarray) -> dict:
-    """Smallest cell id connected with each cell, given links of left and right cells."""
+def _roots(adjacent: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Smallest cell id connected with each left and each right cell by the given links."""
     names = np.unique(np.concatenate([left, right]))
     label = np.arange(len(names))
     li, ri = np.searchsorted(names, left), np.searchsorted(names, right)
@@ -282,35 +282,35 @@ def _forest(adjacent: np.ndarray, left: np.ndarray, right: np.ndarray) -> dict:
         np.minimum.at(label, li, low)
         label = np.minimum(label, label[label])
         if (label == before).all():
-            return dict(zip(names, names[label]))
+            return names[label[li]], names[label[ri]]
 
 
 def _cell_links(grid: _Grid, core: DataFrame) -> DataFrame:
     """(src, dst) edges that connect the cells with core points in reach of each other."""
-    def reduce_cells(matrix: np.ndarray, cells: np.ndarray, axis: int) -> tuple[np.ndarray, np.ndarray]:
-        names, starts = np.unique(cells, return_index=True)
-        return np.logical_or.reduceat(matrix, starts, axis=axis), names
+    def by_cell(pdf: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, np.ndarray, np.ndarray]:
+        pdf = pdf.sort_values("cell_id")
+        cells, starts, code = np.unique(pdf["cell_id"].to_numpy(), return_index=True, return_inverse=True)
+        return pdf, cells, starts, code
 
     def work(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"src": [], "dst": [], "sure": []})
-        left, right = left.sort_values("cell_id"), right.sort_values("cell_id")
+        left, left_cells, left_starts, left_code = by_cell(left)
+        right, right_cells, right_starts, right_code = by_cell(right)
         mine, theirs = grid.limits(left), grid.limits(right)
         near = grid.reaches(mine, theirs) <= grid.limit
-        adjacent, right_cells = reduce_cells(near, right["cell_id"].to_numpy(), 1)
-        adjacent, left_cells = reduce_cells(adjacent, left["cell_id"].to_numpy(), 0)
-        root = _forest(adjacent, left_cells, right_cells)
-        edges = [(a, b, True) for a, b in root.items() if a != b]
+        adjacent = np.logical_or.reduceat(near, right_starts, axis=1)
+        adjacent = np.logical_or.reduceat(adjacent, left_starts, axis=0)
+        left_root, right_root = _roots(adjacent, left_cells, right_cells)
         # boxes that may hold points in reach, unless they are connected already
         wide = (left["weight"].to_numpy() > 1)[:, None] | (right["weight"].to_numpy() > 1)[None, :]
-        open_pairs = np.argwhere(wide & ~near & (grid.gaps(mine, theirs) <= grid.limit))
-        pairs = {
-            (min(a, b), max(a, b))
-            for a, b in zip(left["cell_id"].to_numpy()[open_pairs[:, 0]], right["cell_id"].to_numpy()[open_pairs[:, 1]])
-            if root[a] != root[b]
-        }
-        edges += [(a, b, False) for a, b in pairs]
-        return pd.DataFrame(edges, columns=["src", "dst", "sure"])
+        parted = left_root[left_code][:, None] != right_root[right_code][None, :]
+        row, column = np.nonzero(wide & parted & ~near & (grid.gaps(mine, theirs) <= grid.limit))
+        src = np.concatenate([left_cells, right_cells, left_cells[left_code[row]]])
+        dst = np.concatenate([left_root, right_root, right_cells[right_code[column]]])
+        sure = np.arange(len(src)) < len(left_cells) + len(right_cells)
+        edges = pd.DataFrame({"src": np.minimum(src, dst), "dst": np.maximum(src, dst), "sure": sure})
+        return edges[edges["src"] != edges["dst"]].drop_duplicates()
 
     items = grid.items(core)
     seen = staged(grid.meet(items, items, work, "src bigint, dst bigint, sure boolean", half=True), "links")

@@ -2,16 +2,15 @@
 
 Quantiles, distribution distances and rank tests all need the data in order. Here the
 rows are first reduced to (group, value, counts), which combines on the map side, and
-only the distinct values are ordered, in slices. ``group`` stands for few groups, such
-as one per feature or class.
+only the distinct values are ordered, in slices that may begin or end inside a group.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from subscope.operators.ordering import global_order
-from subscope.session import staged
+from subscope.session import lookup, staged
 
 
 def to_long(df: DataFrame, columns: list[str], keep: list[str] | None = None) -> DataFrame:
@@ -40,14 +39,15 @@ def cumulative_counts(
         running={f"cum_{name}": name for name in counters}, slice_rows=slice_rows, label=label,
     ).frame
     ordered = staged(ordered, label)
-    earlier = Window.orderBy(group).rowsBetween(Window.unboundedPreceding, -1)
-    # one row per group
-    base = ordered.groupBy(group).agg(*[F.sum(n).alias(f"_{n}") for n in counters]).select(
-        group,
-        *[F.coalesce(F.sum(f"_{n}").over(earlier), F.lit(0)).alias(f"_base_{n}") for n in counters],
-        *[F.col(f"_{n}").alias(f"n_{n}") for n in counters],
+    # running sums never fall, so the smallest value before a row of the group is its start
+    base = lookup(
+        ordered.groupBy(group).agg(
+            *[F.min(F.col(f"cum_{n}") - F.col(n)).alias(f"_base_{n}") for n in counters],
+            *[F.sum(n).alias(f"n_{n}") for n in counters],
+        ),
+        f"{label}-groups",
     )
-    out = ordered.join(F.broadcast(base), group)
+    out = ordered.join(base, group)
     for name in counters:
         out = out.withColumn(f"cum_{name}", F.col(f"cum_{name}") - F.col(f"_base_{name}"))
     return out.drop(*[f"_base_{n}" for n in counters])
@@ -58,15 +58,17 @@ def quantiles_from_counts(counts: DataFrame, group: str, counter: str, probabili
     totals = counts.select(group, F.col(f"n_{counter}").alias("n")).distinct().where("n > 0")
     p = F.explode(F.array(*[F.lit(float(x)) for x in probabilities]))
     position = F.col("p") * (F.col("n") - 1)
-    # one row per group and probability
-    wanted = totals.select(group, "n", p.alias("p")).select(
-        group, "p",
-        F.floor(position).alias("low"), F.ceil(position).alias("high"),
-        (position - F.floor(position)).alias("part"),
+    wanted = lookup(
+        totals.select(group, "n", p.alias("p")).select(
+            group, "p",
+            F.floor(position).alias("low"), F.ceil(position).alias("high"),
+            (position - F.floor(position)).alias("part"),
+        ),
+        "ranks",
     )
     first = F.col(f"cum_{counter}") - F.col(counter)
     held = lambda k: (first <= F.col(k)) & (F.col(k) < F.col(f"cum_{counter}"))
-    hits = counts.where(F.col(counter) > 0).join(F.broadcast(wanted), group).where(held("low") | held("high"))
+    hits = counts.where(F.col(counter) > 0).join(wanted, group).where(held("low") | held("high"))
     ends = hits.groupBy(group, "p").agg(
         F.first("part").alias("part"),
         F.max(F.when(held("low"), F.col("value"))).alias("a"),

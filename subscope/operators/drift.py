@@ -8,7 +8,7 @@ from pyspark.sql.types import BooleanType, NumericType
 from subscope.functions.scalars import drift_severity
 from subscope.functions.tails import kolmogorov_p
 from subscope.operators.distribution import cumulative_counts, quantiles_from_counts, to_long
-from subscope.session import staged
+from subscope.session import lookup
 
 # Share given to an empty bin, and the limits of the drift flag.
 EMPTY_SHARE = 1e-6
@@ -49,7 +49,7 @@ def psi_by_feature(counts: DataFrame, bins: int = 10) -> DataFrame:
     """
     marks = [i / bins for i in range(1, bins)]
     # one row of bins - 1 edges per feature, used twice
-    edges = staged(
+    edges = lookup(
         quantiles_from_counts(counts, "feature", "r", marks)
         .groupBy("feature")
         .agg(F.sort_array(F.collect_list("quantile")).alias("edges")),
@@ -57,7 +57,7 @@ def psi_by_feature(counts: DataFrame, bins: int = 10) -> DataFrame:
     )
     bin_of = F.size(F.filter("edges", lambda e: e <= F.col("value")))
     filled = (
-        counts.join(F.broadcast(edges), "feature")
+        counts.join(edges, "feature")
         .groupBy("feature", bin_of.alias("bin"))
         .agg((F.sum("r") / F.first("n_r")).alias("e"), (F.sum("c") / F.first("n_c")).alias("a"))
     )

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from subscope.functions.scalars import equal_width_bin
 from subscope.operators.distribution import exact_quantiles, to_long
-from subscope.session import staged
+from subscope.session import lookup, staged
 
 # Columns of the correlation heat map.
 CORRELATED = [
@@ -54,10 +54,9 @@ def histogram(df: DataFrame, value: str, by: str, bins: int) -> DataFrame:
         ),
         "histogram",
     )
-    # one row per class
-    limits = rows.groupBy(by).agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+    limits = lookup(rows.groupBy(by).agg(F.min("v").alias("lo"), F.max("v").alias("hi")), "limits")
     return (
-        rows.join(F.broadcast(limits), by)
+        rows.join(limits, by)
         .groupBy(by, equal_width_bin(F.col("v"), F.col("lo"), F.col("hi"), bins).alias("bin"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
@@ -81,9 +80,8 @@ def box_summary(df: DataFrame, value: str, by: str, slice_rows: int | None = Non
     )
     reach = (F.col("q3") - F.col("q1")) * 1.5
     inside = F.col("value").between(F.col("q1") - reach, F.col("q3") + reach)
-    # ``five`` holds one row per class
     return (
-        rows.join(F.broadcast(five), by)
+        rows.join(lookup(five, "five"), by)
         .groupBy(by, "min", "q1", "median", "q3", "max")
         .agg(
             F.min(F.when(inside, F.col("value"))).alias("whisker_low"),

@@ -33,7 +33,8 @@ def rfm_base(transactions: DataFrame, reference: dt.date | dt.datetime | str | N
     The result is staged, as the scores need several passes over it. ``monetary_exact``
     keeps the type of the amounts, so that decimals rank without rounding.
     """
-    when = F.col("transaction_date").cast("timestamp")
+    # times without a zone: no day of a customer is an hour short
+    when = F.col("transaction_date").cast("timestamp_ntz")
     base = staged(
         transactions.where(F.col("customer_id").isNotNull())
         .groupBy("customer_id")
@@ -48,7 +49,7 @@ def rfm_base(transactions: DataFrame, reference: dt.date | dt.datetime | str | N
     )
     if reference is None:
         reference = base.agg(F.max("last_seen")).first()[0]
-    seconds = F.unix_timestamp(F.lit(reference).cast("timestamp")) - F.unix_timestamp("last_seen")
+    seconds = F.timestamp_diff("SECOND", F.col("last_seen"), F.lit(str(reference)).cast("timestamp_ntz"))
     return base.select(
         "customer_id",
         F.floor(seconds / 86400).cast("int").alias("recency"),

@@ -176,7 +176,7 @@ def segment_names(profiles: DataFrame, label: str = "segment") -> DataFrame:
 
 def with_names(df: DataFrame, names: DataFrame, label: str = "segment") -> DataFrame:
     """Attach segment names; a segment without a name gets ``Segment <id>``."""
-    named = df.join(F.broadcast(names), label, "left")  # one row per segment
+    named = df.join(names, label, "left")
     return named.withColumn(
         "segment_name", F.coalesce("segment_name", F.concat(F.lit("Segment "), F.col(label)))
     )

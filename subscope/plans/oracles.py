@@ -200,6 +200,11 @@ l AS (SELECT churn, CAST(min(tenure_months) AS DOUBLE) AS lo, CAST(max(tenure_mo
 b AS (SELECT churn, CASE WHEN hi = lo THEN 1 ELSE least(CAST(floor((tenure_months - lo) / {width}) AS INT) + 1, 30) END AS bin
       FROM enriched JOIN l USING (churn))
 SELECT churn, bin, count(*) AS n FROM b GROUP BY ALL"""
+    s["histogram_by_risk"] = f"""WITH {SCORED}, v AS (SELECT {_BINS} AS risk_level, churn_probability AS p FROM scored),
+l AS (SELECT risk_level, min(p) AS lo, max(p) AS hi FROM v WHERE risk_level IS NOT NULL GROUP BY 1),
+b AS (SELECT risk_level, CASE WHEN hi = lo THEN 1 ELSE least(CAST(floor((p - lo) / ((hi - lo) / 40.0::DOUBLE)) AS INT) + 1, 40) END AS bin
+      FROM v JOIN l USING (risk_level))
+SELECT risk_level, bin, count(*) AS n FROM b GROUP BY ALL"""
     s["box_monetary_by_churn"] = f"""WITH {ENRICHED},
 f AS (SELECT churn, quantile_cont(monetary, [0.0, 0.25, 0.5, 0.75, 1.0]) AS q FROM enriched GROUP BY 1),
 g AS (SELECT churn, q[1] AS mn, q[2] AS q1, q[3] AS md, q[4] AS q3, q[5] AS mx FROM f),

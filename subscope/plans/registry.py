@@ -123,6 +123,8 @@ def board_queries() -> dict[str, Query]:
         "high_risk_customers": lambda s, d: kpis.high_risk(t.scored_customers(s, d)),
         "segment_profile_dash": lambda s, d: kpis.segment_board(enriched(s, d)),
         "histogram_by_class": lambda s, d: eda.histogram(enriched(s, d), "tenure_months", "churn", 30),
+        "histogram_by_risk": lambda s, d: eda.histogram(
+            levelled(s, d, risk_by_bins), "churn_probability", "risk_level", 40),
         "box_monetary_by_churn": lambda s, d: rounded(
             eda.box_summary(enriched(s, d), "monetary", "churn"),
             4, "min", "q1", "median", "q3", "max", "whisker_low", "whisker_high"),
@@ -325,7 +327,7 @@ def segment_queries() -> dict[str, Query]:
         "sample_rfm": lambda s, d: features.sample_rows(
             enriched(s, d).select("customer_id", "recency", "monetary", "segment_name"), "customer_id", 1000),
         "stratified_split": lambda s, d: features.stratified_split(
-            t.subscribers(s, d).select("customer_id", "churn"), "customer_id", "churn"),
+            staged(t.subscribers(s, d).select("customer_id", "churn"), "people"), "customer_id", "churn"),
         "segment_profile": lambda s, d: rounded(
             segments.profile(_labelled(s, d), segments.FEATURES), 4, *means),
         "segment_names": lambda s, d: segments.segment_names(

@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 _local_roots: dict[str, str] = {}
 
@@ -65,6 +65,18 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+BROADCAST_ROWS = 200_000
+
+
+def lookup(df: DataFrame, label: str, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Stage a small join side and hint its broadcast only if it has at most ``limit`` rows.
+
+    Beyond that the join is left to the optimizer, which shuffles both sides.
+    """
+    stored = staged(df, label)
+    return F.broadcast(stored) if stored.count() <= limit else stored
+
+
 def clear_stage(spark: SparkSession) -> None:
     """Delete the staged tables of this application; results must have been stored by then."""
     root = spark._jvm.org.apache.hadoop.fs.Path(stage_root(spark))

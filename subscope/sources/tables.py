@@ -93,7 +93,7 @@ def dim_customer(spark: SparkSession, folder: str) -> DataFrame:
             (key % 3 == 0).alias("has_tv"),
             (key % 5 == 0).alias("has_roaming"),
             F.coalesce(months_open, F.lit(0)).cast("int").alias("tenure_months"),
-            F.coalesce(F.col("last_order") < F.lit(CHURN_CUTOFF).cast("timestamp"), F.lit(True)).alias(
+            F.coalesce(F.col("last_order") < F.lit(CHURN_CUTOFF).cast("timestamp_ntz"), F.lit(True)).alias(
                 "churn_flag"
             ),
         )
@@ -239,7 +239,7 @@ def brand_purchases(spark: SparkSession, folder: str) -> DataFrame:
 
 def experiment(spark: SparkSession, folder: str) -> DataFrame:
     """A/B frame: two groups of customers, spend per month before and after a date."""
-    start = F.lit(EXPERIMENT_START).cast("timestamp")
+    start = F.lit(EXPERIMENT_START).cast("timestamp_ntz")
     after = F.col("o_orderdate") >= start
     amount = F.col("o_totalprice").cast(MONEY)
     spend = table(spark, folder, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(
@@ -270,7 +270,7 @@ def drift_sides(spark: SparkSession, folder: str, shift: float = 1.0) -> tuple[D
     lines = table(spark, folder, "lineitem").select(
         "l_shipdate", "l_quantity", "l_extendedprice", "l_discount", "l_tax"
     )
-    cut = F.lit(DRIFT_CUTOFF).cast("timestamp")
+    cut = F.lit(DRIFT_CUTOFF).cast("timestamp_ntz")
     reference = lines.where(F.col("l_shipdate") < cut).drop("l_shipdate")
     current = (
         lines.where(F.col("l_shipdate") >= cut)

@@ -3,6 +3,7 @@
 Usage: python tests/check_all.py [folder] [query ...]
 """
 
+import os
 import sys
 import time
 
@@ -16,7 +17,12 @@ from subscope.session import session
 def main() -> int:
     folder = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     wanted = sys.argv[2:]
-    spark = session("check", "local[8]", spark__sql__shuffle__partitions="8", spark__driver__memory="8g")
+    spark = session(
+        "check", "local[8]",
+        spark__sql__shuffle__partitions=os.environ.get("CHECK_PARTITIONS", "8"),
+        spark__sql__session__timeZone=os.environ.get("CHECK_TIMEZONE", "UTC"),
+        spark__driver__memory="8g",
+    )
     spark.sparkContext.setLogLevel("ERROR")
     con, sqls, failed = oracle(folder), contract.oracle_sql(), 0
     for name, query in contract.queries().items():

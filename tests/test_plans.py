@@ -5,6 +5,8 @@ import re
 import pytest
 
 import __spark_entry__ as contract
+from subscope.plans import reports
+from subscope.sources import tables as t
 
 QUERIES, SQL = contract.queries(), contract.oracle_sql()
 
@@ -36,6 +38,10 @@ def test_scans_read_only_what_is_used(spark, small):
     plan = plan_of(QUERIES["segment_explorer"](spark, small))
     assert any("EqualTo(r_name,ASIA)" in line for line in scans(plan, "region"))
 
+    plan = plan_of(t.drift_sides(spark, small)[1])
+    (scan,) = scans(plan, "lineitem")
+    assert "GreaterThanOrEqual(l_shipdate" in scan and "l_orderkey" not in scan.split("ReadSchema")[1]
+
 
 def test_top_customers_are_limited_before_the_shuffle(spark, small):
     plan = plan_of(QUERIES["q3_top_customers_per_city"](spark, small))
@@ -43,9 +49,6 @@ def test_top_customers_are_limited_before_the_shuffle(spark, small):
 
 
 def test_ranked_reports_sort_within_slices(spark, small):
-    from subscope.plans import reports
-    from subscope.sources import tables as t
-
     whole = reports.value_tiers(t.fact_transactions(spark, small), t.dim_customer(spark, small))
     sliced = reports.value_tiers(t.fact_transactions(spark, small), t.dim_customer(spark, small), slice_rows=20)
     assert "hashpartitioning(_slice" in plan_of(sliced).replace("#", " #").replace("_slice #", "_slice#")

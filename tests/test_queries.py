@@ -8,7 +8,7 @@ from checking import compare, oracle
 QUERIES, SQL = contract.queries(), contract.oracle_sql()
 # fitted models and iterative jobs have property tests of their own
 MODELLED = {
-    "segments_kmeans", "score_segment", "auto_k", "dbscan", "dbscan_summary", "rec_collaborative", "rec_hybrid",
+    "segments_kmeans", "score_segment", "auto_k", "rec_collaborative", "rec_hybrid",
     "score_recommend", "churn_scores", "churn_importance", "churn_top_factors", "score_churn", "model_compare",
 }
 
