@@ -16,7 +16,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from subscope.session import staged
 
-SLICE_ROWS = 500_000
+SLICE_ROWS = 100_000
+HOT_ROWS = 500_000
 MAX_SLICES = 4096
 SAMPLE_PER_SLICE = 64
 _FAN = 64
@@ -225,7 +226,7 @@ def neighbour(
     with more than ``floor`` rows is cut into slices, and the row next to a cut takes
     its neighbour from the edge table.
     """
-    floor = floor or SLICE_ROWS
+    floor = floor or HOT_ROWS
     previous = direction == "previous"
     step = F.lag if previous else F.lead
     hot = heavy_keys(df, key, floor)

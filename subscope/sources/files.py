@@ -9,7 +9,9 @@ from subscope.sources import schemas
 
 
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).option("header", True).option("dateFormat", "yyyy-MM-dd").csv(path)
+    # a header that differs from the schema is an error, not a silent shift of columns
+    reader = spark.read.schema(schema).option("header", True).option("enforceSchema", False)
+    return reader.option("dateFormat", "yyyy-MM-dd").csv(path)
 
 
 def load_customers(spark: SparkSession, path: str) -> DataFrame:
