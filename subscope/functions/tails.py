@@ -10,9 +10,11 @@ import math
 from statistics import NormalDist
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, SparkSession, functions as F
 from pyspark.sql.types import DoubleType
 
+from subscope.session import ship
+
 
 def normal_two_sided(z: float) -> float:
     return math.erfc(abs(z) / math.sqrt(2.0))
@@ -62,19 +64,29 @@ def student_two_sided(t: float, df: float) -> float:
     return incomplete_beta(df / 2.0, 0.5, df / (df + t * t))
 
 
-@F.pandas_udf(DoubleType())
-def normal_p(z: pd.Series) -> pd.Series:
+def normal_p(z: str) -> Column:
     """Two-sided normal p-value of finished z statistics."""
-    return z.map(normal_two_sided, na_action="ignore")
+    ship(SparkSession.active())
+
+    @F.pandas_udf(DoubleType())
+    def p_value(values: pd.Series) -> pd.Series:
+        return values.map(normal_two_sided, na_action="ignore")
+
+    return p_value(z)
 
 
-@F.pandas_udf(DoubleType())
-def student_p(t: pd.Series, df: pd.Series) -> pd.Series:
+def student_p(t: str, df: str) -> Column:
     """Two-sided Student p-value of finished t statistics."""
-    return pd.Series(
-        [None if pd.isna(a) or pd.isna(b) else student_two_sided(a, b) for a, b in zip(t, df)],
-        dtype="float64",
-    )
+    ship(SparkSession.active())
+
+    @F.pandas_udf(DoubleType())
+    def p_value(values: pd.Series, freedom: pd.Series) -> pd.Series:
+        return pd.Series(
+            [None if pd.isna(a) or pd.isna(b) else student_two_sided(a, b) for a, b in zip(values, freedom)],
+            dtype="float64",
+        )
+
+    return p_value(t, df)
 
 
 def kolmogorov_p(d: Column, n1: Column, n2: Column) -> Column:

@@ -18,7 +18,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from subscope.session import stage_path
+from subscope.session import ship, stage_path
 
 
 @dataclass(frozen=True)
@@ -139,6 +139,7 @@ def shapley_values(ensemble: Ensemble, x: np.ndarray) -> np.ndarray:
 
 def attribution_column(spark: SparkSession, ensemble: Ensemble, features: str = "features") -> Column:
     """Array of attributions, in the order of the feature vector."""
+    ship(spark)
     shared = spark.sparkContext.broadcast(ensemble)
 
     @F.pandas_udf(ArrayType(DoubleType()))

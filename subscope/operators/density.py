@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from subscope.operators.components import components
 from subscope.operators.features import Scale
 from subscope.operators.ordering import global_order
-from subscope.session import staged
+from subscope.session import ship, staged
 
 LEAF = 64
 CHUNK = 2048
@@ -148,6 +148,7 @@ class _Grid:
         Both sides carry block and _salt. The left side visits the neighbours of its
         block, with ``half`` only those not before it.
         """
+        ship(left.sparkSession)
         shifts = [s for s in product((-1, 0, 1), repeat=len(self.blocked)) if not half or s >= (0,) * len(s)]
         targets = F.array(*[
             F.concat_ws("_", *[(F.col("block")[i] + F.lit(s[i])).cast("string") for i in self.blocked])

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from subscope.operators.features import minmax_catalog
 from subscope.operators.ordering import global_order
-from subscope.session import staged
+from subscope.session import ship, staged
 
 # Rows needed to trust collaborative scores, and the rating range.
 MIN_INTERACTIONS = 3
@@ -108,6 +108,7 @@ def _matrix(column: pd.Series, width: int) -> np.ndarray:
 def _blocks(items: DataFrame, block_items: int) -> list:
     """Broadcast blocks of the staged item table (columns item, from 0, and features)."""
     spark, total, made = items.sparkSession, items.count(), []
+    ship(spark)
     for start in range(0, total, block_items):
         # at most ``block_items`` rows
         rows = items.where(F.col("item").between(start, start + block_items - 1)).orderBy("item").toPandas()

@@ -12,7 +12,7 @@ from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.sql import DataFrame, Window, functions as F
 
 from subscope.operators.features import Scale, sample_rows
-from subscope.session import staged
+from subscope.session import ship, staged
 
 # Segmentation features and segment names from the highest spend down.
 FEATURES = ["recency", "frequency", "monetary", "tenure_months", "avg_data_gb"]
@@ -97,6 +97,7 @@ def silhouette_rows(points: DataFrame, key: str, label: str, sample: int = SILHO
     rows = staged(sample_rows(points.select(key, label, "point"), key, sample), "silhouette")
     held = rows.select(label, "point").collect()
     spark = points.sparkSession
+    ship(spark)
     names, codes = np.unique([r[label] for r in held], return_inverse=True)
     # at most ``sample`` points
     shared = spark.sparkContext.broadcast((np.array([r["point"] for r in held], dtype=float), names, codes))
