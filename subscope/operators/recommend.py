@@ -287,32 +287,36 @@ class Recommender:
 
     def fit(self, transactions: DataFrame, tariffs: DataFrame) -> Recommender:
         rated = staged(ratings(transactions), "ratings")
-        known = tariffs.select("tariff_id").unionByName(rated.select("tariff_id")).distinct()
-        numbered = global_order(known, ["tariff_id"], rank="code", label="plans").frame
-        numbered = staged(numbered.select("tariff_id", F.col("code").cast("int").alias("code")), "plans")
-        mean, item_bias, user_bias = self._biases(rated)
-        user_factors, item_factors = self._factors(rated, numbered, mean, item_bias, user_bias)
-
-        self.items = staged(
-            item_table(tariffs, popularity(transactions))
-            .drop("bias", "factors")
-            .join(item_bias, "tariff_id", "left")
-            .join(item_factors, "tariff_id", "left")
-            .na.fill({"bias": 0.0}),
-            "items",
-        )
+        # a customer has one rating per plan, so ratings count customers
+        popular = rated.groupBy("tariff_id").agg(F.count(F.lit(1)).alias("popularity"))
+        items = item_table(tariffs, popular)
+        mean = 0.0
+        if self.collaborative_model:
+            mean, item_bias, user_bias = self._biases(rated)
+            user_factors, item_factors = self._factors(rated, tariffs, mean, item_bias, user_bias)
+            items = staged(
+                items.drop("bias", "factors")
+                .join(item_bias, "tariff_id", "left")
+                .join(item_factors, "tariff_id", "left")
+                .na.fill({"bias": 0.0}),
+                "items",
+            )
+        self.items = items
         own = rated.groupBy("customer_id").agg(
             F.count(F.lit(1)).alias("interactions"),
             F.collect_set("tariff_id").alias("seen"),  # at most the catalog
             F.min_by("tariff_id", F.struct(-F.col("months"), F.col("tariff_id"))).alias("anchor_id"),
         )
-        self.users = staged(
-            own.join(user_bias, "customer_id", "left")
-            .join(user_factors, "customer_id", "left")
-            .withColumn("base", F.lit(mean) + F.coalesce("user_bias", F.lit(0.0)))
-            .drop("user_bias"),
-            "users",
-        )
+        if self.collaborative_model:
+            own = (
+                own.join(user_bias, "customer_id", "left")
+                .join(user_factors, "customer_id", "left")
+                .withColumn("base", F.lit(mean) + F.coalesce("user_bias", F.lit(0.0)))
+                .drop("user_bias")
+            )
+        else:
+            own = own.withColumns({"base": F.lit(mean), "factors": F.lit(None).cast("array<double>")})
+        self.users = staged(own, "users")
         return self
 
     @staticmethod
@@ -331,11 +335,11 @@ class Recommender:
         )
         return mean, item_bias, staged(user_bias, "user-bias")
 
-    def _factors(self, rated, numbered, mean, item_bias, user_bias) -> tuple[DataFrame, DataFrame]:
+    def _factors(self, rated, tariffs, mean, item_bias, user_bias) -> tuple[DataFrame, DataFrame]:
         """Latent factors of the residuals that the biases leave."""
-        if not self.collaborative_model:
-            none = F.lit(None).cast("array<double>").alias("factors")
-            return user_bias.select("customer_id", none), item_bias.select("tariff_id", none)
+        known = tariffs.select("tariff_id").unionByName(rated.select("tariff_id")).distinct()
+        numbered = global_order(known, ["tariff_id"], rank="code", label="plans").frame
+        numbered = staged(numbered.select("tariff_id", F.col("code").cast("int").alias("code")), "plans")
         people = global_order(
             rated.select("customer_id").distinct(), ["customer_id"], rank="user", label="people"
         ).frame
