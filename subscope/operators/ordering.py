@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from subscope.session import staged
 
-SLICE_ROWS = 100_000
+SLICE_ROWS = 250_000
 HOT_ROWS = 500_000
 MAX_SLICES = 4096
 SAMPLE_PER_SLICE = 64
