@@ -73,5 +73,41 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 """
 
 
+
+
+def _op8() -> str:
+    """Every line against every template, word set by word set; phrases by their places."""
+    from subscope.llm.licenses import PHRASES, TEMPLATES, THRESHOLD, words_of
+
+    quoted = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+    notices = ", ".join(f"('{label}', {quoted(words_of(text))})" for label, text in TEMPLATES)
+    phrases = ", ".join(f"({quoted(p.split())}, '{label}')" for p, label in PHRASES.items())
+    word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"""
+WITH notices(label, parts) AS (VALUES {notices}), phrases(parts, label) AS (VALUES {phrases}),
+docs AS (SELECT doc_id, row_number() OVER () AS r, {lower} AS low FROM documents),
+worded AS (SELECT doc_id, r, low, regexp_extract_all(low, '{word}') AS words FROM docs),
+places AS (
+    SELECT r, label, i FROM (SELECT r, words, unnest(range(len(words))) AS i FROM worded WHERE contains(low, 'license') OR contains(low, 'nc'))
+    JOIN phrases ON list_extract(words, i + 1) = parts[1] AND words[i + 1 : i + len(parts)] = parts
+),
+base AS (
+    SELECT r, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list_sort(list_distinct(list(label))) AS labels FROM places GROUP BY r
+),
+lines AS (SELECT r, list_distinct(regexp_extract_all(unnest(string_split(low, chr(10))), '{word}')) AS words FROM docs),
+met AS (
+    SELECT r, label, len(list_intersect(words, parts))::DOUBLE / len(parts) AS share FROM lines, notices
+    WHERE len(list_intersect(words, parts)) >= ceil({THRESHOLD} * len(parts) - 1e-9)
+),
+added AS (SELECT r, list_distinct(list(label)) AS labels, max(share) AS best FROM met GROUP BY r)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+       coalesce(list_aggregate(b.labels, 'string_agg', ','), '') AS base_labels,
+       coalesce(list_aggregate(list_sort(list_distinct(list_concat(coalesce(b.labels, []), coalesce(a.labels, [])))), 'string_agg', ','), '') AS labels,
+       CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(best, 0.0::DOUBLE) END AS score
+FROM worded LEFT JOIN base b USING (r) LEFT JOIN added a USING (r)
+"""
+
+
 def statements() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1, "op2_mixture": OP2, "op3_top_k": OP3}
+    return {"op1_exact_dedup": OP1, "op2_mixture": OP2, "op3_top_k": OP3, "op8_licenses": _op8()}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from subscope.llm import exact, language, mixing, packing, sharding, simhash, topk
+from subscope.llm import exact, language, licenses, mixing, packing, pii, sharding, simhash, topk
 from subscope.llm.common import table
 
 #: The tokenizer that packing counts with; a file the workers have as well.
@@ -42,6 +42,27 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).drop("_mark")
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.personal_data(table(spark, sf_dir, "documents"))
+    base = [k.name for k in pii.KINDS if k.base]
+    of_kind = lambda kind: F.filter("found", lambda s: s["kind"] == kind)
+    counts = [F.size(of_kind(kind)).cast("long").alias(f"n_{kind}") for kind in base]
+    kept = pii.listed(F.filter("found", lambda s: s["kind"].isin(*base)))
+    return found.select(
+        "doc_id", *counts, F.sha2(kept, 256).alias("base_sha256"), pii.listed(F.col("found")).alias("spans"),
+        F.array_max(F.transform("found", lambda s: s["score"])).alias("top_score"),
+    )
+
+
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.license_scan(table(spark, sf_dir, "documents"))
+    named = F.array_sort(F.array_union("base", F.transform("blocks", lambda b: b["label"])))
+    return found.select(
+        "doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base", ",").alias("base_labels"),
+        F.array_join(named, ",").alias("labels"), "score",
+    )
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_packing(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -56,5 +77,5 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (op1_exact_dedup, op2_mixture, op3_top_k, op5_language_id, op6_simhash, op9_packing, op10_sharding)
+        for f in (op1_exact_dedup, op2_mixture, op3_top_k, op5_language_id, op6_simhash, op7_pii, op8_licenses, op9_packing, op10_sharding)
     }
