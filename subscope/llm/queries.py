@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from subscope.llm import exact, language, licenses, mixing, packing, pii, sharding, simhash, topk
+from subscope.llm import exact, language, licenses, mixing, packing, passages, pii, sharding, simhash, topk
 from subscope.llm.common import table
 
 #: The tokenizer that packing counts with; a file the workers have as well.
@@ -34,6 +34,10 @@ def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.expr("vec_id % 20 = 0"))
 
 
+def op4_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.of_documents(spark, table(spark, sf_dir, "documents"), sf_dir).drop("_mark")
 
@@ -77,5 +81,5 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (op1_exact_dedup, op2_mixture, op3_top_k, op5_language_id, op6_simhash, op7_pii, op8_licenses, op9_packing, op10_sharding)
+        for f in (op1_exact_dedup, op2_mixture, op3_top_k, op4_passages, op5_language_id, op6_simhash, op7_pii, op8_licenses, op9_packing, op10_sharding)
     }

@@ -226,7 +226,7 @@ def _chunk_links(crowded: DataFrame, limit: int, block: int) -> DataFrame:
         )
     )
 
-    def compared(key, batch: pa.Table) -> pa.Table:
+    def compared(key, batch):
         prints = batch.column("fingerprint").to_numpy().view(np.uint64)
         pairs = _forest(prints, int(batch.column("start")[0].as_py()), limit)
         src = np.array([p[0] for p in pairs], np.uint64).view(np.int64)
