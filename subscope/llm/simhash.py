@@ -69,6 +69,8 @@ def _cuts(limit: int) -> list[int]:
 
 
 def _slice(low: int, high: int) -> Column:
+    if high - low == BITS:
+        return F.col("fingerprint")
     return F.shiftrightunsigned("fingerprint", low).bitwiseAND(F.lit((1 << (high - low)) - 1))
 
 
