@@ -61,8 +61,14 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+_tables: dict[int, np.ndarray] = {}
+
+
 def _powers(base: int, n: int) -> np.ndarray:
-    return np.concatenate(([np.uint64(1)], np.cumprod(np.full(max(0, n - 1), base, np.uint64))))[:n]
+    """The first ``n`` powers, from a table that grows with the longest text seen."""
+    if len(_tables.get(base, ())) < n:
+        _tables[base] = np.concatenate(([np.uint64(1)], np.cumprod(np.full(max(2 * n, 4096), base, np.uint64))))
+    return _tables[base][:n]
 
 
 def _runs(words: np.ndarray, length: int, base: int) -> np.ndarray:
@@ -92,8 +98,9 @@ class Text:
         bounds = np.concatenate(([0], cuts, [len(self.words)]))
         return [(int(a), int(b)) for a, b in zip(bounds[:-1], bounds[1:]) if b - a >= least]
 
-    def shingles(self, a: int, b: int) -> np.ndarray:
-        return np.unique(_runs(self.words[a:b], SHINGLE, _BASES[0]))
+    def shingles(self) -> np.ndarray:
+        """The shingle that starts at each word but the last ones."""
+        return _runs(self.words, SHINGLE, _BASES[0]) if len(self.words) >= SHINGLE else np.zeros(0, np.uint64)
 
     def winnowed(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(first word, hash, second hash) of the runs that are smallest in some window."""
@@ -119,10 +126,11 @@ def paragraph_rows(docs: DataFrame, bands: int, rows: int) -> DataFrame:
             found, lists, sizes = [], [], []
             for doc_id, data in zip(batch.column("doc_id").to_pylist(), batch.column("_text")):
                 text = Text(data.as_py())
+                shingles = text.shingles()
                 for a, b in text.paragraphs(PARAGRAPH):
                     name = xxhash.xxh128_digest(b" ".join(text.split[a:b]))
                     found.append((doc_id, int(text.start[a]), int(text.end[b - 1]), name))
-                    lists.append(text.shingles(a, b))
+                    lists.append(shingles[a : b - SHINGLE + 1])
                     sizes.append(len(lists[-1]))
             if not found:
                 continue
@@ -230,7 +238,7 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [np.sort(Text(x.as_py()).shingles(0, len(x.as_py().split())).view(np.int64)) for x in batch.column("_text")]
+            sets = [np.unique(Text(x.as_py()).shingles().view(np.int64)) for x in batch.column("_text")]
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.list_(pa.int64()))], ["node", "set"])
 
     return cut.mapInArrow(shingled, "node bigint, set array<bigint>")
@@ -267,12 +275,12 @@ def shared_passages(docs: DataFrame) -> DataFrame:
 
     Runs with the same first document that overlap or touch are one passage.
     """
-    runs = run_rows(docs)
+    runs = staged(run_rows(docs), "winnowed")
     # partial sums meet first, so a run in a third of the documents is a few rows per task
     several = staged(
         runs.groupBy("run", "check").agg(F.min("doc_id").alias("keep_id"), F.max("doc_id").alias("_last"))
         .where("keep_id <> _last").drop("_last"),
-        "runs",
+        "several",
     )
     met = runs.join(several, ["run", "check"]).select("doc_id", "start", "end", "keep_id")
     before = W.partitionBy("doc_id", "keep_id").orderBy("start", "end")
