@@ -46,8 +46,9 @@ def months_between_keys(later: Column, earlier: Column) -> Column:
 
 
 def full_months(as_of: Column, start: Column) -> Column:
-    """Completed months from ``start`` to ``as_of``."""
-    return F.floor(F.months_between(as_of, start)).cast("int")
+    """Completed months from ``start`` to ``as_of``: a month ends on the day it began, not on its last."""
+    months = (F.year(as_of) - F.year(start)) * 12 + F.month(as_of) - F.month(start)
+    return (months - F.when(F.dayofmonth(as_of) < F.dayofmonth(start), 1).otherwise(0)).cast("int")
 
 
 # Limits of the three risk scales.

@@ -135,8 +135,8 @@ class ChurnModel:
         phi = attribution_column(spark, self.ensemble(spark))
         return self._fitted().transform(df).withColumn("phi", phi).select(*df.columns, "phi")
 
-    def explain(self, df: DataFrame, key: str = "customer_id", sample: int | None = 500) -> DataFrame:
-        """(feature, importance) over the first ``sample`` rows by key, or over all."""
+    def explain(self, df: DataFrame, key: str = "customer_id", sample: int | None = None) -> DataFrame:
+        """(feature, importance) over all rows, or over the first ``sample`` rows by key."""
         rows = df if sample is None else df.orderBy(key).limit(sample)
         return mean_importance(self.attributed(rows), self.feature_names)
 

@@ -143,7 +143,7 @@ def _features() -> dict[str, str]:
     scores = "r_score, f_score, m_score, rfm_score"
     s["rfm_base"] = f"WITH {rfm()} SELECT {columns} FROM rfm"
     s["rfm_scores"] = f"WITH {rfm()} SELECT {columns}, {scores} FROM rfm"
-    s["rfm_merged"] = f"""WITH {rfm("WHERE transaction_date >= DATE '2001-01-01'")}, {SUBSCRIBERS}
+    s["rfm_merged"] = f"""WITH {rfm()}, {SUBSCRIBERS}
 SELECT s.customer_id, age, gender, city, tenure_months, tariff_id, contract_type, payment_method, paperless_billing,
        has_internet, has_tv, has_roaming, churn, segment_name,
        coalesce(recency, 999) AS recency, coalesce(frequency, 0) AS frequency, coalesce(monetary, 0) AS monetary,

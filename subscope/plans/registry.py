@@ -79,7 +79,7 @@ def feature_queries() -> dict[str, Query]:
         "rfm_scores": lambda s, d: rounded(rfm.rfm_scores(t.transactions(s, d)), 6, *means),
         "rfm_merged": lambda s, d: rounded(
             rfm.merge_with_customers(
-                t.subscribers(s, d), rfm.rfm_scores(t.transactions(s, d, since="2001-01-01"))
+                t.subscribers(s, d), rfm.rfm_scores(t.transactions(s, d))
             ), 6, *means),
         "rfm_score_counts": score_counts,
     }
@@ -270,9 +270,8 @@ def segment_queries() -> dict[str, Query]:
     means = [f"{c}_mean" for c in segments.FEATURES]
 
     def fitted(s: SparkSession, d: str) -> tuple[segments.Segmenter, DataFrame]:
-        # three restarts of the ten, to keep a check run short
         base = staged(enriched(s, d).select("customer_id", *segments.FEATURES), "enriched")
-        return segments.Segmenter(restarts=3).fit(base), base
+        return segments.Segmenter().fit(base), base
 
     def kmeans(s: SparkSession, d: str) -> DataFrame:
         segmenter, base = fitted(s, d)

@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from subscope.operators.quality import REQUEST_RANGE
+from subscope.operators.quality import REQUEST_DEFAULTS, REQUEST_RANGE
 from subscope.operators.recommend import Recommender
 
 # Upper limits of the latency buckets, in seconds; the last one is open.
@@ -31,10 +31,14 @@ def score_recommendations(recommender: Recommender, requests: DataFrame) -> Data
     """One row per request and recommended plan; the requested mode is kept.
 
     A request for plans similar to an unknown plan is answered by one row without a plan
-    and status 500, every other request has status 200.
+    and status 500. A request without ``n`` gets the default number of plans; one whose ``n`` is
+    out of range is refused by one row without a plan and status 422. Every other request
+    has status 200.
     """
     top = REQUEST_RANGE[1]
-    routed = requests.withColumn("route", route())
+    known = requests.withColumn("route", route()).withColumn("n", F.coalesce("n", F.lit(REQUEST_DEFAULTS["n"])))
+    fits = F.col("n").between(*REQUEST_RANGE)
+    routed, refused = known.where(fits), known.where(~fits)
 
     def to(name: str) -> DataFrame:
         return routed.where(F.col("route") == name)
@@ -56,7 +60,7 @@ def score_recommendations(recommender: Recommender, requests: DataFrame) -> Data
                "plan_category", "score"]
     merged = reduce(DataFrame.unionByName, [_labelled(df).select(*columns) for df in served])
     status = F.when((F.col("route") == "similar") & F.col("tariff_id").isNull(), "500").otherwise("200")
-    return merged.where(F.col("rank").isNull() | (F.col("rank") <= F.col("n"))).select(
+    answered = merged.where(F.col("rank").isNull() | (F.col("rank") <= F.col("n"))).select(
         "request_id", "mode", "route", "rank", "tariff_id",
         F.coalesce("name", "tariff_id").alias("name"),
         F.coalesce("monthly_price", F.lit(0)).alias("monthly_price"),
@@ -65,7 +69,12 @@ def score_recommendations(recommender: Recommender, requests: DataFrame) -> Data
         F.bround("score", 4).alias("score"),
         status.alias("status"),
     )
-
+    given = {"monthly_price": F.lit(0), "data_gb": F.lit(0), "category": F.lit(""), "status": F.lit("422")}
+    told = {"request_id", "mode", "route"}
+    return answered.unionByName(refused.select(*[
+        (F.col(f.name) if f.name in told else given.get(f.name, F.lit(None))).cast(f.dataType).alias(f.name)
+        for f in answered.schema.fields
+    ]))
 
 
 def _labelled(df: DataFrame) -> DataFrame:

@@ -325,12 +325,14 @@ def test_requests_are_routed(spark, fitted):
         (1, "c7", None, None, "hybrid", 2), (2, "c7", None, None, "collaborative", 3), (3, None, "P03", None, "similar", 4),
         (4, None, None, "cat1", "cold_start", 2), (5, None, None, None, "hybrid", 3), (6, "stranger", None, None, "hybrid", 2),
         (7, None, "P99", None, "similar", 2), (8, None, "P01", "cat2", "other", 10),
+        (9, "c7", None, None, "hybrid", 99), (10, "c7", None, None, "hybrid", 0), (11, None, None, None, "cold_start", None),
     ], "request_id int, customer_id string, current_tariff string, category string, mode string, n int")
     out = scoring.score_recommendations(fitted, asked)
     rows = {}
     for r in out.collect():
         rows.setdefault(r["request_id"], []).append(r)
-    assert {k: len(v) for k, v in rows.items()} == {1: 2, 2: 3, 3: 4, 4: 2, 5: 3, 6: 2, 7: 1, 8: 4}
+    assert {k: len(v) for k, v in rows.items()} == {1: 2, 2: 3, 3: 4, 4: 2, 5: 3, 6: 2, 7: 1, 8: 4, 9: 1, 10: 1, 11: 5}
+    assert all(rows[k][0]["status"] == "422" and rows[k][0]["rank"] is None for k in (9, 10))
     assert rows[5][0]["mode"] == "hybrid" and rows[5][0]["route"] == "cold_start"
     assert rows[7][0]["status"] == "500" and rows[7][0]["tariff_id"] is None
     assert {r["category"] for r in rows[8]} == {"cat2"}
@@ -356,3 +358,11 @@ def test_train_everything(spark, tmp_path):
     assert recommend.Recommender.load(spark, f"{out}/recommender").cold_start(3).count() == 3
     star = jobs.load_star(spark, raw, str(tmp_path / "star"), "2025-01-01")
     assert star["fact_transactions"].count() > 250 and "year" in star["fact_transactions"].columns
+
+
+def test_a_month_ends_on_the_day_it_began(spark):
+    from subscope.functions.scalars import full_months
+
+    days = spark.sql("SELECT * FROM VALUES (DATE'2000-01-31', DATE'2001-02-28'), (DATE'2000-01-15', DATE'2000-02-15'), "
+                     "(DATE'2000-01-15', DATE'2000-02-14') AS t(a, b)")
+    assert [r[0] for r in days.select(full_months(F.col("b"), F.col("a"))).collect()] == [12, 1, 0]
