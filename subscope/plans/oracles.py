@@ -441,7 +441,7 @@ SELECT customer_id, churn, age, gender, city, tenure_months, tariff_id, contract
     s["standard_scale"] = f"WITH {ENRICHED} SELECT customer_id, {scaled} FROM enriched"
     s["one_hot"] = f"WITH {SUBSCRIBERS} SELECT customer_id, " + ", ".join(
         f"CAST({c} = '{v}' AS INT) AS {c}_{v}" for c, vs in
-        (("contract_type", ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD")), ("gender", ("F", "M"))) for v in vs
+        (("contract_type", ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")), ("gender", ("F", "M"))) for v in vs
     ) + " FROM subscribers"
     numeric = ["age", "tenure_months", "paperless_billing", "has_internet", "has_tv", "has_roaming",
                "recency", "frequency", "monetary", "avg_data_gb", "avg_minutes"]
@@ -475,6 +475,16 @@ e AS (SELECT vec_id, own, min(CASE WHEN own = other THEN total / nullif(n - 1, 0
              min(CASE WHEN own <> other THEN total / n END) AS outer_d FROM d JOIN n ON other = n.label GROUP BY ALL)
 SELECT round(avg(CASE WHEN inner_d IS NULL THEN 0 ELSE (outer_d - inner_d) / greatest(inner_d, outer_d) END), 6) AS silhouette,
        count(*) AS sampled FROM e"""
+    # mean squared distance to a cluster = squared distance to its mean + its mean squared spread
+    s["silhouette_all"] = """WITH s AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+x AS (SELECT vec_id, label, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM s),
+c AS (SELECT label, i, avg(x) AS m, var_pop(x) AS spread, count(*) AS n FROM x GROUP BY ALL),
+d AS (SELECT vec_id, x.label AS own, c.label AS other, sum((x.x - c.m) * (x.x - c.m) + c.spread) AS gap, max(c.n) AS n
+      FROM x JOIN c ON x.i = c.i GROUP BY ALL),
+e AS (SELECT vec_id, min(CASE WHEN own = other THEN gap * n / nullif(n - 1, 0) END) AS inner_d,
+             min(CASE WHEN own <> other THEN gap END) AS outer_d FROM d GROUP BY ALL)
+SELECT round(avg(CASE WHEN inner_d IS NULL THEN 0 ELSE (outer_d - inner_d) / greatest(inner_d, outer_d) END), 6) AS silhouette,
+       count(*) AS scored FROM e"""
     return s
 
 
@@ -570,10 +580,9 @@ def _services() -> dict[str, str]:
     rows = ", ".join(f"('{x}', {x}::DOUBLE)" for x in limits) + ", ('+Inf', 'inf'::DOUBLE)"
     s["latency_buckets"] = f"""WITH {log}, b(le, top) AS (VALUES {rows})
 SELECT endpoint, le, count(*) FILTER (WHERE seconds <= top) AS requests FROM log, b GROUP BY 1, 2"""
-    s["stream_request_counts"] = f"""WITH {log}, m AS (SELECT max(ts) - INTERVAL 10 MINUTE AS mark FROM log),
-w AS (SELECT date_trunc('hour', ts) AS window_start, endpoint, status, count(*) AS requests FROM log GROUP BY 1, 2, 3)
-SELECT CAST(window_start AS TIMESTAMP) AS window_start, endpoint, status, requests FROM w, m
-WHERE window_start + INTERVAL 1 HOUR <= mark"""
+    s["stream_request_counts"] = f"""WITH {log}
+SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS window_start, endpoint, status, count(*) AS requests
+FROM log WHERE ts IS NOT NULL GROUP BY 1, 2, 3"""
     pred = "churn_probability >= 0.5"
     s["binary_metrics"] = f"""WITH {SCORED},
 c AS (SELECT count(*) FILTER (WHERE churn = 0 AND NOT {pred}) AS tn, count(*) FILTER (WHERE churn = 0 AND {pred}) AS fp,

@@ -291,7 +291,7 @@ def segment_queries() -> dict[str, Query]:
 
     def search(s: SparkSession, d: str) -> DataFrame:
         base = staged(enriched(s, d).select("customer_id", *segments.FEATURES), "enriched")
-        return segments.auto_k(base, restarts=1)
+        return segments.auto_k(base)
 
     def vectors(s: SparkSession, d: str) -> DataFrame:
         return t.table(s, d, "embeddings").select(
@@ -312,8 +312,7 @@ def segment_queries() -> dict[str, Query]:
 
     def encoded(s: SparkSession, d: str) -> DataFrame:
         people = t.subscribers(s, d).select("customer_id", "contract_type", "gender")
-        known = people.where(F.col("contract_type") != "MACHINERY")
-        return features.one_hot(known, people, ["contract_type", "gender"]).drop("contract_type", "gender")
+        return features.one_hot(people, people, ["contract_type", "gender"]).drop("contract_type", "gender")
 
     scaled = ["age", "tenure_months", "recency", "frequency", "monetary"]
     return {
@@ -334,6 +333,8 @@ def segment_queries() -> dict[str, Query]:
         "segment_named": named,
         "silhouette": lambda s, d: rounded(
             segments.silhouette(vectors(s, d), "vec_id", "label"), 6, "silhouette"),
+        "silhouette_all": lambda s, d: rounded(
+            segments.silhouette_all(vectors(s, d), "vec_id", "label"), 6, "silhouette"),
         "segments_kmeans": kmeans,
         "score_segment": scored,
         "auto_k": search,
@@ -459,8 +460,8 @@ def service_queries() -> dict[str, Query]:
     def streamed(s: SparkSession, d: str) -> DataFrame:
         out, checkpoint = stage_path(s, "stream"), stage_path(s, "progress")
         log = t.request_columns(jobs.read_files(s, d, jobs.EVENTS, "events*.parquet"))
-        jobs.to_parquet(jobs.windowed_request_counts(log), out, checkpoint).awaitTermination()
-        return s.read.schema("window_start timestamp_ntz, endpoint string, status string, requests bigint").parquet(out)
+        jobs.upsert_counts(log, out, checkpoint).awaitTermination()
+        return jobs.running_counts(s, out)
 
     return {
         "request_counts": lambda s, d: scoring.request_counts(t.request_log(s, d)),

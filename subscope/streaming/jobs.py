@@ -14,7 +14,6 @@ from pyspark.sql.streaming import StreamingQuery
 
 from subscope.operators.drift import drift_report
 from subscope.operators.quality import split_valid, validate_features
-from subscope.session import staged
 
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
@@ -38,6 +37,22 @@ def windowed_request_counts(log: DataFrame, window: str = "1 hour", late: str =
     )
 
 
+def running_counts(spark: SparkSession, out: str) -> DataFrame:
+    """The latest count of every window, open ones included, from what ``upsert_counts`` wrote."""
+    schema = "window_start timestamp_ntz, endpoint string, status string, requests bigint, batch bigint"
+    return (
+        spark.read.schema(schema).parquet(out)
+        .groupBy("window_start", "endpoint", "status").agg(F.max_by("requests", "batch").alias("requests"))
+    )
+
+
+def upsert_counts(log: DataFrame, out: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
+    """Every change of a window's count, open windows included; ``running_counts`` reads the latest."""
+    return per_batch(
+        windowed_request_counts(log), lambda batch, number: batch, out, checkpoint, available_now, mode="update"
+    )
+
+
 def to_parquet(stream: DataFrame, out: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
     """Append-only, exactly-once file sink."""
     writer = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint)
@@ -52,12 +67,20 @@ def per_batch(
     out: str,
     checkpoint: str,
     available_now: bool = True,
+    mode: str = "append",
 ) -> StreamingQuery:
-    """Write ``job(batch, number)`` under ``batch=<number>``; a repeated batch overwrites itself."""
+    """Write ``job(batch, number)`` under ``batch=<number>``; a repeated batch overwrites itself.
+
+    The batch is kept for the passes of its job and released once the result is written.
+    """
     def handle(batch: DataFrame, number: int) -> None:
-        job(batch, number).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        kept = batch.persist()
+        try:
+            job(kept, number).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        finally:
+            kept.unpersist()
 
-    writer = stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
+    writer = stream.writeStream.foreachBatch(handle).outputMode(mode).option("checkpointLocation", checkpoint)
     if available_now:
         writer = writer.trigger(availableNow=True)
     return writer.start()
@@ -79,6 +102,6 @@ def drift_stream(
 ) -> StreamingQuery:
     """Drift report of every micro-batch against a fixed reference."""
     def report(batch: DataFrame, number: int) -> DataFrame:
-        return drift_report(reference, staged(batch, "drift-batch"))
+        return drift_report(reference, batch)
 
     return per_batch(stream, report, out, checkpoint, available_now)

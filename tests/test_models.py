@@ -62,6 +62,31 @@ def test_auto_k_reports_every_k(enriched):
     assert all(-1 <= r["silhouette"] <= 1 and r["inertia"] > 0 for r in found)
 
 
+def test_silhouette_of_all_rows_against_pairs(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, i % 3 * 10 if i < 60 else 99, [float(x) for x in rng.normal(i % 3, 1, 4)]) for i in range(61)]
+    points = spark.createDataFrame(rows, "id int, label int, point array<double>")
+    label, x = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
+    gaps = ((x[:, None] - x[None]) ** 2).sum(axis=2)
+    want = []
+    for i in range(61):
+        same = (label == label[i]) & (np.arange(61) != i)
+        if not same.any():
+            want.append(0.0)  # alone in its cluster
+            continue
+        inner = gaps[i][same].mean()
+        outer = min(gaps[i][label == other].mean() for other in set(label) - {label[i]})
+        want.append((outer - inner) / max(inner, outer))
+    row = segments.silhouette_all(points, "id", "label").first()
+    assert row["silhouette"] == pytest.approx(np.mean(want), abs=1e-9) and row["scored"] == 61
+
+
+def test_one_hot_of_an_unknown_value(spark):
+    rows = spark.createDataFrame([("a",), ("b",), ("c",)], "kind string")
+    out = features.one_hot(rows.where("kind <> 'c'"), rows, ["kind"]).orderBy("kind").collect()
+    assert [(r["kind_a"], r["kind_b"]) for r in out] == [(1, 0), (0, 1), (0, 0)]
+
+
 def test_segment_names(spark, enriched, segmenter):
     profile = segments.profile(segmenter.predict(enriched), segments.FEATURES)
     names = {r["segment"]: r["segment_name"] for r in segments.segment_names(profile).collect()}

@@ -47,6 +47,19 @@ def test_window_counts_survive_a_restart(spark, small, tmp_path):
     assert sorted(result.select(want.columns).collect()) == sorted(want.collect())
 
 
+def test_running_counts_hold_every_event(spark, small, tmp_path):
+    events = t.table(spark, small, "events")
+    cut = events.agg(F.min("ts") + F.expr("interval 10 days")).first()[0]
+    source, out, progress = (str(tmp_path / n) for n in ("in", "out", "progress"))
+    for part in (F.col("ts") < cut, F.col("ts") >= cut):
+        events.where(part).write.mode("append").parquet(source)
+        log = t.request_columns(jobs.read_files(spark, source, jobs.EVENTS))
+        jobs.upsert_counts(log, out, progress).awaitTermination()
+    result = jobs.running_counts(spark, out)
+    assert result.agg(F.sum("requests")).first()[0] == events.count()
+    assert result.count() == result.select("window_start", "endpoint", "status").distinct().count()
+
+
 def test_scoring_streams_equal_batch_scoring(spark, people, tmp_path):
     rows = people.drop("r_score", "f_score", "m_score", "rfm_score")
     source = str(tmp_path / "requests")
