@@ -27,6 +27,13 @@ def test_equals_sql(spark, small, name):
     assert compare(queries.queries()[name](spark, small), oracle(small), SQL[name]) == ""
 
 
+def test_queries_without_sql_are_known():
+    """Fingerprints, clusters, spans, models, tokens and rings; brute force checks them below."""
+    assert set(queries.queries()) - set(SQL) == {
+        "op4_passages", "op5_language_id", "op6_simhash", "op7_pii", "op9_packing", "op10_sharding",
+    }
+
+
 # ---- exact dedup
 
 def test_exact_on_odd_rows(odd, empty):
@@ -160,6 +167,13 @@ def test_language_by_held_out_accuracy(spark, folder):
     assert sum(r.kept for r in got.values()) >= 0.99 * len(truth)
 
 
+def test_language_model_ignores_the_partitioning(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    named = docs.select("doc_id", "text", F.col("lang").alias("declared"))
+    one, many = (language.fit(named.repartition(n), sample=20) for n in (1, 90))
+    assert np.array_equal(one, many)
+
+
 def test_language_on_odd_rows(spark, odd, empty, folder):
     known = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text", F.col("lang").alias("declared"))
     model = language.fit(known, sample=50)
