@@ -23,6 +23,8 @@ UNKNOWN = "und"
 BINS = 1 << 15
 #: Labelled documents per language that the text model is fitted on.
 SAMPLE = 400
+#: Groups of input splits that choose their labelled documents apart.
+RANKS = 64
 #: Trigrams of a text count as this many independent ones at most.
 EVIDENCE = 40.0
 #: Documents' worth of the wider prior in a host's and a suffix's prior.
@@ -67,10 +69,12 @@ def fit(docs: DataFrame, languages: Sequence[str] = LANGUAGES, sample: int = SAM
     spark = docs.sparkSession
     ship(spark)
     labelled = docs.where(F.col("declared").isin(*languages) & F.col("text").isNotNull()).select("doc_id", "declared")
-    first = W.partitionBy("declared").orderBy(spot("doc_id", F.lit("fit")), "doc_id")
-    chosen = staged(
-        labelled.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= sample).drop("_n").distinct(), "labelled"
-    )
+    # first within groups of input splits, so that a language's last ranking reads at most RANKS * sample ids
+    ranked = labelled.withColumn("_part", F.pmod(F.spark_partition_id(), F.lit(RANKS)))
+    for keys in (["declared", "_part"], ["declared"]):
+        first = W.partitionBy(*keys).orderBy(spot("doc_id", F.lit("fit")), "doc_id")
+        ranked = ranked.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= sample).drop("_n")
+    chosen = staged(ranked.drop("_part").distinct(), "labelled")
     names = list(languages)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
