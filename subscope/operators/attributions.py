@@ -21,6 +21,10 @@ from pyspark.sql.types import ArrayType, DoubleType
 from subscope.session import ship, stage_path
 
 
+#: A leaf's table has 2^features rows.
+MOST_ON_PATH = 14
+
+
 @dataclass(frozen=True)
 class Leaf:
     """Features of a path, the tests per feature, and their values per passed subset."""
@@ -43,6 +47,8 @@ class Ensemble:
 def _shapley_table(value: float, shares: np.ndarray) -> np.ndarray:
     """Attributions for every subset (bit mask) of passed features of one path."""
     m = len(shares)
+    if m > MOST_ON_PATH:
+        raise ValueError(f"a path with {m} features; fit trees of at most {MOST_ON_PATH} levels")
     masks = np.arange(2**m)
     passed = ((masks[:, None] >> np.arange(m)) & 1).astype(float)
     weights = np.array([

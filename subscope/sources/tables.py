@@ -14,7 +14,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from subscope.functions.scalars import date_key
 
 AS_OF = "2001-08-01"
-CALENDAR_START, CALENDAR_END = "1995-01-01", "2001-12-31"
 CHURN_CUTOFF = "2000-09-01"
 DRIFT_CUTOFF = "1998-06-01"
 EXPERIMENT_START = "1999-01-01"

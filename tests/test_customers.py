@@ -3,7 +3,7 @@
 import datetime as dt
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Window as W, functions as F
 
 from subscope.operators import quality, rfm
 from subscope.sources import files, generate, star
@@ -163,9 +163,32 @@ def test_star_keys_do_not_depend_on_partitions(spark, people, moves):
         return star.build_star(
             people.repartition(n), moves.repartition(n),
             generate.tariff_catalog(spark), people.select(F.col("city").alias("city_name"), F.lit("KZ").alias("region")).distinct(),
-            "2025-01-01", "2025-12-31", "2025-01-01")
+            "2025-01-01", ("2025-01-01", "2025-12-31"))
 
     one, many = built(1), built(8)
     for name in ("dim_customer", "dim_city", "fact_transactions"):
         assert sorted(map(str, one[name].collect())) == sorted(map(str, many[name].collect()))
     assert quality.check_constraints(many, star.star_constraints()).where("violations > 0").isEmpty()
+
+
+def test_star_keeps_what_it_leaves_out(spark, people, moves):
+    odd = moves.limit(4).withColumn("_n", F.row_number().over(W.orderBy("transaction_id"))).select(
+        F.concat(F.lit("ODD"), "_n").alias("transaction_id"),
+        F.when(F.col("_n") == 1, "nobody").otherwise(F.col("customer_id")).alias("customer_id"),
+        F.when(F.col("_n") <= 2, "T99").otherwise(F.col("tariff_id")).alias("tariff_id"),
+        F.when(F.col("_n") == 3, F.lit("2005-06-30").cast("date")).when(F.col("_n") != 4, F.col("transaction_date")).alias(
+            "transaction_date"),
+        *[c for c in moves.columns if c not in ("transaction_id", "customer_id", "tariff_id", "transaction_date")],
+    )
+    cities = people.select(F.col("city").alias("city_name"), F.lit("KZ").alias("region")).distinct()
+    mixed = moves.unionByName(odd)
+    built = star.build_star(people, mixed, generate.tariff_catalog(spark), cities, "2025-01-01")
+    left = {r["transaction_id"]: r["reasons"] for r in built["rejected_transactions"].collect()}
+    assert left == {"ODD1": ["customer", "tariff"], "ODD2": ["tariff"], "ODD4": ["date"]}
+    fact = built["fact_transactions"]
+    assert fact.count() + len(left) == mixed.count()
+    assert fact.where("transaction_id = 'ODD3'").first()["date_sk"] == 20050630
+    assert built["dim_date"].agg(F.min("full_date")).first()[0] == dt.date(2005, 1, 1)
+    narrow = star.build_star(people, mixed, generate.tariff_catalog(spark), cities, "2025-01-01", ("2025-01-01", "2025-12-31"))
+    assert {r["transaction_id"] for r in narrow["rejected_transactions"].where("reasons = array('date')").collect()} == {"ODD3", "ODD4"}
+    assert star.calendar_of(mixed.limit(0), "transaction_date").count() in (365, 366)

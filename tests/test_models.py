@@ -4,6 +4,7 @@ import itertools
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
@@ -366,6 +367,58 @@ def test_requests_are_routed(spark, fitted):
     assert max(r["score"] for r in rows[6]) == 0.6
 
 
+def test_best_items_of_a_row():
+    draw = np.random.default_rng(3)
+    values = draw.integers(0, 4, (50, 30)).astype(float)
+    values[draw.random((50, 30)) < 0.3] = -np.inf
+    values[7] = -np.inf
+    for n in (1, 5, 30, 40):
+        expected = []
+        for row, own in enumerate(values):
+            best = sorted((i for i in range(30) if own[i] > -np.inf), key=lambda i: (-own[i], i))[:n]
+            expected += [(row, place, item) for place, item in enumerate(best)]
+        assert list(zip(*map(np.ndarray.tolist, recommend._top(values, n)))) == expected
+
+
+def test_pieces_of_a_batch_do_not_change_results(spark, fitted, monkeypatch):
+    block = recommend.Block(np.array(["a", "b", "c"]), *[np.zeros((3, 1))] * 4)
+    monkeypatch.setattr(recommend, "CELLS", 7)
+    batch = pd.DataFrame({"seen": [["b"], None, [], ["a", "x", "c"], ["c"]]})
+    pieces = list(block.pieces(batch))
+    assert [len(p) for p in pieces] == [2, 2, 1]
+    member = np.concatenate([recommend._member(p["seen"], block) for p in pieces])
+    assert member.tolist() == [[0, 1, 0], [0, 0, 0], [0, 0, 0], [1, 0, 1], [0, 0, 1]]
+
+
+def test_large_catalog_in_bounded_pieces(spark):
+    n = 50_000
+    block = recommend.Block(np.arange(n).astype(str), np.random.default_rng(1).random((n, 4)), *[np.zeros(n)] * 2, np.zeros((n, 1)))
+    batch = pd.DataFrame({"anchor": list(np.random.default_rng(2).random((200, 4))), "anchor_id": "none"})
+    sizes = []
+    for piece in block.pieces(batch):
+        values, allowed = recommend._cosine(piece, block)
+        sizes.append(values.size)
+        row, place, item = recommend._top(values, 3)
+        assert (values[row, item].reshape(-1, 3) == -np.sort(-values, axis=1)[:, :3]).all()
+    assert max(sizes) <= recommend.CELLS and len(sizes) == 3
+
+
+def test_seen_plans_on_request(fitted):
+    every = ranked(fitted.collaborative(12, exclude_current=False))
+    assert all(len(plans) == 12 for plans in every.values())
+
+
+def test_a_customer_who_has_every_plan(spark, purchases, plans):
+    more = purchases.unionByName(plans.select(
+        F.lit("all").alias("customer_id"), "tariff_id", F.concat(F.lit("all-"), "tariff_id").alias("transaction_id"),
+        F.col("monthly_price").cast("double").alias("amount")))
+    model = recommend.Recommender(rank=2, epochs=2).fit(more, plans)
+    asked = spark.createDataFrame([(1, "all", None, None, "collaborative", 3)],
+                                  "request_id int, customer_id string, current_tariff string, category string, mode string, n int")
+    (answer,) = scoring.score_recommendations(model, asked).collect()
+    assert answer["status"] == "200" and answer["rank"] is None and answer["tariff_id"] is None
+
+
 # ---------------------------------------------------------------- training job
 
 
