@@ -1,9 +1,10 @@
 """Substring deduplication: paragraphs by MinHash banding, inner passages by winnowing.
 
-Paragraphs (lines) of enough words get a MinHash signature over their word shingles; its
-bands are tuned for high recall at the wanted similarity. Distinct paragraphs that
-collide in a band are compared by exact Jaccard similarity, and those that pass are
-clustered by connected components: of each cluster the first occurrence stays.
+Every line that has words is a paragraph. Those with a shingle of words get a MinHash
+signature over their shingles; its bands are tuned for high recall at the wanted
+similarity. Distinct paragraphs that collide in a band are compared by exact Jaccard
+similarity, and those that pass are clustered by connected components: of each cluster the
+first occurrence stays. Shorter lines are compared by equality of their words.
 
 A passage that is copied into the middle of other paragraphs leaves their signatures
 unlike. So every text is also winnowed: of the hashes of its runs of ``GRAM`` words, the
@@ -20,15 +21,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from subscope.llm.common import staged
+from subscope.llm.common import lookup, staged
 from subscope.operators.components import components
 from subscope.session import ship
 
 SHINGLE = 5
 SIMILARITY = 0.8
 RECALL = 0.995
-#: Least words of a paragraph; least words two texts share to have a passage in common.
-PARAGRAPH = 20
+#: Least words two texts share to have a passage in common.
 PASSAGE = 50
 #: Words in a run. A window has PASSAGE - GRAM + 1 runs.
 GRAM = 24
@@ -92,11 +92,11 @@ class Text:
         self.start, self.end = points[self.low], points[self.high]
         self.line = np.concatenate(([0], np.cumsum(raw == 10)))[self.low]
 
-    def paragraphs(self, least: int) -> list[tuple[int, int]]:
-        """(first word, end word) of the lines with at least ``least`` words."""
+    def paragraphs(self) -> list[tuple[int, int]]:
+        """(first word, end word) of the lines that have words."""
         cuts = np.flatnonzero(np.diff(self.line)) + 1
         bounds = np.concatenate(([0], cuts, [len(self.words)]))
-        return [(int(a), int(b)) for a, b in zip(bounds[:-1], bounds[1:]) if b - a >= least]
+        return [(int(a), int(b)) for a, b in zip(bounds[:-1], bounds[1:]) if b > a]
 
     def shingles(self) -> np.ndarray:
         """The shingle that starts at each word but the last ones."""
@@ -118,7 +118,10 @@ def _binary(docs: DataFrame) -> DataFrame:
 
 
 def paragraph_rows(docs: DataFrame, bands: int, rows: int) -> DataFrame:
-    """(doc_id, start, end, para, bands) of the paragraphs; ``para`` identifies their words."""
+    """(doc_id, start, end, para, bands) of the paragraphs; ``para`` identifies their words.
+
+    Those of fewer than ``SHINGLE`` words have no bands.
+    """
     ship(docs.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,21 +130,23 @@ def paragraph_rows(docs: DataFrame, bands: int, rows: int) -> DataFrame:
             for doc_id, data in zip(batch.column("doc_id").to_pylist(), batch.column("_text")):
                 text = Text(data.as_py())
                 shingles = text.shingles()
-                for a, b in text.paragraphs(PARAGRAPH):
+                for a, b in text.paragraphs():
                     name = xxhash.xxh128_digest(b" ".join(text.split[a:b]))
                     found.append((doc_id, int(text.start[a]), int(text.end[b - 1]), name))
-                    lists.append(shingles[a : b - SHINGLE + 1])
-                    sizes.append(len(lists[-1]))
+                    sizes.append(max(0, b - a - SHINGLE + 1))
+                    lists.append(shingles[a : a + sizes[-1]])
             if not found:
                 continue
-            every, first = np.concatenate(lists), np.cumsum(sizes) - sizes
+            size = np.array(sizes)
+            long = size > 0
+            every, first = np.concatenate(lists), (np.cumsum(size) - size)[long]
             keys = []
             for band in range(bands):
-                key = np.full(len(found), band, np.uint64)
-                for row in range(band * rows, (band + 1) * rows):
+                key = np.full(len(first), band, np.uint64)
+                for row in range(band * rows, (band + 1) * rows) if len(first) else ():
                     key = _mix(key * np.uint64(_BASES[1]) + np.minimum.reduceat(_mix(every * _ODD[row] + _ADD[row]), first))
                 keys.append(key.view(np.int64))
-            ends = pa.array(np.arange(len(found) + 1, dtype=np.int32) * bands)
+            ends = pa.array(np.concatenate(([0], np.cumsum(long))).astype(np.int32) * np.int32(bands))
             columns = [pa.array(c, t) for c, t in zip(zip(*found), (pa.int64(), pa.int32(), pa.int32(), pa.binary()))]
             yield pa.RecordBatch.from_arrays(
                 [*columns, pa.ListArray.from_arrays(ends, pa.array(np.stack(keys, axis=1).ravel()))],
@@ -244,13 +249,25 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return cut.mapInArrow(shingled, "node bigint, set array<bigint>")
 
 
+def _places(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """``found`` with each place once, also where rows of ``docs`` share a doc_id."""
+    ids = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n"))
+    shared = lookup(ids.where("_n > 1").select("doc_id"), "shared")
+    if shared.isEmpty():
+        return found
+    once = found.join(shared, "doc_id", "left_semi").dropDuplicates(["doc_id", "start", "end", "para"])
+    return found.join(shared, "doc_id", "left_anti").unionByName(once)
+
+
 def near_paragraphs(docs: DataFrame) -> DataFrame:
     """(doc_id, start, end, cluster, members, keeper): occurrences of repeated paragraphs."""
     bands, rows = tuned()
-    found = staged(paragraph_rows(docs, bands, rows), "paragraphs")
+    found = staged(_places(docs, paragraph_rows(docs, bands, rows)), "paragraphs")
     place = F.struct("doc_id", "start", "end")
     classes = staged(
         found.groupBy("para").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands"))
+        # a short line that stands once has nothing to be compared with
+        .where((F.col("n") > 1) | (F.size("bands") > 0))
         .withColumn("node", F.xxhash64("para")),
         "classes",
     )
@@ -294,8 +311,8 @@ def shared_passages(docs: DataFrame) -> DataFrame:
 def repeated_passages(docs: DataFrame) -> DataFrame:
     """One row per place of ``docs`` (doc_id, text) that holds repeated text.
 
-    ``kind`` is paragraph (a line of at least ``PARAGRAPH`` words that is equal or similar to
-    another, in the same or another document) or passage (words that other documents have as
+    ``kind`` is paragraph (a line that is equal to another, in the same or another document,
+    or similar to one if it has at least ``SHINGLE`` words) or passage (words that other documents have as
     well, at least ``GRAM`` in a row; every shared ``PASSAGE`` words are found). The first
     occurrence, by doc_id and start, stays (removed = false); for a passage that is the
     smallest doc_id, keep_id. Places are code points, the end exclusive. Rows with a null

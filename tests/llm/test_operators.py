@@ -148,6 +148,24 @@ def test_near_paragraphs_by_brute_force(spark):
     assert got == {i: r for i, r in enumerate(root) if sizes[r] > 1}
 
 
+def test_repeated_short_lines_are_found(spark):
+    long = " ".join(f"w{i}" for i in range(19))
+    texts = ["five words on one line\nown a\nAll rights reserved", "own b\n\n  Five words on  one line \nall rights reserved",
+             f"{long}\nown c", f"{long[:-4]} edit\nown d d d d", "own e", "own f\nown f"]
+    rows = [(k, t) for k, t in enumerate(texts)] + [(4, "own e")]  # one document, twice
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(
+        (texts[r.doc_id][r.start : r.end].lower(), r.doc_id, r.keep_id, r.members, r.removed)
+        for r in passages.repeated_passages(frame).collect()
+    )
+    assert got == sorted([
+        ("all rights reserved", 0, 0, 2, False), ("all rights reserved", 1, 0, 2, True),
+        ("five words on one line", 0, 0, 2, False), ("five words on  one line", 1, 0, 2, True),
+        (long, 2, 2, 2, False), (f"{long[:-4]} edit", 3, 2, 2, True),
+        ("own f", 5, 5, 2, False), ("own f", 5, 5, 2, True),
+    ])
+
+
 def test_passages_on_odd_rows(odd, empty):
     found = passages.repeated_passages(odd).collect()
     assert {r.doc_id for r in found} == {5, 6} and passages.repeated_passages(empty).count() == 0
