@@ -12,6 +12,7 @@ the cluster, look their places up in it.
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections import Counter, defaultdict
@@ -53,9 +54,10 @@ def _byte_names() -> dict[str, int]:
 class Encoder:
     """Token ids of many texts at once, by a byte-level BPE vocabulary in a tokenizer file.
 
-    Special tokens' names in a text are ordinary text. Byte-level BPE never joins across
-    the space before a word, so texts are cut there and every distinct word of a batch is
-    encoded once; texts with runs of white space around spaces are encoded in one piece.
+    ``tokenized`` gives the file's added tokens in a text their ids, ``batch`` takes them for
+    ordinary text. Byte-level BPE never joins across the space before a word, so texts are
+    cut there and every distinct word of a batch is encoded once; texts with runs of white
+    space around spaces are encoded in one piece.
     """
 
     def __init__(self, path: str):
@@ -66,6 +68,11 @@ class Encoder:
         with open(path, encoding="utf-8") as file:
             model = json.load(file)
         special = {t["content"] for t in model["added_tokens"]}
+        if any(t[k] for t in model["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized")):
+            raise ValueError(f"{path}: added tokens that depend on what is around them")
+        self.added = {t["content"]: t["id"] for t in model["added_tokens"]}
+        # the longest of those that start at one place
+        self.marks = "|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True))
         names = _byte_names()
         ranks = {bytes(names[c] for c in t): i for t, i in model["model"]["vocab"].items() if t not in special}
         self.encode = tiktoken.Encoding("bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
@@ -109,6 +116,28 @@ class Encoder:
         ids = flat[np.repeat(first[codes] - (upto - count), count) + np.arange(int(count.sum()))]
         return ids, upto[ends[1:] - 1]
 
+    def tokenized(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """``batch`` with the added tokens: texts are cut at them, what is between is encoded."""
+        marked = np.zeros(len(texts), bool)
+        for token in self.added:
+            marked |= pc.match_substring(texts, token).to_numpy(False)
+        if not marked.any():
+            return self.batch(texts)
+        rows = np.flatnonzero(marked)
+        cuts = [re.split(f"({self.marks})", text) for text in texts.filter(pa.array(marked)).to_pylist()]
+        between = pa.array([part for cut in cuts for part in cut[::2]], texts.type)
+        rest = pc.if_else(pa.array(marked), pa.scalar("", texts.type), texts)
+        ids, ends = self.batch(pa.concat_arrays([rest, between]))
+        every = np.split(ids, ends[:-1])
+        own, at = every[: len(texts)], len(texts)
+        for row, cut in zip(rows.tolist(), cuts):
+            found = []
+            for k, part in enumerate(cut):
+                found.append(np.array([self.added[part]], np.uint32) if k % 2 else every[at + k // 2])
+            own[row] = np.concatenate(found)
+            at += len(cut) // 2 + 1
+        return np.concatenate(own), np.cumsum([len(x) for x in own])
+
 
 _encoders: dict[str, Encoder] = {}
 
@@ -144,7 +173,7 @@ def pieces(docs: DataFrame, path: str, length: int = LENGTH, end: int = END, wit
         for whole in batches:
             texts = pc.fill_null(whole.column("text"), "")
             for low, high in _some(texts, BATCH):
-                ids, ends = bpe.batch(texts[low:high])
+                ids, ends = bpe.tokenized(texts[low:high])
                 rows: list[tuple] = []
                 a = 0
                 for doc_id, b in zip(whole.column("doc_id")[low:high].to_pylist(), ends.tolist()):
@@ -340,7 +369,8 @@ def best_fit_packing(
 ) -> DataFrame:
     """One row per piece of ``docs`` (doc_id, text): its place in sequences of ``length`` tokens.
 
-    A null or empty text is the end token alone; rows that repeat are packed as often as
+    Ids are those of the tokenizer in ``path`` with its added tokens found in the text. A
+    null or empty text is the end token alone; rows that repeat are packed as often as
     they come. Other columns are ignored, an empty table gives an empty result. Which of
     several pieces of one length takes which place follows from a hash of doc_id and ids.
 

@@ -372,6 +372,20 @@ def test_ids_of_awkward_texts():
     assert [x.tolist() for x in np.split(ids, ends[:-1])] == [bpe.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_added_tokens_get_their_ids(spark):
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path()
+    bpe = Tokenizer.from_file(path)
+    mark = "<|endoftext|>"
+    rnd = random.Random(8)
+    texts = [f"hi {mark} there", mark, f"{mark}{mark}", f" a  {mark}  b\n{mark}", f"<|{mark}|>", "<|endoftext", "none", "", None, f"{mark} x"]
+    texts += ["".join(rnd.choice(["ab", " ", "\n", "<|", "|>", mark, "é", "1"]) for _ in range(30)) for _ in range(100)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in packing.best_fit_packing(frame, path, with_ids=True).collect()}
+    assert got == {i: [*bpe.encode(t or "", add_special_tokens=False).ids, 2] for i, t in enumerate(texts)}
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_plan_places_every_piece(seed):
     rnd = random.Random(seed)
