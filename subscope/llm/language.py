@@ -13,9 +13,9 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from subscope.llm.common import attach, keep_rows, mark, numbered, spot, staged, table
+from subscope.llm.common import attach, lookup, numbered, spot, staged, table
 from subscope.session import ship
 
 LANGUAGES = ("de", "en", "es", "fr")
@@ -132,6 +132,11 @@ def likelihoods(docs: DataFrame, model: np.ndarray) -> DataFrame:
     return docs.select(*rest, "_text").mapInArrow(scored, f"{fields}, _ll array<double>, _alone array<double>, _grams bigint")
 
 
+def _told(declared: str, host: str) -> Column:
+    """With the doc_id, identifies all that a row's verdict depends on; null and empty apart."""
+    return F.xxhash64("text", F.isnull(declared), declared, F.isnull(host), host)
+
+
 def identify(
     docs: DataFrame, claims: DataFrame | None = None, languages: Sequence[str] = LANGUAGES, sample: int = SAMPLE,
     model: np.ndarray | None = None,
@@ -154,7 +159,7 @@ def identify(
     places = range(len(named))
     scored = likelihoods(
         numbered(docs.select("doc_id", "text", "declared", "host")).select(
-            "doc_id", "_salt", mark().alias("_mark"), F.col("declared").alias("_lang"), F.col("host").alias("_source"),
+            "doc_id", "_salt", _told("declared", "host").alias("_mark"), F.col("declared").alias("_lang"), F.col("host").alias("_source"),
             F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("_text"),
         ),
         model,
@@ -234,5 +239,8 @@ def of_documents(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def in_known_languages(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The rows of ``docs``, whole, whose language is known."""
-    return keep_rows(docs, of_documents(spark, docs, sf_dir).select("doc_id", "_mark", "kept"))
+    """The rows of ``docs``, whole, whose language is known; repeated rows stay repeated."""
+    gone = of_documents(spark, docs, sf_dir).where("not kept").select(F.col("doc_id").alias("_id"), F.col("_mark").alias("_m"))
+    seen = docs.withColumn("_mark", _told("lang", "source"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_mark") == F.col("_m"))
+    return seen.join(lookup(gone.distinct(), "rejected"), same, "left_anti").select(*docs.columns)

@@ -46,3 +46,12 @@ def test_stages_follow_each_other(spark, small):
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, small)
     firsts = Counter(r.doc_id for r in packed.where(F.col("piece") == 0).select("doc_id").collect())
     assert firsts == Counter(i for i, _ in kept["mixing"])
+
+
+def test_language_stage_keeps_repeated_rows(spark, small):
+    docs = table(spark, small, "documents")
+    once = corpus_pipeline.language_id(spark, docs, small).count()
+    odd = docs.limit(1).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in docs.schema])  # rejected, twice
+    kept = corpus_pipeline.language_id(spark, docs.unionByName(docs).unionByName(odd).unionByName(odd), small)
+    assert kept.count() == 2 * once and kept.where("doc_id is null").isEmpty()
+    assert kept.distinct().count() == once
