@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from math import ceil, isqrt
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
@@ -74,6 +76,49 @@ def running(df: DataFrame, keys: list[str], place: str, ties: list[str], amount:
     )
 
 
+@contextmanager
+def arrow_batches(spark: SparkSession, most: int) -> Iterator[None]:
+    """Jobs run inside hand their rows to Python in batches of about ``most`` bytes.
+
+    The default bounds a batch by rows alone, and rows are whole texts here.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str(most))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
+def numbered_in(rows: DataFrame, key: str, order: list[Column], label: str) -> DataFrame:
+    """``rows``, staged, with ``position``: the place (from 0) within ``key`` in ``order``.
+
+    Rows are sorted by range of (key, order), so a key that holds a third of them is cut into
+    many ranges; a row's place is its place in its range's share of the key, which the
+    range's own row numbers give, plus the rows of earlier ranges. Only one row per
+    (range, key) is looked at across ranges.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = [F.col(key).asc_nulls_first(), *order]
+    cut = staged(
+        rows.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
+        .withColumn("_range", F.spark_partition_id()).withColumn("_place", F.monotonically_increasing_id()),
+        label,
+    )
+    shares = cut.groupBy(key, "_range").agg(F.min("_place").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    earlier = W.partitionBy(key).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    starts = lookup(
+        shares.select(F.col(key).alias("_key"), "_range", (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift")),
+        f"{label}-starts",
+    ).withColumnRenamed("_range", "_in")
+    same = F.col(key).eqNullSafe(F.col("_key")) & (F.col("_range") == F.col("_in"))
+    return cut.join(starts, same).withColumn("position", F.col("_place") + F.col("_shift")).drop("_key", "_in", "_range", "_place", "_shift")
+
+
 def mark(text: str = "text") -> Column:
     """With the doc_id, identifies a row: the hash of its text, null and empty apart."""
     return F.xxhash64(F.col(text))
@@ -100,4 +145,4 @@ def keep_rows(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
     return kept.unionByName(once)
 
 
-__all__ = ["attach", "keep_rows", "lookup", "mark", "numbered", "running", "spot", "staged", "table"]
+__all__ = ["arrow_batches", "attach", "keep_rows", "lookup", "mark", "numbered", "numbered_in", "running", "spot", "staged", "table"]

@@ -109,5 +109,76 @@ FROM worded LEFT JOIN base b USING (r) LEFT JOIN added a USING (r)
 """
 
 
+def _op11(k: int = 8, rounds: int = 10) -> str:
+    """Lloyd's rounds, one after the other, over all vectors and all centroids."""
+    parts = [f"""
+WITH kept AS MATERIALIZED (
+    SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(1024.0::DOUBLE * x::DOUBLE)::BIGINT) AS v
+    FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), c0 AS MATERIALIZED (
+    SELECT row_number() OVER (ORDER BY h, v) - 1 AS c, v FROM (
+        SELECT sha256('3:' || coalesce(vec_id::VARCHAR, 'null')) AS h, v FROM kept ORDER BY h, v LIMIT {k})
+)"""]
+    near = """
+SELECT r, any_value(x.vec_id) AS vec_id, any_value(x.v) AS v, min((list_sum(list_transform(list_zip(x.v, y.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT, y.c)) AS best
+FROM kept x, c{0} y GROUP BY r"""
+    for n in range(rounds):
+        parts.append(f"""near{n} AS MATERIALIZED ({near.format(n)}
+), c{n + 1} AS MATERIALIZED (
+    SELECT c, coalesce(list(q ORDER BY d) FILTER (q IS NOT NULL), any_value(old)) AS v FROM (
+        SELECT o.c, any_value(o.v) AS old, d, (sum(m.x) - ((sum(m.x) % count(m.x)) + count(m.x)) % count(m.x)) // count(m.x) AS q
+        FROM (SELECT c, v, unnest(range(1, 65)) AS d FROM c{n}) o
+        LEFT JOIN (SELECT best[2] AS c, unnest(v)::HUGEINT AS x, unnest(range(1, 65)) AS d FROM near{n}) m USING (c, d)
+        GROUP BY o.c, d) GROUP BY c
+)""")
+    parts.append(f"""final AS MATERIALIZED ({near.format(rounds)})
+SELECT f.vec_id, f.best[2]::INTEGER AS cluster, f.best[1]::BIGINT AS distance,
+       (sum(f.best[1]) OVER (PARTITION BY f.best[2]))::BIGINT AS cluster_inertia, (sum(f.best[1]) OVER ())::BIGINT AS inertia,
+       sha256(array_to_string(y.v, ',')) AS centroid_sha256
+FROM final f JOIN c{rounds} y ON y.c = f.best[2]""")
+    return ", ".join(parts)
+
+
+def _op13(levels: int = 20) -> str:
+    """Level by level: the runs of all nodes, and what each document's place in them adds to its proof.
+
+    ``levels`` unrolls the two trees far enough for 3^20 leaves each.
+    """
+    field = lambda c: f"coalesce(strlen({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR, '-')"
+    leaf = lambda text: "sha256(" + " || ".join(field(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+    # crc32 of the decimal doc_id, bit by bit: DuckDB has no such function
+    crc = """list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+        lambda s, b: list_reduce(list_prepend(xor(s, b), range(8)), lambda t, i: CASE WHEN t & 1 = 1 THEN xor(t >> 1, 3988292384::BIGINT) ELSE t >> 1 END))"""
+    parts = [f"""
+WITH d AS MATERIALIZED (
+    SELECT doc_id, source, {leaf('text')} AS leaf,
+           CASE WHEN xor({crc}, 4294967295::BIGINT) % 2 = 0 THEN {leaf("replace(text, chr(10), '')")} ELSE {leaf('text')} END AS own
+    FROM documents
+), l0 AS MATERIALIZED (
+    SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree,
+           row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS spot, '' AS proof, own AS folded FROM d
+), n0 AS MATERIALIZED (SELECT tree, spot, leaf AS h FROM l0)"""]
+    done = 0
+    for tree in ("lower", "upper"):
+        if tree == "upper":
+            parts.append(f"""l{done + 1} AS MATERIALIZED (SELECT l.* REPLACE (l.tree AS spot, 0 AS tree), n.h AS subroot FROM l{done} l JOIN n{done} n USING (tree)),
+n{done + 1} AS MATERIALIZED (SELECT 0 AS tree, tree AS spot, h FROM n{done})""")
+            done += 1
+        for _ in range(levels):
+            parts.append(f"""r{done} AS MATERIALIZED (
+    SELECT tree, spot // 3 AS run, list(h ORDER BY spot) AS hs, sum(count(*)) OVER (PARTITION BY tree) AS n FROM n{done} GROUP BY tree, spot // 3),
+n{done + 1} AS MATERIALIZED (SELECT tree, run AS spot, CASE WHEN n > 1 THEN sha256(array_to_string(hs, '')) ELSE hs[1] END AS h FROM r{done}),
+l{done + 1} AS MATERIALIZED (
+    SELECT l.* REPLACE (
+        run AS spot,
+        CASE WHEN n > 1 THEN proof || array_to_string(hs[1 : spot % 3] || hs[spot % 3 + 2 :], '') ELSE proof END AS proof,
+        CASE WHEN n > 1 THEN sha256(array_to_string(hs[1 : spot % 3] || [folded] || hs[spot % 3 + 2 :], '')) ELSE folded END AS folded)
+    FROM l{done} l JOIN r{done} r ON r.tree = l.tree AND r.run = l.spot // 3)""")
+            done += 1
+    parts.append(f"""last AS (SELECT h AS root FROM n{done})
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = root AS verified FROM l{done}, last""")
+    return ", ".join(parts)
+
+
 def statements() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1, "op2_mixture": OP2, "op3_top_k": OP3, "op8_licenses": _op8()}
+    return {"op1_exact_dedup": OP1, "op2_mixture": OP2, "op3_top_k": OP3, "op8_licenses": _op8(), "op11_clusters": _op11(), "op13_manifest": _op13()}

@@ -24,14 +24,15 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from subscope.llm.common import running, spot, staged
+from subscope.llm.common import arrow_batches, running, spot, staged
 from subscope.session import ship
 
 LENGTH = 1024
 END = 2
 GROUPS = 96
-#: Bytes of text that a worker tokenizes at once.
-BATCH = 12 << 20
+#: Bytes of text that a worker tokenizes at once, and that Spark hands over at once.
+BATCH = 2 << 20
+HANDED = 8 << 20
 #: Fixed value: how byte-level BPE splits a text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: A space beside another white space, or at either end: such texts are not cut at spaces.
@@ -76,19 +77,19 @@ class Encoder:
         names = _byte_names()
         ranks = {bytes(names[c] for c in t): i for t, i in model["model"]["vocab"].items() if t not in special}
         self.encode = tiktoken.Encoding("bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.bytes = np.zeros(max(ranks.values()) + 1, np.int64)
+        self.bytes = np.zeros(max(ranks.values()) + 1, np.int32)
         for token, i in ranks.items():
             self.bytes[i] = len(token)
 
     def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, number of each) of distinct words, each after a space, encoded as one text."""
         if not len(words):
-            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+            return np.zeros(0, np.uint32), np.zeros(0, np.int32)
         one = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words)
         ids = np.array(self.encode(" " + pc.binary_join(one, " ")[0].as_py()), np.uint32)
         ends = np.cumsum(pc.binary_length(words).to_numpy(False).astype(np.int64) + 1)
-        upto = np.searchsorted(np.cumsum(self.bytes[ids]), ends) + 1
-        return ids, np.diff(upto, prepend=0)
+        upto = np.searchsorted(np.cumsum(self.bytes[ids], dtype=np.int64), ends) + 1
+        return ids, np.diff(upto, prepend=0).astype(np.int32)
 
     def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, where each one ends among them)."""
@@ -103,18 +104,23 @@ class Encoder:
         follows = np.ones(int(ends[-1]), bool)
         follows[ends[:-1]] = False
         values = words.flatten().filter(pa.array(follows)).dictionary_encode()
+        del words
         shared, sizes = self._words(values.dictionary)
         own = [self.encode(head) for head in heads]
-        codes = np.empty(len(follows), np.int64)
+        codes = np.empty(len(follows), np.int32)
         codes[follows] = values.indices.to_numpy()
-        codes[~follows] = len(sizes) + np.arange(len(own))
+        codes[~follows] = len(sizes) + np.arange(len(own), dtype=np.int32)
+        del values, follows
         flat = np.concatenate((shared, np.fromiter(chain.from_iterable(own), np.uint32)))
-        sizes = np.concatenate((sizes, np.fromiter(map(len, own), np.int64, len(own))))
-        first = np.cumsum(sizes) - sizes
+        sizes = np.concatenate((sizes, np.fromiter(map(len, own), np.int32, len(own))))
+        first = np.cumsum(sizes, dtype=np.int64) - sizes
         count = sizes[codes]
-        upto = np.cumsum(count)
-        ids = flat[np.repeat(first[codes] - (upto - count), count) + np.arange(int(count.sum()))]
-        return ids, upto[ends[1:] - 1]
+        upto = np.cumsum(count, dtype=np.int64)
+        # 32 bits hold the places unless one text alone has more ids than that
+        small = np.int32 if int(upto[-1]) + len(flat) < 1 << 31 else np.int64
+        at = np.repeat((first[codes] - (upto - count)).astype(small), count)
+        at += np.arange(len(at), dtype=small)
+        return flat[at], upto[ends[1:] - 1]
 
     def tokenized(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """``batch`` with the added tokens: texts are cut at them, what is between is encoded."""
@@ -376,4 +382,6 @@ def best_fit_packing(
 
     Returns doc_id, piece, start, length, ids_crc32, (ids,) sequence_id, offset.
     """
-    return pack(staged(pieces(docs, path, length, end, with_ids), "pieces"), length, groups)
+    with arrow_batches(docs.sparkSession, HANDED):
+        parts = staged(pieces(docs, path, length, end, with_ids), "pieces")
+    return pack(parts, length, groups)

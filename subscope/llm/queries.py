@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from subscope.llm import exact, language, licenses, mixing, packing, passages, pii, sharding, simhash, topk
+from subscope.llm import clusters, exact, language, licenses, manifest, mixing, packing, passages, pii, sharding, simhash, token_files, topk
 from subscope.llm.common import table
+from subscope.session import stage_path
 
 #: The tokenizer that packing counts with; a file the workers have as well.
 TOKENIZER = "byte_bpe_50k.json"
@@ -78,8 +79,23 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.centroid_clusters(table(spark, sf_dir, "embeddings"))
+
+
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_files(table(spark, sf_dir, "documents"), stage_path(spark, "tokens"), tokenizer_path())
+
+
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.manifest(table(spark, sf_dir, "documents")).drop("path")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (op1_exact_dedup, op2_mixture, op3_top_k, op4_passages, op5_language_id, op6_simhash, op7_pii, op8_licenses, op9_packing, op10_sharding)
+        for f in (
+            op1_exact_dedup, op2_mixture, op3_top_k, op4_passages, op5_language_id, op6_simhash, op7_pii, op8_licenses,
+            op9_packing, op10_sharding, op11_clusters, op12_token_files, op13_manifest,
+        )
     }

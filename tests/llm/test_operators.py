@@ -30,7 +30,7 @@ def test_equals_sql(spark, small, name):
 def test_queries_without_sql_are_known():
     """Fingerprints, clusters, spans, models, tokens and rings; brute force checks them below."""
     assert set(queries.queries()) - set(SQL) == {
-        "op4_passages", "op5_language_id", "op6_simhash", "op7_pii", "op9_packing", "op10_sharding",
+        "op4_passages", "op5_language_id", "op6_simhash", "op7_pii", "op9_packing", "op10_sharding", "op12_token_files",
     }
 
 

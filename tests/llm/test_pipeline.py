@@ -16,7 +16,7 @@ from subscope.llm.common import staged, table
 def test_registered():
     assert contract.queries()["pipeline"] is corpus_pipeline.run
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language_id", "exact_dedup", "near_dedup", "mixing", "packing"]
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(name.startswith(f"op{n}_") for name in contract.queries()) == 1
 
 
