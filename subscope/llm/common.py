@@ -6,6 +6,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from math import ceil, isqrt
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from subscope.session import lookup, staged
@@ -94,9 +95,11 @@ def arrow_batches(spark: SparkSession, most: int) -> Iterator[None]:
             spark.conf.set(name, before)
 
 
-def numbered_in(rows: DataFrame, key: str, order: list[Column], label: str) -> DataFrame:
+def numbered_in(rows: DataFrame, key: str, order: list[Column], label: str, amount: str | None = None) -> DataFrame:
     """``rows``, staged, with ``position``: the place (from 0) within ``key`` in ``order``.
 
+    With ``amount`` also ``before``, its sum over earlier rows of the key.
+
     Rows are sorted by range of (key, order), so a key that holds a third of them is cut into
     many ranges; a row's place is its place in its range's share of the key, which the
     range's own row numbers give, plus the rows of earlier ranges. Only one row per
@@ -109,14 +112,39 @@ def numbered_in(rows: DataFrame, key: str, order: list[Column], label: str) -> D
         .withColumn("_range", F.spark_partition_id()).withColumn("_place", F.monotonically_increasing_id()),
         label,
     )
-    shares = cut.groupBy(key, "_range").agg(F.min("_place").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    value = F.col(amount) if amount else F.lit(0)
+    shares = cut.groupBy(key, "_range").agg(F.min("_place").alias("_first"), F.count(F.lit(1)).alias("_n"), F.sum(value).alias("_sum"))
     earlier = W.partitionBy(key).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    upto = lambda c: F.coalesce(F.sum(c).over(earlier), F.lit(0))
     starts = lookup(
-        shares.select(F.col(key).alias("_key"), "_range", (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift")),
+        shares.select(F.col(key).alias("_same_key"), F.col("_range").alias("_in"), (upto("_n") - F.col("_first")).alias("_shift"), upto("_sum").alias("_sum0")),
         f"{label}-starts",
-    ).withColumnRenamed("_range", "_in")
-    same = F.col(key).eqNullSafe(F.col("_key")) & (F.col("_range") == F.col("_in"))
-    return cut.join(starts, same).withColumn("position", F.col("_place") + F.col("_shift")).drop("_key", "_in", "_range", "_place", "_shift")
+    )
+    same = F.col(key).eqNullSafe(F.col("_same_key")) & (F.col("_range") == F.col("_in"))
+    placed = cut.join(starts, same).withColumn("position", F.col("_place") + F.col("_shift"))
+    if amount:
+        inside = W.partitionBy(key, "_range").orderBy("_place").rowsBetween(W.unboundedPreceding, W.currentRow)
+        placed = placed.withColumn("before", F.col("_sum0") + F.sum(value).over(inside) - value)
+    return placed.drop("_same_key", "_in", "_range", "_place", "_shift", "_sum0")
+
+
+def whole(docs: DataFrame) -> DataFrame:
+    """``docs`` as one column ``_doc``, so that no name of theirs meets a name of ours."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
+
+
+def lines_of(docs: DataFrame, label: str) -> DataFrame:
+    """``whole(docs)`` with ``_file`` and ``_line``, where each row stands in its files.
+
+    The pair names a row, identical ones apart, and sorts in the order the rows were
+    written in; it is the same on every read. ``docs`` that are no plain file scan are staged.
+    """
+    place = [F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_line")]
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")
+    try:
+        return docs.select(row, *place)
+    except AnalysisException:
+        return staged(docs, label).select(row, *place)
 
 
 def mark(text: str = "text") -> Column:
@@ -135,14 +163,14 @@ def keep_rows(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
         F.col("doc_id").alias("_id"), F.col("_mark").alias("_m"), F.when(F.col("_any"), "repeat").otherwise("drop").alias("_fate")
     )
     fates = lookup(odd, "fates")
-    seen = docs.withColumn("_mark", mark()).join(
-        fates, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_mark") == F.col("_m")), "left"
+    seen = whole(docs).withColumn("_mark", mark("_doc.text")).join(
+        fates, F.col("_doc.doc_id").eqNullSafe(F.col("_id")) & (F.col("_mark") == F.col("_m")), "left"
     )
-    kept = seen.where(F.col("_fate").isNull()).select(*docs.columns)
+    kept = seen.where(F.col("_fate").isNull()).select("_doc.*")
     if fates.where("_fate = 'repeat'").isEmpty():
         return kept
-    once = seen.where("_fate = 'repeat'").dropDuplicates(["doc_id", "_mark"]).select(*docs.columns)
+    once = seen.where("_fate = 'repeat'").dropDuplicates(["_id", "_m"]).select("_doc.*")
     return kept.unionByName(once)
 
 
-__all__ = ["arrow_batches", "attach", "keep_rows", "lookup", "mark", "numbered", "numbered_in", "running", "spot", "staged", "table"]
+__all__ = ["arrow_batches", "attach", "keep_rows", "lines_of", "lookup", "mark", "numbered", "numbered_in", "running", "spot", "staged", "table", "whole"]

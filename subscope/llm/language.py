@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from subscope.llm.common import attach, lookup, numbered, spot, staged, table
+from subscope.llm.common import attach, lookup, numbered, spot, staged, table, whole
 from subscope.session import ship
 
 LANGUAGES = ("de", "en", "es", "fr")
@@ -132,9 +132,9 @@ def likelihoods(docs: DataFrame, model: np.ndarray) -> DataFrame:
     return docs.select(*rest, "_text").mapInArrow(scored, f"{fields}, _ll array<double>, _alone array<double>, _grams bigint")
 
 
-def _told(declared: str, host: str) -> Column:
+def _told(declared: str, host: str, text: str = "text") -> Column:
     """With the doc_id, identifies all that a row's verdict depends on; null and empty apart."""
-    return F.xxhash64("text", F.isnull(declared), declared, F.isnull(host), host)
+    return F.xxhash64(text, F.isnull(declared), declared, F.isnull(host), host)
 
 
 def identify(
@@ -241,6 +241,6 @@ def of_documents(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 def in_known_languages(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The rows of ``docs``, whole, whose language is known; repeated rows stay repeated."""
     gone = of_documents(spark, docs, sf_dir).where("not kept").select(F.col("doc_id").alias("_id"), F.col("_mark").alias("_m"))
-    seen = docs.withColumn("_mark", _told("lang", "source"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_mark") == F.col("_m"))
-    return seen.join(lookup(gone.distinct(), "rejected"), same, "left_anti").select(*docs.columns)
+    seen = whole(docs).withColumn("_mark", _told("_doc.lang", "_doc.source", "_doc.text"))
+    same = F.col("_doc.doc_id").eqNullSafe(F.col("_id")) & (F.col("_mark") == F.col("_m"))
+    return seen.join(lookup(gone.distinct(), "rejected"), same, "left_anti").select("_doc.*")

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from subscope.llm.common import mark, running, spot, staged
+from subscope.llm.common import lines_of, mark, numbered_in, spot, staged
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Tilt of the schedules 1 + tilt * (2 t - 1): sources that begin strong, level, and late ones.
@@ -28,6 +28,11 @@ def words(text: str = "text") -> Column:
     ).cast("long")
 
 
+def named(source: str = "source") -> Column:
+    """A source as text that is never null and sorts by code point, null last."""
+    return F.coalesce(F.concat(F.lit("0"), F.col(source)), F.lit("1"))
+
+
 def targets(sizes: DataFrame, weights: Sequence[float], share: float, most: float) -> DataFrame:
     """Target words per source of ``sizes`` (_source, source_size); one row per source.
 
@@ -62,36 +67,32 @@ def targets(sizes: DataFrame, weights: Sequence[float], share: float, most: floa
 
 def mixture(
     docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0,
-    tilts: Sequence[float] = TILTS, seed: int = 7,
+    tilts: Sequence[float] = TILTS, seed: int = 7, row: str | None = None,
 ) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text, source): how often it is taken, and when.
 
     A document enters once for every whole time its source fits into its target, and once
     more if its middle word lies before what is left; ``taken`` counts its words with
     repeats, at most twice its size. The order of documents within a source depends on
-    doc_id and seed alone (rows that share a doc_id share a place and a fate); null
+    doc_id, text and seed; identical rows follow each other, each with a place and a fate of its
+    own, so that a doc_id which many rows share is taken as far as the target goes. Null
     sources form a source of their own, null texts have no words. ``positions`` are the
     training times of its copies, in [0, 1]. Other columns are ignored, an empty table
     gives an empty result.
 
-    Returns doc_id, size, source_size, target, taken, copies, positions, _mark.
+    Returns doc_id, size, source_size, target, taken, copies, positions, _mark, _source, _row.
     """
-    thin = staged(
-        docs.select(
-            "doc_id", mark().alias("_mark"), words().alias("size"),
-            # sorts by code point with null last, and is never null itself
-            F.coalesce(F.concat(F.lit("0"), F.col("source")), F.lit("1")).alias("_source"),
-            spot("doc_id", F.lit(seed)).alias("_spot"),
-        ),
-        "mix",
+    thin = docs.select(
+        "doc_id", mark().alias("_mark"), words().alias("size"), named().alias("_source"),
+        spot("doc_id", F.lit(seed)).alias("_spot"), spot("text").alias("_tie"), (F.col(row) if row else F.monotonically_increasing_id()).alias("_row"),
     )
-    goal = staged(targets(thin.groupBy("_source").agg(F.sum("size").alias("source_size")), weights, share, most), "goal")
-    # rows of one doc_id and source share a spot and are one step of the running sum
-    steps = staged(thin.groupBy("_source", "_spot").agg(F.sum("size").alias("step")), "steps")
-    placed = running(steps, ["_source"], "_spot", [], "step")
+    # ``row`` or a row number tells identical rows apart, and only those
+    placed = numbered_in(thin, "_source", [F.col("_spot"), F.col("_tie"), F.col("_row")], "mix", "size")
+    sums = placed.groupBy("_source").agg(F.sum("size").alias("source_size"))
+    goal = staged(targets(sums, weights, share, most), "goal")
     n = len(tilts)
     tilt = F.element_at(F.array(*[F.lit(float(x)) for x in tilts]), (F.pmod("_nth", F.lit(n)) + 1).cast("int"))
-    middle = F.col("before") + F.col("step") / F.lit(2.0)
+    middle = F.col("before") + F.col("size") / F.lit(2.0)
     rounds = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
     planned = (
         placed.join(F.broadcast(goal) if goal.count() <= 100_000 else goal, "_source")
@@ -105,7 +106,6 @@ def mixture(
             ).cast("int"),
         )
         .withColumn("_middle", middle)
-        .select("_source", "_spot", "source_size", "target", "copies", "_tilt", "_middle")
     )
 
     def due(copy: Column) -> Column:
@@ -117,24 +117,23 @@ def mixture(
             (root - level) / (F.lit(2.0) * F.col("_tilt"))
         )
 
-    return thin.join(planned, ["_source", "_spot"]).select(
+    return planned.select(
         "doc_id", "size", "source_size", "target",
         (F.col("copies") * F.col("size")).cast("long").alias("taken"), "copies",
-        F.expr("if(copies > 0, sequence(0, copies - 1), array())").alias("_nth"), "_tilt", "_middle", "_mark",
+        F.expr("if(copies > 0, sequence(0, copies - 1), array())").alias("_nth"), "_tilt", "_middle", "_mark", "_source", "_row",
     ).withColumn("positions", F.transform("_nth", due)).drop("_nth", "_tilt", "_middle")
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """``docs``, whole, each row as often as the mix takes it, sorted by training position.
 
-    Rows with the same doc_id and text share one plan, so the plan is joined once each.
+    Every row keeps its own plan, identical rows as well; a row is known by its place in
+    the files that ``docs`` are read from. All columns stay, whatever their names.
     """
-    plan = mixture(docs, **options).where("copies > 0").select(
-        F.col("doc_id").alias("_id"), F.col("_mark").alias("_m"), "positions"
-    ).dropDuplicates(["_id", "_m"])
-    told = docs.withColumn("_mark", mark()).join(
-        plan, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_mark") == F.col("_m"))
-    )
-    due = told.select(*docs.columns, F.explode("positions").alias("_position"))
+    told = lines_of(docs, "unmixed").withColumn("_own", F.concat_ws(":", "_file", "_line"))
+    given = told.select(F.col("_doc.doc_id").alias("doc_id"), F.col("_doc.text").alias("text"), F.col("_doc.source").alias("source"), "_own")
+    plans = staged(mixture(given, row="_own", **options).where("copies > 0").select("_row", "positions"), "plans")
+    due = told.join(plans, F.col("_own") == F.col("_row")).select("_doc", F.explode("positions").alias("_position"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return due.repartitionByRange(parts, "_position", "doc_id").sortWithinPartitions("_position", "doc_id").drop("_position")
+    key = F.col("_doc.doc_id")
+    return due.repartitionByRange(parts, "_position", key).sortWithinPartitions("_position", key).select("_doc.*")

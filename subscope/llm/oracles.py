@@ -20,7 +20,8 @@ OP2 = r"""
 WITH sized AS (
     SELECT doc_id, coalesce('0' || source, '1') AS name,
            coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-           substr(md5(coalesce(doc_id::VARCHAR, 'null') || ':7'), 1, 15) AS place
+           substr(md5(coalesce(doc_id::VARCHAR, 'null') || ':7'), 1, 15) AS place,
+           substr(md5(coalesce(text, 'null')), 1, 15) AS tie
     FROM documents
 ), sources AS (
     SELECT name, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY encode(name)) - 1 AS nth
@@ -38,11 +39,11 @@ WITH sized AS (
                                        AND (o.cap / o.weight, o.nth) <= (l.cap / l.weight, l.nth)), cap), cap) AS target
     FROM levels l
 ), steps AS (
-    SELECT name, place, sum(size) AS step,
-           coalesce(sum(sum(size)) OVER (PARTITION BY name ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS earlier
-    FROM sized GROUP BY name, place
+    SELECT doc_id, size, name,
+           coalesce(sum(size) OVER (PARTITION BY name ORDER BY place, tie ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS earlier
+    FROM sized
 ), planned AS (
-    SELECT s.name, s.place, s.earlier::DOUBLE + s.step::DOUBLE / 2.0::DOUBLE AS middle, g.source_size, g.target, g.tilt,
+    SELECT s.doc_id, s.size, s.earlier::DOUBLE + s.size::DOUBLE / 2.0::DOUBLE AS middle, g.source_size, g.target, g.tilt,
            CASE WHEN g.source_size > 0 THEN floor(g.target / g.source_size)::BIGINT ELSE 0 END AS rounds
     FROM steps s JOIN goals g USING (name)
 ), counted AS (
@@ -50,23 +51,23 @@ WITH sized AS (
            least(1.0::DOUBLE, middle / target) AS used
     FROM planned
 )
-SELECT d.doc_id, d.size, c.source_size, c.target, (c.copies * d.size)::BIGINT AS taken, c.copies,
+SELECT doc_id, size, source_size, target, (c.copies * size)::BIGINT AS taken, c.copies,
        CASE WHEN c.copies = 0 THEN NULL WHEN c.target <= 0 THEN 0.0::DOUBLE WHEN c.tilt = 0 THEN c.used
             ELSE (sqrt((1.0::DOUBLE - c.tilt) * (1.0::DOUBLE - c.tilt) + 4.0::DOUBLE * c.tilt * c.used) - (1.0::DOUBLE - c.tilt)) / (2.0::DOUBLE * c.tilt)
        END AS first_position
-FROM sized d JOIN counted c USING (name, place)
+FROM counted c
 """
 
 OP3 = r"""
 WITH whole AS (
-    SELECT vec_id, list_transform(embedding, lambda x: floor(64.0::DOUBLE * x::DOUBLE)::BIGINT) AS v
+    SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(64.0::DOUBLE * x::DOUBLE)::BIGINT) AS v
     FROM embeddings
     WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), scored AS (
-    SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score
-    FROM whole q JOIN whole c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id
+    SELECT q.r, q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score
+    FROM whole q JOIN whole c ON q.vec_id % 20 = 0 AND c.r <> q.r
 ), ranked AS (
-    SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+    SELECT query_id, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
     FROM scored
 )
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20

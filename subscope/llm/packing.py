@@ -16,7 +16,7 @@ import re
 import zlib
 from bisect import bisect_left, insort
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import chain
 
 import numpy as np
@@ -24,7 +24,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from subscope.llm.common import arrow_batches, running, spot, staged
+from subscope.llm.common import arrow_batches, lines_of, numbered_in, running, spot, staged
 from subscope.session import ship
 
 LENGTH = 1024
@@ -165,11 +165,14 @@ def _some(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
         at = to
 
 
-def pieces(docs: DataFrame, path: str, length: int = LENGTH, end: int = END, with_ids: bool = False) -> DataFrame:
+def pieces(
+    docs: DataFrame, path: str, length: int = LENGTH, end: int = END, with_ids: bool = False, carried: Sequence[str] = (),
+) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of ``docs`` (doc_id, text), tokenized whole.
 
     A document is its ids and ``end``; only one longer than ``length`` is cut, into full
-    pieces after a first one that may be shorter. ``with_ids`` adds the ids themselves.
+    pieces after a first one that may be shorter. ``with_ids`` adds the ids themselves,
+    ``carried`` names columns that every piece keeps.
     """
     ship(docs.sparkSession)
 
@@ -181,21 +184,26 @@ def pieces(docs: DataFrame, path: str, length: int = LENGTH, end: int = END, wit
             for low, high in _some(texts, BATCH):
                 ids, ends = bpe.tokenized(texts[low:high])
                 rows: list[tuple] = []
+                kept: list[int] = []
                 a = 0
-                for doc_id, b in zip(whole.column("doc_id")[low:high].to_pylist(), ends.tolist()):
+                for row, (doc_id, b) in enumerate(zip(whole.column("doc_id")[low:high].to_pylist(), ends.tolist())):
                     own = np.concatenate((ids[a:b], close)).astype("<u4").tobytes()
                     a, n = b, len(own) // 4
                     bounds = [0, *range(n % length or length, n + 1, length)] if n > length else [0, n]
                     for k, (x, y) in enumerate(zip(bounds, bounds[1:])):
                         part = own[4 * x : 4 * y]
                         rows.append((doc_id, k, x, y - x, zlib.crc32(part), part if with_ids else None))
+                        kept.append(low + row)
                 types = [whole.schema.field("doc_id").type, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
                 arrays = [pa.array(c, t) for c, t in zip(zip(*rows), types)][: 6 if with_ids else 5]
-                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: len(arrays)])
+                names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: len(arrays)]
+                more = [whole.column(c).take(pa.array(kept)) for c in carried]
+                yield pa.RecordBatch.from_arrays([*arrays, *more], [*names, *carried])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids binary" * with_ids
-    return docs.select("doc_id", "text").mapInArrow(cut, schema)
+    schema += "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in carried)
+    return docs.select("doc_id", "text", *carried).mapInArrow(cut, schema)
 
 
 def _configurations(sizes: list[int], demand: list[int], room: int) -> list[tuple[list[int], int]]:
@@ -385,3 +393,53 @@ def best_fit_packing(
     with arrow_batches(docs.sparkSession, HANDED):
         parts = staged(pieces(docs, path, length, end, with_ids), "pieces")
     return pack(parts, length, groups)
+
+
+#: Sequences of one configuration that are written out by one row of the plan.
+STRETCH = 10_000
+
+
+def pack_in_order(parts: DataFrame, order: list[str], room: int = LENGTH, groups: int = GROUPS) -> DataFrame:
+    """``pack`` whose sequences follow ``order``, columns of ``parts``, as closely as lengths allow.
+
+    The configurations are those of ``pack``. Each spreads its sequences evenly over the time
+    from 0 to 1, and the n-th piece of a length takes the n-th place in time for that
+    length, so what is packed together stood close together where lengths are frequent
+    enough; then sequences are numbered by the mean place of their pieces. Sequences and
+    places are tables; only configurations come from the driver.
+    """
+    spark = parts.sparkSession
+    whole = F.lit(0).cast("long")
+    placed = numbered_in(parts.withColumn("all", whole), "all", [*(F.col(c) for c in order), F.col("piece")], "ordered")
+    placed = placed.withColumnRenamed("position", "place").drop("all")
+    counts = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
+    runs = [
+        (n, times, first, min(first + STRETCH, times), inside)
+        for n, (times, inside) in enumerate(plan(counts, room, groups)) for first in range(0, times, STRETCH)
+    ]
+    schema = "run int, times bigint, first bigint, last bigint, inside array<bigint>"
+    made = spark.createDataFrame(runs, schema).repartition("run", "first")
+    sequences = made.withColumn("nth", F.explode(F.expr("sequence(first, last - 1)"))).select(
+        whole.alias("all"), ((F.col("nth") + 0.5) / F.col("times")).alias("time"), "run", "nth", "inside"
+    )
+    numbered = numbered_in(sequences, "all", [F.col("time"), F.col("run"), F.col("nth")], "sequences")
+    before = F.aggregate(F.slice("inside", F.lit(1), F.col("slot")), F.lit(0).cast("long"), lambda total, x: total + x)
+    places = (
+        numbered.select(F.col("position").alias("sequence_id"), "inside", F.posexplode("inside").alias("slot", "length"))
+        .select("sequence_id", "length", before.alias("offset"))
+    )
+    places = numbered_in(places, "length", [F.col("sequence_id"), F.col("offset")], "places")
+    ranked = numbered_in(placed, "length", [F.col("place")], "ranked")
+    packed = staged(ranked.join(places, ["length", "position"]).select(*parts.columns, "place", "sequence_id", "offset"), "packed")
+    middles = packed.groupBy("sequence_id").agg(F.avg("place").alias("middle")).withColumn("all", whole)
+    final = numbered_in(middles, "all", [F.col("middle"), F.col("sequence_id")], "middles")
+    told = packed.join(final.select("sequence_id", "position"), "sequence_id")
+    return told.select(*parts.columns, F.col("position").alias("sequence_id"), "offset")
+
+
+def packing_in_order(docs: DataFrame, path: str, length: int = LENGTH, end: int = END, groups: int = GROUPS) -> DataFrame:
+    """``best_fit_packing`` of ``docs`` in the order they were written in; see ``pack_in_order``."""
+    placed = lines_of(docs, "unpacked").select(F.col("_doc.doc_id").alias("doc_id"), F.col("_doc.text").alias("text"), "_file", "_line")
+    with arrow_batches(docs.sparkSession, HANDED):
+        parts = staged(pieces(placed, path, length, end, carried=("_file", "_line")), "pieces")
+    return pack_in_order(parts, ["_file", "_line"], length, groups).drop("_file", "_line")

@@ -94,25 +94,53 @@ KINDS = (
 _SPAN = "array<struct<start:int,nth:int,end:int,kind:string,score:double>>"
 
 
+#: Elements that a prefix sum adds up one by one.
+_STEP = 64
+
+
+def _with(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _upto(sizes: Column, body: Callable[[Callable[[Column], Column]], Column]) -> Column:
+    """``body`` of a function from i to the sum of the first i ``sizes``.
+
+    Sums of 64 and of 4,096 sizes are made once, so that a prefix adds at most 63 of each kind
+    and the time grows with the number of sizes, not with its square.
+    """
+
+    def blocks(of: Column) -> Column:
+        firsts = F.sequence(F.lit(0), F.size(of) - 1, F.lit(_STEP))
+        return F.transform(firsts, lambda k: _summed(F.slice(of, k + 1, F.lit(_STEP))))
+
+    def prefix(small: Column, middle: Column, large: Column) -> Callable[[Column], Column]:
+        def at(i: Column) -> Column:
+            b, c = F.shiftright(i, 6), F.shiftright(i, 12)
+            return F.get(large, c) + _summed(F.slice(middle, c * _STEP + 1, b - c * _STEP)) + _summed(F.slice(small, b * _STEP + 1, i - b * _STEP))
+
+        return at
+
+    before = lambda of: F.transform(of, lambda x, i: _summed(F.slice(of, F.lit(1), i)))
+    return _with(blocks(sizes), lambda m: _with(_with(blocks(m), before), lambda s: body(prefix(sizes, m, s))))
+
+
 def _spans(text: Column, nth: int, kind: Kind) -> Column:
     """The confirmed spans of one kind, in order."""
     pieces = F.split(F.regexp_replace(text, kind.pattern, f"{FENCE}$0{FENCE}"), FENCE)
-    found = "array<struct<start:int,end:int,match:string,before:string>>"
-
-    def step(state: Column, piece: Column) -> Column:
-        end = state["at"] + F.length(piece)
-        span = F.struct(state["at"].alias("start"), end.alias("end"), piece.alias("match"), state["before"].alias("before"))
-        inside = state["n"] % 2 == 1
-        return F.struct(
-            (state["n"] + 1).alias("n"), end.alias("at"),
-            F.when(inside, F.concat(state["spans"], F.array(span))).otherwise(state["spans"]).alias("spans"),
-            F.when(inside, F.lit("")).otherwise(F.right(piece, F.lit(NEAR))).alias("before"),
-        )
-
-    start = F.struct(
-        F.lit(0).alias("n"), F.lit(0).alias("at"), F.array().cast(found).alias("spans"), F.lit("").alias("before")
-    )
-    proposed = F.aggregate(pieces, start, step, lambda state: state["spans"])
+
+    def spans(parts: Column, sizes: Column, starts: Callable[[Column], Column]) -> Column:
+        # every second piece is a match; the one before it is the text between matches
+        def span(piece: Column, i: Column) -> Column:
+            start = starts(i)
+            return F.struct(
+                start.alias("start"), (start + F.get(sizes, i)).alias("end"), piece.alias("match"),
+                F.right(F.get(parts, i - 1), F.lit(NEAR)).alias("before"), (i % 2 == 1).alias("_in"),
+            )
+
+        return F.filter(F.transform(parts, span), lambda s: s["_in"])
+
+    proposed = _with(pieces, lambda p: _with(F.transform(p, lambda x: F.length(x)), lambda n: _upto(n, lambda starts: spans(p, n, starts))))
     confirmed = F.filter(proposed, lambda s: kind.valid(s["match"]))
     near = rf"(?i)(?<!\p{{L}})(?:{kind.context})(?!\p{{L}})"
     scored = F.transform(confirmed, lambda s: F.struct(

@@ -75,7 +75,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents")).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
-        F.lit(None).cast("int").alias("grown_shard"), "shard_of_more",
+        F.lit(None).cast("int").alias("grown_shard"), "shard_of_more", "text_group",
     )
 
 

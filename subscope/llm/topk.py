@@ -50,8 +50,8 @@ def _dot(a: np.ndarray, b: np.ndarray, q: np.ndarray, c: np.ndarray) -> np.ndarr
 class _Best:
     """The k best candidates so far of every query of a block."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int):
-        self.ids, self.vectors, self.k = ids, vectors, k
+    def __init__(self, rows: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int):
+        self.rows, self.ids, self.vectors, self.k = rows, ids, vectors, k
         self.levels = [_segments(vectors, parts) for parts in LEVELS]
         self.score = self.found = np.empty((len(ids), 0), np.int64)
 
@@ -59,15 +59,15 @@ class _Best:
         """The score a candidate must reach, per query."""
         return self.score[:, -1].astype(float) if self.score.shape[1] else np.full(len(self.ids), -np.inf)
 
-    def offer(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+    def offer(self, rows: np.ndarray, ids: np.ndarray, vectors: np.ndarray) -> None:
         at = 0
         while at < len(ids):  # a few candidates first, for bounds to compare with
             step = 1024 if self.score.shape[1] else 64
             for low in range(0, len(self.ids), 1024):  # limits the matrices of one step
-                self._offer(slice(low, low + 1024), ids[at : at + step], vectors[at : at + step])
+                self._offer(slice(low, low + 1024), rows[at : at + step], ids[at : at + step], vectors[at : at + step])
             at += step
 
-    def _offer(self, block: slice, ids: np.ndarray, vectors: np.ndarray) -> None:
+    def _offer(self, block: slice, rows: np.ndarray, ids: np.ndarray, vectors: np.ndarray) -> None:
         least, queries = self._least()[block], self.vectors[block]
         q = c = None
         for level, parts in zip(self.levels, LEVELS):
@@ -75,7 +75,7 @@ class _Best:
             # room for rounding, so that no bound is too low
             slack = 1e-9 * (np.linalg.norm(mine, axis=1)[:, None] * np.linalg.norm(theirs, axis=1)[None, :] + 1)
             if q is None:
-                q, c = np.nonzero((mine @ theirs.T + slack >= least[:, None]) & (self.ids[block][:, None] != ids[None, :]))
+                q, c = np.nonzero((mine @ theirs.T + slack >= least[:, None]) & (self.rows[block][:, None] != rows[None, :]))
             elif len(q):
                 dense = len(q) > DENSE * slack.size
                 bound = (mine @ theirs.T)[q, c] if dense else np.einsum("ij,ij->i", mine[q], theirs[c])
@@ -102,7 +102,8 @@ class _Best:
         real = self.found != (1 << 63) - 1
         row, _ = np.nonzero(real)
         return pa.RecordBatch.from_arrays(
-            [pa.array(self.ids[row]), pa.array(self.found[real]), pa.array(self.score[real])], ["query_id", "vec_id", "score"]
+            [pa.array(self.rows[row]), pa.array(self.ids[row]), pa.array(self.found[real]), pa.array(self.score[real])],
+            ["query_row", "query_id", "vec_id", "score"],
         )
 
 
@@ -112,8 +113,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: float = 64.0
     ``vectors`` has vec_id and embedding; components become floor(scale * x). Every row is a
     candidate, rows where ``is_query`` holds are queries; a query is not its own candidate.
     Ties go to the smaller vec_id. Rows with a null vec_id or a vector that is null, empty
-    or holds null or non-finite components take no part; of several rows with one
-    vec_id the smallest vector counts; queries meet candidates of their own dimension only.
+    or holds null or non-finite components take no part; rows that share a vec_id are
+    queries and candidates of their own, and only a query's own row is kept from it;
+    queries meet candidates of their own dimension only.
     Queries are dealt out in blocks of ``QUERIES``; each meets all candidates in slices,
     streamed in batches, so a task's memory is bounded. Scores beyond a long saturate.
 
@@ -124,25 +126,27 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: float = 64.0
     sound = F.forall("embedding", lambda x: x.isNotNull() & (F.abs(x) < F.lit(float("inf"))))
     rows = staged(
         vectors.where(F.col("vec_id").isNotNull() & (F.size("embedding") > 0) & sound)
-        .groupBy("vec_id").agg(F.min(F.col("embedding").cast("array<double>")).alias("embedding"))
-        .withColumn("vector", F.transform("embedding", lambda x: F.floor(x * F.lit(float(scale))).cast("double")))
-        .select(F.col("vec_id").cast("long").alias("vec_id"), "vector", F.size("vector").alias("dim"), is_query.alias("asks")),
+        .withColumn("asks", is_query)
+        .select(
+            F.monotonically_increasing_id().alias("row"), F.col("vec_id").cast("long").alias("vec_id"), F.size("embedding").alias("dim"), "asks",
+            F.transform("embedding", lambda x: F.floor(x.cast("double") * F.lit(float(scale))).cast("double")).alias("vector"),
+        ),
         "vectors",
     )
     slices = max(16, ceil(rows.count() / CANDIDATES))
     blocks = max(1, ceil(rows.where("asks").count() / QUERIES))
-    place = F.xxhash64("vec_id")
+    place = F.xxhash64("row")
     asked = rows.where("asks").select(
         "dim", F.pmod(place, F.lit(blocks)).alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slices - 1).cast("long"))).alias("slice"),
-        F.lit(0).alias("kind"), "vec_id", "vector",
+        F.lit(0).alias("kind"), "row", "vec_id", "vector",
     )
     offered = rows.select(
         "dim", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), F.pmod(place, F.lit(slices)).alias("slice"),
-        F.lit(1).alias("kind"), "vec_id", "vector",
+        F.lit(1).alias("kind"), "row", "vec_id", "vector",
     )
 
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unit, ids, held, best = None, [], [], None
+        unit, rows, ids, held, best = None, [], [], [], None
         for batch in batches:
             keys = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("dim", "block", "slice", "kind")], axis=1)
             bounds = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]).any(axis=1), [True])))
@@ -151,22 +155,23 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: float = 64.0
                 if unit != tuple(keys[a, :3]):
                     if best is not None:
                         yield best.batch()
-                    unit, ids, held, best = tuple(keys[a, :3]), [], [], None
-                found = part.column("vec_id").to_numpy()
+                    unit, rows, ids, held, best = tuple(keys[a, :3]), [], [], [], None
+                found, own = part.column("vec_id").to_numpy(), part.column("row").to_numpy()
                 matrix = part.column("vector").flatten().to_numpy().reshape(b - a, int(keys[a, 0]))
                 if keys[a, 3] == 0:
+                    rows.append(own)
                     ids.append(found)
                     held.append(matrix)
                 elif ids:
-                    best = best or _Best(np.concatenate(ids), np.concatenate(held), k)
-                    best.offer(found, matrix)
+                    best = best or _Best(np.concatenate(rows), np.concatenate(ids), np.concatenate(held), k)
+                    best.offer(own, found, matrix)
         if best is not None:
             yield best.batch()
 
     unit = ["dim", "block", "slice"]
     partial = (
-        asked.unionByName(offered).repartition(*unit).sortWithinPartitions(*unit, "kind", "vec_id")
-        .mapInArrow(searched, "query_id bigint, vec_id bigint, score bigint")
+        asked.unionByName(offered).repartition(*unit).sortWithinPartitions(*unit, "kind", "row")
+        .mapInArrow(searched, "query_row bigint, query_id bigint, vec_id bigint, score bigint")
     )
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = W.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
     return partial.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
