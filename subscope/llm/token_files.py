@@ -23,6 +23,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from subscope.llm.common import arrow_batches, lookup, staged
-from subscope.llm.packing import ODD, _some
+from subscope.llm.packing import ODD, PATTERN, _byte_names, _some
 from subscope.session import ship
 
 MAGIC = b"PFR1"
@@ -50,43 +51,58 @@ TAIL = "<4Q4sc"
 
 
 class Words:
-    """Ids of whole texts by the tokenizers library, which sees every distinct word once.
+    """Ids of whole texts by the tokenizers library, whose model sees every distinct piece of a word once.
 
     Byte-level BPE never joins across a single space before a word, so texts are cut
-    there; texts with other white space around spaces, or with an added token of the
-    tokenizer, go to the library whole.
+    there, and words into the pieces that the model merges; texts with other white
+    space around spaces, or with an added token of the tokenizer, go to the library whole.
     """
 
     def __init__(self, path: str):
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.bytes = np.zeros(max(vocabulary.values()) + 1, np.int32)
-        for token, i in vocabulary.items():
-            self.bytes[i] = len(token)  # a byte-level token has one character for each byte
+        self.model = self.tokenizer.model
+        self.cut = regex.compile(PATTERN).findall
+        self.names = {b: c for c, b in _byte_names().items()}
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known, self.ids, self.sizes = pa.array([], pa.string()), np.zeros(0, np.uint32), np.zeros(0, np.int32)
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
+    def _pieces(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of each) of distinct words, each after a space."""
+        pieces = pa.array(self.cut(" " + " ".join(words)), pa.string()).dictionary_encode()
+        # the model knows bytes by a printable character each
+        made = [[t.id for t in self.model.tokenize(x.encode().decode("latin-1").translate(self.names))] for x in pieces.dictionary.to_pylist()]
+        sizes = np.fromiter(map(len, made), np.int64, len(made))
+        flat, first = np.fromiter(chain.from_iterable(made), np.uint32), np.cumsum(sizes) - sizes
+        codes = pieces.indices.to_numpy()
+        count = sizes[codes]
+        upto = np.cumsum(count)
+        ids = flat[np.repeat(first[codes] - (upto - count), count) + np.arange(int(count.sum()))]
+        # where a word's last piece ends, its bytes and the space before it have been taken
+        taken = np.cumsum(pc.binary_length(pieces.dictionary).to_numpy(False).astype(np.int64)[codes])
+        ends = np.cumsum([len(w.encode()) + 1 for w in words])
+        return ids, np.diff(upto[np.searchsorted(taken, ends)], prepend=0).astype(np.int32)
+
     def _learn(self, words: pa.Array) -> np.ndarray:
         """Places of distinct ``words`` among the known ones, after what is new was encoded."""
         at = pc.index_in(words, value_set=self.known)
         if at.null_count and len(self.known) + at.null_count > KNOWN:
             self.known, self.ids, self.sizes = self.known[:0], self.ids[:0], self.sizes[:0]
             at = pc.index_in(words, value_set=self.known)
-        new = words.filter(pc.is_null(at))
+        missing = pc.is_null(at)
+        new = words.filter(missing)
+        places = pc.fill_null(at, 0).to_numpy(False).astype(np.int32)
         if len(new):
-            ids = self.whole(" " + " ".join(new.to_pylist()))
-            ends = np.cumsum(pc.binary_length(new).to_numpy(False).astype(np.int64) + 1)
-            upto = np.searchsorted(np.cumsum(self.bytes[ids], dtype=np.int64), ends) + 1
+            ids, sizes = self._pieces(new.to_pylist())
+            places[missing.to_numpy(False)] = len(self.known) + np.arange(len(new), dtype=np.int32)
             self.known = pa.concat_arrays([self.known, new])
-            self.ids = np.concatenate((self.ids, ids))
-            self.sizes = np.concatenate((self.sizes, np.diff(upto, prepend=0).astype(np.int32)))
-            at = pc.index_in(words, value_set=self.known)
-        return at.to_numpy(False).astype(np.int32)
+            self.ids, self.sizes = np.concatenate((self.ids, ids)), np.concatenate((self.sizes, sizes))
+        return places
 
     def batch(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each text."""
@@ -104,8 +120,8 @@ class Words:
         first = np.cumsum(self.sizes, dtype=np.int64) - self.sizes
         count = self.sizes[places]
         upto = np.concatenate(([0], np.cumsum(count, dtype=np.int64)))
-        at = np.repeat(first[places] - upto[:-1], count)
-        at += np.arange(len(at))
+        at = np.repeat((first[places] - upto[:-1]).astype(np.int32), count)
+        at += np.arange(len(at), dtype=np.int32)
         ids = self.ids[at]
         # one text has one head, so the words behind it start after as many words less one a text
         bounds = upto[ends - np.arange(len(ends))]
