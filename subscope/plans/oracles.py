@@ -28,6 +28,7 @@ from subscope.plans.oracle_base import (
 from subscope.plans.registry import RAW_RULES
 from subscope.sources import generate
 from subscope.sources.star import star_constraints
+from subscope.sources.tables import LOADS
 
 _RISK = "CASE WHEN churned * 1.0 / NULLIF(n_customers, 0) > 0.25 THEN 'HIGH' " \
         "WHEN churned * 1.0 / NULLIF(n_customers, 0) > 0.15 THEN 'MEDIUM' ELSE 'LOW' END"
@@ -388,6 +389,28 @@ SELECT id, "group", converted, round(b, 5) AS arpu_before, round(a, 5) AS arpu_a
 SELECT * REPLACE (CAST(age AS SMALLINT) AS age, CAST(segment AS SMALLINT) AS segment) FROM star_customer"""
     s["star_dim_city"] = f"WITH {STAR} SELECT * FROM star_city"
     s["star_fact"] = f"WITH {STAR} SELECT * FROM star_fact"
+    loads = ", ".join(f"(DATE '{day}')" for day in LOADS)
+    versions = f"""loads(day) AS (VALUES {loads}),
+state AS (
+  SELECT day, c_name AS customer_id, any_value(n_name) AS city, any_value(c_mktsegment) AS contract_type,
+         'T0' || substr(arg_max(o_orderpriority, (o_orderdate, o_orderkey)), 1, 1) AS tariff_id,
+         max(o_orderdate) >= day::TIMESTAMP - INTERVAL 365 DAY AS active
+  FROM loads JOIN orders ON o_orderdate < day::TIMESTAMP JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey
+  GROUP BY day, c_name),
+changed AS (
+  SELECT * FROM state
+  QUALIFY (city, contract_type, tariff_id, active) IS DISTINCT FROM lag((city, contract_type, tariff_id, active)) OVER (PARTITION BY customer_id ORDER BY day)),
+versions AS (
+  SELECT row_number() OVER (ORDER BY day, customer_id) AS customer_sk, customer_id, city, contract_type, tariff_id, active,
+         day AS valid_from, lead(day) OVER (PARTITION BY customer_id ORDER BY day) AS valid_to FROM changed)"""
+    s["star_customer_history"] = f"WITH {versions} SELECT * FROM versions"
+    s["star_customer_as_of"] = f"""WITH {versions}
+SELECT * FROM versions WHERE valid_from <= DATE '1999-05-17' AND (valid_to IS NULL OR valid_to > DATE '1999-05-17')"""
+    s["star_fact_history"] = f"""WITH {versions}
+SELECT c_name AS customer_id, customer_sk, count(*) AS transactions, CAST(sum(CAST(o_totalprice AS DECIMAL(12,2))) AS DECIMAL(14,2)) AS spend
+FROM orders JOIN customer ON c_custkey = o_custkey
+LEFT JOIN versions v ON v.customer_id = c_name AND CAST(o_orderdate AS DATE) >= valid_from AND (valid_to IS NULL OR CAST(o_orderdate AS DATE) < valid_to)
+GROUP BY ALL"""
     s["star_intake"] = f"""WITH {STAR}, told AS (
   SELECT concat_ws(',', CASE WHEN c.customer_id IS NULL THEN 'customer' END, CASE WHEN t.tariff_id IS NULL THEN 'tariff' END,
                    CASE WHEN transaction_date IS NULL THEN 'date' END) AS reasons

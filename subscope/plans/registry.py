@@ -23,7 +23,7 @@ from subscope.operators import (
 )
 from subscope.plans import reports, scoring
 from subscope.session import stage_path, staged
-from subscope.sources import files, generate, star, tables as t
+from subscope.sources import files, generate, history, star, tables as t
 from subscope.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -172,6 +172,20 @@ def statistics_queries() -> dict[str, Query]:
     }
 
 
+def _customer_history(spark: SparkSession, folder: str) -> DataFrame:
+    loads = [(day, t.customer_state(spark, folder, day)) for day in t.LOADS]
+    return history.load_history(loads, "customer_id", "customer_sk", t.CUSTOMER_STATE)
+
+
+def _fact_history(spark: SparkSession, folder: str) -> DataFrame:
+    """Transactions and spend by the customer version that was valid when they happened."""
+    facts = t.table(spark, folder, "orders").join(t.table(spark, folder, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(
+        F.col("c_name").alias("customer_id"), F.to_date("o_orderdate").alias("day"), F.col("o_totalprice").cast(t.MONEY).alias("amount")
+    )
+    told = history.with_version(facts, _customer_history(spark, folder), "customer_id", "customer_sk", "day")
+    return told.groupBy("customer_id", "customer_sk").agg(F.count(F.lit(1)).alias("transactions"), F.sum("amount").cast("decimal(14,2)").alias("spend"))
+
+
 def _star(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     return star.build_star(
         t.raw_customers(spark, folder),
@@ -267,6 +281,9 @@ def source_queries() -> dict[str, Query]:
         "star_dim_city": lambda s, d: star.build_cities(t.places(s, d).select("city_name", "region")),
         "star_fact": lambda s, d: _star(s, d)["fact_transactions"],
         "star_intake": intake,
+        "star_customer_history": lambda s, d: _customer_history(s, d).drop("digest"),
+        "star_customer_as_of": lambda s, d: history.as_of(_customer_history(s, d), "1999-05-17").drop("digest"),
+        "star_fact_history": _fact_history,
         "constraint_report": constraints,
         "validate_features": validated,
         "run_metrics": runs,

@@ -99,6 +99,27 @@ def dim_customer(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+#: Days on which the customer dimension with history is loaded.
+LOADS = ("1997-01-01", "1998-07-01", "2000-01-01", AS_OF)
+CUSTOMER_STATE = ["city", "contract_type", "tariff_id", "active"]
+
+
+def customer_state(spark: SparkSession, folder: str, day: str) -> DataFrame:
+    """Customers who ordered before ``day``: their city, contract, last plan, and whether they ordered in the year before."""
+    at = F.lit(day).cast("timestamp_ntz")
+    last = F.max(F.struct("o_orderdate", "o_orderkey", F.substring("o_orderpriority", 1, 1).alias("plan"))).alias("last")
+    orders = table(spark, folder, "orders").where(F.col("o_orderdate") < at).groupBy("o_custkey").agg(last)
+    return (
+        orders.join(table(spark, folder, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+        .join(places(spark, folder), F.col("c_nationkey") == F.col("city_sk"))
+        .select(
+            F.col("c_name").alias("customer_id"), F.col("city_name").alias("city"), F.col("c_mktsegment").alias("contract_type"),
+            F.concat(F.lit("T0"), F.col("last.plan")).alias("tariff_id"),
+            (F.col("last.o_orderdate") >= at - F.expr("interval 365 days")).alias("active"),
+        )
+    )
+
+
 def dim_tariff(spark: SparkSession) -> DataFrame:
     return spark.sql(
         """
