@@ -1,25 +1,27 @@
 """Plan recommendations: popularity, content, collaborative and hybrid.
 
-Customers stay distributed. What they are compared with is the catalog of plans, cut
-into blocks of BLOCK_ITEMS: every task scores its customers against a block as one
+Customers and plans stay distributed: the catalog is a table of blocks of BLOCK_ITEMS plans
+(``operators/catalog.py``), and a task scores a group of customers against a block as one
 matrix product and keeps the best n, so neither pairs of plans nor pairs of customer
-and plan are ever written out. A larger catalog only means more blocks.
+and plan are ever written out. Collaborative and content searches leave out the
+blocks that cannot hold anything better; a blend has to meet them all for its scaling.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import cached_property, reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.ml.recommendation import ALS
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from subscope.operators import catalog as plans
+from subscope.operators.catalog import DIGITS, Scorer, matrix as _matrix
 from subscope.operators.features import minmax_catalog
 from subscope.operators.ordering import global_order
-from subscope.session import ship, staged
+from subscope.session import staged
 
 # Rows needed to trust collaborative scores, and the rating range.
 MIN_INTERACTIONS = 3
@@ -28,8 +30,6 @@ NUMERIC = ["monthly_price", "data_gb", "minutes"]
 BLOCK_ITEMS = 20_000
 # scores that a task holds at once, per array
 CELLS = 4_000_000
-# scores are ranked at this precision, ties go to the smaller plan id
-DIGITS = 9
 # shrinkage of the bias means, and of the latent factors
 BIAS_WEIGHT, FACTOR_PENALTY = 5.0, 0.1
 
@@ -88,109 +88,25 @@ def most_popular(catalog: DataFrame, n: int = 5, category: str | None = None) ->
     )
 
 
-@dataclass(frozen=True)
-class Block:
-    """A run of the catalog, in plan id order, as arrays."""
-
-    ids: np.ndarray
-    vectors: np.ndarray
-    popularity: np.ndarray
-    bias: np.ndarray
-    factors: np.ndarray
-
-    @cached_property
-    def places(self) -> pd.Index:
-        return pd.Index(self.ids)
-
-    def pieces(self, batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        """A batch in pieces that have at most ``CELLS`` scores with this block."""
-        step = max(1, CELLS // max(1, len(self.ids)))
-        for low in range(0, len(batch), step):
-            yield batch.iloc[low : low + step]
-
-
-def _matrix(column: pd.Series, width: int) -> np.ndarray:
-    out, given = np.zeros((len(column), width)), column.notna().to_numpy()
-    if given.any():
-        out[given] = np.stack(column[given].to_numpy())
-    return out
-
-
-def _blocks(items: DataFrame, block_items: int) -> list:
-    """Broadcast blocks of the staged item table (columns item, from 0, and features)."""
-    spark, total, made = items.sparkSession, items.count(), []
-    ship(spark)
-    for start in range(0, total, block_items):
-        # at most ``block_items`` rows
-        rows = items.where(F.col("item").between(start, start + block_items - 1)).orderBy("item").toPandas()
-        rank = max((len(f) for f in rows["factors"] if f is not None), default=1)
-        made.append(spark.sparkContext.broadcast(Block(
-            rows["tariff_id"].to_numpy(),
-            np.array(rows["vec"].tolist(), dtype=float),
-            rows["popularity"].to_numpy(dtype=float),
-            rows["bias"].to_numpy(dtype=float),
-            _matrix(rows["factors"], rank),
-        )))
-    return made
-
-
-Scorer = Callable[[pd.DataFrame, Block], tuple[np.ndarray, np.ndarray]]
-
-
-def _member(lists: pd.Series, block: Block) -> np.ndarray:
+def _member(lists: pd.Series, block: pd.DataFrame) -> np.ndarray:
     """Row by item: is the item in the row's list?"""
-    out = np.zeros((len(lists), len(block.ids)), dtype=bool)
+    out = np.zeros((len(lists), len(block)), dtype=bool)
     each = lists.reset_index(drop=True).explode().dropna()
-    place = block.places.get_indexer(each.to_numpy())
+    place = pd.Index(block["tariff_id"]).get_indexer(each.to_numpy())
     out[each.index.to_numpy()[place >= 0], place[place >= 0]] = True
     return out
 
 
-def _top(values: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, place, item) of the ``n`` largest values of every row, ties to the first item."""
-    n = min(n, values.shape[1])
-    least = -np.partition(-values, n - 1, axis=1)[:, n - 1]
-    row, item = np.nonzero((values >= least[:, None]) & (values > -np.inf))
-    order = np.lexsort((item, -values[row, item], row))
-    row, item = row[order], item[order]
-    place = np.arange(len(row)) - np.searchsorted(row, row)
-    return row[place < n], place[place < n], item[place < n]
+def _other(batch: pd.DataFrame, block: pd.DataFrame) -> np.ndarray:
+    return batch["anchor_id"].to_numpy()[:, None] != block["tariff_id"].to_numpy()[None, :]
 
 
-def _best_items(rows: DataFrame, key: str, blocks: list, scorer: Scorer, n: int) -> DataFrame:
-    """(key, rank, tariff_id, score): the best ``n`` allowed items of every row."""
-    kind = dict(rows.dtypes)[key]
+def _cosine(batch: pd.DataFrame, block: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    vectors = _matrix(block["vec"])
+    return _matrix(batch["anchor"], vectors.shape[1]) @ vectors.T, _other(batch, block)
 
-    def against(shared) -> DataFrame:
-        def score(batches):
-            block = shared.value
-            for batch in (piece for whole in batches for piece in block.pieces(whole)):
-                values, allowed = scorer(batch, block)
-                values = np.where(allowed, np.round(values, DIGITS), -np.inf)
-                row, place, item = _top(values, n)
-                yield pd.DataFrame({
-                    key: batch[key].to_numpy()[row],
-                    "rank": (place + 1).astype("int32"),
-                    "tariff_id": block.ids[item],
-                    "score": values[row, item],
-                })
 
-        return rows.mapInPandas(score, f"{key} {kind}, rank int, tariff_id string, score double")
-
-    parts = [against(shared) for shared in blocks]
-    if len(parts) == 1:
-        return parts[0]
-    merged = reduce(DataFrame.unionByName, parts)
-    place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "tariff_id"))
-    return merged.withColumn("rank", place).where(F.col("rank") <= n)
-
-
-def _cosine(batch: pd.DataFrame, block: Block) -> tuple[np.ndarray, np.ndarray]:
-    vectors = _matrix(batch["anchor"], block.vectors.shape[1])
-    return vectors @ block.vectors.T, batch["anchor_id"].to_numpy()[:, None] != block.ids[None, :]
-
-
-def _cosine_with_self(batch: pd.DataFrame, block: Block) -> tuple[np.ndarray, np.ndarray]:
+def _cosine_with_self(batch: pd.DataFrame, block: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     values, _ = _cosine(batch, block)
     return values, np.ones_like(values, dtype=bool)
 
@@ -212,32 +128,51 @@ def item_table(catalog: DataFrame, popular: DataFrame | None = None) -> DataFram
 def similar_plans(
     items: DataFrame, n: int, block_items: int = BLOCK_ITEMS, with_self: bool = False, anchors: DataFrame | None = None
 ) -> DataFrame:
-    """(anchor, rank, tariff_id, score): the ``n`` plans nearest in cosine to each plan of ``anchors``, all by default."""
-    rows = (items if anchors is None else anchors).select(F.col("tariff_id").alias("anchor_id"), F.col("vec").alias("anchor"))
+    """(anchor, rank, tariff_id, score): the ``n`` plans nearest in cosine to each plan of ``anchors``, all by default.
+
+    Plans are laid out by the nearest of a few pivots; an anchor meets its own block
+    first and then the blocks that reach as near as its n-th neighbour.
+    """
+    total = items.count()
     scorer = _cosine_with_self if with_self else _cosine
-    best = _best_items(rows, "anchor_id", _blocks(items, block_items), scorer, n)
+    if total <= block_items:
+        laid, blocks, limits = items.withColumn("cell", F.lit(0)), 1, None
+    else:
+        near = plans.by_pivots(items, "vec", "tariff_id", -(-total // block_items))
+        laid, blocks = plans.cut(near, ["pivot", "tariff_id"], "cell", block_items, "cells")
+        limits = plans.reach(laid, "cell", "vec")
+    asked = laid if anchors is None else laid.join(anchors.select("tariff_id"), "tariff_id", "left_semi")
+    rows = asked.select(F.col("tariff_id").alias("anchor_id"), F.col("vec").alias("anchor"), F.col("cell").alias("_own"))
+
+    def vector(batch: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        return _matrix(batch["anchor"]), np.zeros(len(batch))
+
+    best = plans.best(
+        rows, "anchor_id", laid.select("tariff_id", "vec", "cell"), "cell", blocks, scorer, n, CELLS,
+        first=F.col("_own"), limits=limits, vector=vector,
+    )
     return best.withColumnRenamed("anchor_id", "anchor")
 
 
-def _predicted(batch: pd.DataFrame, block: Block) -> np.ndarray:
-    factors = _matrix(batch["factors"], block.factors.shape[1])
-    base = batch["base"].to_numpy(dtype=float)[:, None] + block.bias[None, :]
-    return np.clip(base + factors @ block.factors.T, LOW, HIGH)
+def _predicted(batch: pd.DataFrame, block: pd.DataFrame) -> np.ndarray:
+    width = max((len(c[c.notna()].iloc[0]) for c in (batch["factors"], block["factors"]) if c.notna().any()), default=1)
+    base = batch["base"].to_numpy(dtype=float)[:, None] + block["bias"].to_numpy(dtype=float)[None, :]
+    return np.clip(base + _matrix(batch["factors"], width) @ _matrix(block["factors"], width).T, LOW, HIGH)
 
 
-def _unseen(batch: pd.DataFrame, block: Block) -> tuple[np.ndarray, np.ndarray]:
+def _unseen(batch: pd.DataFrame, block: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return _predicted(batch, block), ~_member(batch["seen"], block)
 
 
-def _any(batch: pd.DataFrame, block: Block) -> tuple[np.ndarray, np.ndarray]:
+def _any(batch: pd.DataFrame, block: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     values = _predicted(batch, block)
     return values, np.ones_like(values, dtype=bool)
 
 
-def _hybrid_parts(batch: pd.DataFrame, block: Block):
+def _hybrid_parts(batch: pd.DataFrame, block: pd.DataFrame):
     """Collaborative and content scores, each with the items it covers."""
     trusted = batch["trusted"].to_numpy(dtype=bool)[:, None]
-    collab = np.where(trusted, _predicted(batch, block), block.popularity[None, :])
+    collab = np.where(trusted, _predicted(batch, block), block["popularity"].to_numpy(dtype=float)[None, :])
     in_collab = ~trusted | ~_member(batch["seen"], block)
     content, other = _cosine(batch, block)
     anchored = batch["anchor"].notna().to_numpy()[:, None]
@@ -263,32 +198,29 @@ _LIMIT_COLUMNS = ["c_low", "c_high", "b_low", "b_high"]
 
 
 def _hybrid_scorer(alpha: float) -> Scorer:
-    def score(batch: pd.DataFrame, block: Block) -> tuple[np.ndarray, np.ndarray]:
+    def score(batch: pd.DataFrame, block: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
         (collab, in_c), (content, in_b) = _hybrid_parts(batch, block)
         if "c_low" in batch:
             c_low, c_high, b_low, b_high = (batch[c].to_numpy(dtype=float) for c in _LIMIT_COLUMNS)
         else:
             (c_low, c_high), (b_low, b_high) = _limits(collab, in_c), _limits(content, in_b)
         blend = alpha * _scaled(collab, in_c, c_low, c_high) + (1 - alpha) * _scaled(content, in_b, b_low, b_high)
-        return blend, batch["anchor_id"].to_numpy()[:, None] != block.ids[None, :]
+        return blend, _other(batch, block)
 
     return score
 
 
-def _hybrid_limits(rows: DataFrame, key: str, blocks: list) -> DataFrame:
+def _hybrid_limits(rows: DataFrame, key: str, items: DataFrame, blocks: int) -> DataFrame:
     """Score limits per row over all blocks, for a catalog of more than one block."""
     kind = dict(rows.dtypes)[key]
 
-    def against(shared) -> DataFrame:
-        def measure(batches):
-            for batch in (piece for whole in batches for piece in shared.value.pieces(whole)):
-                (collab, in_c), (content, in_b) = _hybrid_parts(batch, shared.value)
-                limits = [*_limits(collab, in_c), *_limits(content, in_b)]
-                yield pd.DataFrame({key: batch[key], **dict(zip(_LIMIT_COLUMNS, limits))})
-
-        return rows.mapInPandas(measure, f"{key} {kind}, " + ", ".join(f"{c} double" for c in _LIMIT_COLUMNS))
+    def measure(batch: pd.DataFrame, block: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        (collab, in_c), (content, in_b) = _hybrid_parts(batch, block)
+        yield pd.DataFrame({key: batch[key], **dict(zip(_LIMIT_COLUMNS, [*_limits(collab, in_c), *_limits(content, in_b)]))})
 
-    merged = reduce(DataFrame.unionByName, [against(shared) for shared in blocks])
+    schema = f"{key} {kind}, " + ", ".join(f"{c} double" for c in _LIMIT_COLUMNS)
+    every = F.sequence(F.lit(0), F.lit(blocks - 1))
+    merged = plans.meet(rows, key, every, items, "block", blocks, measure, schema, CELLS)
     return merged.groupBy(key).agg(
         *[(F.min if c.endswith("low") else F.max)(c).alias(c) for c in _LIMIT_COLUMNS]
     )
@@ -422,6 +354,15 @@ class Recommender:
         best = similar_plans(self._fitted(), n, self.block_items, anchors=anchor)
         return self._described(best).drop("anchor").orderBy("rank")
 
+    def _laid_out(self) -> tuple[DataFrame, int]:
+        """The catalog in blocks by falling length of the factors, and the number of blocks."""
+        items = self._fitted().select("tariff_id", "vec", "popularity", "bias", "factors")
+        total = items.count()
+        if total <= self.block_items:
+            return items.withColumn("block", F.lit(0)), 1
+        length = F.sqrt(F.aggregate(F.coalesce("factors", F.array().cast("array<double>")), F.lit(0.0), lambda t, v: t + v * v))
+        return plans.cut(items.withColumn("_fall", -length), ["_fall", "tariff_id"], "block", self.block_items, "catalog")
+
     def _customers(self, customers: DataFrame | None) -> DataFrame:
         """User rows, of the given ids if any; an unknown id has no ratings."""
         self._fitted()
@@ -446,9 +387,15 @@ class Recommender:
         users = self._customers(customers)
         cold = self._popular_for(users.where(~F.col("trusted")), n)
         if self.collaborative_model:
-            best = _best_items(
-                users.where("trusted").select("customer_id", "base", "factors", "seen"),
-                "customer_id", _blocks(self.items, self.block_items), _unseen if exclude_current else _any, n,
+            laid, blocks = self._laid_out()
+
+            def vector(batch: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+                return _matrix(batch["factors"], limits.centres.shape[1]), batch["base"].to_numpy(dtype=float)
+
+            limits = plans.reach(laid, "block", "factors", "bias") if blocks > 1 else None
+            best = plans.best(
+                users.where("trusted").select("customer_id", "base", "factors", "seen"), "customer_id", laid, "block", blocks,
+                _unseen if exclude_current else _any, n, CELLS, first=F.lit(0), limits=limits, vector=vector, between=(LOW, HIGH),
             )
             cold = best.unionByName(cold)
         return self._described(cold)
@@ -458,11 +405,11 @@ class Recommender:
         rows = self._anchored(self._customers(customers)).select(
             "customer_id", "base", "factors", "seen", "trusted", "anchor_id", "anchor"
         )
-        blocks = _blocks(self._fitted(), self.block_items)
-        if len(blocks) > 1:
+        laid, blocks = self._laid_out()
+        if blocks > 1:
             rows = staged(rows, "hybrid")
-            rows = rows.join(_hybrid_limits(rows, "customer_id", blocks), "customer_id")
-        best = _best_items(rows, "customer_id", blocks, _hybrid_scorer(self.alpha), n)
+            rows = rows.join(_hybrid_limits(rows, "customer_id", laid, blocks), "customer_id")
+        best = plans.best(rows, "customer_id", laid, "block", blocks, _hybrid_scorer(self.alpha), n, CELLS)
         return self._described(best)
 
     # ---------------------------------------------------------------- storage

@@ -9,7 +9,7 @@ import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from subscope.operators import attributions, churn, features, recommend, rfm, segments
+from subscope.operators import attributions, catalog, churn, features, recommend, rfm, segments
 from subscope.plans import jobs, scoring
 from subscope.session import staged
 from subscope.sources import generate
@@ -377,32 +377,15 @@ def test_best_items_of_a_row():
         for row, own in enumerate(values):
             best = sorted((i for i in range(30) if own[i] > -np.inf), key=lambda i: (-own[i], i))[:n]
             expected += [(row, place, item) for place, item in enumerate(best)]
-        assert list(zip(*map(np.ndarray.tolist, recommend._top(values, n)))) == expected
+        assert list(zip(*map(np.ndarray.tolist, catalog.top(values, n)))) == expected
 
 
-def test_pieces_of_a_batch_do_not_change_results(spark, fitted, monkeypatch):
-    block = recommend.Block(np.array(["a", "b", "c"]), *[np.zeros((3, 1))] * 4)
-    monkeypatch.setattr(recommend, "CELLS", 7)
-    batch = pd.DataFrame({"seen": [["b"], None, [], ["a", "x", "c"], ["c"]]})
-    pieces = list(block.pieces(batch))
-    assert [len(p) for p in pieces] == [2, 2, 1]
-    member = np.concatenate([recommend._member(p["seen"], block) for p in pieces])
+def test_lists_of_seen_plans():
+    block = pd.DataFrame({"tariff_id": ["a", "b", "c"]})
+    member = recommend._member(pd.Series([["b"], None, [], ["a", "x", "c"], ["c"]]), block)
     assert member.tolist() == [[0, 1, 0], [0, 0, 0], [0, 0, 0], [1, 0, 1], [0, 0, 1]]
 
 
-def test_large_catalog_in_bounded_pieces(spark):
-    n = 50_000
-    block = recommend.Block(np.arange(n).astype(str), np.random.default_rng(1).random((n, 4)), *[np.zeros(n)] * 2, np.zeros((n, 1)))
-    batch = pd.DataFrame({"anchor": list(np.random.default_rng(2).random((200, 4))), "anchor_id": "none"})
-    sizes = []
-    for piece in block.pieces(batch):
-        values, allowed = recommend._cosine(piece, block)
-        sizes.append(values.size)
-        row, place, item = recommend._top(values, 3)
-        assert (values[row, item].reshape(-1, 3) == -np.sort(-values, axis=1)[:, :3]).all()
-    assert max(sizes) <= recommend.CELLS and len(sizes) == 3
-
-
 def test_seen_plans_on_request(fitted):
     every = ranked(fitted.collaborative(12, exclude_current=False))
     assert all(len(plans) == 12 for plans in every.values())
