@@ -122,9 +122,11 @@ def meet(
     groups = max(1, -(-rows.count() // GROUP_ROWS))
     unit = ["_group", "_block"]
     asking = rows.withColumn("_group", F.pmod(F.xxhash64(key), F.lit(groups)).cast("int")).withColumn("_block", F.explode(wanted))
-    # only units that some row asks for get their block
-    asked = asking.select(F.col("_group").alias("_g"), F.col("_block").alias("_b")).distinct()
-    offered = items.withColumnRenamed(block, "_part").join(asked, F.col("_part") == F.col("_b"))
+    if blocks == 1:
+        offered = items.withColumn("_g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).withColumn("_b", F.lit(0))
+    else:  # only units that some row asks for get their block
+        asked = asking.select(F.col("_group").alias("_g"), F.col("_block").alias("_b")).distinct()
+        offered = items.withColumnRenamed(block, "_part").join(asked, F.col("_part") == F.col("_b"))
 
     def run(_, batch: pd.DataFrame, part: pd.DataFrame) -> pd.DataFrame:
         names = [f.split()[0] for f in schema.split(", ")]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from subscope.functions.scalars import equal_width_bin
-from subscope.operators.distribution import exact_quantiles, to_long
+from subscope.operators.brackets import numeric, quantiles
 from subscope.session import lookup, staged
 
 # Columns of the correlation heat map.
@@ -15,18 +15,16 @@ CORRELATED = [
 ]
 
 
-def describe(df: DataFrame, columns: list[str], slice_rows: int | None = None) -> DataFrame:
-    """count, mean, std, min, quartiles and max, one row per numeric column."""
-    long = staged(to_long(df, columns), "describe")
-    moments = long.groupBy("feature").agg(
-        F.count(F.lit(1)).alias("count"),
-        F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-    )
+def describe(df: DataFrame, columns: list[str]) -> DataFrame:
+    """count, mean, std, min, quartiles and max, one row per numeric column that has values."""
+    wide = staged(numeric(df, columns), "describe")
+    measures = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
+    one = wide.agg(*[f(F.col(f"`{c}`")).alias(f"{name}_{i}") for i, c in enumerate(columns) for name, f in measures.items()])
+    moments = one.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("feature"), *[F.col(f"{name}_{i}").alias(name) for name in measures]) for i, c in enumerate(columns)
+    ]))).where("count > 0")
     quartiles = (
-        exact_quantiles(long, "feature", [0.25, 0.5, 0.75], slice_rows)
+        quantiles(wide, columns, [0.25, 0.5, 0.75])
         .groupBy("feature")
         .pivot("p", [0.25, 0.5, 0.75])
         .agg(F.first("quantile"))
@@ -62,17 +60,13 @@ def histogram(df: DataFrame, value: str, by: str, bins: int) -> DataFrame:
     )
 
 
-def box_summary(df: DataFrame, value: str, by: str, slice_rows: int | None = None) -> DataFrame:
+def box_summary(df: DataFrame, value: str, by: str) -> DataFrame:
     """Quartiles, whiskers at 1.5 times the quartile range, and outlier count per class."""
-    rows = staged(
-        df.where(F.col(value).isNotNull() & F.col(by).isNotNull()).select(
-            by, F.col(value).cast("double").alias("value")
-        ),
-        "box",
-    )
+    known = df.where(F.col(value).isNotNull() & F.col(by).isNotNull()).select(by, F.col(value).alias("value"))
+    rows = staged(numeric(known, ["value"], [by]), "box")
     marks = [0.0, 0.25, 0.5, 0.75, 1.0]
     five = (
-        exact_quantiles(rows, by, marks, slice_rows)
+        quantiles(rows, ["value"], marks, by)
         .groupBy(by)
         .pivot("p", marks)
         .agg(F.first("quantile"))

@@ -74,6 +74,7 @@ RANGES = {
     "has_roaming": (0, 1),
 }
 DEFAULTS = {"recency": 30.0, "frequency": 6.0, "monetary": 5000.0, "avg_data_gb": 15.0, "avg_minutes": 300.0}
+SEGMENT_FIELDS = ("recency", "frequency", "monetary", "tenure_months", "avg_data_gb")
 REQUEST_DEFAULTS = {"mode": "cold_start", "n": 5}
 REQUEST_RANGE = (1, 10)
 
@@ -110,6 +111,13 @@ def validate_recommendation_requests(requests: DataFrame) -> DataFrame:
     )
 
 
+def validate_segment_requests(requests: DataFrame) -> DataFrame:
+    """List the fields that a segment request lacks; none has a default, any number will do."""
+    absent = {c: F.lit(None).cast("double") for c in SEGMENT_FIELDS if c not in requests.columns}
+    checks = [(F.col(c).isNull(), f"{c}:missing") for c in SEGMENT_FIELDS]
+    return requests.withColumns(absent).withColumn("violations", _violations(checks))
+
+
 def split_valid(validated: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Accepted rows without the marker, and rejected rows with it."""
     ok = F.size("violations") == 0

@@ -28,7 +28,7 @@ from subscope.plans.oracle_base import (
 from subscope.plans.registry import RAW_RULES
 from subscope.sources import generate
 from subscope.sources.star import star_constraints
-from subscope.sources.tables import LOADS
+from subscope.sources.tables import LOADS, REFERENCE_END
 
 _RISK = "CASE WHEN churned * 1.0 / NULLIF(n_customers, 0) > 0.25 THEN 'HIGH' " \
         "WHEN churned * 1.0 / NULLIF(n_customers, 0) > 0.15 THEN 'MEDIUM' ELSE 'LOW' END"
@@ -348,6 +348,17 @@ SELECT customer_id, age, gender, city, tenure_months, tariff_id, contract_type,
     s["sink_roundtrip"] = f"""WITH {RAW}
 SELECT transaction_id, customer_id, transaction_date, amount, CAST(data_gb_used AS DECIMAL(8,2)) AS data_gb_used,
        CAST(minutes_used AS DECIMAL(10,1)) AS minutes_used, tariff_id FROM raw_transactions"""
+    s["scan_tariffs"] = """
+SELECT p_brand AS tariff_id, 'Plan ' || regexp_extract(p_brand, '([0-9]+)$', 1) AS name,
+       CAST(round(CAST(sum(CAST(p_retailprice AS DECIMAL(12,2))) AS DOUBLE) / count(*), 2) AS DECIMAL(10,2)) AS monthly_price,
+       CAST(floor(round(CAST(sum(p_size) AS DOUBLE) / count(*), 2)) AS INT) AS data_gb, CAST(count(*) AS INT) AS minutes,
+       'G' || (CAST(regexp_extract(p_brand, '([0-9]+)$', 1) AS INT) % 5) AS category
+FROM part GROUP BY p_brand"""
+    missing = {"recency": (13, "c_custkey % 300"), "frequency": (17, "c_custkey % 40"), "monetary": (19, "c_acctbal"), "tenure_months": (23, "c_custkey % 84")}
+    fields = ", ".join(f"CASE WHEN c_custkey % {m} <> 0 THEN CAST({v} AS DOUBLE) END AS {c}" for c, (m, v) in missing.items())
+    lacks = ", ".join(f"CASE WHEN c_custkey % {m} = 0 THEN '{c}:missing' END" for c, (m, _) in missing.items())
+    s["validate_segments"] = f"""
+SELECT c_custkey AS request_id, {fields}, CAST(c_custkey % 50 AS DOUBLE) AS avg_data_gb, concat_ws(',', {lacks}) AS violations FROM customer"""
     s["telco_normalise"] = """
 SELECT c_name AS customerid, CASE WHEN c_custkey % 2 = 0 THEN 1 ELSE 0 END AS seniorcitizen,
        c_acctbal AS monthly_charges,
@@ -604,6 +615,8 @@ SELECT request_id, mode, route, CAST(rank AS INT) AS rank, tariff_id, coalesce(n
        coalesce(c.category, '') AS category, round_even(score, 4) AS score,
        CASE WHEN route = 'similar' AND tariff_id IS NULL THEN '500' ELSE '200' END AS status
 FROM answers LEFT JOIN catalog c USING (tariff_id) WHERE rank IS NULL OR rank <= n"""
+    s["stream_recommend"] = s["score_recommend_popular"]
+    s["rec_saved"] = s["rec_hybrid_coldstart"]
     return s
 
 
@@ -616,6 +629,23 @@ def _services() -> dict[str, str]:
     rows = ", ".join(f"('{x}', {x}::DOUBLE)" for x in limits) + ", ('+Inf', 'inf'::DOUBLE)"
     s["latency_buckets"] = f"""WITH {log}, b(le, top) AS (VALUES {rows})
 SELECT endpoint, le, count(*) FILTER (WHERE seconds <= top) AS requests FROM log, b GROUP BY 1, 2"""
+    s["stream_drift"] = f"""WITH long AS (
+  SELECT ts, 'value' AS feature, value AS v FROM events WHERE value IS NOT NULL AND NOT isnan(value)
+  UNION ALL SELECT ts, 'user_id', user_id::DOUBLE FROM events WHERE user_id IS NOT NULL),
+edges AS (SELECT feature, quantile_cont(v, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS e FROM long WHERE ts < TIMESTAMP '{REFERENCE_END}' GROUP BY feature),
+binned AS (SELECT ts, feature, len(list_filter(e, lambda x: x <= v)) AS bin FROM long JOIN edges USING (feature)),
+expected AS (
+  SELECT feature, b.bin, coalesce(n, 0) / (sum(coalesce(n, 0)) OVER (PARTITION BY feature)) AS x
+  FROM (SELECT feature, unnest(range(10)) AS bin FROM edges) b
+  LEFT JOIN (SELECT feature, bin, count(*) AS n FROM binned WHERE ts < TIMESTAMP '{REFERENCE_END}' GROUP BY ALL) c USING (feature, bin)),
+days AS (SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS window_start, feature, bin, count(*) AS n FROM binned WHERE ts IS NOT NULL GROUP BY ALL),
+seen AS (SELECT window_start, feature, sum(n)::BIGINT AS rows FROM days GROUP BY ALL),
+shares AS (SELECT window_start, feature, bin, rows, x, coalesce(n, 0) / rows AS a FROM seen JOIN expected USING (feature) LEFT JOIN days USING (window_start, feature, bin)),
+gaps AS (SELECT *, abs(sum(x) OVER w - sum(a) OVER w) AS gap, coalesce(nullif(x, 0), 1e-6) AS ee, coalesce(nullif(a, 0), 1e-6) AS aa
+         FROM shares WINDOW w AS (PARTITION BY window_start, feature ORDER BY bin)),
+report AS (SELECT window_start, feature, any_value(rows) AS rows, sum((aa - ee) * ln(aa / ee)) AS psi, max(gap) AS ks FROM gaps GROUP BY ALL)
+SELECT window_start, feature, rows, round(psi, 6) AS psi, round(ks, 6) AS ks_statistic,
+       CASE WHEN psi > 0.25 THEN 'high' WHEN psi > 0.1 THEN 'medium' ELSE 'low' END AS severity FROM report"""
     s["stream_request_counts"] = f"""WITH {log}
 SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS window_start, endpoint, status, count(*) AS requests
 FROM log WHERE ts IS NOT NULL GROUP BY 1, 2, 3"""

@@ -24,7 +24,7 @@ from subscope.operators import (
 from subscope.plans import reports, scoring
 from subscope.session import stage_path, staged
 from subscope.sources import files, generate, history, star, tables as t
-from subscope.streaming import jobs
+from subscope.streaming import jobs, windows
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -272,6 +272,7 @@ def source_queries() -> dict[str, Query]:
         "scan_csv": lambda s, d: roundtrip(
             s, t.raw_customers(s, d).drop("segment_name"), files.load_customers),
         "sink_roundtrip": lambda s, d: roundtrip(s, t.raw_transactions(s, d), files.load_transactions),
+        "scan_tariffs": lambda s, d: roundtrip(s, t.raw_plans(s, d), files.load_tariffs),
         "telco_normalise": telco,
         "gen_customers": lambda s, d: generate.customers_from(ids(s, d)),
         "gen_transactions": generated,
@@ -286,6 +287,8 @@ def source_queries() -> dict[str, Query]:
         "star_fact_history": _fact_history,
         "constraint_report": constraints,
         "validate_features": validated,
+        "validate_segments": lambda s, d: quality.validate_segment_requests(t.segment_requests(s, d)).withColumn(
+            "violations", F.array_join("violations", ",")),
         "run_metrics": runs,
     }
 
@@ -430,6 +433,21 @@ def recommendation_queries() -> dict[str, Query]:
             F.max("rank").alias("last_rank"), F.bool_and("_falls").alias("falling"),
             F.count_if("_barred").alias("barred"))
 
+    def saved(s: SparkSession, d: str) -> DataFrame:
+        """The lists of a recommender that was stored and read back."""
+        path = stage_path(s, "recommender")
+        model(s, d, False).save(path)
+        return rounded(recommend.Recommender.load(s, path).hybrid().select("customer_id", "rank", "tariff_id", "score"), 6, "score")
+
+    def streamed(s: SparkSession, d: str) -> DataFrame:
+        lists = staged(scoring.recommendation_lists(model(s, d, False)), "lists")
+        asked = staged(requests(s, d).repartition(3, "request_id"), "requests")
+        out, source = stage_path(s, "answers"), asked.inputFiles()[0].rsplit("/", 1)[0]
+        kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in asked.schema.fields)
+        answers = jobs.recommend_stream(jobs.read_files(s, source, kinds), lists)
+        jobs.to_parquet(answers, out, stage_path(s, "progress")).awaitTermination()
+        return s.read.schema(answers.schema).parquet(out)
+
     score = ("score",)
     return {
         "ratings": lambda s, d: rounded(recommend.ratings(t.brand_purchases(s, d)), 6, "rating"),
@@ -443,6 +461,7 @@ def recommendation_queries() -> dict[str, Query]:
         "rec_cold_start_category": lambda s, d: recommend.most_popular(listed(s, d), 3, "G2"),
         "rec_hybrid_coldstart": lambda s, d: rounded(
             model(s, d, False).hybrid().select("customer_id", "rank", "tariff_id", "score"), 6, *score),
+        "rec_saved": saved,
         "rec_collaborative": lambda s, d: model(s, d, True).collaborative(),
         "rec_collaborative_check": lambda s, d: ruled(s, d, "collaborative"),
         "rec_hybrid": lambda s, d: model(s, d, True).hybrid(),
@@ -451,6 +470,7 @@ def recommendation_queries() -> dict[str, Query]:
             "request_id", "mode", scoring.route().alias("route")),
         "score_recommend": lambda s, d: answered(s, d, True),
         "score_recommend_popular": lambda s, d: answered(s, d, False),
+        "stream_recommend": streamed,
     }
 
 
@@ -522,7 +542,17 @@ def service_queries() -> dict[str, Query]:
         jobs.upsert_counts(log, out, checkpoint).awaitTermination()
         return jobs.running_counts(s, out)
 
+    def drifting(s: SparkSession, d: str) -> DataFrame:
+        """Every day of events against the first ten, from a stream."""
+        measured = ["value", "user_id"]
+        bins = windows.reference_bins(t.table(s, d, "events").where(F.col("ts") < F.lit(t.REFERENCE_END).cast("timestamp_ntz")), measured)
+        out = stage_path(s, "bins")
+        windows.upsert_bins(jobs.read_files(s, d, jobs.EVENTS, "events*.parquet"), bins, out, stage_path(s, "progress")).awaitTermination()
+        report = windows.window_drift(windows.latest_bins(s, out), bins)
+        return rounded(report.select("window_start", "feature", "rows", "psi", "ks_statistic", "severity"), 6, "psi", "ks_statistic")
+
     return {
+        "stream_drift": drifting,
         "request_counts": lambda s, d: scoring.request_counts(t.request_log(s, d)),
         "latency_buckets": lambda s, d: scoring.latency_buckets(t.request_log(s, d)),
         "stream_request_counts": streamed,

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from subscope.operators.quality import REQUEST_DEFAULTS, REQUEST_RANGE
 from subscope.operators.recommend import Recommender
+from subscope.session import lookup
 
 # Upper limits of the latency buckets, in seconds; the last one is open.
 LATENCY_LIMITS = [0.005, 0.01, 0.025, 0.05, 0.075, 0.1, 0.25, 0.5, 0.75, 1.0, 2.5, 5.0, 7.5, 10.0]
@@ -59,22 +60,84 @@ def score_recommendations(recommender: Recommender, requests: DataFrame) -> Data
     columns = ["request_id", "mode", "route", "n", "rank", "tariff_id", "name", "monthly_price", "data_gb",
                "plan_category", "score"]
     merged = reduce(DataFrame.unionByName, [_labelled(df).select(*columns) for df in served])
-    status = F.when((F.col("route") == "similar") & F.col("tariff_id").isNull(), "500").otherwise("200")
-    answered = merged.where(F.col("rank").isNull() | (F.col("rank") <= F.col("n"))).select(
+    answered = _answers(merged.where(F.col("rank").isNull() | (F.col("rank") <= F.col("n"))), "200")
+    given = {"monthly_price": F.lit(0), "data_gb": F.lit(0), "category": F.lit(""), "status": F.lit("422")}
+    told = {"request_id", "mode", "route"}
+    return answered.unionByName(refused.select(*[
+        (F.col(f.name) if f.name in told else given.get(f.name, F.lit(None))).cast(f.dataType).alias(f.name)
+        for f in answered.schema.fields
+    ]))
+
+
+def _answers(merged: DataFrame, status: str | Column) -> DataFrame:
+    """Response columns from one row per request and plan; ``status`` is that of a request with plans or none left."""
+    served = F.lit(status) if isinstance(status, str) else status
+    return merged.select(
         "request_id", "mode", "route", "rank", "tariff_id",
         F.coalesce("name", "tariff_id").alias("name"),
         F.coalesce("monthly_price", F.lit(0)).alias("monthly_price"),
         F.coalesce("data_gb", F.lit(0)).alias("data_gb"),
         F.coalesce("plan_category", F.lit("")).alias("category"),
         F.bround("score", 4).alias("score"),
-        status.alias("status"),
+        F.when((served == "200") & (F.col("route") == "similar") & F.col("tariff_id").isNull(), "500").otherwise(served).alias("status"),
     )
-    given = {"monthly_price": F.lit(0), "data_gb": F.lit(0), "category": F.lit(""), "status": F.lit("422")}
-    told = {"request_id", "mode", "route"}
-    return answered.unionByName(refused.select(*[
-        (F.col(f.name) if f.name in told else given.get(f.name, F.lit(None))).cast(f.dataType).alias(f.name)
-        for f in answered.schema.fields
-    ]))
+
+
+#: The list of a route for keys that it does not know.
+UNKNOWN = ""
+
+
+def recommendation_lists(recommender: Recommender, top: int = REQUEST_RANGE[1]) -> DataFrame:
+    """(route, key, plans): every list that a request can ask for, worked out once.
+
+    Keys are customers, plans and categories as text. Lists of customers without ratings,
+    and the overall ranking of the cold start, have the key ``UNKNOWN``; an unknown plan has none.
+    """
+    spark = recommender.items.sparkSession
+    kind = dict(recommender.users.dtypes)["customer_id"]
+    nobody = spark.range(1).select(F.lit(None).cast(kind).alias("customer_id"))
+    parts = []
+    for name in ("hybrid", "collaborative"):
+        lists = getattr(recommender, name)
+        for found in (lists(top), lists(top, nobody)):
+            parts.append(found.withColumns({"route": F.lit(name), "key": F.coalesce(F.col("customer_id").cast("string"), F.lit(UNKNOWN))}))
+    parts.append(recommender.similar(top).withColumns({"route": F.lit("similar"), "key": F.col("anchor")}))
+    parts.append(popular_offers(recommender, top).withColumns({"route": F.lit("cold_start"), "key": F.col("_list")}))
+    plan = F.struct("rank", "tariff_id", "name", "monthly_price", "data_gb", F.col("category").alias("plan_category"), "score")
+    merged = reduce(DataFrame.unionByName, [p.select("route", "key", plan.alias("plan")) for p in parts])
+    return merged.groupBy("route", "key").agg(F.array_sort(F.collect_list("plan")).alias("plans"))  # at most ``top`` each
+
+
+def score_from_lists(lists: DataFrame, requests: DataFrame) -> DataFrame:
+    """The answers of ``score_recommendations`` from stored lists, for a batch or a stream of requests.
+
+    Stateless: a request meets the list of its route and key, else the route's list for unknown
+    keys. ``lists`` is staged. The few lists that very many requests share, those of unknown keys and of
+    the cold start, are broadcast when their number allows it and never shuffled
+    against the requests; customers' lists are joined by customer.
+    """
+    small = lookup(lists.where((F.col("key") == UNKNOWN) | F.col("route").isin("cold_start", "similar")), "shared-lists")
+    own = lists.where((F.col("key") != UNKNOWN) & F.col("route").isin("hybrid", "collaborative"))
+    text = F.when(F.col("route").isin("hybrid", "collaborative"), F.col("customer_id").cast("string")).when(
+        F.col("route") == "similar", F.col("current_tariff")
+    ).otherwise(F.coalesce("category", F.lit("")))
+    known = requests.withColumn("route", route()).withColumn("n", F.coalesce("n", F.lit(REQUEST_DEFAULTS["n"]))).withColumn("key", text)
+    fits = F.col("n").between(*REQUEST_RANGE)
+
+    def named(table: DataFrame, name: str) -> DataFrame:
+        return table.select(F.col("route").alias(f"{name}_route"), F.col("key").alias(f"{name}_key"), F.col("plans").alias(name))
+
+    shared, personal = named(small, "shared"), named(own, "personal")
+    default = named(small.where(F.col("key") == UNKNOWN), "default")
+    told = (
+        known.join(personal, (F.col("route") == F.col("personal_route")) & (F.col("key") == F.col("personal_key")), "left")
+        .join(shared, (F.col("route") == F.col("shared_route")) & (F.col("key") == F.col("shared_key")), "left")
+        .join(F.broadcast(default), (F.col("route") == F.col("default_route")) & (F.col("route") != "cold_start"), "left")  # one per route
+    )
+    plans = F.when(fits, F.slice(F.coalesce("personal", "shared", "default"), F.lit(1), F.greatest(F.lit(0), F.col("n"))))
+    made = told.select("request_id", "mode", "route", F.when(fits, "200").otherwise("422").alias("status"), F.explode_outer(plans).alias("plan"))
+    merged = made.select("request_id", "mode", "route", "status", "plan.*")
+    return _answers(merged, F.col("status"))
 
 
 def _labelled(df: DataFrame) -> DataFrame:

@@ -11,11 +11,11 @@ from subscope.operators.quality import Constraint
 
 def calendar(spark: SparkSession, start: str = "2024-01-01", end: str = "2026-12-31") -> DataFrame:
     """One row per day; bounded by the two dates, so it may be broadcast."""
-    days = spark.range(1).select(
-        F.explode(
-            F.sequence(F.lit(start).cast("date"), F.lit(end).cast("date"), F.expr("interval 1 day"))
-        ).alias("full_date")
-    )
+    return _days(spark.range(1), F.lit(start).cast("date"), F.lit(end).cast("date"))
+
+
+def _days(one_row: DataFrame, first: Column, last: Column) -> DataFrame:
+    days = one_row.select(F.explode(F.sequence(first, last, F.expr("interval 1 day"))).alias("full_date"))
     d = F.col("full_date")
     weekday = F.dayofweek(d) - 1
     return days.select(
@@ -155,8 +155,12 @@ def write_star(tables: dict[str, DataFrame], out: str) -> None:
 
 
 def calendar_of(dates: DataFrame, column: str) -> DataFrame:
-    """Calendar of whole years that covers the dates of a table."""
-    return calendar(dates.sparkSession, *years_of(dates, column))
+    """Calendar of whole years that covers the dates of a table; today's year if it has none.
+
+    The years are found inside the query that uses the calendar, without a job before it.
+    """
+    years = dates.agg(*[F.year(F.coalesce(f(column).cast("date"), F.current_date())).alias(n) for n, f in (("first", F.min), ("last", F.max))])
+    return _days(years, F.make_date("first", F.lit(1), F.lit(1)), F.make_date("last", F.lit(12), F.lit(31)))
 
 
 def years_of(dates: DataFrame, column: str) -> tuple[str, str]:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from subscope.functions.scalars import date_key
 
@@ -17,6 +17,7 @@ AS_OF = "2001-08-01"
 CHURN_CUTOFF = "2000-09-01"
 DRIFT_CUTOFF = "1998-06-01"
 EXPERIMENT_START = "1999-01-01"
+REFERENCE_END = "2024-01-11"
 
 MONEY = "decimal(12,2)"
 
@@ -221,6 +222,26 @@ def scoring_requests(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def segment_requests(spark: SparkSession, folder: str) -> DataFrame:
+    """One request per customer with some fields left out."""
+    key = F.col("c_custkey")
+    def given(every: int, value) -> Column:
+        return F.when(key % every != 0, value.cast("double"))
+
+    return table(spark, folder, "customer").select(
+        key.alias("request_id"), given(13, key % 300).alias("recency"), given(17, key % 40).alias("frequency"),
+        given(19, F.col("c_acctbal")).alias("monetary"), given(23, key % 84).alias("tenure_months"), (key % 50).cast("double").alias("avg_data_gb"),
+    )
+
+
+def raw_plans(spark: SparkSession, folder: str) -> DataFrame:
+    """The brands as rows of a plan file, data volumes in whole units."""
+    return brand_catalog(spark, folder).select(
+        "tariff_id", "name", F.col("monthly_price").cast("decimal(10,2)").alias("monthly_price"),
+        F.floor("data_gb").cast("int").alias("data_gb"), "minutes", "category",
+    )
+
+
 def brand_catalog(spark: SparkSession, folder: str) -> DataFrame:
     """Recommender catalog: one plan per brand."""
     per_brand = table(spark, folder, "part").groupBy("p_brand").agg(

@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from subscope.operators.drift import drift_report
-from subscope.operators.quality import split_valid, validate_features
+from subscope.operators.quality import split_valid, validate_features, validate_segment_requests
+from subscope.plans.scoring import score_from_lists
 
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
@@ -93,8 +94,14 @@ def score_churn_stream(requests: DataFrame, model) -> DataFrame:
 
 
 def segment_stream(requests: DataFrame, segmenter) -> DataFrame:
-    """Segment per request of a stream; stateless."""
-    return segmenter.predict(requests)
+    """Segment per valid request of a stream; stateless."""
+    valid, _ = split_valid(validate_segment_requests(requests))
+    return segmenter.predict(valid)
+
+
+def recommend_stream(requests: DataFrame, lists: DataFrame) -> DataFrame:
+    """Recommendations for the requests of a stream, from lists worked out before; stateless."""
+    return score_from_lists(lists, requests)
 
 
 def drift_stream(
