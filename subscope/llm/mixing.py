@@ -82,10 +82,11 @@ def mixture(
 
     Returns doc_id, size, source_size, target, taken, copies, positions, _mark, _source, _row.
     """
-    thin = docs.select(
+    # staged, as the sort by range reads it twice
+    thin = staged(docs.select(
         "doc_id", mark().alias("_mark"), words().alias("size"), named().alias("_source"),
         spot("doc_id", F.lit(seed)).alias("_spot"), spot("text").alias("_tie"), (F.col(row) if row else F.monotonically_increasing_id()).alias("_row"),
-    )
+    ), "sized")
     # ``row`` or a row number tells identical rows apart, and only those
     placed = numbered_in(thin, "_source", [F.col("_spot"), F.col("_tie"), F.col("_row")], "mix", "size")
     sums = placed.groupBy("_source").agg(F.sum("size").alias("source_size"))
