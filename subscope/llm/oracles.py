@@ -77,16 +77,18 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 
 
 def _op8() -> str:
-    """Every line against every template, word set by word set; phrases by their places."""
-    from subscope.llm.licenses import PHRASES, TEMPLATES, THRESHOLD, words_of
+    """Every span of words against every template, word by word; phrases by their places."""
+    from subscope.llm.licenses import PHRASES, notices
 
     quoted = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
-    notices = ", ".join(f"('{label}', {quoted(words_of(text))})" for label, text in TEMPLATES)
+    known = ", ".join(
+        f"({n.number}, '{n.label}', {quoted(n.words)}, {quoted(n.telling)}, {n.need}, {n.span})" for n in notices()
+    )
     phrases = ", ".join(f"({quoted(p.split())}, '{label}')" for p, label in PHRASES.items())
     word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     return f"""
-WITH notices(label, parts) AS (VALUES {notices}), phrases(parts, label) AS (VALUES {phrases}),
+WITH notices(t, label, parts, telling, need, span) AS (VALUES {known}), phrases(parts, label) AS (VALUES {phrases}),
 docs AS (SELECT doc_id, row_number() OVER () AS r, {lower} AS low FROM documents),
 worded AS (SELECT doc_id, r, low, regexp_extract_all(low, '{word}') AS words FROM docs),
 places AS (
@@ -96,12 +98,28 @@ places AS (
 base AS (
     SELECT r, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list_sort(list_distinct(list(label))) AS labels FROM places GROUP BY r
 ),
-lines AS (SELECT r, list_distinct(regexp_extract_all(unnest(string_split(low, chr(10))), '{word}')) AS words FROM docs),
+tokens AS (SELECT r, unnest(range(len(words))) AS i, unnest(words) AS w FROM worded),
+parts AS (SELECT t, label, telling, need, span, len(parts) AS size, unnest(range(1, len(parts) + 1)) AS nth, unnest(parts) AS w FROM notices),
+hits AS (SELECT * FROM tokens JOIN parts USING (w)),
+able AS (SELECT r, t FROM hits GROUP BY r, t, need HAVING count(DISTINCT w) >= need),
+near AS (SELECT hits.* FROM hits JOIN able USING (r, t)),
+firsts AS (
+    SELECT a.r, a.t, a.label, a.size, a.need, a.telling, a.i AS low, b.w, min(b.i) AS place
+    FROM near a JOIN near b ON a.r = b.r AND a.t = b.t AND b.i >= a.i AND b.i < a.i + a.span
+    WHERE a.nth <= a.size - a.need + 1 GROUP BY ALL
+),
 met AS (
-    SELECT r, label, len(list_intersect(words, parts))::DOUBLE / len(parts) AS share FROM lines, notices
-    WHERE len(list_intersect(words, parts)) >= ceil({THRESHOLD} * len(parts) - 1e-9)
+    SELECT r, t, label, low, max(place) + 1 AS high, count(*) AS shared, count(*)::DOUBLE / size AS share
+    FROM firsts GROUP BY r, t, label, low, size, need, telling
+    HAVING count(*) >= need AND count(*) FILTER (list_contains(telling, w)) = len(telling)
+),
+best AS (
+    SELECT * FROM met a WHERE NOT EXISTS (
+        SELECT 1 FROM met b WHERE a.r = b.r AND b.low < a.high AND a.low < b.high
+        AND (b.shared, b.share, -b.t, -b.low) > (a.shared, a.share, -a.t, -a.low)
+    )
 ),
-added AS (SELECT r, list_distinct(list(label)) AS labels, max(share) AS best FROM met GROUP BY r)
+added AS (SELECT r, list_distinct(list(label)) AS labels, max(share) AS best FROM best GROUP BY r)
 SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
        coalesce(list_aggregate(b.labels, 'string_agg', ','), '') AS base_labels,
        coalesce(list_aggregate(list_sort(list_distinct(list_concat(coalesce(b.labels, []), coalesce(a.labels, [])))), 'string_agg', ','), '') AS labels,

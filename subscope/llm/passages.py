@@ -28,6 +28,8 @@ from subscope.session import ship
 SHINGLE = 5
 SIMILARITY = 0.8
 RECALL = 0.995
+#: Lines of fewer words are reported as lines and stay where they are.
+SHORT = 20
 #: Least words two texts share to have a passage in common.
 PASSAGE = 50
 #: Words in a run. A window has PASSAGE - GRAM + 1 runs.
@@ -118,7 +120,7 @@ def _binary(docs: DataFrame) -> DataFrame:
 
 
 def paragraph_rows(docs: DataFrame, bands: int, rows: int) -> DataFrame:
-    """(doc_id, start, end, para, bands) of the paragraphs; ``para`` identifies their words.
+    """(doc_id, start, end, para, words, bands) of the paragraphs; ``para`` identifies their words.
 
     Those of fewer than ``SHINGLE`` words have no bands.
     """
@@ -132,7 +134,7 @@ def paragraph_rows(docs: DataFrame, bands: int, rows: int) -> DataFrame:
                 shingles = text.shingles()
                 for a, b in text.paragraphs():
                     name = xxhash.xxh128_digest(b" ".join(text.split[a:b]))
-                    found.append((doc_id, int(text.start[a]), int(text.end[b - 1]), name))
+                    found.append((doc_id, int(text.start[a]), int(text.end[b - 1]), name, b - a))
                     sizes.append(max(0, b - a - SHINGLE + 1))
                     lists.append(shingles[a : a + sizes[-1]])
             if not found:
@@ -147,13 +149,13 @@ def paragraph_rows(docs: DataFrame, bands: int, rows: int) -> DataFrame:
                     key = _mix(key * np.uint64(_BASES[1]) + np.minimum.reduceat(_mix(every * _ODD[row] + _ADD[row]), first))
                 keys.append(key.view(np.int64))
             ends = pa.array(np.concatenate(([0], np.cumsum(long))).astype(np.int32) * np.int32(bands))
-            columns = [pa.array(c, t) for c, t in zip(zip(*found), (pa.int64(), pa.int32(), pa.int32(), pa.binary()))]
+            columns = [pa.array(c, t) for c, t in zip(zip(*found), (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int32()))]
             yield pa.RecordBatch.from_arrays(
                 [*columns, pa.ListArray.from_arrays(ends, pa.array(np.stack(keys, axis=1).ravel()))],
-                ["doc_id", "start", "end", "para", "bands"],
+                ["doc_id", "start", "end", "para", "words", "bands"],
             )
 
-    return _binary(docs).mapInArrow(cut, "doc_id bigint, start int, end int, para binary, bands array<bigint>")
+    return _binary(docs).mapInArrow(cut, "doc_id bigint, start int, end int, para binary, words int, bands array<bigint>")
 
 
 def run_rows(docs: DataFrame) -> DataFrame:
@@ -260,7 +262,7 @@ def _places(docs: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def near_paragraphs(docs: DataFrame) -> DataFrame:
-    """(doc_id, start, end, cluster, members, keeper): occurrences of repeated paragraphs."""
+    """(doc_id, start, end, words, cluster, members, keeper): occurrences of repeated paragraphs."""
     bands, rows = tuned()
     found = staged(_places(docs, paragraph_rows(docs, bands, rows)), "paragraphs")
     place = F.struct("doc_id", "start", "end")
@@ -284,7 +286,7 @@ def near_paragraphs(docs: DataFrame) -> DataFrame:
     named = classes.join(components(edges, linked), "node", "left").withColumn("cluster", F.coalesce("component", "node"))
     heads = named.groupBy("cluster").agg(F.min("first").alias("keeper"), F.sum("n").alias("members")).where("members > 1")
     marked = named.join(heads, "cluster").select("para", "cluster", "members", "keeper")
-    return found.drop("bands").join(marked, "para").select("doc_id", "start", "end", "cluster", "members", "keeper")
+    return found.drop("bands").join(marked, "para").select("doc_id", "start", "end", "words", "cluster", "members", "keeper")
 
 
 def shared_passages(docs: DataFrame) -> DataFrame:
@@ -308,11 +310,13 @@ def shared_passages(docs: DataFrame) -> DataFrame:
     return islands.groupBy("doc_id", "keep_id", "_island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_island")
 
 
-def repeated_passages(docs: DataFrame) -> DataFrame:
+def repeated_passages(docs: DataFrame, short: int = SHORT) -> DataFrame:
     """One row per place of ``docs`` (doc_id, text) that holds repeated text.
 
     ``kind`` is paragraph (a line that is equal to another, in the same or another document,
-    or similar to one if it has at least ``SHINGLE`` words) or passage (words that other documents have as
+    or similar to one if it has at least ``SHINGLE`` words), line (the same, of fewer than
+    ``short`` words: headings, formulas of greeting and the like repeat without being copies,
+    so they are reported and never removed, unless a passage covers them) or passage (words that other documents have as
     well, at least ``GRAM`` in a row; every shared ``PASSAGE`` words are found). The first
     occurrence, by doc_id and start, stays (removed = false); for a passage that is the
     smallest doc_id, keep_id. Places are code points, the end exclusive. Rows with a null
@@ -322,9 +326,10 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     Returns doc_id, start, end, kind, keep_id, cluster, members, removed.
     """
     place = F.struct("doc_id", "start", "end")
+    stays = F.col("words") < short
     lines = near_paragraphs(docs).select(
-        "doc_id", "start", "end", F.lit("paragraph").alias("kind"), F.col("keeper.doc_id").alias("keep_id"), "cluster",
-        "members", (place != F.col("keeper")).alias("removed"),
+        "doc_id", "start", "end", F.when(stays, "line").otherwise("paragraph").alias("kind"),
+        F.col("keeper.doc_id").alias("keep_id"), "cluster", "members", (~stays & (place != F.col("keeper"))).alias("removed"),
     )
     inner = shared_passages(docs).select(
         "doc_id", "start", "end", F.lit("passage").alias("kind"), "keep_id", F.lit(None).cast("long").alias("cluster"),

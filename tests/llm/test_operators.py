@@ -157,7 +157,7 @@ def test_repeated_short_lines_are_found(spark):
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted(
         (texts[r.doc_id][r.start : r.end].lower(), r.doc_id, r.keep_id, r.members, r.removed)
-        for r in passages.repeated_passages(frame).collect()
+        for r in passages.repeated_passages(frame, short=0).collect()
     )
     assert got == sorted([
         ("all rights reserved", 0, 0, 2, False), ("all rights reserved", 1, 0, 2, True),
@@ -167,6 +167,35 @@ def test_repeated_short_lines_are_found(spark):
     ])
 
 
+def test_short_lines_stay(spark):
+    line, long = " ".join(f"a{i}" for i in range(passages.SHORT - 1)), " ".join(f"b{i}" for i in range(passages.SHORT))
+    texts = [f"{line}\n{long}\nOf.\nown a", f"own b\nof.\n{line}\n{long}"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.doc_id, texts[r.doc_id][r.start : r.end].lower()): (r.kind, r.keep_id, r.removed) for r in passages.repeated_passages(frame).collect()}
+    assert got == {
+        (0, line): ("line", 0, False), (1, line): ("line", 0, False), (0, "of."): ("line", 0, False), (1, "of."): ("line", 0, False),
+        (0, long): ("paragraph", 0, False), (1, long): ("paragraph", 0, True),
+    }
+
+
+def test_near_paragraphs_at_the_threshold(spark):
+    """Recall on pairs whose Jaccard similarity is 0.80 to 0.85."""
+    rnd, texts, pairs = random.Random(21), [], 0
+    shingles = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    while pairs < 300:
+        base = [f"p{pairs}w{rnd.randrange(900)}" for _ in range(rnd.randrange(60, 140))]
+        edit = list(base)
+        for _ in range(rnd.randrange(1, 4)):
+            edit[rnd.randrange(len(edit))] = "edit"
+        a, b = shingles(base), shingles(edit)
+        if 0.8 <= len(a & b) / len(a | b) <= 0.85:
+            texts += [" ".join(base), " ".join(edit)]
+            pairs += 1
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    removed = {r.doc_id: r.keep_id for r in passages.repeated_passages(frame).where("kind = 'paragraph' and removed").collect()}
+    assert all(k == d - 1 and d % 2 for d, k in removed.items()) and len(removed) >= 0.98 * pairs
+
+
 def test_passages_on_odd_rows(odd, empty):
     found = passages.repeated_passages(odd).collect()
     assert {r.doc_id for r in found} == {5, 6} and passages.repeated_passages(empty).count() == 0
@@ -332,6 +361,72 @@ def test_licenses_on_odd_rows(spark, odd, empty):
     assert rows[5].n_words == rows[6].n_words == 0 and rows[5].score == 0
 
 
+WRAPPED = {
+    "mit": ["Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal"],
+    "apache-2": [
+        " * Licensed under the Apache License,\n * Version 2.0 (the \"License\")",
+        "# You may not use this file except in compliance with the License.\n# You may obtain a copy of the License at\n#\n#     http://www.apache.org/licenses/LICENSE-2.0",
+    ],
+    "gpl-3": [
+        "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\n"
+        "the Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.",
+        "This work is licensed under the GNU General Public License, version 3",
+    ],
+    "gpl-2": ["This work is licensed under the GNU General Public License, version 2"],
+    "gpl": ["This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by the\nFree Software Foundation."],
+    "bsd": ["Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:"],
+    "cc-by": ["This work is licensed under a Creative Commons Attribution 4.0 International License."],
+    "cc-by-sa": ["This work is licensed under a Creative Commons\nAttribution-ShareAlike 4.0 International License."],
+    "cc-by-nc-nd": ["This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."],
+    "": ["Released under the Apache License", "The second album was released under the label's license", "software any person may copy free of a license under the terms", "license the mit under"],
+}
+
+
+def test_notices_get_their_own_label(spark):
+    cases = [(label, text) for label, texts in WRAPPED.items() for text in texts]
+    filler = "some words of prose that go on and on in the text " * 40
+    texts = [f"{filler}\n{text}\n{filler}" for _, text in cases] + [f"\n{filler}\n".join(t for _, t in cases), "Released under the MIT License. " * 3000]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    rows = {r.doc_id: r for r in licenses.license_scan(frame).collect()}
+    assert [",".join(sorted({b.label for b in rows[k].blocks})) for k in range(len(cases))] == [label for label, _ in cases]
+    assert {b.label for b in rows[len(cases)].blocks} == set(WRAPPED) - {""}
+    many = rows[len(cases) + 1].blocks
+    assert {b.label for b in many} == {"mit"} and many[0].start == 0
+    for k in range(len(cases)):
+        words = re.findall("[0-9a-z]+", texts[k].lower())
+        assert all(set(words[b.start : b.end]) <= set(re.findall("[0-9a-z]+", cases[k][1].lower())) for b in rows[k].blocks)
+
+
+def test_license_places_equal_brute_force(spark):
+    rnd = random.Random(8)
+    pool = sorted({w for n in licenses.notices() for w in n.words})
+    texts = []
+    for _ in range(60):
+        parts = []
+        for _ in range(rnd.randrange(1, 6)):
+            words = re.findall("[0-9a-z]+", rnd.choice(licenses.TEMPLATES)[1].lower())
+            for _ in range(rnd.randrange(4)):
+                at = rnd.randrange(len(words))
+                rnd.choice([lambda: words.pop(at), lambda: words.insert(at, rnd.choice(pool)), lambda: words.insert(at, "x")])()
+            parts.append(words)
+        texts.append([w for p in parts for w in p])
+    frame = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id int, text string")
+    got = {r.doc_id: [(b.start, b.end, b.label, b.containment) for b in r.blocks] for r in licenses.license_scan(frame).collect()}
+    for k, text in enumerate(texts):
+        met = []
+        for n in licenses.notices():
+            for low, word in enumerate(text):
+                if word in n.words[: len(n.words) - n.need + 1]:
+                    firsts = {}
+                    for at in range(low, min(len(text), low + n.span)):
+                        if text[at] in n.words:
+                            firsts.setdefault(text[at], at)
+                    if len(firsts) >= n.need and set(n.telling) <= set(firsts):
+                        met.append((len(firsts), len(firsts) / len(n.words), -n.number, -low, max(firsts.values()) + 1, n.label))
+        best = [a for a in met if not any(b[:4] > a[:4] and -b[3] < a[4] and -a[3] < b[4] for b in met)]
+        assert got[k] == sorted((-a[3], a[4], a[5], a[1]) for a in best)
+
+
 # ---- packing
 
 def test_packing_round_trip(spark, small):
