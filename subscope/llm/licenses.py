@@ -139,22 +139,23 @@ def _side(spark: SparkSession, known: list[Notice], place: dict[str, int]) -> Da
 
 
 def _confirmed(block: Column) -> Column:
-    """(low, high, shared) of the places in ``block``, (at, word), that are the notice's.
+    """(low, nth, high, shared) of the places in ``block``, (at, word), that are the notice's.
 
-    ``high`` is past the last word that the place adds to what is shared.
+    ``nth`` is the first word's place in the notice, ``high`` is past the last word that the
+    place adds to what is shared.
     """
     heads = F.expr("slice(parts, 1, size(parts) - need + 1)")
     begins = F.filter(block, lambda h: (h["at"] <= F.col("here")) & F.array_contains(heads, h["word"]))
     inside = F.transform(begins, lambda h: F.struct(
-        h["at"].alias("low"),
+        h["at"].alias("low"), F.array_position("parts", h["word"]).alias("nth"),
         F.filter(block, lambda x: (x["at"] >= h["at"]) & (x["at"] < h["at"] + F.col("span")) & F.array_contains("parts", x["word"])).alias("held"),
     ))
     distinct = F.transform(inside, lambda p: F.struct(
-        p["low"].alias("low"), p["held"].alias("held"), F.array_distinct(p["held"]["word"]).alias("shared"),
+        p["low"].alias("low"), p["nth"].alias("nth"), p["held"].alias("held"), F.array_distinct(p["held"]["word"]).alias("shared"),
     ))
     enough = F.filter(distinct, lambda p: (F.size(p["shared"]) >= F.col("need")) & (F.size(F.array_except("telling", p["shared"])) == 0))
     return F.transform(enough, lambda p: F.struct(
-        p["low"].alias("low"),
+        p["low"].alias("low"), p["nth"].alias("nth"),
         (F.get(p["held"], F.array_position(p["held"]["word"], F.element_at(p["shared"], -1)).cast("int") - 1)["at"] + 1).alias("high"),
         F.size(p["shared"]).alias("shared"),
     ))
@@ -166,7 +167,7 @@ def _best(found: DataFrame, reach: int) -> DataFrame:
     Places that overlap begin less than ``reach`` words apart, so they meet in cells of that many words.
     """
     cell = F.floor(F.col("low") / F.lit(reach))
-    rank = lambda t: F.struct(F.col(f"{t}.shared"), F.col(f"{t}.containment"), -F.col(f"{t}.template"), -F.col(f"{t}.low"))
+    rank = lambda t: F.struct(F.col(f"{t}.shared"), F.col(f"{t}.containment"), -F.col(f"{t}.nth"), F.col(f"{t}.low") - F.col(f"{t}.high"), -F.col(f"{t}.template"), -F.col(f"{t}.low"))
     a = found.withColumn("_cell", cell).alias("a")
     b = found.withColumn("_cell", F.explode(F.array(cell - 1, cell, cell + 1))).alias("b")
     beaten = (
@@ -183,10 +184,10 @@ def license_scan(docs: DataFrame, threshold: float = THRESHOLD, templates=TEMPLA
     as empty. ``base`` are the labels of phrases found word by word, with their number,
     first and last place; ``blocks`` are the places that the templates confirm, as (start,
     end, label, containment), in words, the end exclusive; of places that overlap, the one
-    that shares most words stays (ties: larger containment, earlier template, earlier start).
-    ``score`` is 1 with a phrase, else the best containment, else 0. Repeated rows and rows
-    that share a doc_id are scanned each for itself, other columns are ignored, an empty
-    table gives an empty result.
+    that shares most words stays (ties: larger containment, a start nearer to the notice's, fewer
+    words taken up, earlier template, earlier start). ``score`` is 1 with a phrase, else the
+    best containment, else 0. Repeated rows and rows that share a doc_id are scanned each for
+    itself, other columns are ignored, an empty table gives an empty result.
 
     Returns doc_id, n_words, n_base, first_word, last_word, base, blocks, score.
     """
@@ -246,7 +247,7 @@ def license_scan(docs: DataFrame, threshold: float = THRESHOLD, templates=TEMPLA
     )
     found = (
         met.select("_row", "template", "label", F.size("parts").alias("size"), F.inline(_confirmed(F.col("block"))))
-        .select("_row", "template", "label", "low", "high", "shared", (F.col("shared") / F.col("size")).alias("containment"))
+        .select("_row", "template", "label", "low", "nth", "high", "shared", (F.col("shared") / F.col("size")).alias("containment"))
         .distinct()
     )
     one = F.struct(F.col("low").alias("start"), F.col("high").alias("end"), "label", "containment")

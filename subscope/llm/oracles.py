@@ -104,19 +104,19 @@ hits AS (SELECT * FROM tokens JOIN parts USING (w)),
 able AS (SELECT r, t FROM hits GROUP BY r, t, need HAVING count(DISTINCT w) >= need),
 near AS (SELECT hits.* FROM hits JOIN able USING (r, t)),
 firsts AS (
-    SELECT a.r, a.t, a.label, a.size, a.need, a.telling, a.i AS low, b.w, min(b.i) AS place
+    SELECT a.r, a.t, a.label, a.size, a.need, a.telling, a.nth, a.i AS low, b.w, min(b.i) AS place
     FROM near a JOIN near b ON a.r = b.r AND a.t = b.t AND b.i >= a.i AND b.i < a.i + a.span
     WHERE a.nth <= a.size - a.need + 1 GROUP BY ALL
 ),
 met AS (
-    SELECT r, t, label, low, max(place) + 1 AS high, count(*) AS shared, count(*)::DOUBLE / size AS share
-    FROM firsts GROUP BY r, t, label, low, size, need, telling
+    SELECT r, t, label, nth, low, max(place) + 1 AS high, count(*) AS shared, count(*)::DOUBLE / size AS share
+    FROM firsts GROUP BY r, t, label, nth, low, size, need, telling
     HAVING count(*) >= need AND count(*) FILTER (list_contains(telling, w)) = len(telling)
 ),
 best AS (
     SELECT * FROM met a WHERE NOT EXISTS (
         SELECT 1 FROM met b WHERE a.r = b.r AND b.low < a.high AND a.low < b.high
-        AND (b.shared, b.share, -b.t, -b.low) > (a.shared, a.share, -a.t, -a.low)
+        AND (b.shared, b.share, -b.nth, b.low - b.high, -b.t, -b.low) > (a.shared, a.share, -a.nth, a.low - a.high, -a.t, -a.low)
     )
 ),
 added AS (SELECT r, list_distinct(list(label)) AS labels, max(share) AS best FROM best GROUP BY r)
