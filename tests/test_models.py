@@ -2,6 +2,7 @@
 
 import itertools
 import math
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -203,8 +204,8 @@ def test_attributions_equal_the_definition():
             return expected(x, known, kids[0 if left else 1])
         return sum(expected(x, known, k) * nodes[k]["rawCount"] for k in kids) / n["rawCount"]
 
-    splits, leaves, base = attributions._tree(nodes, 1.0, lambda n: n["prediction"])
-    ensemble = attributions.Ensemble([splits], [leaves], base, 4)
+    tree, base = attributions._tree(nodes, 1.0, lambda n: n["prediction"])
+    ensemble = attributions.Ensemble([tree], base, 4)
     points = np.array(list(itertools.product([0.0, 1.0, 3.0], [0.0, 1.0, 2.0], [-1.0, 1.0], [0.0])))
     got = attributions.shapley_values(ensemble, points)
     for x, phi in zip(points, got):
@@ -216,6 +217,42 @@ def test_attributions_equal_the_definition():
             assert phi[i] == pytest.approx(want, abs=1e-12)
 
 
+def test_attributions_of_a_deep_tree():
+    """Twenty features on the longest path, against the weighted subset sums in fractions."""
+    depth, nodes = 20, {}
+    for level in range(depth):
+        last = level == depth - 1
+        nodes[2 * level] = {"leftChild": 2 * level + 1, "rightChild": 2 * level + 2, "rawCount": 2 ** (depth - level),
+                            "split": {"featureIndex": level, "leftCategoriesOrThreshold": [0.0], "numCategories": -1}}
+        nodes[2 * level + 1] = {"leftChild": -1, "rightChild": -1, "rawCount": 2 ** (depth - level - 1), "prediction": level - 7.0}
+        if last:
+            nodes[2 * depth] = {"leftChild": -1, "rightChild": -1, "rawCount": 1, "prediction": 50.0}
+    tree, base = attributions._tree(nodes, 1.0, lambda n: n["prediction"])
+    x = np.where(np.random.default_rng(5).random((40, depth)) < 0.85, 1.0, -1.0)
+    x[0] = 1.0
+    got = attributions.shapley_values(attributions.Ensemble([tree], base, depth), x)
+    half = Fraction(1, 2)
+    for row in (0, 1, 2):
+        want = [Fraction(0)] * depth
+        for leaf in range(depth + 1):
+            path = min(leaf + 1, depth)
+            value = Fraction(50) if leaf == depth else Fraction(leaf - 7)
+            passed = [int(x[row, j] <= 0) if j == leaf else int(x[row, j] > 0) for j in range(path)]
+            for i in range(path):
+                sums = [Fraction(1)]
+                for j in range(path):
+                    if j != i:
+                        sums = [a * half + b * passed[j] for a, b in zip([*sums, 0], [0, *sums])]
+                weights = [Fraction(1, path * math.comb(path - 1, k)) for k in range(path)]
+                want[i] += value * (passed[i] - half) * sum(w * c for w, c in zip(weights, sums))
+        assert got[row] == pytest.approx([float(w) for w in want], abs=1e-11)
+
+    def output(row):
+        return next((level - 7.0 for level in range(depth) if row[level] <= 0), 50.0)
+
+    assert base + got.sum(axis=1) == pytest.approx([output(row) for row in x], abs=1e-9)
+
+
 def test_importance_and_response(rows, model):
     found = model.explain(rows, sample=100).collect()
     assert [r["feature"] for r in found] != [] and len(found) == len(model.feature_names)
