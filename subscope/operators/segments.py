@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
@@ -11,10 +10,11 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import array_to_vector
+from pyspark.ml.linalg import Vectors
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.sql import DataFrame, Window, functions as F
-from pyspark.util import inheritable_thread_target
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from subscope.operators import lloyd
 from subscope.operators.features import Scale, sample_rows
 from subscope.session import ship, staged
 
@@ -22,8 +22,6 @@ from subscope.session import ship, staged
 FEATURES = ["recency", "frequency", "monetary", "tenure_months", "avg_data_gb"]
 NAMES = ["Champions", "Loyal", "Potential", "At Risk", "Hibernating"]
 SILHOUETTE_SAMPLE = 5000
-#: Restarts that run at the same time.
-SIDE_BY_SIDE = 4
 
 
 def _prepared(df: DataFrame, features: list[str]) -> tuple[PipelineModel, DataFrame]:
@@ -36,14 +34,19 @@ def _prepared(df: DataFrame, features: list[str]) -> tuple[PipelineModel, DataFr
     return model, model.transform(df)
 
 
-def _best_fit(prepared: DataFrame, k: int, seed: int, restarts: int):
-    @inheritable_thread_target(prepared.sparkSession)
-    def one(i: int):
-        return KMeans(k=k, seed=seed + i, featuresCol="_features", predictionCol="segment", maxIter=300).fit(prepared)
+def _as_model(spark: SparkSession, centres: np.ndarray, seed: int):
+    """A storable model with these centres: K-means of the centres alone leaves each as it is."""
+    rows = spark.createDataFrame([(Vectors.dense(c),) for c in centres], ["_features"]).coalesce(1)
+    still = KMeans(k=max(2, len(centres)), seed=seed, featuresCol="_features", predictionCol="segment", initMode="random")
+    return still.fit(rows)
 
-    with ThreadPool(SIDE_BY_SIDE) as pool:
-        fits = pool.map(one, range(restarts))
-    return min(fits, key=lambda m: m.summary.trainingCost)
+
+def _coordinates(prepared: DataFrame, features: list[str]) -> DataFrame:
+    return prepared.select(*[F.col(f"_z_{c}") for c in features])
+
+
+def _best(fits: list[lloyd.Fitted], k: int) -> lloyd.Fitted:
+    return min((f for f in fits if f.k == k), key=lambda f: (f.inertia, f.restart))
 
 
 @dataclass
@@ -59,13 +62,13 @@ class Segmenter:
     def fit(self, df: DataFrame, features: list[str] | None = None) -> Segmenter:
         features = features or FEATURES
         preparation, prepared = _prepared(df.select(*features), features)
-        prepared = prepared.select("_features").persist()
+        rows = _coordinates(prepared, features).persist()
         try:
-            best = _best_fit(prepared, self.n_clusters, self.seed, self.restarts)
-            self.inertia = best.summary.trainingCost
+            best = _best(lloyd.fit_all(rows, [self.n_clusters], self.restarts, self.seed), self.n_clusters)
         finally:
-            prepared.unpersist()
-        self.model = PipelineModel([*preparation.stages, best])
+            rows.unpersist()
+        self.inertia = best.inertia
+        self.model = PipelineModel([*preparation.stages, _as_model(df.sparkSession, best.centres, self.seed)])
         return self
 
     def _fitted(self) -> PipelineModel:
@@ -177,15 +180,16 @@ def auto_k(
     """Silhouette (of a sample, and of all rows on squared distances) and inertia per number of clusters."""
     features = features or FEATURES
     _, prepared = _prepared(df.select(key, *features), features)
-    prepared = prepared.select(key, "_features").persist()
+    prepared = prepared.persist()
     found = []
     try:
+        fits = lloyd.fit_all(_coordinates(prepared, features), list(ks), restarts, seed)
         for k in ks:
-            best = _best_fit(prepared, k, seed, restarts)
-            labelled = as_points(best.transform(prepared))
+            best = _best(fits, k)
+            labelled = as_points(_as_model(df.sparkSession, best.centres, seed).transform(prepared))
             score = silhouette(labelled, key, "segment", sample).first()["silhouette"]
             every = silhouette_all(labelled, key, "segment").first()["silhouette"]
-            found.append((k, float(score), float(every), float(best.summary.trainingCost)))
+            found.append((k, float(score), float(every), best.inertia))
     finally:
         prepared.unpersist()
     return df.sparkSession.createDataFrame(found, "k int, silhouette double, silhouette_all double, inertia double")

