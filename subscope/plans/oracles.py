@@ -649,6 +649,8 @@ SELECT window_start, feature, rows, round(psi, 6) AS psi, round(ks, 6) AS ks_sta
     s["stream_request_counts"] = f"""WITH {log}
 SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS window_start, endpoint, status, count(*) AS requests
 FROM log WHERE ts IS NOT NULL GROUP BY 1, 2, 3"""
+    s["stream_compacted_counts"] = s["stream_request_counts"].replace(" WHERE ts IS NOT NULL", "")
+    s["stream_latency_buckets"] = s["latency_buckets"]
     s["churn_attribution_check"] = "SELECT c_custkey AS customer_id, true AS adds_up FROM customer"
     s["segments_balance_check"] = (
         "SELECT count(*) AS customers, 5 AS segments, true AS inertia_holds, 5.0 AS squares FROM customer")

@@ -24,7 +24,7 @@ from subscope.operators import (
 from subscope.plans import reports, scoring
 from subscope.session import stage_path, staged
 from subscope.sources import files, generate, history, star, tables as t
-from subscope.streaming import jobs, windows
+from subscope.streaming import counters, jobs, windows
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -565,6 +565,14 @@ def service_queries() -> dict[str, Query]:
         jobs.upsert_counts(log, out, checkpoint).awaitTermination()
         return jobs.running_counts(s, out)
 
+    def counted(s: SparkSession, d: str, keys) -> str:
+        """All events, dealt out to four files that arrive one by one, so that runs are merged twice."""
+        source, out = stage_path(s, "arriving"), stage_path(s, "runs")
+        t.table(s, d, "events").repartition(4, "event_id").write.parquet(source)
+        arriving = s.readStream.schema(jobs.EVENTS).option("maxFilesPerTrigger", 1).parquet(source)
+        counters.count_stream(t.request_columns(arriving), out, stage_path(s, "progress"), keys, fan_in=2).awaitTermination()
+        return out
+
     def drifting(s: SparkSession, d: str) -> DataFrame:
         """Every day of events against the first ten, from a stream."""
         measured = ["value", "user_id"]
@@ -579,6 +587,9 @@ def service_queries() -> dict[str, Query]:
         "request_counts": lambda s, d: scoring.request_counts(t.request_log(s, d)),
         "latency_buckets": lambda s, d: scoring.latency_buckets(t.request_log(s, d)),
         "stream_request_counts": streamed,
+        "stream_compacted_counts": lambda s, d: counters.totals(
+            s, counted(s, d, counters.request_keys()), counters.REQUESTS).drop("late"),
+        "stream_latency_buckets": lambda s, d: counters.latency_totals(s, counted(s, d, counters.latency_keys())),
     }
 
 

@@ -164,17 +164,21 @@ def request_counts(log: DataFrame) -> DataFrame:
     return log.groupBy("endpoint", "status").agg(F.count(F.lit(1)).alias("requests"))
 
 
+def latency_bucket() -> Column:
+    """Number of the first bucket that holds ``seconds``; null for null."""
+    edges = F.array(*[F.lit(x) for x in LATENCY_LIMITS])
+    return F.when(F.col("seconds").isNotNull(), F.size(F.filter(edges, lambda e: e < F.col("seconds"))))
+
+
 def latency_buckets(log: DataFrame) -> DataFrame:
-    """Cumulative latency histogram per endpoint, as monitoring systems expect it.
+    """Cumulative latency histogram per endpoint, as monitoring systems expect it."""
+    counts = log.where(F.col("seconds").isNotNull()).groupBy("endpoint", latency_bucket().alias("bucket"))
+    return cumulative_buckets(counts.agg(F.count(F.lit(1)).alias("n")))
 
-    Every request falls into its first bucket; the running sum is over buckets.
-    """
+
+def cumulative_buckets(counts: DataFrame) -> DataFrame:
+    """(endpoint, le, requests) from counts ``n`` per endpoint and first bucket; the running sum is over buckets."""
     limits = [*LATENCY_LIMITS, float("inf")]
-    edges = F.array(*[F.lit(x) for x in LATENCY_LIMITS])
-    first = F.size(F.filter(edges, lambda e: e < F.col("seconds")))
-    counts = log.where(F.col("seconds").isNotNull()).groupBy("endpoint", first.alias("bucket")).agg(
-        F.count(F.lit(1)).alias("n")
-    )
     frame = (
         counts.select("endpoint").distinct()
         .withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit(len(limits) - 1))))
