@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -53,6 +54,11 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(context.applicationId)
 
 
+def one_process(master: str) -> bool:
+    """``local`` and ``local[...]``; the executors of ``local-cluster[...]`` are processes of their own."""
+    return re.fullmatch(r"local(\[.*\])?", master) is not None
+
+
 def stage_root(spark: SparkSession) -> str:
     """Folder for staged tables, shared by all executors.
 
@@ -63,7 +69,7 @@ def stage_root(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return f"{named.rstrip('/')}/{app}"
-    if not spark.sparkContext.master.startswith("local"):
+    if not one_process(spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     if app not in _local_roots:
         root = tempfile.mkdtemp(prefix="subscope-")
