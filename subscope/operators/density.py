@@ -4,7 +4,10 @@ The cell side is eps / sqrt(d), so two points of one cell are always neighbours:
 cell with ``min_samples`` points consists of core points of one cluster, whatever its
 size. Only relations between different cells need distances.
 
-Points of small cells, and the tight bounding boxes of larger ones, are the *items* that
+Points with equal coordinates are one *place* with their number as its weight: they share
+cluster and kind, so distances are measured between places only.
+
+Places of small cells, and the tight bounding boxes of larger ones, are the *items* that
 points are compared with. They meet in blocks a little wider than eps; a crowded block
 is cut into chunks, so that a task never holds more than two chunks, and compares them
 as arrays. What leaves a task is one count per point, or a spanning forest of the cells
@@ -62,13 +65,14 @@ class _Grid:
         return F.array(*[F.floor(F.col(cell)[i] * F.lit(self.side) / F.lit(width)) for i in self.blocked])
 
     def boxes(self, points: DataFrame, level: int) -> DataFrame:
-        """(cell_id, idx, up, n, lo.., hi..): occupied boxes of a level, with tight limits."""
+        """(cell_id, idx, up, n, weight, lo.., hi..): occupied boxes of a level, with tight limits, places and points."""
         up = F.transform("idx", lambda v: F.floor(v / F.lit(_SPLIT)))
         return (
             points.withColumn("idx", self.index(level))
             .groupBy("cell_id", "idx")
             .agg(
                 F.count(F.lit(1)).alias("n"),
+                F.sum("weight").alias("weight"),
                 *[F.min(x).alias(lo) for x, lo in zip(self.x, self.lo)],
                 *[F.max(x).alias(hi) for x, hi in zip(self.x, self.hi)],
             )
@@ -78,13 +82,13 @@ class _Grid:
     def items(self, points: DataFrame, *carried: str) -> DataFrame:
         """What points are compared with: (cell_id, block, weight, lo.., hi.., _salt).
 
-        ``weight`` above one marks the box of a cell with more than ``leaf`` points.
+        A cell with more than ``leaf`` places is one box, ``weight`` is its number of points.
         ``carried`` columns are constant within a cell.
         """
         sized = points.groupBy("cell_id").agg(F.count(F.lit(1)).alias("_n"))
         held = points.join(sized, "cell_id")
         single = held.where(F.col("_n") <= self.leaf).select(
-            "cell_id", "cell", *carried, F.lit(1).cast("bigint").alias("weight"),
+            "cell_id", "cell", *carried, "weight",
             *[F.col(x).alias(lo) for x, lo in zip(self.x, self.lo)],
             *[F.col(x).alias(hi) for x, hi in zip(self.x, self.hi)],
             F.xxhash64("key").alias("_salt"),
@@ -93,7 +97,7 @@ class _Grid:
             held.where(F.col("_n") > self.leaf)
             .groupBy("cell_id", "cell", *carried)
             .agg(
-                F.count(F.lit(1)).alias("weight"),
+                F.sum("weight").alias("weight"),
                 *[F.min(x).alias(lo) for x, lo in zip(self.x, self.lo)],
                 *[F.max(x).alias(hi) for x, hi in zip(self.x, self.hi)],
             )
@@ -138,6 +142,11 @@ class _Grid:
     def limits(self, pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
         return pdf[self.lo].to_numpy(dtype=float), pdf[self.hi].to_numpy(dtype=float)
 
+    @staticmethod
+    def wide(limits: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        """Which items are boxes of more than one place."""
+        return (limits[0] != limits[1]).any(axis=1)
+
     def places(self, pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
         at = pdf[self.x].to_numpy(dtype=float)
         return at, at
@@ -195,12 +204,12 @@ def _refined(grid: _Grid, todo: DataFrame, points: DataFrame, carried: list[str]
         open_boxes = staged(open_boxes, "boxes")
         inside = grid.reach() <= grid.limit
         found.append(
-            open_boxes.where(inside).groupBy("key", "cell_id", *carried).agg(F.sum("n").alias("within"))
+            open_boxes.where(inside).groupBy("key", "cell_id", *carried).agg(F.sum("weight").alias("within"))
         )
         rest = open_boxes.where(~inside)
         small = (F.col("n") <= grid.leaf) | F.lit(level >= _DEEPEST)
         members = points.select(
-            "cell_id", grid.index(level).alias("idx"),
+            "cell_id", grid.index(level).alias("idx"), "weight",
             *[F.col(x).alias(lo) for x, lo in zip(grid.x, grid.lo)],
             *[F.col(x).alias(hi) for x, hi in zip(grid.x, grid.hi)],
         )
@@ -210,7 +219,7 @@ def _refined(grid: _Grid, todo: DataFrame, points: DataFrame, carried: list[str]
             .join(members, ["cell_id", "idx"])
             .where(grid.reach() <= grid.limit)
             .groupBy("key", "cell_id", *carried)
-            .agg(F.count(F.lit(1)).alias("within"))
+            .agg(F.sum("weight").alias("within"))
         )
         large = rest.where(~small)
         if level >= _DEEPEST or large.isEmpty():
@@ -228,7 +237,7 @@ def _refined(grid: _Grid, todo: DataFrame, points: DataFrame, carried: list[str]
 
 
 def _children(grid: _Grid, points: DataFrame, level: int) -> DataFrame:
-    return grid.boxes(points, level).select("cell_id", "idx", "up", "n", *grid.lo, *grid.hi)
+    return grid.boxes(points, level).select("cell_id", "idx", "up", "n", "weight", *grid.lo, *grid.hi)
 
 
 def _neighbour_counts(grid: _Grid, probes: DataFrame, points: DataFrame, key_type: str) -> DataFrame:
@@ -241,7 +250,7 @@ def _neighbour_counts(grid: _Grid, probes: DataFrame, points: DataFrame, key_typ
         inside = (grid.reaches(mine, theirs) <= grid.limit) & other
         within = inside.astype(np.int64) @ right["weight"].to_numpy()
         keys = left["key"].to_numpy()
-        crowded = np.flatnonzero(right["weight"].to_numpy() > 1)
+        crowded = np.flatnonzero(grid.wide(theirs))
         boxes = (theirs[0][crowded], theirs[1][crowded])
         row, box = np.nonzero(
             ~inside[:, crowded] & other[:, crowded] & (grid.gaps(mine, boxes) <= grid.limit)
@@ -304,7 +313,7 @@ def _cell_links(grid: _Grid, core: DataFrame) -> DataFrame:
         adjacent = np.logical_or.reduceat(adjacent, left_starts, axis=0)
         left_root, right_root = _roots(adjacent, left_cells, right_cells)
         # boxes that may hold points in reach, unless they are connected already
-        wide = (left["weight"].to_numpy() > 1)[:, None] | (right["weight"].to_numpy() > 1)[None, :]
+        wide = grid.wide(mine)[:, None] | grid.wide(theirs)[None, :]
         parted = left_root[left_code][:, None] != right_root[right_code][None, :]
         row, column = np.nonzero(wide & parted & ~near & (grid.gaps(mine, theirs) <= grid.limit))
         src = np.concatenate([left_cells, right_cells, left_cells[left_code[row]]])
@@ -406,7 +415,7 @@ def _border_labels(grid: _Grid, rest: DataFrame, core: DataFrame, key_type: str)
         labels, keys = right["label"].to_numpy(), left["key"].to_numpy()
         inside = grid.reaches(mine, theirs) <= grid.limit
         low = np.where(inside, labels[None, :], none).min(axis=1)
-        crowded = np.flatnonzero(right["weight"].to_numpy() > 1)
+        crowded = np.flatnonzero(grid.wide(theirs))
         boxes = (theirs[0][crowded], theirs[1][crowded])
         row, box = np.nonzero(
             ~inside[:, crowded] & (labels[crowded][None, :] < low[:, None])
@@ -455,13 +464,14 @@ def dbscan(
     key_type = df.schema[key].dataType.simpleString()
     moments = Scale.fit(df, features) if scale else None
     x = [(moments.column(c) if moments else F.col(c).cast("double")).alias(n) for c, n in zip(features, grid.x)]
-    located = staged(
-        df.select(F.col(key).alias("key"), *x).withColumn("cell", grid.index(0)), "located"
-    )
-    cells = located.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("first_key"))
+    located = staged(df.select(F.col(key).alias("key"), *x), "located")
+    # copies of a place weigh like as many points and share its label
+    places = located.groupBy(*grid.x).agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("weight"))
+    places = staged(places.withColumn("cell", grid.index(0)), "places")
+    cells = places.groupBy("cell").agg(F.sum("weight").alias("n"), F.min("key").alias("first_key"))
     numbered = global_order(cells, ["first_key"], rank="cell_id", label="cells").frame
     points = staged(
-        located.join(numbered.select("cell", "cell_id", "n"), "cell")
+        places.join(numbered.select("cell", "cell_id", "n"), "cell")
         .withColumn("block", grid.block())
         .withColumn("_salt", F.xxhash64("key")),
         "points",
@@ -484,11 +494,13 @@ def dbscan(
 
     rest = points.join(core.select("key"), "key", "left_anti")
     border = _border_labels(grid, rest, labelled, key_type)
-    noise = rest.select("key").join(border, "key", "left").select(
-        "key", F.coalesce("label", F.lit(-1).cast("bigint")).alias("label"), F.lit(False).alias("is_core")
+    noise = rest.join(border, "key", "left").select(
+        *grid.x, F.coalesce("label", F.lit(-1).cast("bigint")).alias("label"), F.lit(False).alias("is_core")
     )
-    found = labelled.select("key", "label", F.lit(True).alias("is_core")).unionByName(noise)
-    return found.select(F.col("key").alias(key), F.col("label").cast("bigint").alias("label"), "is_core")
+    found = labelled.select(*grid.x, "label", F.lit(True).alias("is_core")).unionByName(noise)
+    place = F.array(*grid.x).alias("place")
+    told = located.select("key", place).join(found.select(place, "label", "is_core"), "place")
+    return told.select(F.col("key").alias(key), F.col("label").cast("bigint").alias("label"), "is_core")
 
 
 def cluster_summary(labels: DataFrame) -> DataFrame:

@@ -79,3 +79,27 @@ def test_components_of_chains_and_a_hub(spark):
     assert all(got[i] == 0 for i in range(51))
     assert all(got[i] == 100 for i in range(100, 400))
     assert all(got[i] == i for i in range(400, 500))
+
+
+def test_copies_meet_as_one_weighted_place(spark, monkeypatch):
+    from subscope.operators import density
+
+    rng = np.random.default_rng(11)
+    base = np.vstack([rng.normal(0, 0.5, (80, 3)), rng.uniform(-3, 3, (60, 3))])
+    base[0, 0] = -0.0
+    x = np.vstack([base] * 7)
+    x[140, 0] = 0.0
+    met, plain = [], density._Grid.meet
+
+    def counted(grid, left, right, *rest, **named):
+        met.extend([left.count(), right.count()])
+        return plain(grid, left, right, *rest, **named)
+
+    monkeypatch.setattr(density._Grid, "meet", counted)
+    for leaf in (64, 2):
+        _, labels, core = run(spark, x, 0.7, 30, leaf)
+        want, want_core = brute(x, 0.7, 30)
+        assert 0 < want_core.sum() < len(x) and (want == -1).any()
+        assert (core == want_core).all()
+        assert (labels == want).all()
+    assert max(met) <= len(base)
