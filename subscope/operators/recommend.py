@@ -14,11 +14,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.recommendation import ALS
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from subscope.operators import catalog as plans
 from subscope.operators.catalog import DIGITS, Scorer, matrix as _matrix
+from subscope.operators.factors import factorise
 from subscope.operators.features import minmax_catalog
 from subscope.operators.ordering import global_order
 from subscope.session import staged
@@ -306,17 +306,16 @@ class Recommender:
             .join(people, "customer_id")
             .select("user", "code", (F.col("rating") - mean - F.col("bias") - F.col("user_bias")).alias("rest"))
         )
-        model = ALS(
-            rank=self.rank, maxIter=self.epochs, regParam=FACTOR_PENALTY, seed=self.seed,
-            userCol="user", itemCol="code", ratingCol="rest",
-        ).fit(staged(residual, "residual"))
+        customers, plan_factors = factorise(
+            staged(residual, "residual"), numbered.count(), self.rank, self.epochs, FACTOR_PENALTY, self.seed
+        )
 
         def factors(table: DataFrame, keys: DataFrame, number: str) -> DataFrame:
             return table.join(keys, F.col("id") == F.col(number)).select(
                 keys.columns[0], F.col("features").cast("array<double>").alias("factors")
             )
 
-        return factors(model.userFactors, people, "user"), factors(model.itemFactors, numbered, "code")
+        return factors(customers, people, "user"), factors(plan_factors, numbered, "code")
 
     # ---------------------------------------------------------------- scoring
 
