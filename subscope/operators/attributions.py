@@ -9,6 +9,10 @@ integral of a product with one factor per feature, share * (1 - u) + passed * u.
 polynomial, so Gauss-Legendre nodes integrate it exactly, and products are carried down a
 tree once for all leaves below (Yu et al., "Linear TreeSHAP", 2022). Work per row is nodes
 times half the depth, at any depth; rows of a batch go through a tree together.
+
+A row meets a leaf only by which features of its path let it pass. Where the leaves below a
+node depend on few such answers, what they add is worked out once for every pattern of
+answers, and a row looks its pattern up: trees of usual depth are such tables altogether.
 """
 
 from __future__ import annotations
@@ -26,6 +30,10 @@ from subscope.session import ship, stage_path
 
 #: Products held per level of a tree: rows that go through it together times integration nodes.
 PRODUCTS = 32_768
+#: Answers that a table of patterns depends on; at most 8, as a pattern is a byte.
+ANSWERS = 8
+#: Splits whose answers are kept at once for a batch.
+SPLITS = 1024
 
 
 @dataclass(frozen=True)
@@ -131,10 +139,117 @@ def _add_tree(tree: Tree, u: np.ndarray, weights: np.ndarray, x: np.ndarray, out
     visit(tree.root, np.ones((len(u), len(x))), {})
 
 
-def shapley_values(ensemble: Ensemble, x: np.ndarray) -> np.ndarray:
-    """Rows by features."""
-    out = np.zeros((ensemble.width, len(x)))
-    for tree in ensemble.trees:
+@dataclass(frozen=True)
+class Table:
+    """What the leaves below a node add to ``features`` (rows of ``values``) by pattern of answers.
+
+    The first answers are whether the features of the path let a row pass, those from
+    ``first`` on whether it goes left at ``splits``.
+    """
+
+    first: int
+    splits: tuple
+    features: tuple
+    values: np.ndarray
+
+
+@dataclass(frozen=True)
+class Branch:
+    """A split above the tables; its feature has the answer at ``place``, maybe given already."""
+
+    split: tuple
+    place: int
+    given: bool
+    children: tuple
+
+
+def _split(node: Node) -> tuple:
+    return node.feature, node.limit, node.categories
+
+
+def _inner(node: Node) -> list[Node]:
+    """The splits below and at a node, in preorder."""
+    return [node, *[n for child in node.children for n in _inner(child)]] if node.feature >= 0 else []
+
+
+def _table(node: Node, shares: dict, splits: list[Node]) -> Table:
+    patterns = np.arange(1 << (len(shares) + len(splits)))
+    answers = [(patterns >> j & 1).astype(bool) for j in range(len(shares) + len(splits))]
+    added, numbered = {}, iter(answers[len(shares) :])
+
+    def add(leaf: Node, shares: dict, passed: dict) -> None:
+        at, weights = np.polynomial.legendre.leggauss(max(1, (len(shares) + 1) // 2))
+        u, weights = (at[:, None] + 1) / 2, weights / 2
+        factors = {f: share * (1 - u) + u * passed[f] for f, share in shares.items()}
+        product = leaf.output * np.prod(list(factors.values()), axis=0)
+        for f, share in shares.items():
+            added[f] = added.get(f, 0.0) + (passed[f] - share) * (weights @ (product / factors[f]))
+
+    def visit(node: Node, shares: dict, passed: dict) -> None:
+        if node.feature < 0:
+            return add(node, shares, passed)
+        f, left = node.feature, next(numbered)
+        for child, goes in zip(node.children, (left, ~left)):
+            visit(child, {**shares, f: shares.get(f, 1.0) * child.share}, {**passed, f: passed.get(f, True) & goes})
+
+    visit(node, shares, dict(zip(shares, answers)))
+    values = np.array([added[f] for f in added]).reshape(len(added), len(patterns))
+    return Table(len(shares), tuple(_split(n) for n in splits), tuple(added), values)
+
+
+def tabled(tree: Tree) -> Table | Branch | Tree:
+    """The tree as tables below branches; a tree with a longer path than a table can hold as it is."""
+    if tree.features_on_path > ANSWERS:
+        return tree
+
+    def built(node: Node, shares: dict) -> Table | Branch:
+        splits = _inner(node)
+        if len(shares) + len(splits) <= ANSWERS:
+            return _table(node, shares, splits)
+        f = node.feature
+        children = tuple(built(c, {**shares, f: shares.get(f, 1.0) * c.share}) for c in node.children)
+        return Branch(_split(node), list(shares).index(f) if f in shares else len(shares), f in shares, children)
+
+    return built(tree.root, {})
+
+
+def _look_up(tree: Table | Branch, goes_left, rows: int, out: np.ndarray) -> None:
+    """Add the attributions of a tree of tables; ``goes_left`` answers a split for every row."""
+
+    def visit(node: Table | Branch, pattern: np.ndarray) -> None:
+        if isinstance(node, Table):
+            for j, split in enumerate(node.splits, node.first):
+                pattern = pattern | goes_left(split) << np.uint8(j)
+            place = pattern.astype(np.intp)
+            for f, values in zip(node.features, node.values):
+                out[f] += values.take(place)
+            return
+        left, bit = goes_left(node.split), np.uint8(1 << node.place)
+        for child, goes in zip(node.children, (left, 1 - left)):
+            answer = goes << np.uint8(node.place)
+            visit(child, pattern & (answer | ~bit) if node.given else pattern | answer)
+
+    visit(tree, np.zeros(rows, dtype=np.uint8))
+
+
+def shapley_values(ensemble: Ensemble, x: np.ndarray, trees: list | None = None) -> np.ndarray:
+    """Rows by features; ``trees`` are those of the ensemble as ``tabled``, if at hand."""
+    out, columns, answered = np.zeros((ensemble.width, len(x))), np.ascontiguousarray(x.T), {}
+
+    def goes_left(split: tuple) -> np.ndarray:
+        if split not in answered:
+            if len(answered) >= SPLITS:
+                answered.clear()
+            feature, limit, categories = split
+            column = columns[feature]
+            left = np.isin(column, categories) if categories is not None else column <= limit
+            answered[split] = left.astype(np.uint8)
+        return answered[split]
+
+    for tree in trees or [tabled(t) for t in ensemble.trees]:
+        if not isinstance(tree, Tree):
+            _look_up(tree, goes_left, len(x), out)
+            continue
         # n nodes are exact up to degree 2n - 1; the degree is the number of features less one
         at, weights = np.polynomial.legendre.leggauss(max(1, (tree.features_on_path + 1) // 2))
         step = PRODUCTS // len(at)
@@ -147,13 +262,14 @@ def shapley_values(ensemble: Ensemble, x: np.ndarray) -> np.ndarray:
 def attribution_column(spark: SparkSession, ensemble: Ensemble, features: str = "features") -> Column:
     """Array of attributions, in the order of the feature vector."""
     ship(spark)
-    shared = spark.sparkContext.broadcast(ensemble)
+    shared = spark.sparkContext.broadcast((ensemble, [tabled(tree) for tree in ensemble.trees]))
 
     @F.pandas_udf(ArrayType(DoubleType()))
     def attribute(vectors: pd.Series) -> pd.Series:
         if not len(vectors):
             return pd.Series([], dtype=object)
-        return pd.Series(list(shapley_values(shared.value, np.array(vectors.tolist(), dtype=float))))
+        ensemble, trees = shared.value
+        return pd.Series(list(shapley_values(ensemble, np.array(vectors.tolist(), dtype=float), trees)))
 
     return attribute(vector_to_array(features))
 

@@ -217,6 +217,31 @@ def test_attributions_equal_the_definition():
             assert phi[i] == pytest.approx(want, abs=1e-12)
 
 
+def test_trees_of_usual_depth_are_looked_up(monkeypatch):
+    rng = np.random.default_rng(12)
+
+    def grown(depth: int, share: float = 1.0) -> attributions.Node:
+        if depth == 0 or (depth < 4 and rng.random() < 0.15):
+            return attributions.Node(share, float(rng.normal()))
+        left, feature = float(rng.uniform(0.1, 0.9)), int(rng.integers(7))
+        split = {"categories": (0.0, 2.0)} if feature == 0 else {"limit": float(rng.normal())}
+        return attributions.Node(share, feature=feature, children=(grown(depth - 1, left), grown(depth - 1, 1 - left)), **split)
+
+    def longest(node: attributions.Node, seen: frozenset = frozenset()) -> int:
+        return max((longest(c, seen | {node.feature}) for c in node.children), default=len(seen))
+
+    roots = [grown(d) for d in (0, 1, 2, 6, 6, 6, 6)]
+    trees = [attributions.Tree(root, longest(root)) for root in roots]
+    ensemble, x = attributions.Ensemble(trees, 0.0, 7), rng.normal(size=(200, 7))
+    x[:, 0] = rng.integers(0, 4, 200)
+    by_path = attributions.shapley_values(ensemble, x, trees)
+    monkeypatch.setattr(attributions, "_add_tree", None)  # no walk per row and integration node
+    monkeypatch.setattr(attributions, "SPLITS", 20)
+    assert np.abs(attributions.shapley_values(ensemble, x) - by_path).max() < 1e-12
+    long_path = attributions.Tree(trees[-1].root, attributions.ANSWERS + 1)
+    assert attributions.tabled(long_path) is long_path
+
+
 def test_attributions_of_a_deep_tree():
     """Twenty features on the longest path, against the weighted subset sums in fractions."""
     depth, nodes = 20, {}
