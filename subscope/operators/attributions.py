@@ -63,29 +63,29 @@ class Ensemble:
     width: int
 
 
-def _tree(nodes: dict, weight: float, value) -> tuple[Tree, float]:
+def _tree(nodes: dict, weight: float, value, count=lambda node: node["rawCount"]) -> tuple[Tree, float]:
     root, most, base = nodes[0], 0, 0.0
 
     def built(node, above: int, seen: frozenset) -> Node:
         nonlocal most, base
-        if node["rawCount"] <= 0:
+        if count(node) <= 0:
             raise ValueError("a tree node without training rows has no share")
-        share = node["rawCount"] / above
+        share = count(node) / above
         if node["leftChild"] < 0:
             most = max(most, len(seen))
             output = weight * value(node)
-            base += output * node["rawCount"] / root["rawCount"]
+            base += output * count(node) / count(root)
             return Node(share, output)
         split = node["split"]
         feature, limits = split["featureIndex"], split["leftCategoriesOrThreshold"]
         children = tuple(
-            built(nodes[node[side]], node["rawCount"], seen | {feature}) for side in ("leftChild", "rightChild")
+            built(nodes[node[side]], count(node), seen | {feature}) for side in ("leftChild", "rightChild")
         )
         if split["numCategories"] >= 0:
             return Node(share, feature=feature, categories=tuple(limits), children=children)
         return Node(share, feature=feature, limit=limits[0], children=children)
 
-    return Tree(built(root, root["rawCount"], frozenset()), most), base
+    return Tree(built(root, count(root), frozenset()), most), base
 
 
 def read_ensemble(spark: SparkSession, model, width: int) -> Ensemble:
@@ -106,7 +106,11 @@ def read_ensemble(spark: SparkSession, model, width: int) -> Ensemble:
         stats = node["impurityStats"]
         return stats[1] / sum(stats) if forest else node["prediction"]
 
-    built = [_tree(trees[t], weights[t], value) for t in sorted(trees)]
+    def count(node) -> float:
+        # a boosted tree's rows have weights, whose sum is the first of its statistics
+        return node["rawCount"] if forest else node["impurityStats"][0]
+
+    built = [_tree(trees[t], weights[t], value, count) for t in sorted(trees)]
     return Ensemble([tree for tree, _ in built], sum(base for _, base in built), width)
 
 

@@ -18,7 +18,7 @@ from subscope.operators.attributions import (
     top_factors,
 )
 from subscope.operators.distribution import cumulative_counts, pair_wins
-from subscope.operators.features import feature_names, fit_feature_pipeline, stratified_split
+from subscope.operators.features import feature_columns, feature_names, fit_feature_pipeline, stratified_split
 from subscope.session import staged
 
 BOOSTED, FOREST = "boosted_trees", "random_forest"
@@ -84,7 +84,7 @@ class ChurnModel:
     def _classifier(self, label: str):
         common = {"labelCol": label, "featuresCol": "features", "maxDepth": self.depth, "seed": self.seed}
         if self.kind == BOOSTED:
-            return GBTClassifier(maxIter=self.trees, stepSize=self.step, **common)
+            return GBTClassifier(maxIter=self.trees, stepSize=self.step, weightCol="copies", **common)
         if self.kind == FOREST:
             return RandomForestClassifier(numTrees=self.trees, **common)
         raise ValueError(f"unknown kind of model: {self.kind}")
@@ -92,7 +92,13 @@ class ChurnModel:
     def fit(self, df: DataFrame, label: str = "churn") -> ChurnModel:
         classifier = self._classifier(label)
         preparation = fit_feature_pipeline(df, self.include_rfm)
-        rows = preparation.transform(df).select("features", F.col(label).cast("double").alias(label)).persist()
+        wanted = ["features", F.col(label).cast("double").alias(label)]
+        if self.kind == BOOSTED:
+            # rows that agree in everything a tree sees weigh like as many; the forest draws each by itself
+            seen = feature_columns(self.include_rfm)
+            df = staged(df.groupBy(*seen, label).agg(F.count(F.lit(1)).cast("double").alias("copies")), "copies")
+            wanted.append("copies")
+        rows = preparation.transform(df).select(*wanted).persist()
         try:
             fitted = classifier.fit(rows)
         finally:

@@ -75,6 +75,11 @@ def one_hot(training: DataFrame, df: DataFrame, columns: list[str]) -> DataFrame
     return out.select(*df.columns, *flags)
 
 
+def feature_columns(include_rfm: bool = True) -> list[str]:
+    """The columns that the feature vector is made of."""
+    return NUMERICAL + (RFM_NUMERICAL if include_rfm else []) + CATEGORICAL
+
+
 def fit_feature_pipeline(training: DataFrame, include_rfm: bool = True) -> PipelineModel:
     """Scaled numeric and one-hot categorical columns in one vector ``features``."""
     numeric = NUMERICAL + (RFM_NUMERICAL if include_rfm else [])

@@ -169,6 +169,32 @@ def test_probabilities_and_storage(rows, model, tmp_path):
     assert sorted(scored.select(pair).collect()) == sorted(back.predict_proba(rows).select(pair).collect())
 
 
+def test_boosted_trees_are_fitted_on_different_rows_only(spark, rows, model, monkeypatch):
+    times = (F.xxhash64("customer_id") % 3 == 0).cast("int") * 4 + 1
+    copied = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), times))).drop("_copy").repartition(5)
+    plain, met = churn.GBTClassifier.fit, []
+
+    def counted(classifier, data, *rest):
+        met.append(data.count())
+        return plain(classifier, data, *rest)
+
+    monkeypatch.setattr(churn.GBTClassifier, "fit", counted)
+    fitted = churn.ChurnModel(trees=8, depth=4).fit(copied)
+    assert met == [rows.drop("customer_id").distinct().count()] and met[0] < copied.count()
+
+    # the same model as of the copies one by one; splits of equal gain may fall on another feature
+    preparation = features.fit_feature_pipeline(copied)
+    each = preparation.transform(copied).select("customer_id", "features", F.col("churn").cast("double").alias("churn"))
+    want = churn.GBTClassifier(maxIter=8, stepSize=churn.STEP, maxDepth=4, labelCol="churn", seed=42).fit(each)
+    chance = [vector_to_array("probability")[1].alias("p")]
+    told = {r["customer_id"]: r["p"] for r in want.transform(each).select("customer_id", *chance).collect()}
+    for r in fitted.predict_proba(copied).select("customer_id", "churn_probability").collect():
+        assert r["churn_probability"] == pytest.approx(told[r["customer_id"]], abs=1e-9)
+    width = len(fitted.feature_names)
+    bases = [attributions.read_ensemble(spark, m, width).base for m in (fitted.model.stages[-1], want)]
+    assert bases[0] == pytest.approx(bases[1], abs=1e-9)
+
+
 @pytest.mark.parametrize("kind", [churn.BOOSTED, churn.FOREST])
 def test_attributions_add_up(spark, rows, kind):
     model = churn.ChurnModel(kind, trees=6, depth=4).fit(rows)
