@@ -13,6 +13,10 @@ is cut into chunks, so that a task never holds more than two chunks, and compare
 as arrays. What leaves a task is one count per point, or a spanning forest of the cells
 it found linked, but no pairs. A box that is neither wholly in nor wholly out of reach
 is cut into smaller boxes, down to single points.
+
+Where places are many, most comparisons are spared, and none that could change the result.
+A point is compared with a growing share of the items only until it has neighbours enough.
+Cells are first linked by one core point each; then only cells of different groups are compared.
 """
 
 from __future__ import annotations
@@ -33,6 +37,10 @@ from subscope.session import ship, staged
 
 LEAF = 64
 CHUNK = 2048
+#: Items that the first round of counting meets at most; all rounds so far meet FAN times as many as before.
+FIRST, FAN = 40_000, 4
+# rows of a chunk that are compared at once, so that the arrays stay in the cache
+_BAND = 64
 _SPLIT = 4
 _DEEPEST = 20
 
@@ -80,7 +88,7 @@ class _Grid:
         )
 
     def items(self, points: DataFrame, *carried: str) -> DataFrame:
-        """What points are compared with: (cell_id, block, weight, lo.., hi.., _salt).
+        """What points are compared with: (cell_id, block, weight, lo.., hi.., crowd, _salt).
 
         A cell with more than ``leaf`` places is one box, ``weight`` is its number of points.
         ``carried`` columns are constant within a cell.
@@ -91,7 +99,7 @@ class _Grid:
             "cell_id", "cell", *carried, "weight",
             *[F.col(x).alias(lo) for x, lo in zip(self.x, self.lo)],
             *[F.col(x).alias(hi) for x, hi in zip(self.x, self.hi)],
-            F.xxhash64("key").alias("_salt"),
+            F.lit(False).alias("crowd"), F.xxhash64("key").alias("_salt"),
         )
         crowded = (
             held.where(F.col("_n") > self.leaf)
@@ -101,7 +109,7 @@ class _Grid:
                 *[F.min(x).alias(lo) for x, lo in zip(self.x, self.lo)],
                 *[F.max(x).alias(hi) for x, hi in zip(self.x, self.hi)],
             )
-            .withColumn("_salt", F.xxhash64("cell_id"))
+            .withColumns({"crowd": F.lit(True), "_salt": F.xxhash64("cell_id")})
         )
         return single.unionByName(crowded).withColumn("block", self.block()).drop("cell")
 
@@ -139,6 +147,14 @@ class _Grid:
             total += np.square(part)
         return total
 
+    def near(self, left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        """Which rows of the left and the right lie wholly in reach of each other."""
+        out = np.empty((len(left[0]), len(right[0])), dtype=bool)
+        for start in range(0, len(out), _BAND):
+            band = slice(start, start + _BAND)
+            out[band] = self.reaches((left[0][band], left[1][band]), right) <= self.limit
+        return out
+
     def limits(self, pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
         return pdf[self.lo].to_numpy(dtype=float), pdf[self.hi].to_numpy(dtype=float)
 
@@ -151,11 +167,12 @@ class _Grid:
         at = pdf[self.x].to_numpy(dtype=float)
         return at, at
 
-    def meet(self, left: DataFrame, right: DataFrame, work: Callable, schema: str, half: bool = False) -> DataFrame:
+    def meet(self, left: DataFrame, right: DataFrame, work: Callable, schema: str, half: bool = False, apart: str | None = None) -> DataFrame:
         """Apply ``work(left, right)`` to all chunks of neighbouring blocks.
 
         Both sides carry block and _salt. The left side visits the neighbours of its
-        block, with ``half`` only those not before it.
+        block, with ``half`` only those not before it, with ``apart`` only those where that
+        column has another value.
         """
         ship(left.sparkSession)
         shifts = [s for s in product((-1, 0, 1), repeat=len(self.blocked)) if not half or s >= (0,) * len(s)]
@@ -167,6 +184,10 @@ class _Grid:
         # both sides may come from one table; renewed columns keep them apart
         resting = right.select(*[F.col(c).alias(c) for c in right.columns])
         resting = resting.withColumn("_at", F.concat_ws("_", F.col("block").cast("array<string>"))).drop("block")
+        if apart:
+            held = resting.groupBy("_at").agg(F.min(apart).alias("_low"), F.max(apart).alias("_high"))
+            elsewhere = (F.col("_low") != F.col(apart)) | (F.col("_high") != F.col(apart))
+            moving = moving.join(held, "_at").where(elsewhere).drop("_low", "_high")
 
         def chunks(df: DataFrame, name: str) -> DataFrame:
             return df.groupBy("_at").agg(F.ceil(F.count(F.lit(1)) / F.lit(self.chunk)).cast("int").alias(name))
@@ -240,42 +261,55 @@ def _children(grid: _Grid, points: DataFrame, level: int) -> DataFrame:
     return grid.boxes(points, level).select("cell_id", "idx", "up", "n", "weight", *grid.lo, *grid.hi)
 
 
-def _neighbour_counts(grid: _Grid, probes: DataFrame, points: DataFrame, key_type: str) -> DataFrame:
-    """(key, within): points of other cells within eps of every probe."""
-    def work(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+def _neighbour_counts(grid: _Grid, probes: DataFrame, points: DataFrame, key_type: str, min_samples: int) -> DataFrame:
+    """(key, within): points of other cells within eps of every probe, all of them where ``n`` and they are too few.
+
+    Items come in rounds; a probe that has ``min_samples`` points within eps meets no further ones.
+    """
+    def counted(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({"key": [], "cell_id": [], "within": []})
-        mine, theirs = grid.places(left), grid.limits(right)
+            return pd.DataFrame({"key": [], "within": []})
         other = left["cell_id"].to_numpy()[:, None] != right["cell_id"].to_numpy()[None, :]
-        inside = (grid.reaches(mine, theirs) <= grid.limit) & other
+        inside = grid.near(grid.places(left), grid.limits(right)) & other
         within = inside.astype(np.int64) @ right["weight"].to_numpy()
-        keys = left["key"].to_numpy()
-        crowded = np.flatnonzero(grid.wide(theirs))
-        boxes = (theirs[0][crowded], theirs[1][crowded])
-        row, box = np.nonzero(
-            ~inside[:, crowded] & other[:, crowded] & (grid.gaps(mine, boxes) <= grid.limit)
-        )
         found = within > 0
-        return pd.DataFrame({
-            "key": np.concatenate([keys[found], keys[row]]),
-            "cell_id": np.concatenate([
-                np.full(found.sum(), -1), right["cell_id"].to_numpy()[crowded[box]]
-            ]).astype(np.int64),
-            "within": np.concatenate([within[found], np.zeros(len(row), dtype=np.int64)]),
-        })
+        return pd.DataFrame({"key": left["key"].to_numpy()[found], "within": within[found]})
 
-    seen = staged(
-        grid.meet(
-            probes.select("key", "cell_id", "block", "_salt", *grid.x), grid.items(points), work,
-            f"key {key_type}, cell_id bigint, within bigint",
-        ), "counts",
+    def unsure(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({"key": [], "cell_id": []})
+        mine, boxes, cells = grid.places(left), grid.limits(right), right["cell_id"].to_numpy()
+        other = left["cell_id"].to_numpy()[:, None] != cells[None, :]
+        row, box = np.nonzero(other & ~grid.near(mine, boxes) & (grid.gaps(mine, boxes) <= grid.limit))
+        return pd.DataFrame({"key": left["key"].to_numpy()[row], "cell_id": cells[box]})
+
+    items = staged(grid.items(points), "items")
+    total, slices = items.where(~F.col("crowd")).count(), 1
+    while total > FIRST * slices:
+        slices *= FAN
+    # boxes hold most points and come first
+    items = items.withColumn(
+        "_slice", F.when(F.col("crowd"), 0).otherwise(F.pmod(F.xxhash64("_salt", F.lit("slice")), F.lit(slices)))
     )
-    sure = seen.where("cell_id < 0").select("key", "within")
-    undecided = seen.where("cell_id >= 0").select("key", "cell_id")
+    rest = probes.select("key", "cell_id", "block", "_salt", "n", *grid.x)
+    parts, done = [], 0
+    while done < slices:
+        upto = max(1, done * FAN)
+        met = items.where(F.col("_slice").between(done, upto - 1)).drop("_slice", "crowd")
+        counts = grid.meet(rest.drop("n"), met, counted, f"key {key_type}, within bigint")
+        parts.append(staged(counts.groupBy("key").agg(F.sum("within").alias("within")), "counts"))
+        done = upto
+        rest = rest.join(parts[-1], "key", "left").withColumn("n", F.col("n") + F.coalesce("within", F.lit(0))).drop("within")
+        rest = staged(rest.where(F.col("n") < min_samples), "rest")
+        if rest.isEmpty():
+            break
+    boxes = items.where("crowd").drop("_slice", "crowd")
+    # how far a probe is in a box matters only where it has too few points so far
+    undecided = staged(grid.meet(rest.drop("n"), boxes, unsure, f"key {key_type}, cell_id bigint"), "undecided")
     if not undecided.isEmpty():
-        todo = undecided.join(probes.select("key", *grid.x), "key")
-        sure = sure.unionByName(_refined(grid, todo, points, []).select("key", "within"))
-    return sure.groupBy("key").agg(F.sum("within").alias("within"))
+        todo = undecided.join(rest.select("key", *grid.x), "key")
+        parts.append(_refined(grid, todo, points, []).select("key", "within"))
+    return reduce(DataFrame.unionByName, parts).groupBy("key").agg(F.sum("within").alias("within"))
 
 
 def _roots(adjacent: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -308,12 +342,16 @@ def _cell_links(grid: _Grid, core: DataFrame) -> DataFrame:
         left, left_cells, left_starts, left_code = by_cell(left)
         right, right_cells, right_starts, right_code = by_cell(right)
         mine, theirs = grid.limits(left), grid.limits(right)
-        near = grid.reaches(mine, theirs) <= grid.limit
+        near = grid.near(mine, theirs)
+        if "group" in left:
+            near &= left["group"].to_numpy()[:, None] != right["group"].to_numpy()[None, :]
         adjacent = np.logical_or.reduceat(near, right_starts, axis=1)
         adjacent = np.logical_or.reduceat(adjacent, left_starts, axis=0)
         left_root, right_root = _roots(adjacent, left_cells, right_cells)
         # boxes that may hold points in reach, unless they are connected already
         wide = grid.wide(mine)[:, None] | grid.wide(theirs)[None, :]
+        if "group" in left:
+            wide &= left["group"].to_numpy()[:, None] != right["group"].to_numpy()[None, :]
         parted = left_root[left_code][:, None] != right_root[right_code][None, :]
         row, column = np.nonzero(wide & parted & ~near & (grid.gaps(mine, theirs) <= grid.limit))
         src = np.concatenate([left_cells, right_cells, left_cells[left_code[row]]])
@@ -322,9 +360,20 @@ def _cell_links(grid: _Grid, core: DataFrame) -> DataFrame:
         edges = pd.DataFrame({"src": np.minimum(src, dst), "dst": np.maximum(src, dst), "sure": sure})
         return edges[edges["src"] != edges["dst"]].drop_duplicates()
 
-    items = grid.items(core)
-    seen = staged(grid.meet(items, items, work, "src bigint, dst bigint, sure boolean", half=True), "links")
-    sure = seen.where("sure").select("src", "dst").distinct()
+    kinds = "src bigint, dst bigint, sure boolean"
+    # one core point of each cell links most of them; a link between cells of one group adds nothing
+    first = core.groupBy("cell_id", "block").agg(F.min_by(F.struct(*grid.x), "key").alias("at"))
+    first = staged(first.select(
+        "cell_id", "block", F.xxhash64("cell_id").alias("_salt"),
+        *[F.col(f"at.{x}").alias(n) for names in (grid.lo, grid.hi) for x, n in zip(grid.x, names)],
+    ), "first")
+    links = staged(grid.meet(first, first, work, kinds, half=True), "links").where("sure").select("src", "dst")
+    grouped = staged(components(links, first.select(F.col("cell_id").alias("node"))).toDF("cell_id", "group"), "groups")
+    items = staged(grid.items(core).drop("crowd").join(grouped, "cell_id"), "items")
+    largest = items.groupBy("group").count().orderBy(F.desc("count"), "group").first()
+    asking = items.where(F.col("group") != largest["group"]) if largest else items
+    seen = staged(grid.meet(asking, items, work, kinds, apart="group"), "links")
+    sure = links.unionByName(seen.where("sure").select("src", "dst")).distinct()
     undecided = seen.where(~F.col("sure")).select("src", "dst").distinct()
     if undecided.isEmpty():
         return sure
@@ -413,7 +462,7 @@ def _border_labels(grid: _Grid, rest: DataFrame, core: DataFrame, key_type: str)
             return pd.DataFrame({"key": [], "cell_id": [], "label": []})
         mine, theirs = grid.places(left), grid.limits(right)
         labels, keys = right["label"].to_numpy(), left["key"].to_numpy()
-        inside = grid.reaches(mine, theirs) <= grid.limit
+        inside = grid.near(mine, theirs)
         low = np.where(inside, labels[None, :], none).min(axis=1)
         crowded = np.flatnonzero(grid.wide(theirs))
         boxes = (theirs[0][crowded], theirs[1][crowded])
@@ -432,7 +481,7 @@ def _border_labels(grid: _Grid, rest: DataFrame, core: DataFrame, key_type: str)
 
     seen = staged(
         grid.meet(
-            rest.select("key", "block", "_salt", *grid.x), grid.items(core, "label"), work,
+            rest.select("key", "block", "_salt", *grid.x), grid.items(core, "label").drop("crowd"), work,
             f"key {key_type}, cell_id bigint, label bigint",
         ), "border",
     )
@@ -478,7 +527,7 @@ def dbscan(
     )
 
     probes = points.where(F.col("n") < min_samples)
-    within = _neighbour_counts(grid, probes, points, key_type)
+    within = _neighbour_counts(grid, probes, points, key_type, min_samples)
     enough = probes.join(within, "key", "left").where(
         F.col("n") + F.coalesce("within", F.lit(0)) >= min_samples
     ).drop("within")

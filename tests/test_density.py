@@ -103,3 +103,26 @@ def test_copies_meet_as_one_weighted_place(spark, monkeypatch):
         assert (core == want_core).all()
         assert (labels == want).all()
     assert max(met) <= len(base)
+
+
+def test_dense_tables_are_not_compared_as_a_whole(spark, monkeypatch):
+    from subscope.operators import density
+
+    rng = np.random.default_rng(13)
+    x = np.vstack([rng.normal(0, 0.5, (900, 3)), rng.normal(4, 0.5, (700, 3)), rng.uniform(-2, 6, (100, 3))])
+    met, plain = [], density._Grid.meet
+
+    def counted(grid, left, right, *rest, **named):
+        met.append(left.count() * right.count())
+        return plain(grid, left, right, *rest, **named)
+
+    monkeypatch.setattr(density, "FIRST", 100, raising=False)
+    monkeypatch.setattr(density._Grid, "meet", counted)
+    for leaf in (64, 8):
+        met.clear()
+        _, labels, core = run(spark, x, 0.8, 30, leaf)
+        want, want_core = brute(x, 0.8, 30)
+        assert want.max() == 1 and (want == -1).any()
+        assert (core == want_core).all()
+        assert (labels == want).all()
+        assert sum(met) < len(x) ** 2
